@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import mixing, urls
+from . import lines, mixing, neardup, sharding, tokens, urls
 
 QUERIES = {
+    "op1_near_duplicates": neardup.op1_near_duplicates,
+    "op2_token_histogram": tokens.op2_token_histogram,
     "op3_url_filter": urls.op3_url_filter,
     "op4_source_mix": mixing.op4_source_mix,
+    "op5_line_dedup": lines.op5_line_dedup,
+    "op7_byte_shards": sharding.op7_byte_shards,
 }
 
 SQL = {
+    "op1_near_duplicates": neardup.OP1_SQL,
     "op3_url_filter": urls.OP3_SQL,
     "op4_source_mix": mixing.OP4_SQL,
+    "op5_line_dedup": lines.OP5_SQL,
 }
