@@ -8,8 +8,10 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of every operator here: the ASCII blanks. A word is a longest run of other characters.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -52,6 +54,29 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(df: DataFrame, most: int = 1 << 22) -> DataFrame:
+    """df marked for broadcast if it is counted to have at most `most` (narrow) rows; beyond that Spark's shuffle joins take it."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def with_columns(docs: DataFrame, text_col: str, ddl: str, make) -> DataFrame:
+    """docs with the columns of ddl, which make() computes from the text, batch by batch and without a shuffle.
+
+    make() returns a function from a list of byte strings (null as empty) to arrays. Columns of docs with the same names give way."""
+    new = StructType.fromDDL(ddl)
+    docs = docs.drop(*new.names)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        compute = make()
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            for lo, hi in in_blocks([len(t) for t in texts], 2 << 20):
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *compute(texts[lo:hi])], [*batch.schema.names, *new.names])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *new.fields]))
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -3,15 +3,15 @@
 A document's set holds 64-bit hashes of its distinct five-word shingles. Documents with equal sets are one node, so that
 exact copies cost one row each. One pass hashes a set into BINS bins; an empty bin takes the minimum of the first
 non-empty bin that a shared sequence of random bins meets. BANDS bands of ROWS minima name BANDS buckets for each node:
-at similarity 0.85 two nodes share no bucket with probability (1 - 0.85**6)**40, about 6e-9.
+at similarity 0.85 two nodes share no bucket with probability (1 - 0.85**5)**32, about 7e-9.
 
 Candidates are bounded by the size of a bucket, never by its square. First each bucket is a star around the member
 that has the most company over all its buckets (in a group of edited copies this is the common origin); the stars' edges
 are confirmed and joined into components. Then each bucket is sorted by its members' next band, and each member is
 compared with the WINDOW following ones that are not yet in its component. Buckets of up to WINDOW + 1 members are
-thereby compared in full; in larger ones a link between two components is found through any of about fifteen
-shared buckets, in several orders. Every candidate is confirmed on full sets; a cheap comparison of 128 one-byte minima
-first discards pairs that are more than six standard deviations under the threshold.
+thereby compared in full; in larger ones a link between two components is found through any of about fourteen
+shared buckets, in several orders. Every candidate is confirmed on full sets; a cheap comparison of their minima, one byte
+each, first discards pairs that are more than five standard deviations under the threshold.
 
 Scale: texts are read twice, the second time only for nodes with a candidate; what is shuffled are bucket keys (8 bytes a
 band) and the sets of candidates. Large buckets are split by their members' next key. Components come from the
@@ -26,16 +26,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, in_blocks, mixed, shingle_hashes, table, written
+from .common import Words, discard, in_blocks, mixed, shingle_hashes, small, table, written
 
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 32, 5
 WINDOW = 8
 PASSES = 2
 SPLIT_ABOVE = 4096
-_SIG = 128
 _TRIES = 4096
 _U = np.uint64
 
@@ -105,8 +104,8 @@ def _feature_maker(bands: int, rows: int):
                     sums[0, i], sums[1, i] = mixed(s).sum(), mixed(s ^ _U(0x5851F42D4C957F2D)).sum()
                 sig = signatures(full, bands * rows)
                 offsets = np.concatenate(([0], np.cumsum(np.where(sizes > 0, bands, 0)))).astype(np.int32)
-                short = np.zeros((len(sets), _SIG), np.uint8)
-                short[some] = (mixed(sig[:, :_SIG]) >> _U(56)).astype(np.uint8)
+                short = np.zeros((len(sets), bands * rows), np.uint8)
+                short[some] = (mixed(sig) >> _U(56)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
@@ -123,7 +122,7 @@ def _feature_maker(bands: int, rows: int):
 
 
 def features(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, (k1, k2) which name the set, the bucket keys, and 128 one-byte minima."""
+    """doc_id, n_shingles, (k1, k2) which name the set, the bucket keys, and the minima as one byte each."""
     return docs.mapInArrow(_feature_maker(bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>, sig binary")
 
 
@@ -162,79 +161,112 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _agreeing(bins: int, percent: int) -> int:
+    """How many of the one-byte minima of two sets at the threshold agree, less five standard deviations."""
+    j = percent / 100
+    return int(bins * j - 5 * (bins * j * (1 - j)) ** 0.5)
+
+
 def _near_by_bytes(least: int):
-    """Keeps pairs whose one-byte minima agree in at least `least` places."""
+    """Keeps pairs (a, b, sig of a, sig of b) whose one-byte minima agree in at least `least` places."""
 
     def keep(batches):
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, _SIG) for i in (2, 3))
-                near = batch.filter(pa.array((a == b).sum(1) >= least))
-                yield near.select([0, 1])
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield batch.filter(pa.array((a == b).sum(1) >= least)).select([0, 1])
 
     return keep
 
 
-def confirmed(pairs: DataFrame, feats: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _near_in_order(window: int, least: int):
+    """From rows (key, sub, node, component, sig) in order: pairs at most `window` rows apart within a bucket, of different components, that agree."""
+
+    def pair(batches):
+        tail = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, sub, node, comp = (batch.column(c).to_numpy() for c in range(4))
+            sig = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            new = (key, sub, node, comp, sig)
+            old = 0 if tail is None else len(tail[0])
+            key, sub, node, comp, sig = new if tail is None else (np.concatenate(x) for x in zip(tail, new, strict=True))
+            found = []
+            for s in range(1, window + 1):
+                i = np.arange(max(0, old - s), len(key) - s)  # pairs of two old rows were seen before
+                i = i[(key[i] == key[i + s]) & (sub[i] == sub[i + s]) & (comp[i] != comp[i + s])]
+                i = i[(sig[i] == sig[i + s]).sum(1) >= least]
+                found.append(np.stack([np.minimum(node[i], node[i + s]), np.maximum(node[i], node[i + s])]))
+            both = np.unique(np.concatenate(found, axis=1), axis=1)
+            tail = tuple(x[-window:].copy() for x in (key, sub, node, comp, sig))
+            yield pa.RecordBatch.from_arrays([pa.array(both[0].copy()), pa.array(both[1].copy())], ["a", "b"])
+
+    return pair
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    j = percent / 100
-    least = int(_SIG * j - 6.5 * (_SIG * j * (1 - j)) ** 0.5)
-    sig = feats.select("doc_id", "sig")
-    both = pairs.join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
-    near = written(both.select("a", "b", "sa", "sb").mapInArrow(_near_by_bytes(least), "a long, b long"), "near-pairs")
-    ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    sets = written(shingle_sets(docs.join(ids, "doc_id", "left_semi")), "shingles")
+    near = written(pairs.distinct(), "near-pairs")
+    ids = written(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "near-ids")
+    sets = written(shingle_sets(docs.join(small(ids), "doc_id", "left_semi")), "shingles")
     of = lambda c, s: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(s))
     links = near.join(of("b", "sb"), "b").join(of("a", "sa"), "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     links = written(links.where(F.lit(100) * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b").distinct(), "links")
-    discard(near)
-    discard(sets)
+    for t in (near, ids, sets):
+        discard(t)
     return links
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, nxt, after, n): the buckets with at least two members. nxt, after: the node's next two keys; n: the bucket's size."""
-    at = lambda i: F.element_at("keys", (F.col("pos") + i) % F.size("keys") + 1)
-    rows = nodes.select(F.col("doc_id").alias("node"), "keys", F.posexplode("keys").alias("pos", "key")).select("key", "node", at(1).alias("nxt"), at(2).alias("after"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """(key, node, n): the buckets with at least two different members; n: their rows."""
+    rows = nodes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "n")
     return written(rows.join(sizes, "key"), "buckets")
 
 
-def _star(buckets: DataFrame) -> DataFrame:
-    """Edges from each bucket's centre, the member with the most company, to the others."""
+def _star(buckets: DataFrame, members: DataFrame, least: int) -> DataFrame:
+    """Edges from each bucket's centre, the member with the most company, to the others, where the one-byte minima agree."""
     company = buckets.groupBy("node").agg(F.sum("n").alias("company"))
     rows = buckets.select("key", "node").join(company, "node")
     centre = rows.groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("centre"))
-    pairs = rows.join(centre, "key").where("node <> centre")
-    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    pairs = rows.select("key", "node").join(centre, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    sig = lambda c, s: members.select(F.col("node").alias(c), F.col("sig").alias(s))
+    both = pairs.join(sig("b", "sb"), "b").join(sig("a", "sa"), "a").select("a", "b", "sa", "sb")
+    return both.mapInArrow(_near_by_bytes(least), "a long, b long")
 
 
-def _neighbours(buckets: DataFrame, comp: DataFrame, order: str, window: int) -> DataFrame:
-    """Pairs of members of different components that are at most `window` apart in a bucket sorted by `order`."""
-    rows = buckets.select("key", "node", F.col(order).alias("next_key"), "n").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_up = rows.groupBy("key").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("key")
-    rows = rows.join(mixed_up, "key", "left_semi").withColumn("sub", F.when(F.col("n") > SPLIT_ABOVE, F.pmod("next_key", F.expr(f"n div {SPLIT_ABOVE // 2}"))).otherwise(F.lit(0)))
-    w = Window.partitionBy("key", "sub").orderBy("next_key", "node")
-    ahead = rows.withColumn("ahead", F.array(*[F.lead(F.struct("node", "component"), i).over(w) for i in range(1, window + 1)]))
-    pairs = ahead.select("node", F.explode(F.filter("ahead", lambda x: x.isNotNull() & (x["component"] != F.col("component")))).alias("x"))
-    return pairs.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).where("a <> b").distinct()
+def _neighbours(buckets: DataFrame, members: DataFrame, comp: DataFrame, shift: int, window: int, least: int) -> DataFrame:
+    """Pairs of members of different components, at most `window` apart in a bucket sorted by its members' key `shift` bands on, that agree."""
+    of_node = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = buckets.join(of_node.select("node", "component"), "node")
+    several = named.groupBy("key").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("key")
+    rows = named.join(several, "key", "left_semi").join(members, "node")
+    at = (F.array_position("keys", F.col("key")) - 1 + shift) % F.size("keys") + 1
+    rows = rows.withColumn("next_key", F.element_at("keys", at.cast("int")))
+    rows = rows.withColumn("sub", F.when(F.col("n") > SPLIT_ABOVE, F.pmod("next_key", F.expr(f"n div {SPLIT_ABOVE // 2}"))).otherwise(F.lit(0)).cast("long"))
+    placed = rows.select("key", "sub", "node", "component", "sig", "next_key").repartition("key", "sub").sortWithinPartitions("key", "sub", "next_key", "node")
+    return placed.drop("next_key").mapInArrow(_near_in_order(window, least), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     feats = written(features(docs, bands, rows), "features")
-    sets = written(feats.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "sets")
-    nodes = feats.join(sets.select("k1", "k2", F.col("node").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
-    own = feats.join(sets.select("k1", "k2", F.col("node").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi").select("doc_id", "sig")
+    usable = feats.where("n_shingles > 0 and doc_id is not null")
+    sets = written(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "sets")
+    copies = written(usable.select("doc_id", "k1", "k2").join(sets, ["k1", "k2"]).where("doc_id <> node").select("doc_id", "k1").distinct(), "copies")
+    nodes = usable.join(small(copies), ["doc_id", "k1"], "left_anti").select("doc_id", "keys", "sig")
     buckets = _buckets(nodes)
-    links = confirmed(_star(buckets), own, docs, percent)
-    comp = components(links)
-    for order in ("nxt", "after")[:PASSES]:
-        more = confirmed(_neighbours(buckets, comp, order, window), own, docs, percent)
-        links = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-        comp = components(links)
-    discard(buckets)
+    ids = written(buckets.select(F.col("node").alias("doc_id")).distinct(), "members")
+    members = written(nodes.join(small(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "keys", "sig").dropDuplicates(["node"]), "members")
+    least = _agreeing(bands * rows, percent)
+    comp = components(confirmed(_star(buckets, members, least), docs, percent))
+    for shift in range(1, PASSES + 1):
+        more = confirmed(_neighbours(buckets, members, comp, shift, window, least), docs, percent)
+        comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    for t in (copies, buckets, ids, members):
+        discard(t)
     of_set = sets.join(comp, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
     out = feats.select("doc_id", "n_shingles", "k1", "k2").join(of_set, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))

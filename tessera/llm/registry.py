@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, neardup, sharding, tokens, urls
+from . import decontamination, language, lines, media, mixing, neardup, quality, sharding, tokens, urls
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
@@ -10,7 +10,11 @@ QUERIES = {
     "op3_url_filter": urls.op3_url_filter,
     "op4_source_mix": mixing.op4_source_mix,
     "op5_line_dedup": lines.op5_line_dedup,
+    "op6_decontaminate": decontamination.op6_decontaminate,
     "op7_byte_shards": sharding.op7_byte_shards,
+    "op8_image_copies": media.op8_image_copies,
+    "op9_quality": quality.op9_quality,
+    "op10_language_id": language.op10_language_id,
 }
 
 SQL = {
@@ -18,4 +22,5 @@ SQL = {
     "op3_url_filter": urls.OP3_SQL,
     "op4_source_mix": mixing.OP4_SQL,
     "op5_line_dedup": lines.OP5_SQL,
+    "op6_decontaminate": decontamination.OP6_SQL,
 }
