@@ -1 +1 @@
-
+"""Column expressions: physics of a single row."""
