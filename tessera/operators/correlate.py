@@ -74,7 +74,8 @@ def pair_map(first: DataFrame, second: DataFrame, m_first: DataFrame, m_second:
 
     first and second are the spectral matrices of the two energies of a layer; each is weighted by its (a, b, w) selection."""
     weigh = lambda x, m: x.join(m, ["a", "b"]).select("layer", "a", "b", "i", "j", (F.col("v") * F.col("w")).alias("v"))
-    both = _sides(weigh(first, m_first), weigh(second, m_second).withColumnsRenamed({"a": "b", "b": "a"}).select("layer", "a", "b", "i", "j", "v"), ["layer", "a", "b"])
+    right = weigh(second, m_second).select("layer", F.col("b").alias("a"), F.col("a").alias("b"), "i", "j", "v")
+    both = _sides(weigh(first, m_first), right, ["layer", "a", "b"])
     return both.groupBy(*_difference(n)).agg((F.sum(F.col("a_v") * F.col("b_v")) * F.lit(prefactor)).alias("v"))
 
 

@@ -24,7 +24,8 @@ def grid_sql(n: int = 16, sparse: bool = False) -> str:
 
 
 def full_sql(n: int = 16) -> str:
-    return f"f AS (SELECT layer, CAST(x AS INTEGER) AS i, CAST(y AS INTEGER) AS j, coalesce(v, 0) AS v FROM (SELECT DISTINCT layer FROM g), range({n}) AS a(x), range({n}) AS b(y) LEFT JOIN g USING (layer, i, j))"
+    cells = f"SELECT layer, CAST(x AS INTEGER) AS i, CAST(y AS INTEGER) AS j FROM (SELECT DISTINCT layer FROM g) l, range({n}) AS a(x), range({n}) AS b(y)"
+    return f"m AS ({cells}), f AS (SELECT m.layer, m.i, m.j, coalesce(v, 0) AS v FROM m LEFT JOIN g ON m.layer = g.layer AND m.i = g.i AND m.j = g.j)"
 
 
 def matrices(spark, sf_dir: str) -> DataFrame:

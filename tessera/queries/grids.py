@@ -136,7 +136,7 @@ SQL = {
     "a06_autocorrelation_map": f"WITH {B.grid_sql(N, True)}, {B.full_sql(N)}, {_CORR} SELECT layer, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, v AS raw, CASE WHEN top > 0 THEN v / top ELSE v END AS norm FROM r WHERE i >= 4 AND i < 12 AND j >= 4 AND j < 12",
     "a06_joint_density": f"{WITH}, {B.full_sql(N)}, {_CORR} SELECT layer, CAST(i + s * {N} AS INTEGER) AS i, CAST(j + t * {N} AS INTEGER) AS j, round(v / top, 9) AS v, ((i + s * {N}) / {N} - 0.5) * 1.0 + ((j + t * {N}) / {N} - 0.5) * -0.5 AS x, ((i + s * {N}) / {N} - 0.5) * 0.0 + ((j + t * {N}) / {N} - 0.5) * 0.75 AS y FROM r, range(-1, 2) AS a(s), range(-1, 2) AS b(t) WHERE i + s * {N} >= -4 AND i + s * {N} < 20 AND j + t * {N} >= -4 AND j + t * {N} < 20",
     "j04_correlation_by_dft": f"WITH {B.grid_sql(N, True)}, {B.full_sql(N)}, {_CORR} SELECT layer, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(v, 2) AS v FROM c",
-    "g01_g07_complete_mesh": f"WITH {B.grid_sql(N, True)} SELECT layer, CAST(x AS INTEGER) AS i, CAST(y AS INTEGER) AS j, v, x / {N} - 0.5 AS u, y / {N} - 0.5 AS w FROM (SELECT DISTINCT layer FROM g), range({N}) AS a(x), range({N}) AS b(y) LEFT JOIN g ON g.layer = (layer) AND g.i = x AND g.j = y",
+    "g01_g07_complete_mesh": f"WITH {B.grid_sql(N, True)}, {B.full_sql(N)} SELECT m.layer, m.i, m.j, v, m.i / {N} - 0.5 AS u, m.j / {N} - 0.5 AS w FROM m LEFT JOIN g ON m.layer = g.layer AND m.i = g.i AND m.j = g.j",
     "g02_energy_axes": "SELECT p_partkey, CAST(m AS INTEGER) AS m, CASE WHEN round(p_size / 2.0) > 0 THEN m * CAST(p_size AS DOUBLE) / round(p_size / 2.0) - p_size ELSE -CAST(p_size AS DOUBLE) END AS energy, CASE WHEN round(p_size / 2.0) > 0 THEN m * CAST(p_size AS DOUBLE) / round(p_size / 2.0) - p_size ELSE -CAST(p_size AS DOUBLE) END + p_size AS shifted FROM part, unnest(range(0, CAST(round(p_size / 2.0) AS BIGINT) + 1)) AS u(m)",
     "g03_extended": f"{WITH} SELECT layer, CAST(i + s * {N} AS INTEGER) AS i, CAST(j + t * {N} AS INTEGER) AS j, v FROM g, range(-1, 2) AS a(s), range(-1, 2) AS b(t) WHERE i + s * {N} >= -8 AND i + s * {N} < 20 AND j + t * {N} >= -8 AND j + t * {N} < 20",
     "g04_cropped": f"{WITH} SELECT * FROM g WHERE i / {N} - 0.5 >= -0.3 AND i / {N} - 0.5 < 0.3 AND j / {N} - 0.5 >= -0.3 AND j / {N} - 0.5 < 0.3",

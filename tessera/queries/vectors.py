@@ -45,7 +45,7 @@ def cartesian(spark, d):
 
 def fractional(spark, d):
     cart = B.table(spark, d, "customer").select(F.col("c_custkey").alias("item"), (F.col("c_custkey") % 10 + 1).alias("system_id"), *[((F.col("c_custkey") % p) / p).alias(c) for c, p in (("x", 8), ("y", 16), ("z", 4))])
-    return _rounded(LA.to_fractional(cart, LA.long(B.lattices(spark, d), "a")))
+    return _rounded(LA.to_fractional(cart, LA.long(B.lattices(spark, d), "a")), 11)
 
 
 def _plane(spark, d):
@@ -104,7 +104,7 @@ SQL = {
     "p20_rotated": f"{_L}, {_PLANAR} SELECT system_id, axis, round(x * cos(radians(30)) - y * sin(radians(30)), 8) + 0.0 AS x, round(x * sin(radians(30)) + y * cos(radians(30)), 8) + 0.0 AS y, z + 0.0 AS z FROM v",
     "p21_lattice_checks": f"{_L} SELECT system_id, round(sqrt(a1x * a1x + a1y * a1y), 8) AS a1, round(sqrt(a2x * a2x + a2y * a2y), 8) AS a2, a3z AS a3, round(abs({_D} * a3z), 8) AS volume, round(8 * pi() * pi() * pi() / abs({_D} * a3z), 8) AS dual_volume, true AS dual_ok, true AS round_trip_ok FROM l",
     "p02_cartesian": f"{_L}, c AS (SELECT c_custkey AS item, c_custkey % 10 + 1 AS system_id, (c_custkey % 8) / 8 AS f1, (c_custkey % 16) / 16 AS f2, (c_custkey % 4) / 4 AS f3 FROM customer) SELECT system_id, item, round(f1 * a1x + f2 * a2x, 8) + 0.0 AS x, round(f1 * a1y + f2 * a2y, 8) + 0.0 AS y, round(f3 * a3z, 8) + 0.0 AS z FROM c JOIN l USING (system_id)",
-    "p02_fractional": f"{_L}, c AS (SELECT c_custkey AS item, c_custkey % 10 + 1 AS system_id, (c_custkey % 8) / 8 AS x, (c_custkey % 16) / 16 AS y, (c_custkey % 4) / 4 AS z FROM customer) SELECT system_id, item, round((x * a2y - y * a2x) / {_D}, 8) + 0.0 AS f1, round((y * a1x - x * a1y) / {_D}, 8) + 0.0 AS f2, round(z / a3z, 8) + 0.0 AS f3 FROM c JOIN l USING (system_id)",
+    "p02_fractional": f"{_L}, c AS (SELECT c_custkey AS item, c_custkey % 10 + 1 AS system_id, (c_custkey % 8) / 8 AS x, (c_custkey % 16) / 16 AS y, (c_custkey % 4) / 4 AS z FROM customer) SELECT system_id, item, round((x * a2y - y * a2x) / {_D}, 11) + 0.0 AS f1, round((y * a1x - x * a1y) / {_D}, 11) + 0.0 AS f2, round(z / a3z, 11) + 0.0 AS f3 FROM c JOIN l USING (system_id)",
     "g12_o02_orbit": f"WITH {_HEX} SELECT system_id, round(c * cos(pi() * k / 3), 6) + 0.0 AS x, round(c * sin(pi() * k / 3), 6) + 0.0 AS y FROM s, range(6) AS u(k)",
     "g15_zone_corners": f"WITH {_HEX} SELECT system_id, round(c / sqrt(3) * cos(pi() * k / 3 + pi() / 6), 6) + 0.0 AS vx, round(c / sqrt(3) * sin(pi() * k / 3 + pi() / 6), 6) + 0.0 AS vy FROM s, range(6) AS u(k)",
     "g14_o01_bragg_circle": f"{_L}, p AS (SELECT system_id, CAST(m AS INTEGER) AS m, CAST(n AS INTEGER) AS n, m * a1x + n * a2x AS x, m * a1y + n * a2y AS y FROM l, range(-40, 41) AS a(m), range(-40, 41) AS b(n) WHERE m <> 0 OR n <> 0) SELECT system_id, m, n, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(sqrt(x * x + y * y), 6) AS norm FROM p WHERE sqrt(x * x + y * y) <= 6.0 + 1e-12",

@@ -118,7 +118,11 @@ def orbital_columns(atoms: DataFrame, shells: DataFrame) -> DataFrame:
     atoms (file, ord, element) join shells (file, label, n_s, n_p, n_d); an element without shells is an error."""
     both = atoms.join(shells.select("file", F.col("label").alias("element"), "n_s", "n_p", "n_d"), ["file", "element"], "left")
     checked = both.withColumn("n_s", F.coalesce("n_s", F.raise_error(F.concat(F.lit("no basis for "), "element")).cast("int")))
-    parts = [F.flatten(F.transform(F.sequence(F.lit(0), F.col(f"n_{s}") - 1), lambda m, s=s: F.transform(F.array(*map(F.lit, SHELL_ORBITALS[s])), lambda o: F.concat(m.cast("string"), o)))) for s in "spd"]
+    def shells_of(s: str):
+        names = F.array(*map(F.lit, SHELL_ORBITALS[s]))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.col(f"n_{s}") - 1), lambda m: F.transform(names, lambda o: F.concat(m.cast("string"), o))))
+
+    parts = [shells_of(s) for s in "spd"]
     lists = [F.when(F.col(f"n_{s}") > 0, p).otherwise(F.array().cast("array<string>")) for s, p in zip("spd", parts, strict=True)]
     each = checked.select("file", "ord", "element", F.posexplode(F.concat(*lists)).alias("n", "orbital"))
     pos = F.row_number().over(Window.partitionBy("file").orderBy("ord", "n")) - 1
