@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def text_lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive).select(F.col("_metadata.file_path").alias("file"), "value")
     return split_lines(whole, "file", "value")
 
 
