@@ -5,7 +5,8 @@ scores at least RETRIEVE against. Items stand in blocks; a block's bound for a p
 weights in the block. Blocks whose bound is under the threshold are skipped unread (the pivot test of block-max WAND, made for a
 whole batch of passages at once as array sums); only the postings of the other blocks are scored. A retrieved item is then
 verified on five-word shingles of the whole document: at least 0.8 of the item's, and at least half of those of its
-question and of its answer. Without a column for it, the last third of an item's words stands for its answer.
+question and of its answer. Without a column for it, the last third of an item's words stands for its
+answer; with one, question and answer may stand apart in a document.
 
 Scale: documents are read once, whole, without a shuffle. The index is built from a benchmark, in slices of at most SLICE items, each a
 bounded broadcast; a larger benchmark takes one Python stage for each slice, all in one pass over the documents.
@@ -59,9 +60,9 @@ def build_index(items: list[tuple[int, str, str | None]]) -> dict:
                 chunks.append(words[at : at + _CHUNK])
                 chunk_of.append(len(ids))
             ids.append(item)
-            whole.append(shingle_hashes(words))
             asked.append(shingle_hashes(words[:cut]))
             answered.append(shingle_hashes(words[cut:]))
+            whole.append(np.concatenate((asked[-1], answered[-1])) if answer else shingle_hashes(words))
     vocabulary = np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, np.uint64)
     n, mean = len(chunks), np.mean([len(c) for c in chunks]) if chunks else 1.0
     df, rows = np.zeros(len(vocabulary)), []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, with_columns
+from .common import small, table, with_columns, written
 
 FOLDS = 5
 PIECES, PIECE = 64, 320
@@ -47,7 +47,7 @@ def samples(docs: DataFrame, pieces: int = PIECES, piece: int = PIECE) -> dict[s
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = learn.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= pieces).select("doc_id", "lang").distinct()
     start = F.pmod(h, F.greatest(F.lit(1), F.length("text") - piece)).cast("int") + 1
-    cut = docs.join(chosen, ["doc_id", "lang"]).select("lang", "doc_id", F.substr("text", start, F.lit(piece)).alias("t"))
+    cut = docs.join(small(written(chosen, "chosen")), ["doc_id", "lang"]).select("lang", "doc_id", F.substr("text", start, F.lit(piece)).alias("t"))
     rows = cut.groupBy("lang", "doc_id").agg(F.min("t").alias("t")).orderBy("lang", "doc_id").limit(pieces * LANGUAGES).collect()
     out: dict[str, list[str]] = {}
     for r in rows:

@@ -83,12 +83,13 @@ def block_listed(pages: DataFrame, listed: DataFrame, key: str = "canon") -> Dat
     n = listed.count()
     n_blocks = min(MAX_BLOCKS, max(1, -(-n * BITS_PER_URL // 256)))
     bloom = bloom_filter(listed, n_blocks, key)
-    bits = with_bits(pages, key, n_blocks).join(F.broadcast(bloom), "block", "left")  # at most MAX_BLOCKS rows of 40 bytes
+    rows = pages.select(F.struct("*").alias("row"), F.col(key).alias("canon"))  # no column of pages can clash
+    bits = with_bits(rows, "canon", n_blocks).join(F.broadcast(bloom), "block", "left")  # at most MAX_BLOCKS rows of 40 bytes
     possible = F.coalesce(F.expr(" and ".join(f"word{i} & bit{i} = bit{i}" for i in range(8))), F.lit(False))
-    bits = bits.withColumn("possible", possible & F.col(key).isNotNull()).select(*pages.columns, "possible")
-    hits = bits.where("possible").drop("possible").join(listed.select(key, F.lit(True).alias("is_listed")), key, "left")
-    rest = bits.where("not possible").drop("possible").withColumn("is_listed", F.lit(False))
-    return hits.select(*pages.columns, F.coalesce("is_listed", F.lit(False)).alias("is_listed")).unionByName(rest)
+    bits = bits.select("row", "canon", (possible & F.col("canon").isNotNull()).alias("possible"))
+    hits = bits.where("possible").join(listed.select(F.col(key).alias("canon"), F.lit(True).alias("hit")), "canon", "left")
+    rest = bits.where("not possible").select("row", F.lit(False).alias("hit"))
+    return hits.select("row", F.coalesce("hit", F.lit(False)).alias("hit")).unionByName(rest).select(*[F.col("row")[c].alias(c) for c in pages.columns if c != "is_listed"], F.col("hit").alias("is_listed"))
 
 
 def judged(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
