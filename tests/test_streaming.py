@@ -1,0 +1,25 @@
+from pyspark.sql import functions as F
+
+from tessera.queries import bindings
+from tessera.streaming import layers
+
+
+def cells(spark, sf):
+    li = bindings.table(spark, sf, "lineitem")
+    return li.select(F.col("l_shipdate").alias("ts"), F.col("l_linenumber").cast("int").alias("layer"), (F.col("l_partkey") % 8).cast("int").alias("i"), (F.col("l_suppkey") % 8).cast("int").alias("j"), F.col("l_quantity").alias("v"))
+
+
+def test_stream_adds_up_to_the_batch(spark, sf, tmp_path):
+    whole = cells(spark, sf)
+    whole.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = layers.append_sums(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.processAllAvailable()
+    q.stop()
+    want = {(r.layer, r.i, r.j): r.v for r in whole.groupBy("layer", "i", "j").agg(F.sum("v").alias("v")).collect()}
+    assert {(r.layer, r.i, r.j): r.v for r in layers.summed(spark, str(tmp_path / "out")).collect()} == want
+
+
+def test_windows_of_a_batch(spark, sf):
+    whole = cells(spark, sf)
+    assert layers.windowed(whole, "30 days", "1 day").agg(F.sum("v")).first()[0] == whole.agg(F.sum("v")).first()[0]
