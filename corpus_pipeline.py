@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, language, mixing, neardup, sharding
-from tessera.llm.common import table, written
+from tessera.llm.common import row_key, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    """Of each group of near duplicates the document with the smallest doc_id stays. An id goes if all its rows go."""
+    gone = neardup.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
     return docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
 
 
@@ -30,17 +30,25 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontamination.matched(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")).where("not contaminated").select(COLUMNS)
 
 
+def _met(docs: DataFrame, decisions: DataFrame, names: list[str]) -> DataFrame:
+    """docs with their rows of decisions (row_key, names ...): repeated rows get one each. The texts are shuffled once."""
+    each = decisions.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("all"))  # as many as a row is repeated
+    both = docs.select(*COLUMNS, row_key(F.col("doc_id"), F.col("text")).alias("row_key")).join(each, "row_key")
+    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("n_chars", "lang", "source"))
+    return both.withColumn("one", F.element_at("all", nth)).select(*COLUMNS, *[F.col(f"one.{c}").alias(c) for c in names])
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stays as often as the mix reads it: the words taken over its words, rounded."""
-    times = mixing.mix(docs).where("size > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
-    return docs.select(COLUMNS).join(times, "doc_id").withColumn("n", F.explode(F.sequence(F.lit(1), "times"))).select(COLUMNS)
+    """Each document stays as often as the mix reads it: the words taken over its words, rounded. Documents without words go."""
+    keyed = docs.select("text", "source", row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
+    times = mixing.mix(keyed, id_col="row_key").select(F.col("doc_id").alias("row_key"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("times"))
+    return _met(docs, times, ["times"]).where("times > 0").withColumn("n", F.explode(F.sequence(F.lit(1), "times"))).select(COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and slot; copies of a document are numbered to find theirs."""
-    placed = sharding.sharded(docs).withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("shard", "slot"))).select("doc_id", "copy", "size", "shard", "slot")
-    numbered = docs.select(COLUMNS).withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("n_chars")))
-    return numbered.join(placed, ["doc_id", "copy"]).select(*COLUMNS, "size", "shard", "slot")
+    """The documents with their size in bytes, shard and slot."""
+    placed = sharding.sharded(docs).select(F.col("key").alias("row_key"), "size", "shard", "slot")
+    return _met(docs, placed, ["shard", "slot", "size"])
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix_sources", mix_sources), ("shard", shard)]

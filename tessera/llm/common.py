@@ -54,6 +54,11 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """16 digits of the text's hash and 16 of the id (`-` for a null one): equal for repeated rows only; copies of a text are neighbours."""
+    return F.concat(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 16), F.coalesce(F.lpad(F.hex(doc_id), 16, "0"), F.lit("-" * 16)))
+
+
 def small(df: DataFrame, most: int = 1 << 22) -> DataFrame:
     """df marked for broadcast if it is counted to have at most `most` (narrow) rows; beyond that Spark's shuffle joins take it."""
     return F.broadcast(df) if df.count() <= most else df

@@ -11,7 +11,8 @@ have two levels, the seeded order's leading digits and the documents below each,
 Tables by source are small dimensions. Nothing is broadcast by hint or collected.
 
 Edge cases: a null or empty text has size 0 and takes 0; a null source is a source of its own, after all others;
-sources without tokens have target 0; an empty table gives an empty result; repeated rows are rows like others.
+sources without tokens have target 0; an empty table gives an empty result; repeated rows are rows like others; rows without
+an id are ordered by their text.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def sized(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("h"),
+            F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))))).alias("h"),
         ).select("doc_id", "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("skey"), "size", "h"),
         "mix-sized",
     )
@@ -127,7 +128,7 @@ def op4_source_mix(spark, sf_dir) -> DataFrame:
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5('7|' || coalesce(CAST(doc_id AS VARCHAR), 't' || md5(coalesce(text, '')))) AS h
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),

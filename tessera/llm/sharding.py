@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import row_key, table, written
 
 OVERHEAD = 16
 PER_RANGE = 16
@@ -43,9 +43,8 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             doc_id.alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
             F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
-            F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 16).alias("same"),
-            F.lpad(F.coalesce(F.hex(doc_id), F.lit("")), 16, "0").alias("id_hex"),
-        ).select("doc_id", "size", "text_crc32", "same", F.concat("same", "id_hex").alias("key")),
+            row_key(doc_id, text).alias("key"),
+        ).withColumn("same", F.substring("key", 1, 16)),
         "shard-keys",
     )
 
@@ -96,7 +95,7 @@ def split_ranges(rows: DataFrame, n: int, total: int, seed: int = 11) -> tuple[D
 
 
 def sharded(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, key (see common.row_key) of every row."""
     rows = keyed(docs, id_col, text_col)
     n_rows, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     n = min(MAX_RANGES, max(8 * shards, n_rows // ROWS_PER_RANGE))
@@ -108,19 +107,19 @@ def sharded(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
         ranged.join(F.broadcast(starts), "range")  # at most a few MAX_RANGES rows
         .withColumn("at", F.col("before_range_bytes") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .withColumn("nth", F.col("before_range_rows") + F.row_number().over(inside) - 1)
-        .select("doc_id", "size", "text_crc32", "same", "at", "nth")
+        .select("doc_id", "size", "text_crc32", "same", "key", "at", "nth")
     )
     placed = written(placed, "shard-placed")
     groups = placed.groupBy("same").agg(F.sum("size").alias("group_size"), F.min("at").alias("group_at"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("group_size") * GROUP_PART * shards <= total)).drop("n")
     twice_middle = F.coalesce(2 * F.col("group_at") + F.col("group_size"), 2 * F.col("at") + F.col("size"))
     shard = F.floor(twice_middle * shards / F.lit(2 * total)) if total else F.lit(0)
-    out = placed.join(groups, "same", "left").withColumn("shard", F.least(F.lit(shards - 1), shard).cast("int")).select("doc_id", "size", "text_crc32", "shard", "nth")
+    out = placed.join(groups, "same", "left").withColumn("shard", F.least(F.lit(shards - 1), shard).cast("int")).select("doc_id", "size", "text_crc32", "shard", "nth", "key")
     out = written(out, "shard-out")
     first = out.groupBy("shard").agg(F.min("nth").alias("first"))
     return out.join(F.broadcast(first), "shard").select(  # one row for each shard
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("nth") - F.col("first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("nth") - F.col("first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "key"
     )
 
 
 def op7_byte_shards(spark, sf_dir) -> DataFrame:
-    return sharded(table(spark, sf_dir, "documents"))
+    return sharded(table(spark, sf_dir, "documents")).drop("key")

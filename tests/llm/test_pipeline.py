@@ -66,3 +66,31 @@ def test_shards_hold_every_row_once(stages):
 def test_run_equals_the_stages(spark, sf, stages):
     got = P.run(spark, sf)
     assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in stages[5]["rows"])
+
+
+ODD = [
+    (1, "some words of a text that is long enough to have shingles", "en", "a", 10), (1, "some words of a text that is long enough to have shingles", "en", "a", 10),
+    (1, "another text under the same id with several words in it", None, None, None), (None, "a text that has no id but has words", "en", None, 3),
+    (None, "a text that has no id but has words", "en", None, 3), (2, None, "en", "a", None), (3, "", "de", "b", 0), (4, "123 !!", "de", "b", 6),
+    (5, "word " * 50_000, "de", "b", 250_000), (6, "short", "en", "b", 5), (7, "short", "en", "b", 5),
+]
+
+
+@pytest.mark.parametrize("rows", [[], ODD])
+def test_odd_documents_pass_every_stage(spark, sf, rows, tmp_path):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("size", "kept", "items", "score", "row_key", "shard"):
+        docs = docs.selectExpr("*", f"'clash' as {c}")
+    counts = []
+    for name, stage in P.STAGES:
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        counts.append(Counter((r.doc_id, r.text) for r in docs.collect()))
+    if rows:
+        long = rows[8][1]
+        assert counts[0] == Counter((r[0], r[1]) for r in rows if r[0] not in (2, 3, 4))
+        assert set(counts[0]) - set(counts[1]) == {(7, "short")}
+        assert counts[2] == counts[1]
+        assert all(k in counts[2] and n <= 3 * counts[2][k] for k, n in counts[3].items())
+        assert (5, long) in counts[3]
+        assert counts[4] == counts[3]
