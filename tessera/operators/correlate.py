@@ -84,7 +84,8 @@ def bare_response(eigen: DataFrame, n: int, mu: float, kt: float, eta: float, om
 
     eigen: (i, j, band, energy, u_re, u_im arrays over orbitals). Pairs of equal occupation add nothing and are dropped row by row."""
     f = eigen.withColumn("f", occupation(F.col("energy"), F.lit(mu), F.lit(kt))).withColumn("one", F.lit(1))
-    both = _sides(f, f, ["one"]).where("a_f <> b_f")
+    dealt = f.repartition(min(n * n, 512), "i", "j")  # the cells of one side are what tasks share out
+    both = _sides(dealt, f, ["one"]).where("a_f <> b_f")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
     re = dot("a_u_re", "b_u_re") + dot("a_u_im", "b_u_im")
     im = dot("a_u_re", "b_u_im") - dot("a_u_im", "b_u_re")

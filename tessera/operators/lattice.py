@@ -96,6 +96,12 @@ def checks(rows: DataFrame) -> DataFrame:
     return both.select("system_id", *[F.sqrt(_dot(_v("a", k), _v("a", k))).alias(f"a{k}") for k in (1, 2, 3)], F.abs(volume("a")).alias("volume"), F.abs(volume("b")).alias("dual_volume"), F.greatest(*off).alias("duality_error"), F.greatest(*back).alias("round_trip_error"))
 
 
+def from_plane(rows: DataFrame) -> DataFrame:
+    """(system_id, axis, x, y, z) of a plane basis (b1x, b1y, b2x, b2y); the third vector is the unit vector along z."""
+    vecs = F.array(*[F.struct(F.lit(k).alias("axis"), x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(z).alias("z")) for k, x, y, z in ((1, F.col("b1x"), F.col("b1y"), 0.0), (2, F.col("b2x"), F.col("b2y"), 0.0), (3, F.lit(0.0), F.lit(0.0), 1.0))])
+    return rows.select("system_id", F.explode(vecs).alias("v")).select("system_id", "v.*")
+
+
 # --- plane reciprocal vectors: (system_id, b1x, b1y, b2x, b2y) ----------------------------------------------------
 
 
@@ -131,18 +137,19 @@ def zone_vertices(rows: DataFrame, tol: float = 1e-6) -> DataFrame:
     return ring.withColumn("_d", det).select("system_id", "ord", ((h * F.col("ny") - hn * F.col("y")) / F.col("_d")).alias("vx"), ((hn * F.col("x") - h * F.col("nx")) / F.col("_d")).alias("vy"))
 
 
-def bragg_in_circle(rows: DataFrame, q_max: float, origin: bool = False) -> DataFrame:
-    """(system_id, m, n, x, y, norm): points m b1 + n b2 within q_max. The range of m and n follows from the cell's heights."""
+def bragg_in_circle(rows: DataFrame, q_max: float, origin: bool = False, ordered: bool = False) -> DataFrame:
+    """(system_id, m, n, x, y, norm): points m b1 + n b2 within q_max, by norm if ordered. The range of m and n follows from the cell's heights."""
     area = F.abs(F.col("b1x") * F.col("b2y") - F.col("b1y") * F.col("b2x"))
     top = lambda k: F.ceil(F.lit(q_max) * F.hypot(f"b{k}x", f"b{k}y") / area).cast("int")
     pts = rows.withColumn("m", F.explode(F.sequence(-top(2), top(2)))).withColumn("n", F.explode(F.sequence(-top(1), top(1))))
     pts = pts.withColumns({"x": F.col("m") * F.col("b1x") + F.col("n") * F.col("b2x"), "y": F.col("m") * F.col("b1y") + F.col("n") * F.col("b2y")}).withColumn("norm", F.hypot("x", "y"))
-    return pts.where(F.col("norm") <= q_max + 1e-12).where(F.lit(origin) | (F.col("m") != 0) | (F.col("n") != 0)).select("system_id", "m", "n", "x", "y", "norm")
+    out = pts.where(F.col("norm") <= q_max + 1e-12).where(F.lit(origin) | (F.col("m") != 0) | (F.col("n") != 0)).select("system_id", "m", "n", "x", "y", "norm")
+    return out.orderBy("system_id", F.round("norm", 9), "m", "n") if ordered else out
 
 
-def bragg_folded(rows: DataFrame, reach: int, digits: int = 6) -> DataFrame:
+def bragg_folded(rows: DataFrame, reach: int, digits: int = 6, ordered: bool = False) -> DataFrame:
     """Points m s1 + n s2 of a supercell's reciprocal lattice folded into the cell of b1, b2: (system_id, u, v, m, n), one for each folded
-    point, that of the smallest |m| + |n|. rows: b1x.. and s1x.., s2y."""
+    point, that of the smallest |m| + |n|; by u and v if ordered. rows: b1x.. and s1x.., s2y."""
     det = F.col("b1x") * F.col("b2y") - F.col("b1y") * F.col("b2x")
     pts = rows.withColumn("m", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("n", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
     gx, gy = F.col("m") * F.col("s1x") + F.col("n") * F.col("s2x"), F.col("m") * F.col("s1y") + F.col("n") * F.col("s2y")
@@ -151,7 +158,8 @@ def bragg_folded(rows: DataFrame, reach: int, digits: int = 6) -> DataFrame:
     fold = lambda c: wrapped(F.round(c, digits))
     pts = pts.select("system_id", F.round(fold(u), digits).alias("u"), F.round(fold(v), digits).alias("v"), "m", "n")
     best = pts.groupBy("system_id", "u", "v").agg(F.min(F.struct((F.abs("m") + F.abs("n")).alias("size"), "m", "n")).alias("b"))
-    return best.select("system_id", "u", "v", "b.m", "b.n")
+    out = best.select("system_id", "u", "v", "b.m", "b.n")
+    return out.orderBy("system_id", "u", "v") if ordered else out
 
 
 def polygon_mask(points: DataFrame, corners: list[tuple[float, float]], eps: float = 1e-9, x: str = "x", y: str = "y") -> DataFrame:

@@ -56,6 +56,18 @@ def reciprocal_vectors(lines: DataFrame) -> DataFrame:
     return last.select("file", "axis", *[L.number(F.get("v", F.lit(i))).alias(c) for i, c in enumerate("xyz")])
 
 
+def lattice_vectors(lines: DataFrame | None = None, given: DataFrame | None = None) -> DataFrame:
+    """(file, axis, x, y, z): the given vectors, else those of the logs. Neither, or a log without all three, is an error."""
+    if given is not None:
+        return given
+    if lines is None:
+        raise ValueError("neither a log nor vectors are given")
+    found = reciprocal_vectors(lines)
+    axes = lines.select("file").distinct().join(found.groupBy("file").agg(F.count(F.lit(1)).alias("axes")), "file", "left")
+    checked = axes.select("file", F.when(F.col("axes") == 3, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no three reciprocal vectors in "), "file")).cast("boolean")).alias("ok"))
+    return checked.where("ok").join(found, "file").select("file", "axis", "x", "y", "z")
+
+
 def species(lines: DataFrame) -> DataFrame:
     """(file, ord, label, basis, potential, n_s, n_p, n_d) of the species block; labels that are no element are left out."""
     rows = L.nth(L.named_block(lines, "Definition.of.Atomic.Species"), "ord").withColumn("t", L.tokens(F.col("line"))).where(F.size("t") >= 2)

@@ -185,6 +185,17 @@ def test_subcell_of_supercell(spark):
         np.testing.assert_allclose((r.x, r.y, r.z), LATTICES[r.system_id][r.axis - 1], atol=1e-12)
 
 
+def test_plane_basis_and_orders(spark):
+    rows = spark.createDataFrame([("a", 1.0, 0.0, 0.0, 2.0)], "system_id string, b1x double, b1y double, b2x double, b2y double")
+    assert [(r.axis, r.x, r.y, r.z) for r in lattice.from_plane(rows).orderBy("axis").collect()] == [(1, 1, 0, 0), (2, 0, 2, 0), (3, 0, 0, 1)]
+    norms = [r.norm for r in lattice.bragg_in_circle(rows, 2.1, origin=True, ordered=True).collect()]
+    assert norms == sorted(norms)
+    assert len(norms) == 7
+    half = rows.withColumns({"s1x": F.lit(0.5), "s1y": F.lit(0.0), "s2x": F.lit(0.0), "s2y": F.lit(1.0)})
+    got = [(r.u, r.v, abs(r.m) + abs(r.n)) for r in lattice.bragg_folded(half, 2, ordered=True).collect()]
+    assert got == [(-0.5, -0.5, 2), (-0.5, 0.0, 1), (0.0, -0.5, 1), (0.0, 0.0, 0)]
+
+
 def test_zone_needs_six_vectors(spark):
     rows = spark.createDataFrame([("a", 1.0, 0.0, 0.2, 0.9)], "system_id string, b1x double, b1y double, b2x double, b2y double")
     assert lattice.orbit(rows).count() == 12

@@ -219,6 +219,17 @@ def test_log_reciprocal_vectors(spark, tmp_path):
     assert [(r.axis, r.x, r.y, r.z) for r in C.reciprocal_vectors(lines).orderBy("axis").collect()] == [(1, 1.5, 0.25, 0), (2, 0, 2.5, 0), (3, 0, 0, 0.5)]
 
 
+def test_lattice_vectors_need_a_source(spark, tmp_path):
+    log = "Reciprocal-Space Vectors\n b_1 1 0 0\n b_2 0 1 0\n b_3 0 0 1\n"
+    assert C.lattice_vectors(structure(spark, tmp_path, log, "a.wout")).count() == 3
+    given = spark.createDataFrame([("f", 1, 2.0, 0.0, 0.0)], "file string, axis int, x double, y double, z double")
+    assert C.lattice_vectors(None, given).first().x == 2.0
+    with pytest.raises(ValueError, match="neither"):
+        C.lattice_vectors()
+    with pytest.raises(Exception, match="no three reciprocal vectors"):
+        C.lattice_vectors(structure(spark, tmp_path, "nothing\n", "b.wout")).collect()
+
+
 def test_unfolding_and_map(spark, tmp_path):
     out = structure(spark, tmp_path, OUT.format(unit="FRAC", a="0.1 0.2 0.3", b="0.5 0.5 0.5")).withColumn("file", F.lit("run"))
     cols = C.orbital_columns(C.positions(out, C.unit_cells(out)), C.species(out))
