@@ -64,6 +64,19 @@ def small(df: DataFrame, most: int = 1 << 22) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+TEXT_BATCH = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after limiting the session's Arrow batches to TEXT_BATCH bytes: by default a task holds 64 MB of texts several times over."""
+    conf = df.sparkSession.conf
+    now = conf.get(_BATCH, "-1").strip().lower().removesuffix("b")
+    if not now.isdigit() or int(now) > TEXT_BATCH:
+        conf.set(_BATCH, str(TEXT_BATCH))
+    return df
+
+
 def with_columns(docs: DataFrame, text_col: str, ddl: str, make) -> DataFrame:
     """docs with the columns of ddl, which make() computes from the text, batch by batch and without a shuffle.
 
@@ -79,7 +92,7 @@ def with_columns(docs: DataFrame, text_col: str, ddl: str, make) -> DataFrame:
             for lo, hi in in_blocks([len(t) for t in texts], 2 << 20):
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *compute(texts[lo:hi])], [*batch.schema.names, *new.names])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *new.fields]))
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, *new.fields]))
 
 
 def lower_ascii(c: Column) -> Column:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, mixed, table, written
+from .common import BLANKS, mixed, small_batches, table, written
 
 LEAST_CHARS = 10
 SHARDS = 64
@@ -57,7 +57,7 @@ def references(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             shard = (k[:, 0].view(np.uint64) >> np.uint64(32)) % np.uint64(shards)
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(ids, pa.int64())], ["shard", "k1", "k2", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, _KEYS)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(make, _KEYS)
 
 
 class Cuckoo:
@@ -241,7 +241,7 @@ def without_repeats(docs: DataFrame, index: LineIndex) -> DataFrame:
     """doc_id, n_lines, n_dropped, text: every repeated line is gone except in the smallest doc_id that holds it."""
     possible = possible_repeats(index.refs, index.filters)
     lose = possible.join(index.counts.drop("shard", "n_docs"), ["k1", "k2"]).where("doc_id <> first_doc").groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("lose"))
-    return docs.select("doc_id", "text").join(lose, "doc_id", "left").mapInArrow(_rewrite, _KEPT)
+    return small_batches(docs.select("doc_id", "text").join(lose, "doc_id", "left")).mapInArrow(_rewrite, _KEPT)
 
 
 def deduplicated(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

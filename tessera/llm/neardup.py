@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, in_blocks, mixed, shingle_hashes, small, table, written
+from .common import Words, discard, in_blocks, mixed, shingle_hashes, small, small_batches, table, written
 
 BANDS, ROWS = 32, 5
 WINDOW = 8
@@ -123,7 +123,7 @@ def _feature_maker(bands: int, rows: int):
 
 def features(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, (k1, k2) which name the set, the bucket keys, and the minima as one byte each."""
-    return docs.mapInArrow(_feature_maker(bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>, sig binary")
+    return small_batches(docs).mapInArrow(_feature_maker(bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>, sig binary")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 values = np.concatenate(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "shingles"])
 
-    return docs.mapInArrow(make, "doc_id long, shingles array<long>")
+    return small_batches(docs).mapInArrow(make, "doc_id long, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, in_blocks, shingle_hashes, table
+from .common import Words, in_blocks, shingle_hashes, small_batches, table
 
 LABELLED, POOL = 20_000, 20_000
 ROUNDS = 3
@@ -195,7 +195,7 @@ def _fit_rows(docs: DataFrame, chosen: DataFrame) -> list:
             )
 
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text", "source", "lang", "n_chars")  # at most LABELLED + POOL rows
-    return rows.mapInArrow(features, "doc_id long, good int, text binary, meta binary, buckets binary")
+    return small_batches(rows).mapInArrow(features, "doc_id long, good int, text binary, meta binary, buckets binary")
 
 
 def marked_words(buckets: list[np.ndarray], y: np.ndarray, least: int = 5, ratio: float = 8.0) -> np.ndarray:
@@ -255,7 +255,7 @@ def rated(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
                 keep = p[2] >= m["cut"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, p), pa.array(keep)], ["doc_id", "text_prob", "meta_prob", "score", "keep"])
 
-    return docs.mapInArrow(rate, "doc_id long, text_prob double, meta_prob double, score double, keep boolean")
+    return small_batches(docs).mapInArrow(rate, "doc_id long, text_prob double, meta_prob double, score double, keep boolean")
 
 
 def op9_quality(spark, sf_dir) -> DataFrame:

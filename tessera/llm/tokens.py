@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small_batches, table, written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the published pattern that splits text before byte-pair merging.
@@ -55,7 +55,7 @@ def _lengths(held, pattern: str):
 def encoded_lengths(docs: DataFrame, path: str | None = None, pattern: str = PATTERN, text_col: str = "text") -> DataFrame:
     """n_tokens of each row."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(_lengths(held, pattern), "n_tokens long")
+    return small_batches(docs.select(F.col(text_col).cast("string"))).mapInArrow(_lengths(held, pattern), "n_tokens long")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
