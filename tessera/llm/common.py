@@ -71,7 +71,7 @@ TEXT_BATCH = 4 << 20
 def small_batches(df: DataFrame) -> DataFrame:
     """df, after limiting the session's Arrow batches to TEXT_BATCH bytes: by default a task holds 64 MB of texts several times over."""
     conf = df.sparkSession.conf
-    now = conf.get(_BATCH, "-1").strip().lower().removesuffix("b")
+    now = conf.get(_BATCH, str(1 << 30)).strip().lower().removesuffix("b")
     if not now.isdigit() or int(now) > TEXT_BATCH:
         conf.set(_BATCH, str(TEXT_BATCH))
     return df
