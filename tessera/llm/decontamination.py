@@ -30,7 +30,8 @@ RETRIEVE = 0.5
 SIMILAR, PART_SIMILAR = 0.8, 0.5
 ANSWER_PART = 1 / 3
 K1, B = 1.2, 0.75
-BLOCK = 8
+#: Items in a block, or more where that would make over BLOCKS blocks.
+BLOCK, BLOCKS = 2, 128
 SLICE = 20_000
 _CHUNK = PASSAGE // 2
 
@@ -72,28 +73,30 @@ def build_index(items: list[tuple[int, str, str | None]]) -> dict:
         rows.append((t, tf, len(c)))
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
     terms, docs, weights = [], [], []
-    bound = np.zeros((len(vocabulary), max(1, -(-n // BLOCK))), np.float32)
+    size_of_block = max(BLOCK, -(-n // BLOCKS))
+    bound = np.zeros((len(vocabulary), max(1, -(-n // size_of_block))), np.float32)
     for d, (t, tf, size) in enumerate(rows):
         w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
         w = (w / w.sum()).astype(np.float32)
-        bound[t, d // BLOCK] = np.maximum(bound[t, d // BLOCK], w)
+        bound[t, d // size_of_block] = np.maximum(bound[t, d // size_of_block], w)
         terms.append(t)
         docs.append(np.full(len(t), d))
         weights.append(w)
     flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (terms, docs, weights)]
     order = np.lexsort((flat[1], flat[0]))
     return {
-        "ids": np.array(ids, np.int64), "whole": whole, "asked": asked, "answered": answered, "chunk_of": np.array(chunk_of, np.int64), "n": n,
+        "ids": np.array(ids, np.int64), "whole": whole, "asked": asked, "answered": answered, "chunk_of": np.array(chunk_of, np.int64), "n": n, "block": size_of_block,
         "vocabulary": vocabulary, "bound": bound, "posting_at": np.searchsorted(flat[0][order], np.arange(len(vocabulary) + 1)), "posting_doc": flat[1][order], "posting_weight": flat[2][order],
     }
 
 
 def _retrieved(index: dict, terms: np.ndarray, blocks: np.ndarray, threshold: float) -> np.ndarray:
     """Chunks in the given blocks that the distinct terms score at least the threshold against."""
-    at = index["posting_at"]
-    where = np.concatenate([np.arange(at[t], at[t + 1]) for t in terms])
+    first = index["posting_at"][terms]
+    many = index["posting_at"][terms + 1] - first
+    where = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
     doc = index["posting_doc"][where]
-    read = blocks[doc // BLOCK]
+    read = blocks[doc // index["block"]]
     scores = np.bincount(doc[read], index["posting_weight"][where[read]], index["n"])
     return np.flatnonzero(scores >= threshold - 1e-6)
 
