@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, in_blocks, shingle_hashes, small_batches, table
+from .common import Words, in_blocks, shingle_hashes, small_batches, table, written
 
 LABELLED, POOL = 20_000, 20_000
 ROUNDS = 3
@@ -181,57 +181,70 @@ def _columns(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(chars_col).cast("long").alias("n_chars"))
 
 
-def _fit_rows(docs: DataFrame, chosen: DataFrame) -> list:
-    """doc_id, good, text and meta features, word buckets of the chosen documents; one row for each doc_id."""
+def marked_words(docs: DataFrame, known: DataFrame, least: int = 5, ratio: float = 8.0) -> np.ndarray:
+    """Word buckets that are common among bad documents (at least `least` of them) and `ratio` times rarer among good ones.
 
-    def features(batches):
-        hasher, classes = _plain_words(), _byte_classes()
-        for batch, texts in _batches(batches):
-            x, buckets = text_features(texts, hasher, classes)
-            m = meta_features(batch.column("source").to_pylist(), batch.column("lang").to_pylist(), batch.column("n_chars").to_pylist(), texts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("good"), pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary()), pa.array([r.astype(np.float32).tobytes() for r in m], pa.binary()), pa.array([b.astype(np.uint16).tobytes() for b in buckets], pa.binary())],
-                ["doc_id", "good", "text", "meta", "buckets"],
-            )
+    known: doc_id and good, few enough to broadcast. The counts are summed by Spark; at most two for each bucket are collected."""
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text", "source", "lang", "n_chars")  # at most LABELLED + POOL rows
-    return small_batches(rows).mapInArrow(features, "doc_id long, good int, text binary, meta binary, buckets binary")
+    def count(batches):
+        hasher = _plain_words()
+        for batch, texts in _batches(batches):
+            seen = np.zeros((2, BUCKETS), np.int64)
+            words, bounds = hasher.of_texts(texts)
+            for k, good in enumerate(batch.column("good").to_pylist()):
+                seen[good, _bucketed(words[bounds[k] : bounds[k + 1]])] += 1
+            good, bucket = np.nonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(good.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(seen[good, bucket])], ["good", "bucket", "n"])
+
+    rows = docs.join(F.broadcast(known), "doc_id").select("good", "text")  # at most LABELLED rows
+    sums = small_batches(rows).mapInArrow(count, "good int, bucket int, n long").groupBy("good", "bucket").agg(F.sum("n").alias("n")).collect()
+    seen = np.zeros((2, BUCKETS))
+    for r in sums:
+        seen[r["good"], r["bucket"]] = r["n"]
+    n = {r["good"]: r["n"] for r in known.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bad, good = max(1, n.get(0, 0)), max(1, n.get(1, 0))
+    return (seen[0] >= max(least, 0.005 * bad)) & (seen[0] / bad >= ratio * (seen[1] + 1) / good)
+
+
+def _features(batch: pa.RecordBatch, texts: list[bytes], hasher: Words, classes: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text view's rows, with the number of distinct marked words, and the metadata view's."""
+    x, buckets = text_features(texts, hasher, classes)
+    hits = np.array([marked[b].sum() for b in buckets], float)
+    meta = meta_features(batch.column("source").to_pylist(), batch.column("lang").to_pylist(), batch.column("n_chars").to_pylist(), texts)
+    return np.hstack([x, np.log1p(hits)[:, None], (hits > 0)[:, None]]), meta
 
 
-def marked_words(buckets: list[np.ndarray], y: np.ndarray, least: int = 5, ratio: float = 8.0) -> np.ndarray:
-    """Buckets that are common among bad documents (at least `least` of them) and `ratio` times rarer among good ones."""
-    seen = {c: np.zeros(BUCKETS) for c in (0, 1)}
-    n = {c: max(1, int((y == c).sum())) for c in (0, 1)}
-    for b, c in zip(buckets, y, strict=True):
-        if c >= 0:
-            seen[int(c)][b] += 1
-    return (seen[0] >= max(least, 0.005 * n[0])) & (seen[0] / n[0] >= ratio * (seen[1] + 1) / n[1])
+def _fit_rows(docs: DataFrame, chosen: DataFrame, marked: np.ndarray) -> DataFrame:
+    """doc_id, good, and both views' features (as bytes) of the chosen documents; one row for each doc_id."""
 
+    def features(batches):
+        hasher, classes = _plain_words(), _byte_classes()
+        for batch, texts in _batches(batches):
+            views = _features(batch, texts, hasher, classes, marked)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), *(pa.array([r.astype(np.float32).tobytes() for r in v], pa.binary()) for v in views)], ["doc_id", "good", "text", "meta"])
 
-def _with_marks(x: np.ndarray, buckets: list[np.ndarray], marked: np.ndarray) -> np.ndarray:
-    hits = np.array([marked[b].sum() for b in buckets], float)
-    return np.hstack([x, np.log1p(hits)[:, None], (hits > 0)[:, None]])
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text", "source", "lang", "n_chars")  # at most LABELLED + POOL rows
+    rows = small_batches(rows).mapInArrow(features, "doc_id long, good int, text binary, meta binary")
+    return rows.groupBy("doc_id").agg(F.min("good").alias("good"), F.min(F.struct("text", "meta")).alias("views"))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """The fitted model, from bounded samples."""
+    """The fitted model, from bounded samples. A quarter of the labelled documents, by a checksum of doc_id, is for calibration only."""
     order = F.xxhash64("doc_id")
     good = F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)).alias("good")
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(good).where("good is not null")
-    some = known.orderBy(order, "doc_id").limit(LABELLED)
+    some = known.orderBy(order, "doc_id").limit(LABELLED).select("doc_id", F.col("good").cast("int").alias("good"))
     pool = docs.select("doc_id").where("doc_id is not null").distinct().join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(POOL)
-    chosen = some.select("doc_id", F.col("good").cast("int")).union(pool.select("doc_id", F.lit(-1)))
-    rows = _fit_rows(docs, chosen).groupBy("doc_id").agg(*[F.min_by(c, F.struct("text", "meta")).alias(c) for c in ("good", "text", "meta", "buckets")])
-    rows = sorted(rows.toLocalIterator(), key=lambda r: r["doc_id"])
+    some, chosen = written(some, "labelled"), written(some.union(pool.select("doc_id", F.lit(-1))), "chosen")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 1
+    marked = marked_words(docs, some.where(~held_out))
+    rows = sorted(_fit_rows(docs, chosen, marked).toLocalIterator(), key=lambda r: r["doc_id"])
     if not rows:
         return None
     y = np.array([r["good"] for r in rows])
     held = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 4 == 1 for r in rows])
-    text = np.vstack([np.frombuffer(r["text"], np.float32) for r in rows]).astype(float)
-    meta = np.vstack([np.frombuffer(r["meta"], np.float32) for r in rows]).astype(float)
-    buckets = [np.frombuffer(r["buckets"], np.uint16).astype(np.int64) for r in rows]
-    marked = marked_words(buckets, np.where(held, -1, y))
-    model = co_trained(_with_marks(text, buckets, marked), meta, y, held)
+    text, meta = (np.vstack([np.frombuffer(r["views"][v], np.float32) for r in rows]).astype(float) for v in ("text", "meta"))
+    model = co_trained(text, meta, y, held)
     return model and model | {"marked": marked}
 
 
@@ -249,9 +262,7 @@ def rated(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
                 p = [np.full(len(texts), 0.5)] * 3
                 keep = np.ones(len(texts), bool)
             else:
-                x, buckets = text_features(texts, hasher, classes)
-                meta = meta_features(batch.column("source").to_pylist(), batch.column("lang").to_pylist(), batch.column("n_chars").to_pylist(), texts)
-                p = scored(m, _with_marks(x, buckets, m["marked"]), meta)
+                p = scored(m, *_features(batch, texts, hasher, classes, m["marked"]))
                 keep = p[2] >= m["cut"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, p), pa.array(keep)], ["doc_id", "text_prob", "meta_prob", "score", "keep"])
 
