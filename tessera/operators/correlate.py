@@ -55,15 +55,24 @@ def joint_density(spectral: DataFrame, n: int, window: tuple[float, float] | Non
     return mesh.placed(mesh.extended(q, n, *window) if window else q, n, basis)
 
 
-def scattering_map(green: DataFrame, v: DataFrame, n: int, keys: tuple[str, ...] = ("layer",)) -> DataFrame:
+def scattering_map(green: DataFrame, v: DataFrame, n: int, keys: tuple[str, ...] = ("layer",), route: str | None = None) -> DataFrame:
     """-1/pi Im sum over k of Tr[G(k) V G(k + q)]. green: (keys, i, j, a, b, re, im); v: (a, b, vre, vim).
 
-    G V is contracted before the shifted join, which then meets on both matrix numbers."""
+    G V is contracted before the shifted join, which then meets on both matrix numbers. By the dft route the products of transforms are summed over
+    the matrix numbers before the one transform back."""
+    route = route or ("pairs" if n <= PAIRS_UP_TO else "dft")
     k = list(keys)
     re, im = complex_product((F.col("re"), F.col("im")), (F.col("vre"), F.col("vim")))
     right = v.select(F.col("a").alias("b"), F.col("b").alias("c"), "vre", "vim")
     gv = green.join(right, "b").groupBy(*k, "i", "j", "a", "c").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
     gq = green.select(*k, "i", "j", F.col("a").alias("c"), F.col("b").alias("a"), "re", "im")
+    if route == "dft":
+        pair = (*k, "a", "c")
+        x = transform.dft(gv.withColumn("im", -F.col("im")), n, pair)  # of the conjugate: its conjugate is what correlation needs
+        y = transform.dft(gq, n, pair).withColumnsRenamed({"re": "re2", "im": "im2"})
+        re, im = complex_product((F.col("re"), -F.col("im")), (F.col("re2"), F.col("im2")))
+        total = x.join(y, [*pair, "i", "j"]).groupBy(*k, "i", "j").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+        return transform.dft(total, n, keys, inverse=True).select(*k, "i", "j", (F.col("im") * F.lit(-1 / math.pi)).alias("v"))
     both = _sides(gv, gq, [*k, "a", "c"])
     imaginary = F.col("a_re") * F.col("b_im") + F.col("a_im") * F.col("b_re")
     return both.groupBy(*k, *_difference(n)).agg((F.sum(imaginary) * F.lit(-1 / math.pi)).alias("v"))

@@ -98,7 +98,8 @@ def test_chain_is_a_cosine(spark):
         assert abs(r.im) < 1e-12
 
 
-def test_scattering_of_a_resolvent(spark):
+@pytest.mark.parametrize("route", ["pairs", "dft"])
+def test_scattering_of_a_resolvent(spark, route):
     """The map of G and V equals the direct sum over k."""
     rng = np.random.default_rng(3)
     n = 6
@@ -111,7 +112,7 @@ def test_scattering_of_a_resolvent(spark):
     for q in np.ndindex(n, n):
         moved = np.roll(g, (-q[0], -q[1]), (0, 1))
         want[q] = -np.einsum("xyab,bc,xyca->", g, v, moved).imag / np.pi
-    np.testing.assert_allclose(as_array(correlate.scattering_map(gd, vd, n), n), want, atol=1e-9)
+    np.testing.assert_allclose(as_array(correlate.scattering_map(gd, vd, n, route=route), n), want, atol=1e-9)
 
 
 def test_bare_response_with_vectors(spark):
