@@ -120,7 +120,10 @@ def candidates(index: dict, words: np.ndarray, bounds: np.ndarray, threshold: fl
     starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
     seg_ids = seg[starts]
     ends = np.concatenate((starts[1:], [len(seg)]))
-    bound = np.add.reduceat(index["bound"][t], starts, axis=0)
+    bound = np.empty((len(starts), index["bound"].shape[1]), np.float32)
+    for at in range(0, len(starts), 512):  # a few MB of bounds at a time
+        lo, hi = starts[at], ends[min(at + 512, len(ends)) - 1]
+        bound[at : at + 512] = np.add.reduceat(index["bound"][t[lo:hi]], starts[at : at + 512] - lo, axis=0)
     follows = np.concatenate(((seg_ids[1:] == seg_ids[:-1] + 1) & ~np.isin(seg_ids[1:], first), [False]))
     both = bound.copy()
     both[follows] += bound[1:][follows[:-1]]
