@@ -10,7 +10,7 @@ from tessera.sources import calculation as C
 from tessera.sources import headers, instrument, store
 from tessera.sources import lines as L
 
-IMAGE_HEAD = """:NANONIS_VERSION:
+IMAGE_HEAD = """:VERSION:
 2
 :SCAN_PIXELS:
        3       2
