@@ -89,7 +89,7 @@ def with_columns(docs: DataFrame, text_col: str, ddl: str, make) -> DataFrame:
         compute = make()
         for batch in batches:
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            for lo, hi in in_blocks([len(t) for t in texts], 2 << 20):
+            for lo, hi in in_blocks([len(t) for t in texts], TEXT_BLOCK):
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *compute(texts[lo:hi])], [*batch.schema.names, *new.names])
 
     return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, *new.fields]))
@@ -99,6 +99,10 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Bytes of text that a kernel works on at once: its arrays are several times as large, and a Python worker keeps what it once took.
+TEXT_BLOCK = 1 << 19
+
+
 def in_blocks(sizes: list[int], most: int):
     """(start, end) of consecutive runs whose sizes add up to about most; a larger single item is its own run."""
     start, total = 0, 0
@@ -113,7 +117,7 @@ def in_blocks(sizes: list[int], most: int):
 
 # --- words as 64-bit hashes, over the bytes of many texts at once -------------------------------------------------
 
-_STEP = 1 << 20
+_STEP = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, in_blocks, mixed, shingle_hashes, small, small_batches, table, written
+from .common import TEXT_BLOCK, Words, discard, in_blocks, mixed, shingle_hashes, small, small_batches, table, written
 
 BANDS, ROWS = 32, 5
 WINDOW = 8
@@ -94,7 +94,7 @@ def _feature_maker(bands: int, rows: int):
         words = Words()
         for batch in batches:
             texts = _texts(batch)
-            for lo, hi in in_blocks([len(t) for t in texts], 2 << 20):
+            for lo, hi in in_blocks([len(t) for t in texts], TEXT_BLOCK):
                 sets = _sets(texts[lo:hi], words)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 some = np.flatnonzero(sizes)
@@ -133,7 +133,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         words = Words()
         for batch in batches:
             texts = _texts(batch)
-            for lo, hi in in_blocks([len(t) for t in texts], 2 << 20):
+            for lo, hi in in_blocks([len(t) for t in texts], TEXT_BLOCK):
                 sets = _sets(texts[lo:hi], words)
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 values = np.concatenate(sets).view(np.int64)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, in_blocks, shingle_hashes, small_batches, table, written
+from .common import TEXT_BLOCK, Words, in_blocks, shingle_hashes, small_batches, table, written
 
 LABELLED, POOL = 20_000, 20_000
 ROUNDS = 3
@@ -170,10 +170,10 @@ def scored(m: dict, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _batches(batches):
-    """(batch, lo, hi, texts) in blocks of about 2 MB of text."""
+    """(batch, lo, hi, texts) in blocks of about TEXT_BLOCK bytes."""
     for batch in batches:
         texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        for lo, hi in in_blocks([len(t) for t in texts], 2 << 20):
+        for lo, hi in in_blocks([len(t) for t in texts], TEXT_BLOCK):
             yield batch.slice(lo, hi - lo), texts[lo:hi]
 
 
