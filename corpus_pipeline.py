@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontamination.matched(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")).where("not contaminated").select(COLUMNS)
+    return decontamination.matched(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"), short_parts=True).where("not contaminated").select(COLUMNS)
 
 
 def _met(docs: DataFrame, decisions: DataFrame, names: list[str]) -> DataFrame:

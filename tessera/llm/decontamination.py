@@ -6,13 +6,14 @@ weights in the block. Blocks whose bound is under the threshold are skipped unre
 whole batch of passages at once as array sums); only the postings of the other blocks are scored. A retrieved item is then
 verified on five-word shingles of the whole document: at least 0.8 of the item's, and at least half of those of its
 question and of its answer. Without a column for it, the last third of an item's words stands for its
-answer; with one, question and answer may stand apart in a document.
+answer; with one, question and answer may stand apart in a document. With short_parts, as the query and the pipeline have it, a part of fewer
+than five words is looked up as a run of its own length; without, only among runs of five, where a longer document never has it.
 
 Scale: documents are read once, whole, without a shuffle. The index is built from a benchmark, in slices of at most SLICE items, each a
 bounded broadcast; a larger benchmark takes one Python stage for each slice, all in one pass over the documents.
 
 Edge cases: a null or empty text, and one without words, is clean. An item without words matches nothing; one with fewer than five words
-is a single shingle, its whole sequence, and so is a document of fewer than five words. Repeated items each count. Repeated rows are judged each;
+is a single shingle, its whole sequence (with short_parts anywhere in a document), and so is a document of fewer than five words. Repeated items each count. Repeated rows are judged each;
 a null doc_id is a row like others. Empty tables: an empty benchmark leaves all clean. Very long texts are read whole.
 """
 
@@ -52,7 +53,7 @@ def _hasher() -> Words:
 def build_index(items: list[tuple[int, str, str | None]]) -> dict:
     """items: (item_id, text or question, answer or None). Long items are indexed in chunks of half a passage."""
     hasher = _hasher()
-    ids, whole, asked, answered, chunks, chunk_of = [], [], [], [], [], []
+    ids, whole, asked, answered, runs, chunks, chunk_of = [], [], [], [], [], [], []
     for item, text, answer in items:
         words, bounds = hasher.of_texts([(text or "").encode("utf-8", "replace"), (answer or "").encode("utf-8", "replace")])
         cut = bounds[1] if answer else len(words) - int(len(words) * ANSWER_PART)
@@ -63,6 +64,7 @@ def build_index(items: list[tuple[int, str, str | None]]) -> dict:
             ids.append(item)
             asked.append(shingle_hashes(words[:cut]))
             answered.append(shingle_hashes(words[cut:]))
+            runs.append({min(5, n) for n in (len(words), cut, len(words) - cut) if n} | {5})
             whole.append(np.concatenate((asked[-1], answered[-1])) if answer else shingle_hashes(words))
     vocabulary = np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, np.uint64)
     n, mean = len(chunks), np.mean([len(c) for c in chunks]) if chunks else 1.0
@@ -85,7 +87,7 @@ def build_index(items: list[tuple[int, str, str | None]]) -> dict:
     flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (terms, docs, weights)]
     order = np.lexsort((flat[1], flat[0]))
     return {
-        "ids": np.array(ids, np.int64), "whole": whole, "asked": asked, "answered": answered, "chunk_of": np.array(chunk_of, np.int64), "n": n, "block": size_of_block,
+        "ids": np.array(ids, np.int64), "whole": whole, "asked": asked, "answered": answered, "runs": runs, "chunk_of": np.array(chunk_of, np.int64), "n": n, "block": size_of_block,
         "vocabulary": vocabulary, "bound": bound, "posting_at": np.searchsorted(flat[0][order], np.arange(len(vocabulary) + 1)), "posting_doc": flat[1][order], "posting_weight": flat[2][order],
     }
 
@@ -141,13 +143,14 @@ def _share(part: np.ndarray, of: np.ndarray) -> float:
     return float((of[at] == part).mean()) if len(part) else 1.0
 
 
-def leaks(index: dict, words: np.ndarray, bounds: np.ndarray) -> list[list[tuple[int, float]]]:
-    """Per document, (item_id, share) of the verified items."""
+def leaks(index: dict, words: np.ndarray, bounds: np.ndarray, short_parts: bool = False) -> list[list[tuple[int, float]]]:
+    """Per document, (item_id, share) of the verified items. short_parts: parts of fewer than five words are runs of their own length."""
     out = []
     for d, items in enumerate(candidates(index, words, bounds)):
         mine = []
         if items:
-            sh = np.unique(shingle_hashes(words[bounds[d] : bounds[d + 1]]))
+            lengths = set().union(*(index["runs"][i] for i in items)) if short_parts else {5}
+            sh = np.unique(np.concatenate([shingle_hashes(words[bounds[d] : bounds[d + 1]], n) for n in sorted(lengths)]))
             for i in sorted(items):
                 share = _share(index["whole"][i], sh)
                 if share >= SIMILAR - 1e-9 and min(_share(index["asked"][i], sh), _share(index["answered"][i], sh)) >= PART_SIMILAR:
@@ -156,14 +159,14 @@ def leaks(index: dict, words: np.ndarray, bounds: np.ndarray) -> list[list[tuple
     return out
 
 
-def _pass(docs: DataFrame, index: dict, text_col: str) -> DataFrame:
+def _pass(docs: DataFrame, index: dict, text_col: str, short_parts: bool) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def make():
         hasher = _hasher()
 
         def compute(texts):
-            found = leaks(held.value, *hasher.of_texts(texts))
+            found = leaks(held.value, *hasher.of_texts(texts), short_parts)
             return [pa.array([sorted({i for i, _ in f}) for f in found], pa.list_(pa.int64())), pa.array([max((s for _, s in f), default=0.0) for f in found], pa.float64())]
 
         return compute
@@ -171,7 +174,7 @@ def _pass(docs: DataFrame, index: dict, text_col: str) -> DataFrame:
     return with_columns(docs, text_col, "items array<long>, overlap double", make)
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", answer_col: str | None = None) -> DataFrame:
+def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", answer_col: str | None = None, short_parts: bool = False) -> DataFrame:
     """docs with items (ids of the leaked items, ascending), overlap (the largest share of an item's shingles), n_items and contaminated."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), (F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")).alias("answer"))
     items = items.where("item_id is not null")
@@ -182,14 +185,14 @@ def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", answe
         index = build_index(sorted(((r["item_id"], r["text"], r["answer"]) for r in mine.collect()), key=repr))
         if k:
             out = out.withColumnsRenamed({"items": f"items_{k}", "overlap": f"overlap_{k}"})
-        out = _pass(out, index, text_col)
+        out = _pass(out, index, text_col, short_parts)
         if k:
             out = out.withColumn("items", F.array_sort(F.array_union("items", f"items_{k}"))).withColumn("overlap", F.greatest("overlap", f"overlap_{k}")).drop(f"items_{k}", f"overlap_{k}")
     return out.withColumn("n_items", F.size("items")).withColumn("contaminated", F.size("items") > 0)
 
 
 def op6_decontaminate(spark, sf_dir) -> DataFrame:
-    return matched(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id", "items", "n_items", "contaminated")
+    return matched(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), short_parts=True).select("doc_id", "items", "n_items", "contaminated")
 
 
 OP6_SQL = r"""

@@ -105,3 +105,54 @@ def test_empty_tables_and_clashing_columns(spark, documents):
     assert D.matched(documents([]), some).count() == 0
     docs = documents(["a b", None]).withColumns({"items": F.lit("x"), "overlap": F.lit(1), "n_items": F.lit(2)})
     assert [r.n_items for r in D.matched(docs, some).orderBy("doc_id").collect()] == [1, 0]
+
+
+def runs(w, n):
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+def whole_brute_force(docs, items):
+    """items: (id, question, answer or None). A part of fewer than five words is a run of its own length."""
+    found = {}
+    for d, t in docs:
+        have, mine = words(t), []
+        for i, question, answer in items:
+            q, a = words(question), words(answer)
+            if not answer:
+                cut = len(q) - len(q) // 3
+                parts, whole = [q[:cut], q[cut:]], runs(q, min(5, len(q)))
+            else:
+                parts, whole = [q, a], runs(q, min(5, len(q))) | runs(a, min(5, len(a)))
+            if not q:
+                continue
+            shares = [len(r & runs(have, min(5, len(p)))) / len(r) for p in parts if p for r in [runs(p, min(5, len(p)))]]
+            in_doc = sum(r in runs(have, len(r)) for r in whole) / len(whole)
+            if in_doc >= 0.8 and min(shares) >= 0.5:
+                mine.append(i)
+        found[d] = mine
+    return found
+
+
+def test_items_of_few_words_and_short_answers(spark, documents, tmp_path):
+    rng = random.Random(9)
+    item = {n: " ".join(f"n{n}k{k}" for k in range(n)) for n in (1, 3, 8, 14)}
+    filler = lambda n: " ".join(f"f{rng.randrange(50)}" for _ in range(n))
+    docs = [(n, f"{filler(20)}\n{t.upper()}, {filler(20)}") for n, t in item.items()] + [(20, filler(60)), (21, "n3k0 n3k2 n3k1 " + filler(9)), (22, item[8].rsplit(" ", 2)[0] + " " + filler(9)), (23, item[3])]
+    plain = [(n, t, None) for n, t in item.items()]
+    want = whole_brute_force(docs, plain)
+    assert [want[n] for n in item] == [[n] for n in item]
+    assert run(spark, documents, docs, [(i, t) for i, t, _ in plain], short_parts=True) == want
+
+    asked = "what is the tall tower in that old town called by all"
+    bench = [(1, asked, "needle"), (2, "who wrote it", "an old hand"), (3, asked, "spire")]
+    docs = [(1, f"{asked} {filler(9)} needle {filler(9)}"), (2, f"{filler(9)} who wrote it? {filler(4)} An old hand. {filler(5)}"), (3, f"{asked} {filler(20)}")]
+    frame = spark.createDataFrame(bench, "item_id long, text string, reply string")
+    got = {r["doc_id"]: r["items"] for r in D.matched(documents(docs), frame, answer_col="reply", short_parts=True).collect()}
+    assert got == whole_brute_force(docs, bench) == {1: [1], 2: [2], 3: []}
+
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(i, t) for i, t, _ in plain], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    documents([(5, f"{filler(30)} {item[8]} {filler(30)}"), (6, filler(30))]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: r["items"] for r in D.op6_decontaminate(spark, str(tmp_path)).collect()} == {5: [8], 6: []}
+    assert [r.doc_id for r in P.decontaminate(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()] == [6]
