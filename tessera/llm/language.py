@@ -4,13 +4,13 @@ Per language, a suffix automaton of a sample of labelled text accepts exactly th
 parsed into the longest phrases that occur there, one after the other; few phrases mean text of that language. The number
 of phrases times the logarithm of the sample's length, per symbol, estimates the cross entropy; the smallest wins.
 
-Symbols are lower-cased letters of the samples; all other letters are one symbol that no sample has, and a run of anything else is one
-gap. A document is parsed whole, in windows of WINDOW symbols that each start a new phrase; all windows of a batch of documents go
+Symbols are lower-cased letters. Each language numbers all letters of its own sample; any other letter starts a phrase there and matches
+nothing. A run of anything else is one gap. A document is parsed whole, in windows of WINDOW symbols that each start a new phrase; all windows of a batch of documents go
 through an automaton together, one symbol at a time, as array operations on its transition table.
 
 Scale: the fit takes PIECES pieces of PIECE characters for each language, from documents chosen by a hash of doc_id (a documented,
-bounded sample; LANGUAGES bounds the number of languages). The tables, at most LANGUAGES * 2 * PIECES * PIECE * (SYMBOLS + 3) * 4
-bytes and a few MB for four languages, are broadcast. Prediction is one pass over the texts without a shuffle.
+bounded sample), for every label. The tables are broadcast: a few MB a language where letters are few (DENSE), else a sorted list of
+the automaton's transitions, at most 3 * PIECES * PIECE of 12 bytes each. Both give the same parse. Prediction is one pass over the texts without a shuffle.
 
 Edge cases: a null text or one without a letter is `und` with score 0, as is every text when nothing was learned; with a single language
 every score of a text with letters is 1. Ties go to the first language in code point order. Very long texts are parsed whole. Repeated
@@ -29,8 +29,8 @@ from .common import small, table, with_columns, written
 
 FOLDS = 5
 PIECES, PIECE = 64, 320
-LANGUAGES = 256
-SYMBOLS = 96
+#: Most symbols of a language, and languages, with a full table of states by symbols; beyond that its transitions are searched.
+DENSE, DENSE_LANGUAGES = 128, 64
 WINDOW = 512
 _POINTS = 0x110000
 UNSEEN, GAP = 0, 1
@@ -48,7 +48,7 @@ def samples(docs: DataFrame, pieces: int = PIECES, piece: int = PIECE) -> dict[s
     chosen = learn.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= pieces).select("doc_id", "lang").distinct()
     start = F.pmod(h, F.greatest(F.lit(1), F.length("text") - piece)).cast("int") + 1
     cut = docs.join(small(written(chosen, "chosen")), ["doc_id", "lang"]).select("lang", "doc_id", F.substr("text", start, F.lit(piece)).alias("t"))
-    rows = cut.groupBy("lang", "doc_id").agg(F.min("t").alias("t")).orderBy("lang", "doc_id").limit(pieces * LANGUAGES).collect()
+    rows = cut.groupBy("lang", "doc_id").agg(F.min("t").alias("t")).orderBy("lang", "doc_id").collect()
     out: dict[str, list[str]] = {}
     for r in rows:
         if r["t"]:
@@ -56,15 +56,16 @@ def samples(docs: DataFrame, pieces: int = PIECES, piece: int = PIECE) -> dict[s
     return out
 
 
-def alphabet(texts: dict[str, list[str]], symbols: int = SYMBOLS) -> dict[str, int]:
-    """The commonest letters of all samples, numbered from 2."""
+def alphabet(texts: dict[str, list[str]]) -> dict[str, int]:
+    """All letters of all samples, the commonest first, numbered from 2."""
     found = pd.Series([c for pieces in texts.values() for t in pieces for c in t.lower() if c.isalpha()], dtype="object").value_counts()
-    return {c: i + 2 for i, c in enumerate(sorted(found.index, key=lambda c: (-found[c], c))[:symbols])}
+    return {c: i + 2 for i, c in enumerate(sorted(found.index, key=lambda c: (-found[c], c)))}
 
 
 def symbol_table(letters: dict[str, int]) -> np.ndarray:
     """The symbol of each code point."""
-    out = np.array([UNSEEN if chr(c).isalpha() else GAP for c in range(_POINTS)], np.uint8)
+    kind = np.uint8 if len(letters) < 250 else np.int32
+    out = np.array([UNSEEN if chr(c).isalpha() else GAP for c in range(_POINTS)], kind)
     for c, i in letters.items():
         for x in {c, c.upper()}:
             if len(x) == 1:
@@ -124,30 +125,61 @@ def parse_table(s: np.ndarray, width: int) -> np.ndarray:
     return out.reshape(-1).astype(np.int32)
 
 
+def parse_list(s: np.ndarray, width: int) -> dict[str, np.ndarray]:
+    """The same automaton as sorted transitions: `keys` (state * width + symbol), `to`, and by symbol the state that a phrase starts in."""
+    nxt = automaton(s.tolist())
+    start = np.full(width, len(nxt), np.int32)
+    start[list(nxt[0])] = list(nxt[0].values())
+    keys = np.array([i * width + c for i, to in enumerate(nxt) for c in to], np.int64)
+    to = np.array([t for to in nxt for t in to.values()], np.int32)
+    order = np.argsort(keys)
+    return {"keys": keys[order], "to": to[order], "start": start, "none": np.int64(len(nxt))}
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """The fitted model: languages, symbols by code point, and a parse table and bits a phrase for each language."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     texts = samples(docs)
     letters = alphabet(texts)
     of_point = symbol_table(letters)
-    width = len(letters) + 3
-    langs, tables, bits = [], [], []
-    for lang in sorted(texts)[:LANGUAGES]:
+    odd = sorted({c for pieces in texts.values() for t in pieces for c in t if c.isalpha() and of_point[ord(c)] == UNSEEN})  # letters that no lower case names
+    if odd:
+        of_point = of_point.astype(np.int32)
+        of_point[[ord(c) for c in odd]] = np.arange(len(odd)) + len(letters) + 2
+    width = len(letters) + len(odd) + 3
+    langs, tables, own, bits = [], [], [], []
+    for lang in sorted(texts):
         s = symbols_of("\n".join(texts[lang]), of_point)
         if (s != GAP).any():
+            have = np.unique(s[s > GAP])
+            mine = np.zeros(width, np.int32)  # a letter that this sample has not is UNSEEN
+            mine[GAP], mine[have], mine[width - 1] = GAP, np.arange(len(have)) + 2, len(have) + 2
             langs.append(lang)
-            tables.append(parse_table(s, width))
+            full = len(have) + 3 <= DENSE and len(texts) <= DENSE_LANGUAGES
+            tables.append((parse_table if full else parse_list)(mine[s], len(have) + 3))
+            own.append(mine)
             bits.append(float(np.log2(len(s) + 1)))
-    return {"langs": langs, "of_point": of_point, "width": width, "tables": tables, "bits": bits}
+    return {"langs": langs, "of_point": of_point, "width": width, "own": own, "tables": tables, "bits": bits}
 
 
 def phrase_counts(model: dict, windows: np.ndarray) -> np.ndarray:
     """Phrases of each window under each language. windows: one column for each window, padded at its end."""
     out = np.zeros((len(model["langs"]), windows.shape[1]), np.int32)
-    for i, tab in enumerate(model["tables"]):
-        at = np.full(windows.shape[1], len(tab) - model["width"], np.int32)
+    for i, (tab, own) in enumerate(zip(model["tables"], model["own"], strict=True)):
+        pad = own[-1]
+        if isinstance(tab, dict):
+            at = np.full(windows.shape[1], tab["none"], np.int64)
+            for row in windows:
+                c = own[row]
+                key = at * (pad + 1) + c
+                k = np.minimum(np.searchsorted(tab["keys"], key), len(tab["keys"]) - 1)
+                hit = tab["keys"][k] == key
+                out[i] += ~hit & (c != pad)
+                at = np.where(hit, tab["to"][k], tab["start"][c]).astype(np.int64)
+            continue
+        at = np.full(windows.shape[1], len(tab) - (pad + 1), np.int32)
         for row in windows:
-            v = tab[at + row]
+            v = tab[at + own[row]]
             out[i] += v & 1
             at = v >> 1
     return out
@@ -164,7 +196,7 @@ def predicted(texts: list[str], model: dict) -> tuple[list[str], np.ndarray, np.
     n = np.array([len(sym[i]) for i in some])
     per = -(-n // WINDOW)
     first = np.concatenate(([0], np.cumsum(per)))
-    pad = np.full(first[-1] * WINDOW, model["width"] - 1, np.uint8)
+    pad = np.full(first[-1] * WINDOW, model["width"] - 1, np.int32)
     for i, at in zip(some, first[:-1] * WINDOW, strict=True):
         pad[at : at + len(sym[i])] = sym[i]
     # Windows in the order of their length: the last rows are then read for the full ones only.

@@ -118,3 +118,53 @@ def test_automaton_accepts_exactly_the_substrings():
     for _ in range(2000):
         w = tuple(rng.randrange(3) for _ in range(rng.randrange(1, 6)))
         assert accepts(w) == (w in have)
+
+
+def many_letters(rng, first, n, rest):
+    """Words of 400 letters from a code point on, each followed by one of two that are its own: the frequent ones, or only the `rest`."""
+    out = []
+    for _ in range(n):
+        c = rng.randrange(20, 400) if rest else rng.randrange(400)
+        out.append("".join(chr(first + (c * 7 + k * k) % 400) for k in range(rng.randrange(2, 5))))
+    return " ".join(out)
+
+
+SCRIPTS = {"ja": 0x4E00, "ko": 0xAC00, "zh": 0x6000}
+
+
+@pytest.fixture(scope="module")
+def scripts(documents):
+    rng = random.Random(8)
+    rows = [(i, many_letters(rng, SCRIPTS[g], 60, False), g) for i, g in enumerate(sorted(SCRIPTS) * 120)]
+    return rows, documents([(i, t, g, "s") for i, t, g in rows])
+
+
+def test_three_scripts_of_many_letters(scripts, monkeypatch):
+    rows, docs = scripts
+    model = language.learn(docs)
+    assert sum(isinstance(t, dict) for t in model["tables"]) == 3
+    rng = random.Random(3)
+    asked = [(g, many_letters(rng, SCRIPTS[g], 3, True)) for g in sorted(SCRIPTS) * 40]
+    lang, score, _ = language.predicted([t for _, t in asked], model)
+    assert lang == [g for g, _ in asked]
+    assert min(score) > 0
+    assert lang == brute_force_of_letters([t for _, t in asked], language.samples(docs))
+    monkeypatch.setattr(language, "DENSE", 10_000)
+    full = language.learn(docs)
+    assert not any(isinstance(t, dict) for t in full["tables"])
+    a, b = (language.predicted([t for _, t, _ in rows[:90]] + ["plain text"], m) for m in (model, full))
+    assert a[0] == b[0]
+    assert np.array_equal(a[2], b[2])
+
+
+def brute_force_of_letters(texts, samples):
+    out = []
+    for t in texts:
+        sizes = {g: plain_phrases("\n".join(s).replace("\n", " "), t) * math.log2(len("\n".join(s)) + 1) for g, s in sorted(samples.items())}
+        out.append(min(sizes, key=sizes.get))
+    return out
+
+
+def test_no_label_is_dropped(documents):
+    rows = [(i, f"{chr(0x4E00 + i // 5)}{chr(0x5E00 + i // 5)} " * 5, f"l{i // 5:03d}", "s") for i in range(1500)]
+    assert len(language.learn(documents(rows))["langs"]) > 290
