@@ -5,16 +5,17 @@ exact copies cost one row each. One pass hashes a set into BINS bins; an empty b
 non-empty bin that a shared sequence of random bins meets. BANDS bands of ROWS minima name BANDS buckets for each node:
 at similarity 0.85 two nodes share no bucket with probability (1 - 0.85**5)**32, about 7e-9.
 
-Candidates are bounded by the size of a bucket, never by its square. First each bucket is a star around the member
-that has the most company over all its buckets (in a group of edited copies this is the common origin); the stars' edges
-are confirmed and joined into components. Then each bucket is sorted by its members' next band, and each member is
-compared with the WINDOW following ones that are not yet in its component. Buckets of up to WINDOW + 1 members are
-thereby compared in full; in larger ones a link between two components is found through any of about fourteen
-shared buckets, in several orders. Every candidate is confirmed on full sets; a cheap comparison of their minima, one byte
-each, first discards pairs that are more than five standard deviations under the threshold.
-
-Scale: texts are read twice, the second time only for nodes with a candidate; what is shuffled are bucket keys (8 bytes a
-band) and the sets of candidates. Large buckets are split by their members' next key. Components come from the
+Links come from two steps. First each bucket is a star around the member that has the most company over all its buckets (in a group of
+edited copies this is the common origin); the stars' edges are confirmed and joined into components. The second step is exact for what
+is left: in every bucket that still holds several components, each member outside the bucket's largest one meets all members of other
+components, in blocks of BLOCK rows, on minima of one byte each. Pairs that are not more than five standard deviations under the
+threshold connect nodes to families; within a family all pairs of different components are compared on full sets, in blocks of
+at most SET_BLOCK shingles, as products of incidence matrices of what distinguishes the sets. Blocks of a single component, and blocks whose sizes are too far
+apart for the threshold, never meet. No window, split or cap decides which pairs are compared.
+
+Scale: texts are read twice, the second time only for members of buckets, whose sets are kept; what is shuffled else are bucket keys (8 bytes a
+band) and minima. A bucket in one component costs nothing in the second step, however large; otherwise the work is (members outside its largest component) x (members),
+spread over tasks by pairs of blocks. Tasks return spanning edges (fewer than their rows), never pairs. Components come from the
 large-star/small-star iteration on tables in the shared folder; nothing is collected.
 
 Edge cases: a document without words has no set, links with nothing and stays; one with fewer than five words has its
@@ -26,15 +27,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import TEXT_BLOCK, Words, discard, in_blocks, mixed, shingle_hashes, small, small_batches, table, written
 
 BANDS, ROWS = 32, 5
-WINDOW = 8
-PASSES = 2
-SPLIT_ABOVE = 4096
+#: Members of a bucket, and shingles of a family's sets, that one side of a block comparison holds at most (one set may be larger).
+BLOCK, SET_BLOCK = 4096, 1 << 20
+#: Columns of an incidence matrix at a time.
+SLAB = 2048
 _TRIES = 4096
 _U = np.uint64
 
@@ -161,60 +163,32 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _agreeing(bins: int, percent: int) -> int:
-    """How many of the one-byte minima of two sets at the threshold agree, less five standard deviations."""
+def _agreeing(bins: int, percent: int, sizes) -> np.ndarray:
+    """How many of the one-byte minima of two sets at the threshold agree, less five standard deviations. sizes: of the smaller set, whose few shingles fill many bins alike."""
     j = percent / 100
-    return int(bins * j - 5 * (bins * j * (1 - j)) ** 0.5)
+    return bins * (j - 5 * np.sqrt(j * (1 - j) * (1 / bins + 2 / np.maximum(1, sizes))))
 
 
-def _near_by_bytes(least: int):
-    """Keeps pairs (a, b, sig of a, sig of b) whose one-byte minima agree in at least `least` places."""
+def _near_by_bytes(bins: int, percent: int):
+    """Keeps pairs (a, b, size and sig of a, of b) whose one-byte minima agree often enough."""
 
     def keep(batches):
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-                yield batch.filter(pa.array((a == b).sum(1) >= least)).select([0, 1])
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+                least = _agreeing(bins, percent, np.minimum(batch.column("na").to_numpy(), batch.column("nb").to_numpy()))
+                yield batch.filter(pa.array((a == b).sum(1) >= least)).select(["a", "b"])
 
     return keep
 
 
-def _near_in_order(window: int, least: int):
-    """From rows (key, sub, node, component, sig) in order: pairs at most `window` rows apart within a bucket, of different components, that agree."""
-
-    def pair(batches):
-        tail = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, sub, node, comp = (batch.column(c).to_numpy() for c in range(4))
-            sig = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            new = (key, sub, node, comp, sig)
-            old = 0 if tail is None else len(tail[0])
-            key, sub, node, comp, sig = new if tail is None else (np.concatenate(x) for x in zip(tail, new, strict=True))
-            found = []
-            for s in range(1, window + 1):
-                i = np.arange(max(0, old - s), len(key) - s)  # pairs of two old rows were seen before
-                i = i[(key[i] == key[i + s]) & (sub[i] == sub[i + s]) & (comp[i] != comp[i + s])]
-                i = i[(sig[i] == sig[i + s]).sum(1) >= least]
-                found.append(np.stack([np.minimum(node[i], node[i + s]), np.maximum(node[i], node[i + s])]))
-            both = np.unique(np.concatenate(found, axis=1), axis=1)
-            tail = tuple(x[-window:].copy() for x in (key, sub, node, comp, sig))
-            yield pa.RecordBatch.from_arrays([pa.array(both[0].copy()), pa.array(both[1].copy())], ["a", "b"])
-
-    return pair
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. sets: (node, shingles)."""
     near = written(pairs.distinct(), "near-pairs")
-    ids = written(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "near-ids")
-    sets = written(shingle_sets(docs.join(small(ids), "doc_id", "left_semi")), "shingles")
-    of = lambda c, s: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(s))
+    of = lambda c, s: sets.select(F.col("node").alias(c), F.col("shingles").alias(s))
     links = near.join(of("b", "sb"), "b").join(of("a", "sa"), "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    links = written(links.where(F.lit(100) * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b").distinct(), "links")
-    for t in (near, ids, sets):
-        discard(t)
+    links = written(links.where(F.lit(100) * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"), "links")
+    discard(near)
     return links
 
 
@@ -225,49 +199,153 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return written(rows.join(sizes, "key"), "buckets")
 
 
-def _star(buckets: DataFrame, members: DataFrame, least: int) -> DataFrame:
+def _star(buckets: DataFrame, members: DataFrame, bins: int, percent: int) -> DataFrame:
     """Edges from each bucket's centre, the member with the most company, to the others, where the one-byte minima agree."""
     company = buckets.groupBy("node").agg(F.sum("n").alias("company"))
     rows = buckets.select("key", "node").join(company, "node")
     centre = rows.groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("centre"))
     pairs = rows.select("key", "node").join(centre, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    sig = lambda c, s: members.select(F.col("node").alias(c), F.col("sig").alias(s))
-    both = pairs.join(sig("b", "sb"), "b").join(sig("a", "sa"), "a").select("a", "b", "sa", "sb")
-    return both.mapInArrow(_near_by_bytes(least), "a long, b long")
+    sig = lambda c: members.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
+    both = pairs.join(sig("b"), "b").join(sig("a"), "a")
+    return both.mapInArrow(_near_by_bytes(bins, percent), "a long, b long")
+
 
+# --- the exact step: blocks ------------------------------------------------------------------------------------------
 
-def _neighbours(buckets: DataFrame, members: DataFrame, comp: DataFrame, shift: int, window: int, least: int) -> DataFrame:
-    """Pairs of members of different components, at most `window` apart in a bucket sorted by its members' key `shift` bands on, that agree."""
-    of_node = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = buckets.join(of_node.select("node", "component"), "node")
+
+def _spanning(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) that connect what the pairs of places (i, j) connect: each place that has a pair, to the smallest name it is connected with."""
+    order = np.argsort(names, kind="stable")
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.arange(len(names))
+    label = rank.copy()
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = np.minimum(new, new[order[new]])
+        if np.array_equal(new, label):
+            break
+        label = new
+    moved = np.flatnonzero(label != rank)
+    return names[order[label[moved]]], names[moved]
+
+
+def _in_blocks(rows: DataFrame, group: str, size: str, most: int) -> DataFrame:
+    """rows with `block`: consecutive rows of a group, components together and by size, whose sizes add up to about `most`."""
+    upto = Window.partitionBy(group).orderBy("component", "n_shingles", "node").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("block", F.floor(F.coalesce(F.sum(size).over(upto), F.lit(0)) / most).cast("int"))
+
+
+def _met(rows: DataFrame, group: str, percent: int, payload: list[str]) -> DataFrame:
+    """Each row once for every pair of blocks (i, j), i <= j, of its group that has to be compared: (group, i, j, node, component, payload).
+
+    Two blocks need no comparison if both hold one and the same component, or if the larger sets of one are too small for the other."""
+    blocks = rows.groupBy(group, "block").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n_shingles").alias("n0"), F.max("n_shingles").alias("n1"))
+    side = lambda x: blocks.select(group, *[F.col(c).alias(f"{c}_{x}") for c in ("block", "c0", "c1", "n0", "n1")])
+    pairs = side("i").join(side("j"), group).where("block_i <= block_j and not (c0_i = c1_i and c0_j = c1_j and c0_i = c0_j)")
+    pairs = pairs.where(F.expr(f"100 * n1_i >= {percent} * n0_j and 100 * n1_j >= {percent} * n0_i")).select(group, F.col("block_i").alias("i"), F.col("block_j").alias("j"))
+    each = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    return rows.select(group, "block", "node", "component", *payload).join(each, [group, "block"]).drop("block")
+
+
+def _by_bytes(bins: int, percent: int):
+    """From the rows of one pair of blocks of a bucket: spanning edges of the pairs of different components whose minima agree."""
+
+    def compare(t: pa.Table) -> pa.Table:
+        node, comp, size = (t[c].to_numpy() for c in ("node", "component", "n_shingles"))
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(node), -1)
+        names, counts = np.unique(comp, return_counts=True)
+        rest = np.flatnonzero(comp != names[counts.argmax()])
+        a, b = [], []
+        for r in rest.tolist():
+            hit = np.flatnonzero((comp != comp[r]) & ((sig == sig[r]).sum(1) >= _agreeing(bins, percent, np.minimum(size, size[r]))))
+            a.append(np.full(len(hit), r))
+            b.append(hit)
+        i, j = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
+        low, high = _spanning(node, i, j)
+        return pa.table({"a": low, "b": high})
+
+    return compare
+
+
+def _by_sets(percent: int):
+    """From the rows of one pair of blocks of a family: spanning edges of the links between different components, on full sets.
+
+    What most of the sets hold is left out: two sets differ in as many elements as their differences from that common part do. Intersections of the
+    differences are products of 0/1 matrices, a slab of columns at a time; what a single set holds adds nothing."""
+
+    def compare(t: pa.Table) -> pa.Table:
+        node, comp = (t[c].to_numpy() for c in ("node", "component"))
+        lists = t["shingles"].combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = pa.concat_arrays(lists.chunks)
+        flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+        values, at, held = np.unique(flat, return_inverse=True, return_counts=True)
+        n, row = len(node), np.repeat(np.arange(len(node)), sizes)
+        common = held * 2 > n
+        full = int(common.sum())
+        kept = np.bincount(row[common[at]], minlength=n)
+        differ = sizes - kept + full - kept  # elements that a set has beside the common part or lacks of it
+        shared = np.zeros((n, n), np.float32)
+        columns = np.flatnonzero((held > 1) & (held < n))
+        for lo in range(0, len(columns), SLAB):
+            part = columns[lo : lo + SLAB]
+            place = np.full(len(values), -1, np.int32)
+            place[part] = np.arange(len(part))
+            mine = place[at] >= 0
+            m = np.zeros((n, len(part)), np.float32)
+            m[row[mine], place[at[mine]]] = 1
+            flip = common[part]
+            m[:, flip] = 1 - m[:, flip]
+            shared += m @ m.T
+        apart = differ[:, None] + differ[None] - 2 * np.rint(shared).astype(np.int64)
+        total = sizes[:, None] + sizes[None]
+        link = (100 * (total - apart) >= percent * (total + apart)) & (comp[:, None] != comp[None])
+        i, j = np.nonzero(np.triu(link, 1))
+        low, high = _spanning(node, i, j)
+        return pa.table({"a": low, "b": high})
+
+    return compare
+
+
+def _rest(buckets: DataFrame, members: DataFrame, sets: DataFrame, comp: DataFrame, bins: int, percent: int) -> DataFrame:
+    """Spanning edges (a, b) of all links between different components whose nodes share a bucket."""
+    of_node = members.select("node", "n_shingles", "sig").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = buckets.select("key", "node").join(of_node.select("node", "component"), "node")
     several = named.groupBy("key").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("key")
-    rows = named.join(several, "key", "left_semi").join(members, "node")
-    at = (F.array_position("keys", F.col("key")) - 1 + shift) % F.size("keys") + 1
-    rows = rows.withColumn("next_key", F.element_at("keys", at.cast("int")))
-    rows = rows.withColumn("sub", F.when(F.col("n") > SPLIT_ABOVE, F.pmod("next_key", F.expr(f"n div {SPLIT_ABOVE // 2}"))).otherwise(F.lit(0)).cast("long"))
-    placed = rows.select("key", "sub", "node", "component", "sig", "next_key").repartition("key", "sub").sortWithinPartitions("key", "sub", "next_key", "node")
-    return placed.drop("next_key").mapInArrow(_near_in_order(window, least), "a long, b long")
+    rows = named.drop("component").join(several, "key", "left_semi").join(of_node, "node").withColumn("one", F.lit(1))
+    placed = written(_in_blocks(rows, "key", "one", BLOCK).drop("one"), "bucket-blocks")
+    close = _met(placed, "key", percent, ["n_shingles", "sig"]).groupBy("key", "i", "j").applyInArrow(_by_bytes(bins, percent), "a long, b long")
+    families = components(close)
+    both = families.union(families.select(F.col("component").alias("node"), "component")).distinct().withColumnRenamed("component", "family")
+    own = both.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sets, "node").withColumn("n_shingles", F.size("shingles").cast("long"))
+    own = written(_in_blocks(own, "family", "n_shingles", SET_BLOCK), "family-blocks")
+    links = written(_met(own, "family", percent, ["shingles"]).groupBy("family", "i", "j").applyInArrow(_by_sets(percent), "a long, b long"), "links")
+    for t in (placed, own):
+        discard(t)
+    return links
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     feats = written(features(docs, bands, rows), "features")
     usable = feats.where("n_shingles > 0 and doc_id is not null")
-    sets = written(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "sets")
-    copies = written(usable.select("doc_id", "k1", "k2").join(sets, ["k1", "k2"]).where("doc_id <> node").select("doc_id", "k1").distinct(), "copies")
-    nodes = usable.join(small(copies), ["doc_id", "k1"], "left_anti").select("doc_id", "keys", "sig")
+    names = written(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "sets")
+    copies = written(usable.select("doc_id", "k1", "k2").join(names, ["k1", "k2"]).where("doc_id <> node").select("doc_id", "k1").distinct(), "copies")
+    nodes = usable.join(small(copies), ["doc_id", "k1"], "left_anti").select("doc_id", "n_shingles", "keys", "sig")
     buckets = _buckets(nodes)
     ids = written(buckets.select(F.col("node").alias("doc_id")).distinct(), "members")
-    members = written(nodes.join(small(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "keys", "sig").dropDuplicates(["node"]), "members")
-    least = _agreeing(bands * rows, percent)
-    comp = components(confirmed(_star(buckets, members, least), docs, percent))
-    for shift in range(1, PASSES + 1):
-        more = confirmed(_neighbours(buckets, members, comp, shift, window, least), docs, percent)
-        comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    for t in (copies, buckets, ids, members):
+    members = written(nodes.join(small(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "sig").dropDuplicates(["node"]), "members")
+    sets = written(shingle_sets(docs.join(small(ids), "doc_id", "left_semi")).select(F.col("doc_id").alias("node"), "shingles"), "shingles")
+    comp = components(confirmed(_star(buckets, members, bands * rows, percent), sets, percent))
+    more = _rest(buckets, members, sets, comp, bands * rows, percent)
+    comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    for t in (copies, buckets, ids, members, sets, more):
         discard(t)
-    of_set = sets.join(comp, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
+    of_set = names.join(comp, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
     out = feats.select("doc_id", "n_shingles", "k1", "k2").join(of_set, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)

@@ -119,3 +119,86 @@ def test_short_sequences_differ():
     w, _ = Words().of(b"a b c d e f")
     assert len({int(shingle_hashes(w[:k])[0]) for k in range(1, 6)}) == 5
     assert len(shingle_hashes(w)) == 2
+
+
+def template_family(rng, partners, n_words, own, shared, members=2):
+    """Texts from one template: each changes `own` words to new ones; the members of a group of partners change `shared` more alike."""
+    base = [f"t{rng.randrange(10**6)}" for _ in range(n_words)]
+    out = []
+    for _ in range(partners):
+        alike = {p: f"p{rng.randrange(10**9)}" for p in rng.sample(range(n_words), shared)}
+        for _ in range(members):
+            words = list(base)
+            for p in rng.sample(range(n_words), own):
+                words[p] = f"o{rng.randrange(10**9)}"
+            for p, w in alike.items():
+                words[p] = w
+            out.append(" ".join(words))
+    rng.shuffle(out)
+    return out
+
+
+def exhaustive(texts, percent):
+    """Components by all pairs, as one matrix product."""
+    index, rows, cols, sizes = {}, [], [], []
+    for i, t in enumerate(texts):
+        s = shingles(t)
+        sizes.append(len(s))
+        for x in s:
+            rows.append(i)
+            cols.append(index.setdefault(x, len(index)))
+    held = np.bincount(cols)
+    rows, cols, sizes = np.array(rows), np.array(cols), np.array(sizes)
+    common = np.zeros((len(texts), len(texts)), np.float32)
+    wide = np.flatnonzero(held > 1)
+    for lo in range(0, len(wide), 4096):
+        place = np.full(len(held), -1)
+        place[wide[lo : lo + 4096]] = np.arange(len(wide[lo : lo + 4096]))
+        m = np.zeros((len(texts), len(wide[lo : lo + 4096])), np.float32)
+        ok = place[cols] >= 0
+        m[rows[ok], place[cols[ok]]] = 1
+        common += m @ m.T
+    union = sizes[:, None] + sizes[None] - common
+    label = np.arange(len(texts))
+    i, j = np.nonzero(np.triu(100 * common >= percent * union, 1))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+@pytest.mark.parametrize(("partners", "own", "shared"), [(600, 9, 2), (500, 9, 5)])
+def test_template_family_keeps_every_link(spark, documents, monkeypatch, partners, own, shared):
+    """Hundreds of near misses around every link: of one template, in whose family all documents share many buckets."""
+    texts = template_family(random.Random(own * shared), partners, 1204, own, shared)
+    monkeypatch.setattr(neardup, "BLOCK", 500)
+    monkeypatch.setattr(neardup, "SET_BLOCK", 1 << 18)
+    want = exhaustive(texts, 85)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want.tolist()
+    assert len(set(want.tolist())) < len(texts) - partners // 2
+
+
+def test_blocks_of_sets_equal_plain_sets():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    base = rng.choice(10**6, 60, False)
+    sets = [np.unique(np.concatenate((rng.choice(base, 55, False), rng.choice(10**6, k % 9)))) for k in range(80)]
+    comp = np.arange(80) // 2
+    t = pa.table({"node": np.arange(80) * 7, "component": comp, "shingles": pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))})
+    out = neardup._by_sets(85)(t)
+    label = {k: k for k in range(0, 560, 7)}
+    for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True):
+        label[b] = a
+    links = [(a, b) for a in range(80) for b in range(a) if comp[a] != comp[b] and 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))]
+    assert links
+    top = {k: k for k in range(80)}
+    for _ in range(80):
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
+    assert {k // 7: v // 7 for k, v in label.items()} == top
