@@ -68,3 +68,39 @@ def test_few_rows(spark, documents, n):
 def test_reruns_agree(spark, documents, corpus):
     a, b = ({(r.doc_id, r["shard"], r.slot) for r in sharding.sharded(documents(c), 7).collect() if r.doc_id != 9003} for c in (corpus, corpus[::-1]))
     assert a == b
+
+
+def test_groups_of_equal_texts_stay_whole(spark, documents, corpus):
+    """All groups but the one that is larger than a shard, next to sizes within a sixty-fourth of the mean and a record."""
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("abcdef ") for _ in range(rng.randrange(20, 300)))) for i in range(4000)]
+    rows += [(10_000 + i, f"group {i % 37} " * (3 + i % 37)) for i in range(900)]
+    rows += [(20_000 + i, "larger than a shard all together " * 4) for i in range(900)]
+    out = sharding.sharded(documents(rows), 10).collect()
+    total = check(out, rows, 10)
+    mean = sum(total.values()) / 10
+    assert max(abs(t - mean) for t in total.values()) <= mean / 64 + 316
+    where, text = defaultdict(set), dict(rows)
+    for r in out:
+        where[text[r.doc_id]].add(r["shard"])
+    assert [t for t, s in where.items() if len(s) > 1] == ["larger than a shard all together " * 4]
+
+
+def test_placed_first_levels_the_shards():
+    whole, dealt, ends = sharding.placed_first([("a", 30, 1), ("b", 20, 2), ("c", 200, 5), ("d", 5, 1)], 4, 400)
+    assert (dict(whole), dealt) == ({"a": 0, "b": 1, "d": 2}, ["c"])
+    assert ends == [70, 150, 245, 345]
+    assert sharding.placed_first([("a", 300, 1)], 4, 400)[2] == [0, 33, 67, 100]
+    assert sharding.placed_first([], 3, 0)[2] == [0, 0, 0]
+
+
+def test_empty_table(spark, documents):
+    assert sharding.sharded(documents([])).count() == 0
+
+
+def test_clashing_columns(spark, documents):
+    from pyspark.sql import functions as F
+
+    docs = documents(["a", "b", "b"]).withColumns({c: F.lit("x") for c in ("size", "key", "same", "shard", "range", "own", "weight", "at", "slot", "to")})
+    rows = sharding.sharded(docs, 2).collect()
+    assert sorted((r["shard"], r.slot) for r in rows if r.doc_id > 0) in ([(0, 0), (0, 1)], [(1, 0), (1, 1)], [(0, 1), (0, 2)], [(1, 1), (1, 2)])
