@@ -15,7 +15,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def brute_force(texts):
+def brute_force(texts, percent=85):
     """{doc: (set size, component)} by comparing all pairs."""
     sets, top = [shingles(t) for t in texts], list(range(len(texts)))
 
@@ -27,7 +27,7 @@ def brute_force(texts):
     for a in range(len(texts)):
         for b in range(a):
             common = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
+            if sets[a] and sets[b] and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
                 x, y = root(a), root(b)
                 top[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), root(d)) for d in range(len(texts))}

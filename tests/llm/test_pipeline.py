@@ -35,7 +35,7 @@ def test_language_keeps_all_texts_with_letters(stages):
 
 def test_one_of_each_near_duplicate_group_stays(stages):
     rows = sorted(stages[1]["rows"], key=lambda r: r.doc_id)
-    want = {rows[d].doc_id for d, (_, c) in brute_force([r.text for r in rows]).items() if c == d}
+    want = {rows[d].doc_id for d, (_, c) in brute_force([r.text for r in rows], P.SIMILAR).items() if c == d}
     assert {r.doc_id for r in stages[2]["rows"]} == want
 
 
@@ -94,3 +94,20 @@ def test_odd_documents_pass_every_stage(spark, sf, rows, tmp_path):
         assert all(k in counts[2] and n <= 3 * counts[2][k] for k, n in counts[3].items())
         assert (5, long) in counts[3]
         assert counts[4] == counts[3]
+
+
+def test_equal_rows_of_two_sources_keep_their_own_decisions(spark, sf):
+    """One id and text under a small source, which is taken several times, and a large one, which is taken once or not at all."""
+    rows = [(1, "ten words " * 5, "en", "a", 50), (1, "ten words " * 5, "en", "b", 50)] + [(i, f"word{i} " * 30, "en", "b", 180) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {r.source: round(r.taken / r["size"]) for r in P.mixing.mix(docs.selectExpr("source as doc_id", "source", "text", "doc_id as d").where("d = 1").union(docs.selectExpr("'rest'", "source", "text", "doc_id").where("doc_id > 1"))).where("doc_id in ('a', 'b')").selectExpr("doc_id as source", "size", "taken").collect()}
+    got = Counter(r.source for r in P.mix_sources(spark, docs, sf).collect() if r.doc_id == 1)
+    assert got["a"] == want["a"] == 3
+    assert got["b"] <= 3
+
+
+def test_rows_of_equal_id_and_text_stay_once(spark, sf):
+    text = "several words that make a text of some length for all"
+    rows = [(1, text, "en", "a", 1), (1, text, "en", "b", 2), (2, text, "en", "a", 1), (3, "another text of quite different words than those above", "en", "a", 1), (3, None, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.source, r.text is None) for r in P.near_dedup(spark, docs, sf).collect()) == [(1, "a", False), (3, "a", False), (3, "a", True)]
