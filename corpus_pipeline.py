@@ -8,47 +8,77 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, language, mixing, neardup, sharding
-from tessera.llm.common import row_key, table, written
+from tessera.llm.common import discard, row_key, small, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near duplicates are documents whose five-word shingle sets have this similarity or more, in per cent.
+SIMILAR = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and those without a letter. `lang` becomes the predicted language."""
+    """Documents without a language go: null texts and those without a letter. `lang` becomes the predicted language.
+
+    Repeated rows are predicted each; ties between languages go to the first by code point; null ids stay; other columns of docs, whatever their
+    names, are left out, here and in all stages; an empty table stays empty."""
     found = language.identified(docs.select(COLUMNS), language.learn(docs))
     return found.where("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays. An id goes if all its rows go."""
-    gone = neardup.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+    """Of each group of near duplicates (five words, SIMILAR) the document with the smallest doc_id stays, once: of rows with equal id and text one stays.
+
+    Rows of one id with different texts stay or go together: they go if no row of the id is the smallest of its group. Rows with a null id
+    are linked with nothing and stay. An empty table stays empty."""
+    docs = docs.select(COLUMNS)
+    found = written(neardup.near_duplicates(docs, SIMILAR).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("doc_id is not null and (not kept or n > 1)"), "dedup")
+    kept = docs.join(small(found.where("not kept").select("doc_id")), "doc_id", "left_anti")
+    again = found.where("kept").select("doc_id")
+    if again.isEmpty():
+        return kept.select(COLUMNS)
+    again = small(again)
+    once = Window.partitionBy("doc_id", F.md5(F.coalesce("text", F.lit("")))).orderBy("n_chars", "lang", "source")  # rows of repeated ids only
+    rest = kept.join(again, "doc_id", "left_semi").withColumn("nth", F.row_number().over(once)).where("nth = 1")
+    return kept.join(again, "doc_id", "left_anti").select(COLUMNS).unionByName(rest.select(COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Repeated rows are judged each, null ids like others; an empty benchmark or table changes nothing."""
     return decontamination.matched(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"), short_parts=True).where("not contaminated").select(COLUMNS)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with row_key: equal for rows of equal id, text and source only. Copies of a text are neighbours."""
+    source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
+    return docs.select(*COLUMNS, F.concat(row_key(F.col("doc_id"), F.col("text")), F.substring(F.md5(source), 1, 8)).alias("row_key"))
+
+
 def _met(docs: DataFrame, decisions: DataFrame, names: list[str]) -> DataFrame:
-    """docs with their rows of decisions (row_key, names ...): repeated rows get one each. The texts are shuffled once."""
-    each = decisions.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("all"))  # as many as a row is repeated
-    both = docs.select(*COLUMNS, row_key(F.col("doc_id"), F.col("text")).alias("row_key")).join(each, "row_key")
-    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("n_chars", "lang", "source"))
-    return both.withColumn("one", F.element_at("all", nth)).select(*COLUMNS, *[F.col(f"one.{c}").alias(c) for c in names])
+    """docs (with row_key) with their rows of decisions (row_key, names ...): repeated rows get one each, by their number on both sides. The texts are shuffled once.
+
+    Only keys of repeated rows are numbered and sorted; all others join as they are."""
+    repeated = small(written(decisions.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_key"), "repeated"))
+    nth = lambda *order: F.row_number().over(Window.partitionBy("row_key").orderBy(*order)).alias("nth")
+    out = docs.join(repeated, "row_key", "left_anti").join(decisions.select("row_key", *names), "row_key")
+    many = docs.join(repeated, "row_key", "left_semi").select("*", nth("n_chars", "lang"))
+    each = decisions.join(repeated, "row_key", "left_semi").select("row_key", *names, nth(*names))
+    return out.select(*COLUMNS, *names).unionByName(many.join(each, ["row_key", "nth"]).select(*COLUMNS, *names))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stays as often as the mix reads it: the words taken over its words, rounded. Documents without words go."""
-    keyed = docs.select("text", "source", row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
-    times = mixing.mix(keyed, id_col="row_key").select(F.col("doc_id").alias("row_key"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("times"))
-    return _met(docs, times, ["times"]).where("times > 0").withColumn("n", F.explode(F.sequence(F.lit(1), "times"))).select(COLUMNS)
+    """Each document stays as often as the mix reads it: the words taken over its words, rounded. Documents without words go.
+
+    Repeated rows are rows of their source each; a null source is one of its own; rows without an id are ordered by text. Rows are met by id, text and source."""
+    keyed = _named(docs)
+    mixed = mixing.mix(keyed.select("row_key", "text", "source"), id_col="row_key")
+    times = mixed.select(F.col("doc_id").alias("row_key"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("times"))
+    return _met(keyed, written(times, "mix-times"), ["times"]).where("times > 0").withColumn("n", F.explode(F.sequence(F.lit(1), "times"))).select(COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their size in bytes, shard and slot."""
-    placed = sharding.sharded(docs).select(F.col("key").alias("row_key"), "size", "shard", "slot")
-    return _met(docs, placed, ["shard", "slot", "size"])
+    """The documents with their size in bytes, shard and slot. Copies of a text share a shard unless they are larger than one; repeated rows get a slot each."""
+    keyed = _named(docs)
+    placed = sharding.sharded(keyed, key_col="row_key").select(F.col("key").alias("row_key"), "size", "shard", "slot")
+    return _met(keyed, placed, ["shard", "slot", "size"])
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix_sources", mix_sources), ("shard", shard)]
@@ -58,10 +88,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is a table that the next one reads."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's result is a table that the next one reads, and that is deleted once the next has written its own."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"stage-{name}")
+            if last is not None:
+                discard(last)
+            last = docs
     return docs
