@@ -41,9 +41,9 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def samples(docs: DataFrame, pieces: int = PIECES, piece: int = PIECE) -> dict[str, list[str]]:
-    """Pieces of training text by language: from the documents with the smallest hashes, at a place that the hash decides."""
+    """Pieces of training text by language: from the documents with letters that have the smallest hashes, at a place that the hash decides."""
     h = F.xxhash64("doc_id")
-    learn = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
+    learn = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = learn.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= pieces).select("doc_id", "lang").distinct()
     start = F.pmod(h, F.greatest(F.lit(1), F.length("text") - piece)).cast("int") + 1

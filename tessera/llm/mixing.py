@@ -4,7 +4,8 @@ All DataFrame operations. Sources get weights; targets share all tokens by weigh
 own size. The mix is a sequence of equal blocks of tokens, cut into shards; a source's number of blocks up to each
 shard's end is its Sainte-Lague share of all blocks up to there, so that every shard has integer quotas and the
 quotas of all shards add up to the share of the whole. A source's documents stand in a seeded order as one stream of
-tokens; its blocks are read from that stream, which starts again at its end.
+tokens (the seeded selection of its blocks: the stream's consecutive pieces); each shard takes its quota of them where the shard before stopped, and the stream starts
+again at its end. What a document gives to each shard follows from the shards' ends on its source's stream.
 
 Scale: documents are read once into a narrow table (id, source, size, order). The prefix sums over a source's stream
 have two levels, the seeded order's leading digits and the documents below each, so that no source is a single group.
@@ -101,13 +102,18 @@ def quotas(goal: DataFrame, blocks: int = BLOCKS, shards: int = 16) -> DataFrame
     )
 
 
+def _read(upto: str) -> str:
+    """SQL: the tokens of a document among the first `upto` that are read from its source's stream."""
+    return f"if(source_size > 0, size * ({upto} div source_size) + greatest(0L, least(at + size, {upto} % source_size) - at), 0L)"
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, blocks: int = BLOCKS, shards: int = 16, seed: int = 7, digits: int = 3, **names: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken (tokens of the document in the mix, repeats counted). 16**digits leading parts of the order."""
+    """doc_id, size, source_size, target, taken (tokens of the document in the mix, repeats counted), reads (the same for each shard). 16**digits leading parts of the order."""
     base = sized(docs, seed, **names)
     parts = written(_parts(base, digits), "mix-parts")
     goal = written(targets(parts, weights, cap), "mix-goal")
-    got = quotas(goal, blocks, shards).where(F.col("shard") == shards - 1).select("skey", (F.col("blocks_so_far") * F.col("block_tokens")).alias("tokens"))
-    per_source = goal.join(got, "skey").select("skey", "source_size", "target", F.least("tokens", "most").alias("tokens"))
+    ends = quotas(goal, blocks, shards).groupBy("skey").agg(F.sort_array(F.collect_list(F.struct("shard", (F.col("blocks_so_far") * F.col("block_tokens")).alias("upto")))).alias("ends"))  # one for each shard
+    per_source = goal.join(ends, "skey").select("skey", "source_size", "target", F.transform("ends", lambda e: F.least(e["upto"], F.col("most"))).alias("ends"))
     upto = Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("start", F.coalesce(F.sum("part_size").over(upto), F.lit(0))).select("skey", "part", "start").join(per_source, "skey")
     inside = Window.partitionBy("skey", "part").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -115,14 +121,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, b
         base.withColumn("part", F.substring("h", 1, digits))
         .join(starts, ["skey", "part"])
         .withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .withColumn("rest", F.expr("if(source_size > 0, tokens % source_size, 0)"))
-        .withColumn("taken", F.expr("if(source_size > 0, size * (tokens div source_size), 0) + greatest(0L, least(at + size, rest) - at)"))
-        .select("doc_id", "size", "source_size", "target", "taken")
+        .withColumn("so_far", F.expr(f"transform(ends, upto -> {_read('upto')})"))
+        .withColumn("reads", F.expr("transform(so_far, (x, k) -> if(k = 0, x, x - so_far[k - 1]))"))
+        .select("doc_id", "size", "source_size", "target", F.element_at("so_far", -1).alias("taken"), "reads")
     )
 
 
 def op4_source_mix(spark, sf_dir) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    """first_shard: the first shard that reads the document (null: none does); n_shards: how many do."""
+    mixed = mix(table(spark, sf_dir, "documents"))
+    first = F.array_position(F.transform("reads", lambda x: x > 0), True).cast("int") - 1
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.when(first >= 0, first).alias("first_shard"), F.size(F.filter("reads", lambda x: x > 0)).alias("n_shards"))
 
 
 OP4_SQL = r"""
@@ -145,22 +154,27 @@ g AS (
     CASE WHEN nth < first_free THEN CAST(most AS DOUBLE) ELSE (SELECT level FROM f WHERE nth = first_free) * weight END AS target
   FROM f),
 e AS (
-  SELECT *, greatest(1, total // 1048576) AS block, total // greatest(1, total // 1048576) AS house,
-    CASE WHEN total > 0 THEN target / total ELSE 0 END AS part FROM g),
+  SELECT *, greatest(1, total // 1048576) AS block, (total // greatest(1, total // 1048576)) * k // 16 AS house, k AS shard,
+    CASE WHEN total > 0 THEN target / total ELSE 0 END AS part FROM g, range(1, 17) AS u(k)),
 b AS (SELECT *, CAST(floor(house * part + 0.5) AS BIGINT) AS base FROM e),
-m AS (SELECT *, CAST(house - sum(base) OVER () AS BIGINT) AS missing, count(*) OVER () AS n FROM b),
+m AS (SELECT *, CAST(house - sum(base) OVER (PARTITION BY shard) AS BIGINT) AS missing, count(*) OVER (PARTITION BY shard) AS n FROM b),
 c AS (
-  SELECT source, rank, missing, CASE WHEN missing > 0 THEN base + i - 1 ELSE base - i END AS k, target
+  SELECT source, rank, shard, missing, CASE WHEN missing > 0 THEN base + i - 1 ELSE base - i END AS k, target
   FROM m, unnest(range(1, CAST(ceil(part * (abs(missing) + n)) AS BIGINT) + 2)) AS u(i) WHERE target > 0 AND missing <> 0),
 p AS (
-  SELECT source, sign(missing) AS sgn, missing,
-    row_number() OVER (ORDER BY -(target / (2 * k + 1)) * sign(missing), rank * sign(missing)) AS nth FROM c WHERE k >= 0),
-v AS (SELECT source, CAST(sum(sgn) AS BIGINT) AS moved FROM p WHERE nth <= abs(missing) GROUP BY source),
+  SELECT source, shard, sign(missing) AS sgn, missing,
+    row_number() OVER (PARTITION BY shard ORDER BY -(target / (2 * k + 1)) * sign(missing), rank * sign(missing)) AS nth FROM c WHERE k >= 0),
+v AS (SELECT source, shard, CAST(sum(sgn) AS BIGINT) AS moved FROM p WHERE nth <= abs(missing) GROUP BY source, shard),
 t AS (
-  SELECT m.source, source_size, target, least((base + coalesce(moved, 0)) * block, most) AS tokens
-  FROM m LEFT JOIN v ON m.source IS NOT DISTINCT FROM v.source),
-a AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY h, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS pos FROM d)
-SELECT doc_id, size, source_size, target,
-  CAST(CASE WHEN source_size > 0 THEN size * (tokens // source_size) + greatest(0, least(pos + size, tokens % source_size) - pos) ELSE 0 END AS BIGINT) AS taken
-FROM a JOIN t ON a.source IS NOT DISTINCT FROM t.source
+  SELECT m.source, m.shard, source_size, target, least((base + coalesce(moved, 0)) * block, most) AS tokens
+  FROM m LEFT JOIN v ON m.source IS NOT DISTINCT FROM v.source AND m.shard = v.shard),
+a AS (SELECT *, row_number() OVER () AS row, CAST(sum(size) OVER (PARTITION BY source ORDER BY h, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS pos FROM d),
+x AS (
+  SELECT row, doc_id, size, source_size, target, shard,
+    CAST(CASE WHEN source_size > 0 THEN size * (tokens // source_size) + greatest(0, least(pos + size, tokens % source_size) - pos) ELSE 0 END AS BIGINT) AS upto
+  FROM a JOIN t ON a.source IS NOT DISTINCT FROM t.source),
+y AS (SELECT *, upto - coalesce(lag(upto) OVER (PARTITION BY row ORDER BY shard), 0) AS got FROM x)
+SELECT doc_id, size, source_size, target, max(upto) AS taken, CAST(min(CASE WHEN got > 0 THEN shard - 1 END) AS INTEGER) AS first_shard,
+  CAST(count(CASE WHEN got > 0 THEN 1 END) AS INTEGER) AS n_shards
+FROM y GROUP BY row, doc_id, size, source_size, target
 """

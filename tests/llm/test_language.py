@@ -168,3 +168,23 @@ def brute_force_of_letters(texts, samples):
 def test_no_label_is_dropped(documents):
     rows = [(i, f"{chr(0x4E00 + i // 5)}{chr(0x5E00 + i // 5)} " * 5, f"l{i // 5:03d}", "s") for i in range(1500)]
     assert len(language.learn(documents(rows))["langs"]) > 290
+
+
+def test_documents_without_letters_use_no_place_of_a_language(spark, documents):
+    rows = [(i, None if i % 3 else "12 !", "en") for i in range(400)] + [(1000 + i, "the quick brown fox jumps over it", "en") for i in range(5)] + [(2000 + i, "zwei flinke Hasen laufen im Wald", "de") for i in range(5)]
+    docs = documents(rows)
+    assert language.learn(docs)["langs"] == ["de", "en"]
+    got = {r.doc_id: r.lang_pred for r in language.identified(docs, language.learn(docs)).collect()}
+    assert {got[1000 + i] for i in range(5)} == {"en"}
+    assert {got[2000 + i] for i in range(5)} == {"de"}
+    assert got[0] == "und"
+
+
+def test_ties_go_to_the_first_language_and_one_language_takes_all(documents, monkeypatch):
+    docs = documents([(1, "the same words in every language", "xx")])
+    with monkeypatch.context() as m:
+        m.setattr(language, "samples", lambda docs: {lang: ["the same words in every language"] for lang in ("xx", "aa", "mm")})
+        tied = language.learn(docs)
+    assert [(r.lang_pred, r.score) for r in language.identified(docs, tied).collect()] == [("aa", 0.0)]
+    one = documents([(i, "words of one language", "only") for i in range(20)] + [(99, "whatever", None)])
+    assert {(r.lang_pred, r.score) for r in language.identified(one, language.learn(one)).collect()} == {("only", 1.0)}

@@ -85,3 +85,18 @@ def test_clashing_columns(spark, documents, corpus):
 
     docs = documents(corpus).withColumns({c: F.lit("x") for c in ("size", "h", "part", "total", "target")})
     assert mixing.mix(docs).agg(F.sum("taken")).first()[0] > 0
+
+
+def test_shards_read_their_quotas(spark, documents, corpus):
+    """What all documents of a source give to a shard is the source's quota of blocks there, up to what the cap leaves."""
+    docs = documents(corpus)
+    source = {i: s for i, _, _, s in corpus}
+    got = defaultdict(lambda: [0] * 5)
+    for r in mixing.mix(docs, shards=5).collect():
+        assert sum(r.reads) == r.taken
+        got[source[r.doc_id]] = [a + b for a, b in zip(got[source[r.doc_id]], r.reads, strict=True)]
+    goal = mixing.targets(mixing._parts(mixing.sized(docs), 2))
+    most = {r.source: r.most for r in goal.collect()}
+    for r in mixing.quotas(goal, mixing.BLOCKS, 5).collect():
+        before, now = (r.blocks_so_far - r.blocks) * r.block_tokens, r.blocks_so_far * r.block_tokens
+        assert got[r.source][r["shard"]] == min(now, most[r.source]) - min(before, most[r.source])
