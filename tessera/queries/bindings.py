@@ -10,17 +10,14 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def grid(spark, sf_dir: str, n: int = 16, sparse: bool = False) -> DataFrame:
-    """(layer, i, j, v): quantities summed by line number, part and supplier modulo n; sparse: one discount only."""
+def grid(spark, sf_dir: str, n: int = 16) -> DataFrame:
+    """(layer, i, j, v): quantities summed by line number, part and supplier modulo n."""
     li = table(spark, sf_dir, "lineitem")
-    if sparse:
-        li = li.where(F.round("l_discount", 2) == 0.03)
     return li.groupBy(F.col("l_linenumber").cast("int").alias("layer"), (F.col("l_partkey") % n).cast("int").alias("i"), (F.col("l_suppkey") % n).cast("int").alias("j")).agg(F.sum("l_quantity").alias("v"))
 
 
-def grid_sql(n: int = 16, sparse: bool = False) -> str:
-    where = "WHERE round(l_discount, 2) = 0.03 " if sparse else ""
-    return f"g AS (SELECT CAST(l_linenumber AS INTEGER) AS layer, CAST(l_partkey % {n} AS INTEGER) AS i, CAST(l_suppkey % {n} AS INTEGER) AS j, sum(l_quantity) AS v FROM lineitem {where}GROUP BY ALL)"
+def grid_sql(n: int = 16) -> str:
+    return f"g AS (SELECT CAST(l_linenumber AS INTEGER) AS layer, CAST(l_partkey % {n} AS INTEGER) AS i, CAST(l_suppkey % {n} AS INTEGER) AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"
 
 
 def full_sql(n: int = 16) -> str:

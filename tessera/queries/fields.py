@@ -31,7 +31,7 @@ def thermal_near(spark, d):
 
 
 def conductance(spark, d):
-    e = B.spectra(spark, d).where("p < 16").select("spectrum", "p", F.round(F.col("v") * 10, 3).alias("e"))
+    e = B.spectra(spark, d).select("spectrum", "p", F.round(F.col("v") * 10, 3).alias("e"))
     sweep = F.explode(F.array(*[F.struct(F.lit(x).alias("delta"), F.lit(z).alias("z"), F.lit(g).alias("gamma")) for x, z, g in ((1.0, 0.0, 0.0), (0.8, 0.5, 0.02), (1.2, 2.0, 0.1))]))
     e = e.withColumn("s", sweep).select("spectrum", "p", "e", "s.*")
     return e.withColumn("g", F.round(scalar.junction_conductance(F.col("e"), F.col("delta"), F.col("z"), F.col("gamma")), 6))
@@ -119,7 +119,7 @@ SQL = {
     "a12_thermal": _thermal(None),
     "a12_thermal_near": _thermal(6),
     "p12_conductance": f"""WITH {B.SPECTRA_SQL}, q(delta, z, gamma) AS (VALUES (1.0, 0.0, 0.0), (0.8, 0.5, 0.02), (1.2, 2.0, 0.1)),
-a AS (SELECT spectrum, p, round(s.v * 10, 3) AS e, CAST(delta AS DOUBLE) AS delta, CAST(z AS DOUBLE) AS z, CAST(gamma AS DOUBLE) AS gamma FROM s, q WHERE p < 16),
+a AS (SELECT spectrum, p, round(s.v * 10, 3) AS e, CAST(delta AS DOUBLE) AS delta, CAST(z AS DOUBLE) AS z, CAST(gamma AS DOUBLE) AS gamma FROM s, q),
 b AS (SELECT *, sqrt({_W['re']} * {_W['re']} + {_W['im']} * {_W['im']}) AS h FROM a),
 c AS (SELECT *, (CASE WHEN e < 0 THEN -1 ELSE 1 END) * sqrt((h + {_W['re']}) / 2) AS rr, (CASE WHEN e < 0 THEN -1 ELSE 1 END) * (CASE WHEN {_W['im']} < 0 THEN -1 ELSE 1 END) * sqrt(greatest(0, h - {_W['re']}) / 2) AS ri, e * e + gamma * gamma AS w FROM b WHERE abs(e) >= delta),
 r AS (SELECT *, (rr * e + ri * gamma) / w AS x, (ri * e - rr * gamma) / w AS y FROM c),

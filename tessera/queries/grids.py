@@ -10,19 +10,21 @@ from ..sources import store
 from . import bindings as B
 
 N = 16
+#: A mesh with cells that have no row.
+FINE = 128
 WITH = "WITH " + B.grid_sql(N)
 FULL = f"{WITH}, {B.full_sql(N)}"
 
 
 def autocorrelation_map(spark, d):
-    return correlate.autocorrelation_map(B.grid(spark, d, N, sparse=True), N, -0.25, 0.25)
+    return correlate.autocorrelation_map(B.grid(spark, d, N), N, -0.25, 0.25)
 
 
 _CORR = f"c AS (SELECT a.layer, (((b.i - a.i) % {N}) + {N}) % {N} AS i, (((b.j - a.j) % {N}) + {N}) % {N} AS j, sum(a.v * b.v) AS v FROM f a JOIN f b ON a.layer = b.layer GROUP BY ALL), r AS (SELECT layer, (i + {N // 2}) % {N} AS i, (j + {N // 2}) % {N} AS j, v, max(v) OVER (PARTITION BY layer) AS top FROM c)"
 
 
 def correlation_by_dft(spark, d):
-    full = mesh.complete(B.grid(spark, d, N, sparse=True), N)
+    full = mesh.complete(B.grid(spark, d, N), N)
     return correlate.correlation(full, full, N, route="dft").select("layer", "i", "j", F.round("v", 2).alias("v"))
 
 
@@ -32,7 +34,7 @@ def joint_density(spark, d):
 
 
 def complete_mesh(spark, d):
-    return mesh.complete(B.grid(spark, d, N, sparse=True), N, fill=None).withColumns({"u": mesh.coordinate(F.col("i"), N), "w": mesh.coordinate(F.col("j"), N)})
+    return mesh.complete(B.grid(spark, d, FINE), FINE, fill=None).withColumns({"u": mesh.coordinate(F.col("i"), FINE), "w": mesh.coordinate(F.col("j"), FINE)})
 
 
 def energy_axes(spark, d):
@@ -133,10 +135,10 @@ FROM o a, o b WHERE a.f <> b.f GROUP BY ALL"""
 
 
 SQL = {
-    "a06_autocorrelation_map": f"WITH {B.grid_sql(N, True)}, {B.full_sql(N)}, {_CORR} SELECT layer, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, v AS raw, CASE WHEN top > 0 THEN v / top ELSE v END AS norm FROM r WHERE i >= 4 AND i < 12 AND j >= 4 AND j < 12",
+    "a06_autocorrelation_map": f"WITH {B.grid_sql(N)}, {B.full_sql(N)}, {_CORR} SELECT layer, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, v AS raw, CASE WHEN top > 0 THEN v / top ELSE v END AS norm FROM r WHERE i >= 4 AND i < 12 AND j >= 4 AND j < 12",
     "a06_joint_density": f"{WITH}, {B.full_sql(N)}, {_CORR} SELECT layer, CAST(i + s * {N} AS INTEGER) AS i, CAST(j + t * {N} AS INTEGER) AS j, round(v / top, 9) AS v, ((i + s * {N}) / {N} - 0.5) * 1.0 + ((j + t * {N}) / {N} - 0.5) * -0.5 AS x, ((i + s * {N}) / {N} - 0.5) * 0.0 + ((j + t * {N}) / {N} - 0.5) * 0.75 AS y FROM r, range(-1, 2) AS a(s), range(-1, 2) AS b(t) WHERE i + s * {N} >= -4 AND i + s * {N} < 20 AND j + t * {N} >= -4 AND j + t * {N} < 20",
-    "j04_correlation_by_dft": f"WITH {B.grid_sql(N, True)}, {B.full_sql(N)}, {_CORR} SELECT layer, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(v, 2) AS v FROM c",
-    "g01_g07_complete_mesh": f"WITH {B.grid_sql(N, True)}, {B.full_sql(N)} SELECT m.layer, m.i, m.j, v, m.i / {N} - 0.5 AS u, m.j / {N} - 0.5 AS w FROM m LEFT JOIN g ON m.layer = g.layer AND m.i = g.i AND m.j = g.j",
+    "j04_correlation_by_dft": f"WITH {B.grid_sql(N)}, {B.full_sql(N)}, {_CORR} SELECT layer, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(v, 2) AS v FROM c",
+    "g01_g07_complete_mesh": f"WITH {B.grid_sql(FINE)}, {B.full_sql(FINE)} SELECT m.layer, m.i, m.j, v, m.i / {FINE} - 0.5 AS u, m.j / {FINE} - 0.5 AS w FROM m LEFT JOIN g ON m.layer = g.layer AND m.i = g.i AND m.j = g.j",
     "g02_energy_axes": "SELECT p_partkey, CAST(m AS INTEGER) AS m, CASE WHEN round(p_size / 2.0) > 0 THEN m * CAST(p_size AS DOUBLE) / round(p_size / 2.0) - p_size ELSE -CAST(p_size AS DOUBLE) END AS energy, CASE WHEN round(p_size / 2.0) > 0 THEN m * CAST(p_size AS DOUBLE) / round(p_size / 2.0) - p_size ELSE -CAST(p_size AS DOUBLE) END + p_size AS shifted FROM part, unnest(range(0, CAST(round(p_size / 2.0) AS BIGINT) + 1)) AS u(m)",
     "g03_extended": f"{WITH} SELECT layer, CAST(i + s * {N} AS INTEGER) AS i, CAST(j + t * {N} AS INTEGER) AS j, v FROM g, range(-1, 2) AS a(s), range(-1, 2) AS b(t) WHERE i + s * {N} >= -8 AND i + s * {N} < 20 AND j + t * {N} >= -8 AND j + t * {N} < 20",
     "g04_cropped": f"{WITH} SELECT * FROM g WHERE i / {N} - 0.5 >= -0.3 AND i / {N} - 0.5 < 0.3 AND j / {N} - 0.5 >= -0.3 AND j / {N} - 0.5 < 0.3",

@@ -60,7 +60,7 @@ def nested_headers(spark, d):
 
 def embedded_tables(spark, d):
     """Orders of a customer as a tab table with a header line, parsed back."""
-    o = B.table(spark, d, "orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).where("n <= 3")
+    o = B.table(spark, d, "orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
     row = F.concat_ws("\t", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
     text = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", row.alias("r")))), lambda x: x["r"]), "\n").alias("t"))
     return headers.embedded(text.select(F.col("o_custkey").alias("file"), F.lit("ORDERS").alias("key"), F.concat(F.lit("key\tstatus\tpriority\n"), "t").alias("value")))
@@ -172,7 +172,7 @@ SQL = {
     "s13_stopped_lines": f"{_T}, a AS (SELECT file, max(ln) + 2 AS f FROM t WHERE contains(line, 'and') GROUP BY file), b AS (SELECT t.* FROM t JOIN a USING (file) WHERE ln >= f), s AS (SELECT file, min(ln) AS stop FROM b WHERE length(line) < 60 GROUP BY file) SELECT file, count(*) AS n, min(ln) AS first FROM b LEFT JOIN s USING (file) WHERE stop IS NULL OR ln < stop GROUP BY file",
     "p16_header_modules": "SELECT user_id AS file, event_type AS module, 'k' || event_id AS key, json_extract_string(props, '$.k') AS value, count(*) OVER (PARTITION BY user_id, event_type) = 1 AS single FROM events",
     "s04_nested_headers": "WITH m AS (SELECT user_id AS file, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1) SELECT file, CAST(count(*) AS INTEGER) AS modules, CAST(sum(n) AS INTEGER) AS keys FROM m GROUP BY file",
-    "p17_embedded_tables": "WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), c AS (SELECT * FROM o WHERE n <= 3) SELECT o_custkey AS file, 'ORDERS' AS section, CAST(n AS INTEGER) AS row, u.column, u.value FROM c, LATERAL (SELECT 'key' AS column, CAST(o_orderkey AS VARCHAR) AS value UNION ALL SELECT 'status', o_orderstatus UNION ALL SELECT 'priority', o_orderpriority) u",
+    "p17_embedded_tables": "WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), c AS (SELECT * FROM o) SELECT o_custkey AS file, 'ORDERS' AS section, CAST(n AS INTEGER) AS row, u.column, u.value FROM c, LATERAL (SELECT 'key' AS column, CAST(o_orderkey AS VARCHAR) AS value UNION ALL SELECT 'status', o_orderstatus UNION ALL SELECT 'priority', o_orderpriority) u",
     "s21_preferred_source": "SELECT CAST(o_custkey AS VARCHAR) AS system, min(substr(o_orderpriority, 1, 1)) AS kind FROM orders WHERE substr(o_orderpriority, 1, 1) IN ('1', '2', '3') GROUP BY o_custkey",
     "j07_w07_best_order": "SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS n FROM orders) WHERE n = 1",
     "w01_path_length": "WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate, coalesce(abs(CAST(o_totalprice AS DECIMAL(18,2)) - lag(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)), 0) AS step FROM orders) SELECT o_custkey, o_orderkey, CAST(sum(step) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS dist FROM s",

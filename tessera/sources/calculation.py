@@ -185,10 +185,14 @@ def band_path(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def dos_tree(spark: SparkSession, path: str) -> DataFrame:
-    """(file, atom, orbital, e, dos, idos): all files of a tree of total and per-atom densities; `total` or the suffix names the orbital.
+    """The rows of all files of a tree (see dos_rows). Lines carry their own energies, so files are read line-parallel."""
+    return dos_rows(spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")))
 
-    Lines carry their own energies, so files are read line-parallel. More than one total outside atom folders is an error."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+
+def dos_rows(lines: DataFrame) -> DataFrame:
+    """(file, atom, orbital, e, dos, idos) of (file, line): total and per-atom densities; `total` or the suffix of the file's name is the orbital.
+
+    More than one total outside atom folders is an error."""
     atom = F.regexp_extract("file", r"/atom(\d+)/[^/]*$", 1).try_cast("int")
     other = F.col("file").rlike(r"/atom[^/]*/[^/]*$") & atom.isNull()
     suffix = F.regexp_extract("file", r"\.([spd]\d+)$", 1)

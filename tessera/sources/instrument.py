@@ -51,8 +51,17 @@ def _image(data: bytes) -> tuple[list[str], int, int, np.ndarray, np.ndarray] |
     return names, nx, ny, values.reshape(shape), there.reshape(shape)
 
 
+def _binary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+
+
 def scan_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """(file, channel, direction, row, col, value) of scan images, in stored order (see mesh.flipped for the turn of lines)."""
+    """The pixels of all image files of a path (see decoded_pixels)."""
+    return decoded_pixels(_binary(spark, path))
+
+
+def decoded_pixels(files: DataFrame) -> DataFrame:
+    """(file, channel, direction, row, col, value) of scan images (file, content), in stored order (see mesh.flipped for the turn of lines)."""
 
     def run(batches):
         for batch in batches:
@@ -69,7 +78,7 @@ def scan_pixels(spark: SparkSession, path: str) -> DataFrame:
                             n = len(at)
                             yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array([name] * n), pa.array([direction] * n), pa.array((at // nx).astype(np.int32)), pa.array((at % nx).astype(np.int32)), pa.array(v[at], mask=~t[at])], ["file", "channel", "direction", "row", "col", "value"])
 
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content").mapInArrow(run, "file string, channel string, direction string, row int, col int, value double")
+    return files.select("file", "content").mapInArrow(run, "file string, channel string, direction string, row int, col int, value double")
 
 
 def image_header_lines(spark: SparkSession, path: str, end: bytes = b":SCANIT_END:") -> DataFrame:
@@ -113,7 +122,22 @@ def _grid(data: bytes) -> tuple[dict, np.ndarray, np.ndarray] | None:
 
 
 def grid_spectra(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pixel, ix, iy, kind, name, values): `param` rows hold one number, `channel` rows a spectrum. Surplus data are left out, missing ones null."""
+    """The spectra of all grid files of a path (see decoded_grids)."""
+    return decoded_grids(_binary(spark, path))
+
+
+def decoded_grids(files: DataFrame) -> DataFrame:
+    """(file, pixel, ix, iy, kind, name, values) of spectrum grids (file, content): `param` rows hold one number, `channel` rows a spectrum.
+
+    Surplus data are left out, missing ones null."""
+    names = ["file", "pixel", "ix", "iy", "kind", "name", "values"]
+
+    def part(file: str, m: dict, pixels: np.ndarray, kind: str, called: list[str], values: np.ndarray, there: np.ndarray) -> pa.RecordBatch:
+        """Rows of the same kind; values: pixel x name x number."""
+        rows, width = len(pixels) * len(called), values.shape[2]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).reshape(-1), mask=~np.ascontiguousarray(there).reshape(-1)))
+        each = np.repeat(pixels, len(called))
+        return pa.RecordBatch.from_arrays([pa.array([file] * rows, pa.string()), *(pa.array(c.astype(np.int32)) for c in (each, each % m["nx"], each // m["nx"])), pa.array([kind] * rows, pa.string()), pa.array(called * len(pixels), pa.string()), lists], names)
 
     def run(batches):
         for batch in batches:
@@ -124,14 +148,12 @@ def grid_spectra(spark: SparkSession, path: str) -> DataFrame:
                 m, values, there = got
                 p = len(m["names"])
                 for lo in range(0, len(values), 1024):
-                    rows = []
-                    for pixel in range(lo, min(lo + 1024, len(values))):
-                        v = [x if ok else None for x, ok in zip(values[pixel].tolist(), there[pixel].tolist(), strict=True)]
-                        at = (file, pixel, pixel % m["nx"], pixel // m["nx"])
-                        rows += [(*at, "param", name, [v[i]]) for i, name in enumerate(m["names"])]
-                        rows += [(*at, "channel", c, v[p + i * m["points"] : p + (i + 1) * m["points"]]) for i, c in enumerate(m["channels"])]
-                    if rows:
-                        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64())]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "pixel", "ix", "iy", "kind", "name", "values"])
-
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content").mapInArrow(run, "file string, pixel int, ix int, iy int, kind string, name string, values array<double>")
+                    pixels = np.arange(lo, min(lo + 1024, len(values)))
+                    v, t = values[pixels], there[pixels]
+                    if p:
+                        yield part(file, m, pixels, "param", m["names"], v[:, :p, None], t[:, :p, None])
+                    if m["channels"]:
+                        shape = (len(pixels), len(m["channels"]), m["points"])
+                        yield part(file, m, pixels, "channel", m["channels"], v[:, p:].reshape(shape), t[:, p:].reshape(shape))
+
+    return files.select("file", "content").mapInArrow(run, "file string, pixel int, ix int, iy int, kind string, name string, values array<double>")
