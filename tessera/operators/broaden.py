@@ -1,7 +1,7 @@
 """Kernel sums: spectral weights, broadened maps, thermal broadening.
 
-The many-rows side is never broadcast: targets or energies are small tables that the driver's parameters define (an axis, a mesh), and
-the products are combined into their target before the shuffle."""
+Energies are a short axis in the plan; a mesh of targets is met one of its rows at a time by an equi-join. The products are combined into
+their target before the shuffle."""
 
 from __future__ import annotations
 
@@ -12,19 +12,22 @@ from ..functions.scalar import lorentzian, lorentzian_2d
 
 
 def spectral_weight(eigen: DataFrame, energies: list[float], eta: float) -> DataFrame:
-    """A(k, E): the Lorentzians of all bands of a cell, for each energy. eigen: (i, j, band, energy); out: (layer, layer_value, i, j, v)."""
+    """A(k, E): the Lorentzians of all bands of a cell, for each energy. eigen: (i, j, band, energy); out: (layer, layer_value, i, j, v), of each system_id if there is one."""
+    of = [c for c in ("system_id",) if c in eigen.columns]
     axis = F.array(*[F.struct(F.lit(n).alias("layer"), F.lit(float(e)).alias("e")) for n, e in enumerate(energies)])
-    each = eigen.withColumn("at", F.explode(axis)).select("i", "j", F.col("at.layer").alias("layer"), F.col("at.e").alias("layer_value"), "energy")
-    return each.groupBy("layer", "layer_value", "i", "j").agg(F.sum(lorentzian(F.col("layer_value"), F.col("energy"), eta)).alias("v"))
+    each = eigen.withColumn("at", F.explode(axis)).select(*of, "i", "j", F.col("at.layer").alias("layer"), F.col("at.e").alias("layer_value"), "energy")
+    return each.groupBy(*of, "layer", "layer_value", "i", "j").agg(F.sum(lorentzian(F.col("layer_value"), F.col("energy"), eta)).alias("v"))
 
 
 def broadened_map(points: DataFrame, cells: DataFrame, wk: float, we: float, weight: str = "w") -> DataFrame:
     """A at each cell (ik, ie, gk, ge): the weighted 2-D kernels of all points (k0, e0, w).
 
-    Equal points are summed first. cells has a size that parameters fix, and is what is broadcast."""
+    Equal points are summed first; then each meets the rows ik of the mesh one by one, whatever the mesh's size."""
     few = points.groupBy("k0", "e0").agg(F.sum(weight).alias("w"))
     kernel = lorentzian_2d(F.col("gk") - F.col("k0"), F.col("ge") - F.col("e0"), wk, we)
-    return few.crossJoin(F.broadcast(cells)).groupBy("ik", "ie", "gk", "ge").agg(F.sum(F.col("w") * kernel).alias("a"))  # cells: nk * ne rows
+    low, high = cells.agg(F.min("ik"), F.max("ik")).first()
+    each = few.withColumn("ik", F.explode(F.sequence(F.lit(low), F.lit(high)) if low is not None else F.array().cast("array<int>")))
+    return each.join(cells, "ik").groupBy("ik", "ie", "gk", "ge").agg(F.sum(F.col("w") * kernel).alias("a"))
 
 
 def thermal(spectra: DataFrame, kt: float, reach: int | None = None, key: str = "spectrum") -> DataFrame:
@@ -34,9 +37,8 @@ def thermal(spectra: DataFrame, kt: float, reach: int | None = None, key: str =
     left, right = spectra.select(key, F.col("p").alias("p0"), F.col("e").alias("e0")), spectra.select(key, "p", "e", "v")
     x = (F.col("e0") - F.col("e")) / F.lit(2 * kt)
     bell = F.lit(1 / (4 * kt)) / (F.cosh(x) * F.cosh(x))
-    both = left.join(right, key)
-    if reach is not None:
-        both = both.where(F.abs(F.col("p0") - F.col("p")) <= reach)
+    near = left if reach is None else left.withColumn("p", F.explode(F.sequence(F.col("p0") - reach, F.col("p0") + reach)))
+    both = near.join(right, [key] if reach is None else [key, "p"])
     sums = both.withColumn("g", bell).groupBy(key, "p0", "e0").agg(F.sum(F.col("v") * F.col("g")).alias("s"))
     ends = spectra.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("e").alias("low"), F.max("e").alias("high"))
     step = (F.col("high") - F.col("low")) / F.greatest(F.lit(1), F.col("n") - 1)

@@ -20,11 +20,11 @@ def _difference(n: int) -> list[Column]:
     return [F.pmod(F.col(f"b_{c}") - F.col(f"a_{c}"), F.lit(n)).cast("int").alias(c) for c in ("i", "j")]
 
 
-def _sides(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """a and b joined on keys, other columns prefixed."""
-    left = a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in a.columns if c not in keys])
-    right = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys])
-    return left.join(right, keys)
+def _sides(a: DataFrame, b: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """All pairs of cells of a and b with equal keys, other columns prefixed: a's rows meet b's one mesh row at a time, so that a mesh is n pieces of work."""
+    left = a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in a.columns if c not in keys]).withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    right = b.select(*keys, F.col("i").alias("_row"), *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys])
+    return left.join(right, [*keys, "_row"]).drop("_row")
 
 
 def correlation(a: DataFrame, b: DataFrame, n: int, keys: tuple[str, ...] = ("layer",), value: str = "v", route: str | None = None) -> DataFrame:
@@ -32,7 +32,7 @@ def correlation(a: DataFrame, b: DataFrame, n: int, keys: tuple[str, ...] = ("la
     route = route or ("pairs" if n <= PAIRS_UP_TO else "dft")
     k = list(keys)
     if route == "pairs":
-        both = _sides(a.select(*k, "i", "j", F.col(value).alias("v")), b.select(*k, "i", "j", F.col(value).alias("v")), k)
+        both = _sides(a.select(*k, "i", "j", F.col(value).alias("v")), b.select(*k, "i", "j", F.col(value).alias("v")), k, n)
         return both.groupBy(*k, *_difference(n)).agg(F.sum(F.col("a_v") * F.col("b_v")).alias("v"))
     zero = F.lit(0.0)
     fa, fb = (transform.dft(x.select(*k, "i", "j", F.col(value).cast("double").alias("re"), zero.alias("im")), n, keys) for x in (a, b))
@@ -73,18 +73,26 @@ def scattering_map(green: DataFrame, v: DataFrame, n: int, keys: tuple[str, ...]
         re, im = complex_product((F.col("re"), -F.col("im")), (F.col("re2"), F.col("im2")))
         total = x.join(y, [*pair, "i", "j"]).groupBy(*k, "i", "j").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
         return transform.dft(total, n, keys, inverse=True).select(*k, "i", "j", (F.col("im") * F.lit(-1 / math.pi)).alias("v"))
-    both = _sides(gv, gq, [*k, "a", "c"])
+    both = _sides(gv, gq, [*k, "a", "c"], n)
     imaginary = F.col("a_re") * F.col("b_im") + F.col("a_im") * F.col("b_re")
     return both.groupBy(*k, *_difference(n)).agg((F.sum(imaginary) * F.lit(-1 / math.pi)).alias("v"))
 
 
-def pair_map(first: DataFrame, second: DataFrame, m_first: DataFrame, m_second: DataFrame, n: int, prefactor: float) -> DataFrame:
+def pair_map(first: DataFrame, second: DataFrame, m_first: DataFrame, m_second: DataFrame, n: int, prefactor: float, route: str | None = None) -> DataFrame:
     """Energy-integrated pair map: prefactor times the sum over layers, k, a, b of (M A)(k) (M' B)(k + q), both (layer, i, j, a, b, v).
 
-    first and second are the spectral matrices of the two energies of a layer; each is weighted by its (a, b, w) selection."""
+    first and second are the spectral matrices of the two energies of a layer; each is weighted by its (a, b, w) selection. By the dft route the products of
+    transforms are summed over layers and matrix numbers before the one transform back."""
+    route = route or ("pairs" if n <= PAIRS_UP_TO else "dft")
     weigh = lambda x, m: x.join(m, ["a", "b"]).select("layer", "a", "b", "i", "j", (F.col("v") * F.col("w")).alias("v"))
     right = weigh(second, m_second).select("layer", F.col("b").alias("a"), F.col("a").alias("b"), "i", "j", "v")
-    both = _sides(weigh(first, m_first), right, ["layer", "a", "b"])
+    if route == "dft":
+        keys = ("layer", "a", "b")
+        x, y = (transform.dft(t.select(*keys, "i", "j", F.col("v").alias("re"), F.lit(0.0).alias("im")), n, keys) for t in (weigh(first, m_first), right))
+        re, im = complex_product((F.col("re"), -F.col("im")), (F.col("re2"), F.col("im2")))
+        total = x.join(y.withColumnsRenamed({"re": "re2", "im": "im2"}), [*keys, "i", "j"]).groupBy("i", "j").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+        return transform.dft(total, n, (), inverse=True).select("i", "j", (F.col("re") * F.lit(prefactor)).alias("v"))
+    both = _sides(weigh(first, m_first), right, ["layer", "a", "b"], n)
     return both.groupBy(*_difference(n)).agg((F.sum(F.col("a_v") * F.col("b_v")) * F.lit(prefactor)).alias("v"))
 
 
@@ -92,9 +100,8 @@ def bare_response(eigen: DataFrame, n: int, mu: float, kt: float, eta: float, om
     """chi0(q): mean over k, summed over band pairs, of (f_m(k) - f_n(k + q)) |<u_m(k)|u_n(k + q)>|^2 / (omega + e_m - e_n + i eta), with a minus sign.
 
     eigen: (i, j, band, energy, u_re, u_im arrays over orbitals). Pairs of equal occupation add nothing and are dropped row by row."""
-    f = eigen.withColumn("f", occupation(F.col("energy"), F.lit(mu), F.lit(kt))).withColumn("one", F.lit(1))
-    dealt = f.repartition(min(n * n, 512), "i", "j")  # the cells of one side are what tasks share out
-    both = _sides(dealt, f, ["one"]).where("a_f <> b_f")
+    f = eigen.withColumn("f", occupation(F.col("energy"), F.lit(mu), F.lit(kt)))
+    both = _sides(f, f, [], n).where("a_f <> b_f")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
     re = dot("a_u_re", "b_u_re") + dot("a_u_im", "b_u_im")
     im = dot("a_u_re", "b_u_im") - dot("a_u_im", "b_u_re")

@@ -32,8 +32,8 @@ def energy_axes(limits: DataFrame, limit: str, step: float) -> DataFrame:
 def complete(grid: DataFrame, n: int, layer: str = "layer", value: str = "v", fill: float | None = 0.0) -> DataFrame:
     """Every cell of every layer; cells without a value get `fill` (None: stay null)."""
     layers = grid.select(layer).distinct()
-    cells = layers.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))))
-    cells = cells.select(layer, F.expr(f"cast(cell div {n} as int)").alias("i"), F.expr(f"cast(cell % {n} as int)").alias("j"))
+    axis = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cells = layers.withColumn("i", axis).repartition(layer, "i").withColumn("j", axis)  # tasks make a mesh row each
     out = cells.join(grid.select(layer, "i", "j", value), [layer, "i", "j"], "left")
     return out if fill is None else out.withColumn(value, F.coalesce(value, F.lit(fill)))
 
@@ -81,25 +81,37 @@ def extended(grid: DataFrame, n: int, low: float, high: float) -> DataFrame:
 
 
 def placed(grid: DataFrame, n: int, basis: DataFrame | None) -> DataFrame:
-    """Cells with Cartesian x, y for a 2-D basis (one row b00, b01, b10, b11); null without one."""
+    """Cells with Cartesian x, y for a 2-D basis (b00, b01, b10, b11); null without one. Several rows need a system_id on both sides, else they are an error."""
     u, v = coordinate(F.col("i"), n), coordinate(F.col("j"), n)
     if basis is None:
         return grid.withColumns({"x": F.lit(None).cast("double"), "y": F.lit(None).cast("double")})
-    one = basis.select("b00", "b01", "b10", "b11").limit(1)
-    return grid.join(F.broadcast(one), how="left").withColumns({"x": u * F.col("b00") + v * F.col("b10"), "y": u * F.col("b01") + v * F.col("b11")}).drop("b00", "b01", "b10", "b11")  # one row
+    names = ("b00", "b01", "b10", "b11")
+    of = [c for c in ("system_id",) if c in basis.columns and c in grid.columns]
+    single = F.when(F.count(F.lit(1)) == 1, F.lit(True)).otherwise(F.raise_error("several bases for one grid").cast("boolean"))
+    one = basis.groupBy(*of).agg(*[F.max(c).alias(c) for c in names], F.count(F.lit(1)).alias("_n"), single.alias("_ok")).where("_n = 0 or _ok").drop("_n", "_ok")
+    met = grid.join(one, of, "left") if of else grid.join(F.broadcast(one), how="left")  # one row
+    return met.withColumns({"x": u * F.col("b00") + v * F.col("b10"), "y": u * F.col("b01") + v * F.col("b11")}).drop(*names)
+
+
+def flipped(pixels: DataFrame, rows: int | Column, cols: int | Column, direction: str = "direction", scan_up: bool | Column = True) -> DataFrame:
+    """Backward lines read right to left; upward scans start at the last row. Sizes and scan direction may be columns of pixels."""
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    col = F.when(F.col(direction) == "bwd", as_column(cols) - 1 - F.col("col")).otherwise(F.col("col"))
+    row = F.when(as_column(scan_up), as_column(rows) - 1 - F.col("row")).otherwise(F.col("row"))
+    return pixels.withColumns({"col": col, "row": row})
 
 
-def flipped(pixels: DataFrame, rows: int, cols: int, direction: str = "direction", scan_up: bool = True) -> DataFrame:
-    """Backward lines read right to left; upward scans start at the last row."""
-    col = F.when(F.col(direction) == "bwd", F.lit(cols - 1) - F.col("col")).otherwise(F.col("col"))
-    row = F.lit(rows - 1) - F.col("row") if scan_up else F.col("row")
-    return pixels.withColumns({"col": col, "row": row})
+def flipped_scans(pixels: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Pixels of many files (file, direction, row, col, ...), each turned by its own size and scan direction. metadata: (file, nx, ny, direction); without one for a file it is left out."""
+    own = metadata.select("file", F.col("nx").alias("_nx"), F.col("ny").alias("_ny"), (F.col("direction") == "up").alias("_up"))
+    return flipped(pixels.join(own, "file"), F.col("_ny"), F.col("_nx"), scan_up=F.col("_up")).drop("_nx", "_ny", "_up")
 
 
 def spanned(points: DataFrame, nk: int, ne: int, k: str = "k", e: str = "e") -> DataFrame:
     """A (k, e) target mesh between the smallest and largest values of the points."""
     ends = points.agg(F.min(k).alias("k0"), F.max(k).alias("k1"), F.min(e).alias("e0"), F.max(e).alias("e1"))
-    cells = ends.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(nk * ne - 1)))).withColumns({"ik": F.expr(f"cast(cell div {ne} as int)"), "ie": F.expr(f"cast(cell % {ne} as int)")})
+    axis = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cells = ends.withColumn("ik", axis(nk)).repartition("ik").withColumn("ie", axis(ne))
     return cells.select("ik", "ie", (F.col("k0") + F.col("ik") * (F.col("k1") - F.col("k0")) / max(1, nk - 1)).alias("gk"), (F.col("e0") + F.col("ie") * (F.col("e1") - F.col("e0")) / max(1, ne - 1)).alias("ge"))
 
 

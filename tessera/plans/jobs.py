@@ -24,10 +24,12 @@ def joint_density_map(spark: SparkSession, hopping_path: str, nk: int, energies:
     check = hopping.complete_check(table, header)
     if not bad.isEmpty() or not check.where("not ok").isEmpty():
         raise ValueError("incomplete hopping table")
-    size = header.agg(F.max("num_wann")).first()[0]
+    size, systems = header.agg(F.max("num_wann"), F.count_distinct("system_id")).first()
+    if systems != 1:
+        raise ValueError(f"a map is made of one system's table, not of {systems}")
     path = scratch.new_folder(spark, "eigen")
     bands(table, size, nk).write.parquet(path)  # read once for each energy's sum
-    weight = broaden.spectral_weight(spark.read.parquet(path), energies, eta).select("layer", "i", "j", "v")
+    weight = broaden.spectral_weight(spark.read.parquet(path), energies, eta).select("layer", "i", "j", "v")  # one system
     q = correlate.joint_density(weight, nk)
     if save_to:
         store.save(q, save_to, run_id, "jdos", nk, energies, eta, True)

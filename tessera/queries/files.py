@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..operators import mesh
 from ..sources import calculation as C
 from ..sources import headers, instrument
 from ..sources import lines as L
@@ -194,6 +195,18 @@ def scan_pixels(spark, d):
     return instrument.decoded_pixels(_packed(spark, d, make))
 
 
+def flipped_scans(spark, d):
+    """Images of as many columns as the order has items and two rows, every second one scanned upwards, turned by their own headers."""
+
+    def make(q, p, s):
+        head = f":SCAN_PIXELS:\n {len(q)} 2\n:SCAN_DIR:\n{'up' if p[0] % 2 else 'down'}\n:DATA_INFO:\n\tChannel\tName\tUnit\n\t14\tZ\tm\n:SCANIT_END:\n\n\n"
+        return head.encode() + b"\x1a\x04" + np.concatenate([q, p, s, q]).astype(">f4").tobytes()
+
+    files = _packed(spark, d, make)
+    heads = L.split_lines(files.select("file", F.decode(F.substring_index(F.col("content").cast("string"), "\x1a", 1).cast("binary"), "UTF-8").alias("text")), "file", "text")
+    return mesh.flipped_scans(instrument.decoded_pixels(files), headers.image_metadata(headers.colon_blocks(heads))).select("file", "direction", "row", "col", "value")
+
+
 def grid_spectra(spark, d):
     def make(q, p, s):
         head = f'Grid dim="{len(q)} x 1"\r\nPoints=2\r\nChannels=a\r\n# Parameters (4 byte)=1\r\nFixed parameters=X\r\n:HEADER_END:\r\n'
@@ -207,7 +220,7 @@ QUERIES = {
     "s08_fermi_levels": fermi_levels, "s09_unit_cells": unit_cells, "s10_reciprocal_vectors": reciprocal_vectors, "s07_lattice_vectors": lattice_vectors, "s11_species": species,
     "s13_final_positions": final_positions, "s14_listed_positions": listed_positions, "j06_j07_positions": positions, "s16_w01_band_points": band_points, "w02_band_ticks": band_ticks,
     "s17_unfolding": unfolding, "s18_cube_voxels": cube_voxels, "s05_hopping_files": hopping_files, "s19_log_spreads": log_spreads, "s19_log_disentangle": log_disentangle, "s15_u01_dos_rows": dos_rows,
-    "s02_point_spectra": point_spectra, "p14_image_metadata": image_metadata, "p14_grid_metadata": grid_metadata, "s04_tab_pairs": tab_pairs, "s01_scan_pixels": scan_pixels, "s03_grid_spectra": grid_spectra,
+    "s02_point_spectra": point_spectra, "p14_image_metadata": image_metadata, "p14_grid_metadata": grid_metadata, "s04_tab_pairs": tab_pairs, "s01_scan_pixels": scan_pixels, "s03_grid_spectra": grid_spectra, "g08_flipped_scans": flipped_scans,
 }
 
 _I = f"WITH {ITEMS_SQL}, f AS (SELECT * FROM i WHERE n = 1), c AS (SELECT file, CAST(count(*) AS INTEGER) AS items FROM i GROUP BY file)"
@@ -239,5 +252,9 @@ SELECT w.file, w.n - 1 AS kidx, {_D('w.q')} AS k1, CAST(band AS INTEGER) AS band
     "p14_grid_metadata": f"{_I} SELECT f.file, items AS nx, q AS ny, CAST(p AS INTEGER) AS points, 'a,b' AS channels, 3 AS n_params, 'X,Y,Z' AS param_names FROM f JOIN c ON f.file = c.file",
     "s04_tab_pairs": f"{_I} SELECT file, 'Date' AS key, CAST(p AS VARCHAR) AS value FROM f UNION ALL SELECT file, 'Comment', q || chr(10) || 'more of it' FROM f",
     "s01_scan_pixels": f"{_I} SELECT CAST(i.file AS VARCHAR) AS file, 'Z' AS channel, direction, 0 AS row, n - 1 AS col, {_D('CASE WHEN direction = $$fwd$$ THEN q WHEN n < items THEN s END')} AS value FROM i JOIN c ON i.file = c.file, (VALUES ('fwd'), ('bwd')) a(direction)",
+    "g08_flipped_scans": f"""{_I}, h AS (SELECT f.file, items, p % 2 = 1 AS up FROM f JOIN c ON f.file = c.file)
+SELECT CAST(i.file AS VARCHAR) AS file, direction, CASE WHEN up THEN 1 - r ELSE r END AS row, CASE direction WHEN 'bwd' THEN items - n ELSE n - 1 END AS col,
+  {_D('CASE WHEN direction = $$fwd$$ AND r = 0 OR direction = $$bwd$$ AND r = 1 THEN q WHEN direction = $$fwd$$ THEN p ELSE s END')} AS value
+FROM i JOIN h ON i.file = h.file, (VALUES ('fwd'), ('bwd')) a(direction), (VALUES (0), (1)) b(r)""",
     "s03_grid_spectra": f"{_I} SELECT CAST(file AS VARCHAR) AS file, n - 1 AS pixel, n - 1 AS ix, 0 AS iy, kind, CASE kind WHEN 'param' THEN 'X' ELSE 'a' END AS name, {_D('CASE kind WHEN $$param$$ THEN q ELSE p END')} AS v0, {_D('CASE kind WHEN $$channel$$ THEN s END')} AS v1 FROM i, (VALUES ('param'), ('channel')) a(kind)",
 }

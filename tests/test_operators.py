@@ -208,3 +208,47 @@ def test_polygon_edges_and_vertices(spark):
     pts = [(0.0, 0.0, True), (*hexagon[1], True), (0.75, math.sqrt(0.75) / 2, True), (0.95, 0.3, False), (0.0, math.sqrt(0.75), True), (-2.0, 0.0, False), (1.5, 0.0, False)]
     df = spark.createDataFrame(pts, "x double, y double, want boolean")
     assert all(r.want == r.inside for r in lattice.polygon_mask(df, hexagon).collect())
+
+
+def test_no_join_on_nothing(spark):
+    """With broadcasting off, no plan of the all-pairs operators holds a cartesian product."""
+    from tessera.operators import broaden, correlate
+
+    m = spark.createDataFrame([(0, 0, 0, i, j, float(i + j), 1.0) for i in range(4) for j in range(4)], "layer int, a int, b int, i int, j int, v double, w double")
+    w = spark.createDataFrame([(0, 0, 1.0)], "a int, b int, w double")
+    e = m.selectExpr("i", "j", "0 as band", "v as energy", "array(1.0D) as u_re", "array(0.0D) as u_im")
+    cells = m.selectExpr("i as ik", "j as ie", "v as gk", "v as ge")
+    points = m.selectExpr("v as k0", "v as e0", "w")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (correlate.pair_map(m.drop("w"), m.drop("w"), w, w, 4, 1.0), correlate.bare_response(e, 4, 3.0, 0.1, 0.05), correlate.correlation(m, m, 4), broaden.broadened_map(points, cells, 1.0, 1.0)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan
+            assert "NestedLoop" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_pair_map_by_either_route(spark):
+    from tessera.operators import correlate
+
+    rows = [(layer, a, b, i, j, float((layer + 2 * a + 3 * b + i * j + i) % 7)) for layer in range(2) for a in range(2) for b in range(2) for i in range(5) for j in range(5)]
+    m = spark.createDataFrame(rows, "layer int, a int, b int, i int, j int, v double")
+    w = spark.createDataFrame([(a, b, 1.0 + a - 0.5 * b) for a in range(2) for b in range(2)], "a int, b int, w double")
+    one, two = ({(r.i, r.j): r.v for r in correlate.pair_map(m, m, w, w, 5, -0.5, route=route).collect()} for route in ("pairs", "dft"))
+    assert one.keys() == two.keys()
+    assert all(abs(one[k] - two[k]) < 1e-8 for k in one)
+
+
+def test_two_systems_stay_apart(spark):
+    from tessera.operators import broaden, mesh
+
+    e = spark.createDataFrame([("a", 0, 0, 0, 1.0), ("b", 0, 0, 0, 1.0), ("b", 0, 0, 1, 1.0)], "system_id string, i int, j int, band int, energy double")
+    got = {r.system_id: r.v for r in broaden.spectral_weight(e, [1.0], 0.5).collect()}
+    assert got["b"] == pytest.approx(2 * got["a"])
+    grid = spark.createDataFrame([("a", 1, 0), ("b", 1, 0)], "system_id string, i int, j int")
+    bases = spark.createDataFrame([("a", 1.0, 0.0, 0.0, 1.0), ("b", 2.0, 0.0, 0.0, 2.0)], "system_id string, b00 double, b01 double, b10 double, b11 double")
+    assert {r.system_id: (r.x, r.y) for r in mesh.placed(grid, 2, bases).collect()} == {"a": (0.0, -0.5), "b": (0.0, -1.0)}
+    with pytest.raises(Exception, match="several bases"):
+        mesh.placed(grid.drop("system_id"), 2, bases.drop("system_id")).collect()
