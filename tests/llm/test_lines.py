@@ -95,3 +95,8 @@ def test_cuckoo():
     assert c.holds(k[0][5000:], k[1][5000:]).all()
     assert c.holds(k[0][:5000], k[1][:5000]).mean() < 0.01
     assert not lines.Cuckoo.for_keys(10).insert(k[0][:200], k[1][:200])
+
+
+def test_clashing_columns(spark, documents, corpus):
+    docs = documents(corpus).withColumns({c: F.lit("x") for c in ("shard", "k1", "k2", "lose", "first_doc", "n_lines", "filter")})
+    assert result(lines.deduplicated(docs, shards=4)) == brute_force(corpus)

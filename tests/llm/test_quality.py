@@ -86,3 +86,20 @@ def test_calibration_is_honest():
     a, b = quality.calibrated(raw, y)
     assert abs(a - 0.5) < 0.05
     assert abs(b - 1) < 0.1
+
+
+def test_repeated_labels_nulls_and_clashing_columns(spark):
+    """A document labelled twice counts once, as the worse; null source, lang, length and text have scores; extra columns do not matter."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"good plain words number {i} about the garden and the sea" if i % 2 else "spam ! buy | now % " * 5, None if i % 5 == 0 else "en", None if i % 7 == 0 else "a", None if i % 3 == 0 else 40) for i in range(200)]
+    rows += [(500, None, None, None, None), (None, "no id here", "en", "a", 3), (7, rows[7][1], "en", "a", 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(160)] + [(7, 0, 1), (9, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    plain = sorted((tuple(r) for r in quality.rated(docs, labels).collect()), key=repr)
+    clash = docs.withColumns({c: F.lit("x") for c in ("good", "score", "keep", "views", "meta", "bucket")})
+    assert sorted((tuple(r) for r in quality.rated(clash, labels).collect()), key=repr) == plain
+    assert len(plain) == len(rows)
+    assert all(0 <= p <= 1 for r in plain for p in r[1:4])
+    once = labels.where("not (doc_id = 7 and quality = 1)")
+    assert sorted((tuple(r) for r in quality.rated(docs, once).collect()), key=repr) == plain

@@ -51,3 +51,10 @@ def test_empty_tables(spark):
     p = pages(spark, [])
     assert urls.judged(p, urls.word_list(p)).count() == 0
     assert urls.judged(pages(spark), urls.word_list(p)).where("is_listed").count() == 0
+
+
+def test_very_long_urls_and_hosts(spark):
+    rows = [(1, "http://" + "a" * 100_000 + ".org/x"), (2, "http://h.com/fr/" + "p/" * 200_000), (3, "x" * 300_000), (4, "://" + "?" * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: (len(r.host), len(r.path), r.rule, r.verdict) for r in urls.judged(pages, urls.word_list(pages)).collect()}
+    assert got == {1: (100_004, 2, "org/", "allow"), 2: (5, 400_004, "com/fr/", "allow"), 3: (0, 0, None, "allow"), 4: (0, 0, None, "allow")}
