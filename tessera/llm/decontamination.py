@@ -1,16 +1,20 @@
 """Benchmark decontamination: a BM25 inverted index of test items, read with block-max bounds by every training passage.
 
 An item's own BM25 score against itself is 1; a passage (PASSAGE words, half overlapping with the next) retrieves every item that it
-scores at least RETRIEVE against. Items stand in blocks; a block's bound for a passage is the sum of its words' largest
-weights in the block. Blocks whose bound is under the threshold are skipped unread (the pivot test of block-max WAND, made for a
-whole batch of passages at once as array sums); only the postings of the other blocks are scored. A retrieved item is then
+scores at least RETRIEVE against. Posting lists are sorted by item, with their largest weight as a whole and in each block of items.
+Retrieval is block-max WAND: cursors on the lists of a passage's words, in the order of the items they stand at; the pivot is the first item
+where the running sum of list maxima reaches the threshold; a pivot whose block maxima do not reach it moves the cursors past that block; else lists
+before it jump to it, and once all stand there it is scored. As all items above a fixed threshold are wanted, the threshold never rises. The sums of
+block maxima, which no order of reading changes, are first taken for many passages at once: most passages have no block left and get no cursors.
+A retrieved item is then
 verified on five-word shingles of the whole document: at least 0.8 of the item's, and at least half of those of its
 question and of its answer. Without a column for it, the last third of an item's words stands for its
-answer; with one, question and answer may stand apart in a document. With short_parts, as the query and the pipeline have it, a part of fewer
+answer; with one, question and answer are indexed apart and may stand apart in a document. With short_parts, as the query and the pipeline have it, a part of fewer
 than five words is looked up as a run of its own length; without, only among runs of five, where a longer document never has it.
 
-Scale: documents are read once, whole, without a shuffle. The index is built from a benchmark, in slices of at most SLICE items, each a
-bounded broadcast; a larger benchmark takes one Python stage for each slice, all in one pass over the documents.
+Scale: documents are read once, whole, without a shuffle. Document frequencies and the mean length are counted by Spark over the whole benchmark, so
+scores do not depend on slices. The index is built by Spark tasks in slices of about SLICE items or SLICE_BYTES bytes (a single larger item is a slice of its own size), each
+a bounded broadcast; a larger benchmark takes one Python stage for each slice, all in one pass over the documents.
 
 Edge cases: a null or empty text, and one without words, is clean. An item without words matches nothing; one with fewer than five words
 is a single shingle, its whole sequence (with short_parts anywhere in a document), and so is a document of fewer than five words. Repeated items each count. Repeated rows are judged each;
@@ -19,12 +23,15 @@ a null doc_id is a row like others. Empty tables: an empty benchmark leaves all
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, shingle_hashes, table, with_columns
+from .common import Words, discard, shingle_hashes, small, table, with_columns, written
 
 PASSAGE = 128
 RETRIEVE = 0.5
@@ -33,7 +40,7 @@ ANSWER_PART = 1 / 3
 K1, B = 1.2, 0.75
 #: Items in a block, or more where that would make over BLOCKS blocks.
 BLOCK, BLOCKS = 2, 128
-SLICE = 20_000
+SLICE, SLICE_BYTES = 20_000, 8 << 20
 _CHUNK = PASSAGE // 2
 
 
@@ -50,57 +57,110 @@ def _hasher() -> Words:
     return w
 
 
-def build_index(items: list[tuple[int, str, str | None]]) -> dict:
-    """items: (item_id, text or question, answer or None). Long items are indexed in chunks of half a passage."""
+def _chunked(hasher: Words, text: str | None, answer: str | None) -> tuple[np.ndarray, int, list[np.ndarray]]:
+    """An item's words, where its answer begins, and what is indexed: runs of half a passage, apart for an answer of its own."""
+    words, bounds = hasher.of_texts([(text or "").encode("utf-8", "replace"), (answer or "").encode("utf-8", "replace")])
+    cut = int(bounds[1]) if answer else len(words) - int(len(words) * ANSWER_PART)
+    parts = (words[:cut], words[cut:]) if answer else (words,)
+    return words, cut, [part[at : at + _CHUNK] for part in parts for at in range(0, len(part), _CHUNK)]
+
+
+def build_index(items: list[tuple[int, str, str | None]], df: tuple[np.ndarray, np.ndarray] | None = None, n: int | None = None, mean: float | None = None) -> dict:
+    """items: (item_id, text or question, answer or None).
+
+    df (sorted words, the number of chunks with each), n (chunks) and mean (words in a chunk) are those of the whole benchmark; by default of these items."""
     hasher = _hasher()
     ids, whole, asked, answered, runs, chunks, chunk_of = [], [], [], [], [], [], []
     for item, text, answer in items:
-        words, bounds = hasher.of_texts([(text or "").encode("utf-8", "replace"), (answer or "").encode("utf-8", "replace")])
-        cut = bounds[1] if answer else len(words) - int(len(words) * ANSWER_PART)
+        words, cut, mine = _chunked(hasher, text, answer)
         if len(words):
-            for at in range(0, len(words), _CHUNK):
-                chunks.append(words[at : at + _CHUNK])
-                chunk_of.append(len(ids))
+            chunks += mine
+            chunk_of += [len(ids)] * len(mine)
             ids.append(item)
             asked.append(shingle_hashes(words[:cut]))
             answered.append(shingle_hashes(words[cut:]))
-            runs.append({min(5, n) for n in (len(words), cut, len(words) - cut) if n} | {5})
+            runs.append({min(5, k) for k in (len(words), cut, len(words) - cut) if k} | {5})
             whole.append(np.concatenate((asked[-1], answered[-1])) if answer else shingle_hashes(words))
     vocabulary = np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, np.uint64)
-    n, mean = len(chunks), np.mean([len(c) for c in chunks]) if chunks else 1.0
-    df, rows = np.zeros(len(vocabulary)), []
-    for c in chunks:
-        t, tf = np.unique(np.searchsorted(vocabulary, c), return_counts=True)
-        df[t] += 1
-        rows.append((t, tf, len(c)))
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    terms, docs, weights = [], [], []
-    size_of_block = max(BLOCK, -(-n // BLOCKS))
-    bound = np.zeros((len(vocabulary), max(1, -(-n // size_of_block))), np.float32)
-    for d, (t, tf, size) in enumerate(rows):
-        w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
-        w = (w / w.sum()).astype(np.float32)
-        bound[t, d // size_of_block] = np.maximum(bound[t, d // size_of_block], w)
-        terms.append(t)
-        docs.append(np.full(len(t), d))
-        weights.append(w)
-    flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (terms, docs, weights)]
-    order = np.lexsort((flat[1], flat[0]))
+    each = [np.unique(np.searchsorted(vocabulary, c), return_counts=True) for c in chunks]
+    sizes = np.array([len(c) for c in chunks], float)
+    n, mean = n or len(chunks), mean or (sizes.mean() if chunks else 1.0)
+    term = np.concatenate([t for t, _ in each]) if chunks else np.zeros(0, np.int64)
+    tf = np.concatenate([f for _, f in each]) if chunks else np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(chunks)), [len(t) for t, _ in each])
+    known = np.bincount(term, minlength=len(vocabulary)) if df is None else df[1][np.searchsorted(df[0], vocabulary)]
+    w = np.log1p((n - known + 0.5) / (known + 0.5))[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
+    w = (w / np.bincount(doc, w, len(chunks))[doc]).astype(np.float32)
+    order = np.lexsort((doc, term))
+    term, doc, w = term[order], doc[order], w[order]
+    block = max(BLOCK, -(-len(chunks) // BLOCKS))
+    blocks = max(1, -(-len(chunks) // block))
+    key, starts = np.unique(term * blocks + doc // block, return_index=True)
+    bound = np.maximum.reduceat(w, starts) if len(w) else w
+    posting_at = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+    block_at = np.searchsorted(key, np.arange(len(vocabulary) + 1) * blocks)
+    # Lists in at least a quarter of the blocks also have their maxima as rows of a matrix, at most four times the size of the list itself.
+    long = np.flatnonzero(np.diff(block_at) * 4 >= blocks)
+    row = np.zeros(len(vocabulary), np.int64)
+    row[long] = np.arange(1, len(long) + 1)
+    rows = np.zeros((len(long) + 1, blocks), np.float32)
+    mine = row[key // blocks]
+    rows[mine, key % blocks] = bound
+    rows[0] = 0
     return {
-        "ids": np.array(ids, np.int64), "whole": whole, "asked": asked, "answered": answered, "runs": runs, "chunk_of": np.array(chunk_of, np.int64), "n": n, "block": size_of_block,
-        "vocabulary": vocabulary, "bound": bound, "posting_at": np.searchsorted(flat[0][order], np.arange(len(vocabulary) + 1)), "posting_doc": flat[1][order], "posting_weight": flat[2][order],
+        "ids": np.array(ids, np.int64), "whole": whole, "asked": asked, "answered": answered, "runs": runs, "chunk_of": np.array(chunk_of, np.int64), "n": len(chunks), "block": block, "blocks": blocks,
+        "vocabulary": vocabulary, "posting_at": posting_at, "posting_doc": doc, "posting_weight": w, "posting_key": term * max(1, len(chunks)) + doc,
+        "most": np.maximum.reduceat(w, posting_at[:-1]) if len(w) else w, "block_at": block_at, "block_key": key, "bound": bound, "row": row, "rows": rows,
     }
 
 
-def _retrieved(index: dict, terms: np.ndarray, blocks: np.ndarray, threshold: float) -> np.ndarray:
-    """Chunks in the given blocks that the distinct terms score at least the threshold against."""
-    first = index["posting_at"][terms]
-    many = index["posting_at"][terms + 1] - first
+def _block_sums(index: dict, t: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each run of terms (starts: where runs begin), the sum of their maxima in every block."""
+    out = np.add.reduceat(index["rows"][index["row"][t]], starts, axis=0)
+    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(t))))
+    few = np.flatnonzero(index["row"][t] == 0)
+    first = index["block_at"][t[few]]
+    many = index["block_at"][t[few] + 1] - first
     where = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
-    doc = index["posting_doc"][where]
-    read = blocks[doc // index["block"]]
-    scores = np.bincount(doc[read], index["posting_weight"][where[read]], index["n"])
-    return np.flatnonzero(scores >= threshold - 1e-6)
+    at = np.repeat(run[few], many) * index["blocks"] + index["block_key"][where] % index["blocks"]
+    return out + np.bincount(at, index["bound"][where], out.size).reshape(out.shape)
+
+
+def wand(index: dict, terms: np.ndarray, live: np.ndarray, threshold: float) -> list[int]:
+    """The chunks that the distinct terms score at least the threshold against. live: blocks that may hold one (others are jumped over)."""
+    n, block, blocks = index["n"], index["block"], index["blocks"]
+    docs, keys, end = index["posting_doc"], index["posting_key"], index["posting_at"][terms + 1]
+    most, hits = index["most"][terms].astype(float), []
+    following = np.append(np.where(live, np.arange(blocks), blocks), blocks)
+    following = np.minimum.accumulate(following[::-1])[::-1]  # the first live block from each on
+
+    def stand(lists, target):  # cursors of these lists at their first posting from target on
+        at[lists] = np.searchsorted(keys, terms[lists] * n + target)
+        inside = at[lists] < end[lists]
+        doc[lists] = np.where(inside, docs[np.minimum(at[lists], len(docs) - 1)], n)
+
+    at, doc = np.empty(len(terms), np.int64), np.empty(len(terms), np.int64)
+    stand(np.arange(len(terms)), 0)
+    while True:
+        order = np.argsort(doc, kind="stable")
+        p = int(np.searchsorted(np.cumsum(most[order]), threshold - 1e-6))
+        if p == len(order) or (pivot := int(doc[order[p]])) == n:
+            return hits
+        reached = int(np.searchsorted(doc[order], pivot, side="right"))
+        lists, b = order[:reached], pivot // block
+        if not live[b]:
+            stand(lists, min(n, int(following[b]) * block))
+            continue
+        key = terms[lists] * blocks + b
+        where = np.minimum(np.searchsorted(index["block_key"], key), len(index["block_key"]) - 1)
+        if index["bound"][where][index["block_key"][where] == key].sum(dtype=float) < threshold - 1e-6:
+            stand(lists, min((b + 1) * block, int(doc[order[reached]]) if reached < len(order) else n))
+        elif doc[order[0]] == pivot:
+            if index["posting_weight"][at[lists]].sum(dtype=float) >= threshold - 1e-6:
+                hits.append(pivot)
+            stand(lists, pivot + 1)
+        else:
+            stand(lists[doc[lists] < pivot], pivot)
 
 
 def candidates(index: dict, words: np.ndarray, bounds: np.ndarray, threshold: float = RETRIEVE) -> list[set[int]]:
@@ -122,16 +182,17 @@ def candidates(index: dict, words: np.ndarray, bounds: np.ndarray, threshold: fl
     starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
     seg_ids = seg[starts]
     ends = np.concatenate((starts[1:], [len(seg)]))
-    bound = np.empty((len(starts), index["bound"].shape[1]), np.float32)
-    for at in range(0, len(starts), 512):  # a few MB of bounds at a time
-        lo, hi = starts[at], ends[min(at + 512, len(ends)) - 1]
-        bound[at : at + 512] = np.add.reduceat(index["bound"][t[lo:hi]], starts[at : at + 512] - lo, axis=0)
+    sums = np.empty((len(starts), index["blocks"]), np.float32)
+    for at in range(0, len(starts), 256):  # a few MB at a time
+        lo, hi = starts[at], ends[min(at + 256, len(ends)) - 1]
+        sums[at : at + 256] = _block_sums(index, t[lo:hi], starts[at : at + 256] - lo)
     follows = np.concatenate(((seg_ids[1:] == seg_ids[:-1] + 1) & ~np.isin(seg_ids[1:], first), [False]))
-    both = bound.copy()
-    both[follows] += bound[1:][follows[:-1]]
-    for i in np.flatnonzero((both >= threshold - 1e-6).any(1)):
+    both = sums.copy()
+    both[follows] += sums[1:][follows[:-1]]
+    live = both >= threshold - 1e-5
+    for i in np.flatnonzero(live.any(1)):
         terms = np.unique(np.concatenate((t[starts[i] : ends[i]], t[starts[i + 1] : ends[i + 1]]))) if follows[i] else t[starts[i] : ends[i]]
-        if (hits := _retrieved(index, terms, both[i] >= threshold - 1e-6, threshold)).size:
+        if hits := wand(index, terms, live[i], threshold):
             found[int(np.searchsorted(first, seg_ids[i], side="right")) - 1].update(index["chunk_of"][hits].tolist())
     return found
 
@@ -174,20 +235,61 @@ def _pass(docs: DataFrame, index: dict, text_col: str, short_parts: bool) -> Dat
     return with_columns(docs, text_col, "items array<long>, overlap double", make)
 
 
+def _terms(items: DataFrame) -> DataFrame:
+    """(slice, term, size) of each chunk: its distinct words, and its number of words beside one of them."""
+
+    def make(batches):
+        hasher = _hasher()
+        for batch in batches:
+            part, text, answer = (batch.column(c).to_pylist() for c in ("slice", "text", "answer"))
+            for k, (x, y) in enumerate(zip(text, answer, strict=True)):
+                for chunk in _chunked(hasher, x, y)[2]:
+                    t = np.unique(chunk)
+                    size = np.zeros(len(t), np.int64)
+                    size[0] = len(chunk)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), part[k], np.int32)), pa.array(t.view(np.int64)), pa.array(size)], ["slice", "term", "size"])
+
+    return items.mapInArrow(make, "slice int, term long, size long")
+
+
+def indexes(items: DataFrame, slices: int) -> DataFrame:
+    """(slice, index): the index of each slice of items (item_id, text, answer, slice), over the statistics of all; built by Spark tasks."""
+    terms = written(_terms(items), "item-terms")
+    total = terms.agg(F.count_if(F.col("size") > 0).alias("n"), F.sum("size").alias("words")).first()
+    n, mean = int(total["n"]), float(total["words"] or 0) / max(1, total["n"])
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    of_slice = df.withColumn("slice", F.lit(0)) if slices == 1 else terms.select("slice", "term").distinct().join(small(df), "term")
+
+    def build(items: pd.DataFrame, df: pd.DataFrame) -> pd.DataFrame:
+        rows = [(int(i), *(x if isinstance(x, str) else None for x in (t, a))) for i, t, a in zip(items["item_id"], items["text"], items["answer"], strict=True)]
+        term, many = df["term"].to_numpy(np.int64).view(np.uint64), df["df"].to_numpy(np.int64)
+        order = np.argsort(term)
+        index = build_index(sorted(rows, key=repr), (term[order], many[order]), n, mean)
+        return pd.DataFrame({"slice": items["slice"].iloc[:1], "index": [pickle.dumps(index)]})
+
+    out = items.groupBy("slice").cogroup(of_slice.groupBy("slice")).applyInPandas(lambda left, right: build(left, right) if len(left) else pd.DataFrame({"slice": [], "index": []}), "slice int, index binary")
+    out = written(out, "item-index")
+    discard(terms)
+    return out
+
+
 def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", answer_col: str | None = None, short_parts: bool = False) -> DataFrame:
     """docs with items (ids of the leaked items, ascending), overlap (the largest share of an item's shingles), n_items and contaminated."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), (F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")).alias("answer"))
     items = items.where("item_id is not null")
-    slices = max(1, -(-items.count() // SLICE))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("answer"), F.lit(0))).alias("bytes")).first()
+    slices = max(1, -(-size["n"] // SLICE), -(-(size["bytes"] or 0) // SLICE_BYTES))
+    built = indexes(items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text", "answer"), F.lit(slices)).cast("int")), slices)
     out = docs.drop("items", "overlap", "n_items", "contaminated")
-    for k in range(slices):  # one slice of the benchmark at a time on the driver
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k) if slices > 1 else items
-        index = build_index(sorted(((r["item_id"], r["text"], r["answer"]) for r in mine.collect()), key=repr))
+    for k in range(slices):  # one bounded slice of the index at a time passes through the driver
+        row = built.where(F.col("slice") == k).select("index").first()
+        index = pickle.loads(row["index"]) if row else build_index([])
         if k:
             out = out.withColumnsRenamed({"items": f"items_{k}", "overlap": f"overlap_{k}"})
         out = _pass(out, index, text_col, short_parts)
         if k:
             out = out.withColumn("items", F.array_sort(F.array_union("items", f"items_{k}"))).withColumn("overlap", F.greatest("overlap", f"overlap_{k}")).drop(f"items_{k}", f"overlap_{k}")
+    discard(built)
     return out.withColumn("n_items", F.size("items")).withColumn("contaminated", F.size("items") > 0)
 
 

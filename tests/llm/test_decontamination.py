@@ -84,11 +84,62 @@ def test_bounds_hide_nothing(corpus):
     index = D.build_index([(i, t, None) for i, t in items])
     words_, bounds = D._hasher().of_texts([(t or "").encode() for _, t in docs[110:160]])
     with_bounds = D.candidates(index, words_, bounds)
-    index["bound"] = np.full_like(index["bound"], 1.0)
+    for bound in ("bound", "rows", "most"):
+        index[bound] = np.full_like(index[bound], 1.0)
     assert with_bounds == D.candidates(index, words_, bounds)
     assert sum(map(len, with_bounds)) > 20
 
 
+@pytest.mark.parametrize("block", [1, 2, 7, 1000])
+def test_wand_equals_scoring_everything(corpus, monkeypatch, block):
+    import numpy as np
+
+    monkeypatch.setattr(D, "BLOCK", block)
+    docs, items = corpus
+    index = D.build_index([(i, t, None) for i, t in items])
+    matrix = np.zeros((len(index["vocabulary"]), index["n"]))
+    term = np.repeat(np.arange(len(index["vocabulary"])), np.diff(index["posting_at"]))
+    matrix[term, index["posting_doc"]] = index["posting_weight"]
+    hasher, found = D._hasher(), 0
+    for _, text in docs[100:200]:
+        words_, _ = hasher.of_texts([text.encode()])
+        terms = np.flatnonzero(np.isin(index["vocabulary"], words_[:128]))
+        for threshold in (0.2, 0.5):
+            want = np.flatnonzero(matrix[terms].sum(0) >= threshold - 1e-6).tolist()
+            assert D.wand(index, terms, np.ones(index["blocks"], bool), threshold) == want
+            found += len(want)
+    assert found > 20
+
+
+def test_scores_do_not_depend_on_slices(spark, corpus):
+    """An index of a slice has the weights that the whole index has."""
+    import pickle
+
+    _, items = corpus
+    bench = spark.createDataFrame([(i, t, None) for i, t in items], "item_id long, text string, answer string")
+
+    def weights(slices):
+        out = {}
+        for r in D.indexes(bench.withColumn("slice", (F.col("item_id") % slices).cast("int")), slices).collect():
+            x = pickle.loads(r["index"])
+            term = x["posting_key"] // x["n"]
+            for t, d, w in zip(term, x["posting_doc"], x["posting_weight"], strict=True):
+                out.setdefault((int(x["ids"][x["chunk_of"][d]]), int(x["vocabulary"][t])), []).append(float(w))
+        return {k: sorted(v) for k, v in out.items()}
+
+    whole = weights(1)
+    for other in (weights(3), weights(5)):
+        assert other.keys() == whole.keys()
+        assert all(other[k] == pytest.approx(whole[k], rel=1e-5) for k in whole)
+
+
+def test_question_and_answer_far_apart(spark, documents):
+    filler = " ".join(f"f{i % 50}" for i in range(400))
+    bench = spark.createDataFrame([(1, "which old town has the tall tower", "the one by the green needle over there")], "item_id long, text string, reply string")
+    got = D.matched(documents([f"the one by the green needle over there {filler} which old town has the tall tower"]), bench, answer_col="reply")
+    assert [r["items"] for r in got.collect()] == [[1]]
+
+
 def test_answers_in_a_column(spark, documents):
     bench = spark.createDataFrame([(1, "what is the tall tower in that old town", "it is called the green needle by everyone there")], "item_id long, text string, reply string")
     both = "what is the tall tower in that old town it is called the green needle by everyone there"
