@@ -7,8 +7,10 @@ inserted and deleted at any time: the counts of the keys concerned are taken aga
 leave a count of two enter or leave their filter, and the result is that of a build from the remaining documents.
 
 Scale: keys are spread evenly over shards by their hash and appear once in the counts, so a filter build never sees a
-hot group; counting is combined before the shuffle. Filters are broadcast in blocks of at most FILTER_BLOCK bytes, one
-pass over the (narrow) references for each block. Texts are shuffled once, to meet the keys that they lose.
+hot group; counting is combined before the shuffle. A build takes SHARDS shards, doubled until they have SHARD_KEYS repeated keys each at most
+on average; insertions that outgrow this double them again. References are asked where they are if all filters together have at most FILTER_BLOCK
+bytes, which are broadcast; else they are shuffled once, narrow, by shard and a salt (about ASKED references for each, however often one line occurs), and
+meet a copy of their shard's filter there. Either way they are read once. Texts are shuffled once, to meet the keys that they lose.
 
 Edge cases: a null or empty text is one empty line. Rows with a null doc_id neither count nor lose lines. Repeated rows of a
 doc_id are one document for counting. Ties do not occur: the smallest doc_id keeps a key. An empty table gives an empty result.
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from .common import BLANKS, mixed, small_batches, table, written
 
 LEAST_CHARS = 10
-SHARDS = 64
+SHARDS, SHARD_KEYS = 64, 1 << 20
 FILTER_BLOCK = 32 << 20
+ASKED = 1 << 20
 _STRIP = BLANKS.encode()
 _KEYS = "shard int, k1 long, k2 long, doc_id long"
 
@@ -132,17 +135,23 @@ def _built(k1: np.ndarray, k2: np.ndarray) -> Cuckoo:
 
 @dataclass
 class LineIndex:
-    """refs: (shard, k1, k2, doc_id); counts: (shard, k1, k2, n_docs, first_doc) of repeated keys; filters: (shard, filter)."""
+    """refs: (shard, k1, k2, doc_id); counts: (shard, k1, k2, n_docs, first_doc) of repeated keys; filters: (shard, filter); shards: how many."""
 
     refs: DataFrame
     counts: DataFrame
     filters: DataFrame
+    shards: int
 
 
 def _counted(refs: DataFrame) -> DataFrame:
     return refs.groupBy("shard", "k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
+def _in_shards(df: DataFrame, shards: int) -> DataFrame:
+    """df with its shard among that many, as references() has it."""
+    return df.withColumn("shard", (F.shiftrightunsigned("k1", 32) % shards).cast("int"))
+
+
 def _filters(counts: DataFrame) -> DataFrame:
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "filter": [_built(pdf["k1"].to_numpy(), pdf["k2"].to_numpy()).to_bytes()]})
@@ -150,11 +159,24 @@ def _filters(counts: DataFrame) -> DataFrame:
     return counts.select("shard", "k1", "k2").groupBy("shard").applyInPandas(build, "shard int, filter binary")
 
 
+def _enough(n_keys: int, shards: int) -> int:
+    while n_keys > shards * SHARD_KEYS:
+        shards *= 2
+    return shards
+
+
 def built(docs: DataFrame, shards: int = SHARDS) -> LineIndex:
-    """The index of all documents. shards: about one for each million repeated keys or more, so that a shard fits a task."""
+    """The index of all documents. shards: how many at least; doubled until a shard has SHARD_KEYS repeated keys or fewer on average."""
     refs = written(references(docs, shards).distinct(), "line-refs")
     counts = written(_counted(refs).where("n_docs > 1"), "line-counts")
-    return LineIndex(refs, counts, written(_filters(counts), "line-filters"))
+    return _spread(LineIndex(refs, counts, counts, shards))
+
+
+def _spread(index: LineIndex) -> LineIndex:
+    """The index with its filters built from the counts, in as many shards as these need; the shard of a row is worked out where it is read."""
+    shards = _enough(index.counts.count(), index.shards)
+    refs, counts = (df if shards == index.shards else _in_shards(df, shards) for df in (index.refs, index.counts))
+    return LineIndex(refs, counts, written(_filters(counts), "line-filters"), shards)
 
 
 def _changed(index: LineIndex, refs: DataFrame, touched: DataFrame) -> LineIndex:
@@ -163,6 +185,8 @@ def _changed(index: LineIndex, refs: DataFrame, touched: DataFrame) -> LineIndex
     touched = touched.select(keys).distinct()
     again = written(_counted(refs.join(touched, keys, "left_semi")).where("n_docs > 1"), "line-again")
     counts = written(index.counts.join(touched, keys, "left_anti").unionByName(again), "line-counts")
+    if _enough(counts.count(), index.shards) > index.shards:
+        return _spread(LineIndex(refs, counts, counts, index.shards))
     before = index.counts.join(touched, keys, "left_semi").select(*keys)
     moves = again.select(keys).join(before, keys, "left_anti").withColumn("move", F.lit(1)).union(before.join(again, keys, "left_anti").withColumn("move", F.lit(-1)))
 
@@ -176,11 +200,14 @@ def _changed(index: LineIndex, refs: DataFrame, touched: DataFrame) -> LineIndex
     grown = written(index.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(change, "shard int, filter binary, full boolean"), "line-filters")
     full = grown.where("full").select("shard")
     anew = _filters(counts.join(full, "shard", "left_semi"))  # from the exact counts, larger
-    return LineIndex(refs, counts, written(grown.where("not full").drop("full").unionByName(anew), "line-filters"))
+    return LineIndex(refs, counts, written(grown.where("not full").drop("full").unionByName(anew), "line-filters"), index.shards)
 
 
-def inserted(index: LineIndex, docs: DataFrame, shards: int = SHARDS) -> LineIndex:
-    new = written(references(docs, shards).distinct().join(index.refs, ["shard", "k1", "k2", "doc_id"], "left_anti"), "line-new")
+def inserted(index: LineIndex, docs: DataFrame, shards: int | None = None) -> LineIndex:
+    """The index with these documents too. Its own shards hold; a number given must be theirs."""
+    if shards not in (None, index.shards):
+        raise ValueError(f"the index has {index.shards} shards")
+    new = written(references(docs, index.shards).distinct().join(index.refs, ["shard", "k1", "k2", "doc_id"], "left_anti"), "line-new")
     return _changed(index, written(index.refs.unionByName(new), "line-refs"), new)
 
 
@@ -189,33 +216,46 @@ def deleted(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
     return _changed(index, written(index.refs.join(doc_ids.select("doc_id"), "doc_id", "left_anti").select(index.refs.columns), "line-refs"), gone)
 
 
+def _held(cuckoos: dict[int, Cuckoo], batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The references of the batch (shard, k1, k2, ...) that the filters do not rule out."""
+    shard, k1, k2 = (batch.column(c).to_numpy() for c in range(3))
+    hit = np.zeros(len(shard), bool)
+    for s in np.unique(shard):
+        if s in cuckoos:
+            mine = np.flatnonzero(shard == s)
+            hit[mine] = cuckoos[s].holds(k1[mine], k2[mine])
+    return batch.filter(pa.array(hit))
+
+
 def possible_repeats(refs: DataFrame, filters: DataFrame) -> DataFrame:
-    """The references that their shard's filter does not rule out. The filters of up to FILTER_BLOCK bytes are broadcast at once."""
-    sc = refs.sparkSession.sparkContext
-    sizes = filters.select("shard", F.length("filter").alias("n")).orderBy("shard").collect()  # one small row for each shard
-    found, block, total = [], [], 0
-    for i, row in enumerate(sizes):
-        block.append(row["shard"])
-        total += row["n"]
-        if total >= FILTER_BLOCK or i == len(sizes) - 1:
-            held = sc.broadcast({r["shard"]: bytes(r["filter"]) for r in filters.where(F.col("shard").isin(block)).collect()})
-
-            def probe(batches, held=held):
-                cuckoos = {s: Cuckoo.from_bytes(f) for s, f in held.value.items()}
-                for batch in batches:
-                    shard, k1, k2 = (batch.column(c).to_numpy() for c in range(3))
-                    hit = np.zeros(len(shard), bool)
-                    for s in np.unique(shard):
-                        mine = np.flatnonzero(shard == s)
-                        hit[mine] = cuckoos[s].holds(k1[mine], k2[mine]) if s in cuckoos else False
-                    yield batch.filter(pa.array(hit))
-
-            found.append(refs.where(F.col("shard").isin(block)).select("shard", "k1", "k2", "doc_id").mapInArrow(probe, _KEYS))
-            block, total = [], 0
-    out = found[0] if found else refs.where("false").select("shard", "k1", "k2", "doc_id")
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+    """The references that their shard's filter does not rule out."""
+    refs = refs.select("shard", "k1", "k2", "doc_id")
+    if (filters.agg(F.sum(F.length("filter"))).first()[0] or 0) > FILTER_BLOCK:
+        return _met(refs, filters)
+    held = refs.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in filters.collect()})  # FILTER_BLOCK bytes at most
+
+    def probe(batches):
+        cuckoos = {s: Cuckoo.from_bytes(f) for s, f in held.value.items()}
+        for batch in batches:
+            yield _held(cuckoos, batch)
+
+    return refs.mapInArrow(probe, _KEYS)
+
+
+def _met(refs: DataFrame, filters: DataFrame) -> DataFrame:
+    """possible_repeats without a broadcast: references and copies of the filters meet by shard and salt."""
+    salts = refs.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("salts"))  # one narrow row for each shard
+    salts = F.broadcast(written(salts, "line-salts"))
+    left = refs.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).drop("salts")
+    right = filters.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "filter")
+
+    def ask(mine: pa.Table, filters: pa.Table) -> pa.Table:
+        if not filters.num_rows:
+            return mine.select(["shard", "k1", "k2", "doc_id"]).slice(0, 0)
+        cuckoos = {filters.column("shard")[0].as_py(): Cuckoo.from_bytes(filters.column("filter")[0].as_py())}
+        return pa.Table.from_batches([_held(cuckoos, b) for b in mine.select(["shard", "k1", "k2", "doc_id"]).to_batches()], mine.select(["shard", "k1", "k2", "doc_id"]).schema)
+
+    return left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInArrow(ask, _KEYS)
 
 
 _KEPT = "doc_id long, n_lines long, n_dropped long, text string"

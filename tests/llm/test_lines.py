@@ -74,6 +74,35 @@ def test_query_hashes_the_kept_text(spark, documents, corpus, tmp_path):
     assert {r.doc_id: r.kept_sha256 for r in lines.op5_line_dedup(spark, str(tmp_path)).collect()} == want
 
 
+def test_shards_grow_with_the_keys(spark, documents, corpus, monkeypatch):
+    monkeypatch.setattr(lines, "SHARD_KEYS", 3)
+    first, later = corpus[:10], corpus[10:]
+    index = lines.built(documents(first), 1)
+    assert index.shards > 1
+    more = lines.inserted(index, documents(later))
+    assert more.shards > index.shards
+    assert more.counts.where(F.col("shard") >= more.shards).count() == 0
+    assert more.filters.count() > index.filters.count()
+    assert result(lines.without_repeats(documents(corpus), more)) == brute_force(corpus)
+    gone = {d for d, _ in corpus if d % 4 == 0}
+    less = lines.deleted(more, spark.createDataFrame([(d,) for d in gone], "doc_id long"))
+    rest = [(d, t) for d, t in corpus if d not in gone]
+    assert result(lines.without_repeats(documents(rest), less)) == brute_force(rest)
+    with pytest.raises(ValueError, match="shards"):
+        lines.inserted(more, documents(later), more.shards + 1)
+
+
+@pytest.mark.parametrize("asked", [10, 1 << 20])
+def test_filters_too_large_to_broadcast(spark, documents, corpus, monkeypatch, asked):
+    monkeypatch.setattr(lines, "FILTER_BLOCK", 1)
+    monkeypatch.setattr(lines, "ASKED", asked)
+    docs = documents(corpus)
+    assert result(lines.deduplicated(docs, shards=4)) == brute_force(corpus)
+    hot = documents([(d, f"the same line in each of them\nown line of number {d}") for d in range(200)])
+    dropped = {r.doc_id: r.n_dropped for r in lines.deduplicated(hot, shards=4).collect()}
+    assert dropped == {d: int(d > 0) for d in range(200)}
+
+
 def test_filter_blocks(spark, documents, corpus, monkeypatch):
     monkeypatch.setattr(lines, "FILTER_BLOCK", 1)
     docs = documents(corpus)
