@@ -1,14 +1,15 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
-The text view sees what a document says: shares of character classes, repetition of words and shingles, and how many of its distinct words
-are marked, that is, common among bad and rare among good labelled documents. The metadata view sees the source, the language code,
+The text view sees what a document says: which of NGRAMS telling n-grams it has (words and pairs of neighbours, each kind hashed into BUCKETS buckets
+of its own; half are those that tell good from bad labelled documents best by chi-squared, half those rarest among good ones for their number among
+bad ones), shares of character classes, and repetition of words and shingles. The metadata view sees the source, the language code,
 the stated length and the shape of the page (lines and line lengths). Both are logistic regressions. Over ROUNDS rounds each
 view labels the pool documents that it is most confident about, and the other view learns from them; then each view is
 calibrated on labelled documents that no training saw, and the calibrated log-odds are added to score every document. A document is kept
 if its score reaches the cut that keeps KEEP_GOOD of the good calibration documents, and at most one half.
 
 Good means quality 1 and toxic 0. Fit: at most LABELLED labelled and POOL unlabelled documents, chosen by a hash of doc_id (documented
-bounds); only their feature rows, some forty numbers each, reach the driver. Scoring is one pass over all texts, whole,
+bounds); only their feature rows, some three hundred numbers each, reach the driver: unlabelled documents beyond POOL do not change the model, and get scores from it. Scoring is one pass over all texts, whole,
 without a shuffle; the model is a few kB.
 
 Edge cases: null texts count as empty, null source and language as values of their own, a null length as the text's own. Without labels of both
@@ -32,19 +33,19 @@ ROUNDS = 3
 CONFIDENT = 0.95
 PSEUDO_WEIGHT = 0.5
 KEEP_GOOD = 0.995
-BUCKETS = 1 << 16
+BUCKETS, NGRAMS = 1 << 17, 256
+#: The least chi-squared of an n-gram: about the largest that one of 10,000 n-grams without a bearing reaches.
+LEAST_CHI = 15.0
 SOURCES, LANGS = 32, 16
-_CLASSES = 16
+_CLASSES = 8
 _U = np.uint64
-# Byte classes: 0 other signs, 1 lower, 2 upper, 3 digit, 4 blank, 5 newline, 6 bytes beyond ASCII, then single signs.
-_SIGNS = "!|%&#$*@."
 
 
 def _byte_classes() -> np.ndarray:
+    """0 control signs, 1 lower, 2 upper, 3 digit, 4 blank, 5 newline, 6 bytes beyond ASCII, 7 all other ASCII signs."""
     out = np.zeros(256, np.uint8)
+    out[33:127] = 7
     out[97:123], out[65:91], out[48:58], out[[9, 11, 12, 13, 32]], out[10], out[128:] = 1, 2, 3, 4, 5, 6
-    for i, c in enumerate(_SIGNS):
-        out[ord(c)] = 7 + i
     return out
 
 
@@ -57,11 +58,13 @@ def _plain_words() -> Words:
 
 
 def _bucketed(words: np.ndarray) -> np.ndarray:
-    return np.unique((words >> _U(40)) % _U(BUCKETS)).astype(np.int64)
+    """The distinct buckets of a text's words, and, after those, of its pairs of neighbours."""
+    pairs = shingle_hashes(words, 2) if len(words) > 1 else words[:0]
+    return np.concatenate([np.unique((g >> _U(40)) % _U(BUCKETS)).astype(np.int64) + k * BUCKETS for k, g in enumerate((words, pairs))])
 
 
 def text_features(texts: list[bytes], hasher: Words, classes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Per text, a row of numbers; and its distinct word buckets."""
+    """Per text, a row of numbers; and its distinct n-gram buckets."""
     sizes = np.array([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), np.uint8)
     owner = np.repeat(np.arange(len(texts)), sizes)
@@ -181,15 +184,15 @@ def _columns(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(chars_col).cast("long").alias("n_chars"))
 
 
-def marked_words(docs: DataFrame, known: DataFrame, least: int = 5, ratio: float = 8.0) -> np.ndarray:
-    """Word buckets that are common among bad documents (at least `least` of them) and `ratio` times rarer among good ones.
+def telling_ngrams(docs: DataFrame, known: DataFrame, least: int = 5) -> np.ndarray:
+    """The chosen n-gram buckets, ascending: NGRAMS at most, none under LEAST_CHI, ties by number, those of the second half in at least `least` bad documents and 0.5 % of them.
 
-    known: doc_id and good, few enough to broadcast. The counts are summed by Spark; at most two for each bucket are collected."""
+    known: doc_id and good, few enough to broadcast. The counts are summed by Spark; one row for each bucket in `least` documents is collected."""
 
     def count(batches):
         hasher = _plain_words()
         for batch, texts in _batches(batches):
-            seen = np.zeros((2, BUCKETS), np.int64)
+            seen = np.zeros((2, 2 * BUCKETS), np.int64)
             words, bounds = hasher.of_texts(texts)
             for k, good in enumerate(batch.column("good").to_pylist()):
                 seen[good, _bucketed(words[bounds[k] : bounds[k + 1]])] += 1
@@ -197,30 +200,38 @@ def marked_words(docs: DataFrame, known: DataFrame, least: int = 5, ratio: float
             yield pa.RecordBatch.from_arrays([pa.array(good.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(seen[good, bucket])], ["good", "bucket", "n"])
 
     rows = docs.join(F.broadcast(known), "doc_id").select("good", "text")  # at most LABELLED rows
-    sums = small_batches(rows).mapInArrow(count, "good int, bucket int, n long").groupBy("good", "bucket").agg(F.sum("n").alias("n")).collect()
-    seen = np.zeros((2, BUCKETS))
-    for r in sums:
-        seen[r["good"], r["bucket"]] = r["n"]
+    both = [F.sum(F.when(F.col("good") == g, F.col("n")).otherwise(0)).alias(f"n{g}") for g in (0, 1)]
+    sums = small_batches(rows).mapInArrow(count, "good int, bucket int, n long").groupBy("bucket").agg(*both).where(F.col("n0") + F.col("n1") >= least)
+    sums = sums.toArrow().sort_by("bucket")  # twice BUCKETS narrow rows at most
+    bucket, in_bad, in_good = (sums.column(c).to_numpy().astype(float) for c in ("bucket", "n0", "n1"))
     n = {r["good"]: r["n"] for r in known.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = max(1, n.get(0, 0)), max(1, n.get(1, 0))
-    return (seen[0] >= max(least, 0.005 * bad)) & (seen[0] / bad >= ratio * (seen[1] + 1) / good)
-
-
-def _features(batch: pa.RecordBatch, texts: list[bytes], hasher: Words, classes: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The text view's rows, with the number of distinct marked words, and the metadata view's."""
+    lift = in_bad / bad / ((in_good + 1) / good)
+    common = in_bad >= max(least, 0.005 * bad)
+    share = (in_bad + in_good) / (bad + good)
+    chi = (in_bad - bad * share) ** 2 / np.maximum(1e-9, share * (1 - share) * bad * good / (bad + good))
+    best = np.argsort(-chi, kind="stable")[: NGRAMS // 2]
+    best = best[chi[best] >= LEAST_CHI]
+    rest = np.setdiff1d(np.flatnonzero(common & (chi >= LEAST_CHI)), best)
+    rest = rest[np.argsort(-lift[rest], kind="stable")][: NGRAMS - len(best)]
+    return np.sort(bucket[np.concatenate((best, rest))].astype(np.int64))
+
+
+def _features(batch: pa.RecordBatch, texts: list[bytes], hasher: Words, classes: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text view's rows, with the chosen n-grams, and the metadata view's."""
     x, buckets = text_features(texts, hasher, classes)
-    hits = np.array([marked[b].sum() for b in buckets], float)
     meta = meta_features(batch.column("source").to_pylist(), batch.column("lang").to_pylist(), batch.column("n_chars").to_pylist(), texts)
-    return np.hstack([x, np.log1p(hits)[:, None], (hits > 0)[:, None]]), meta
+    has = np.array([np.isin(told, b, assume_unique=True) for b in buckets], float).reshape(len(texts), len(told))
+    return np.hstack([x, has]), meta
 
 
-def _fit_rows(docs: DataFrame, chosen: DataFrame, marked: np.ndarray) -> DataFrame:
+def _fit_rows(docs: DataFrame, chosen: DataFrame, told: np.ndarray) -> DataFrame:
     """doc_id, good, and both views' features (as bytes) of the chosen documents; one row for each doc_id."""
 
     def features(batches):
         hasher, classes = _plain_words(), _byte_classes()
         for batch, texts in _batches(batches):
-            views = _features(batch, texts, hasher, classes, marked)
+            views = _features(batch, texts, hasher, classes, told)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), *(pa.array([r.astype(np.float32).tobytes() for r in v], pa.binary()) for v in views)], ["doc_id", "good", "text", "meta"])
 
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text", "source", "lang", "n_chars")  # at most LABELLED + POOL rows
@@ -237,15 +248,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
     pool = docs.select("doc_id").where("doc_id is not null").distinct().join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(POOL)
     some, chosen = written(some, "labelled"), written(some.union(pool.select("doc_id", F.lit(-1))), "chosen")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 1
-    marked = marked_words(docs, some.where(~held_out))
-    rows = sorted(_fit_rows(docs, chosen, marked).toLocalIterator(), key=lambda r: r["doc_id"])
+    told = telling_ngrams(docs, some.where(~held_out))
+    rows = sorted(_fit_rows(docs, chosen, told).toLocalIterator(), key=lambda r: r["doc_id"])
     if not rows:
         return None
     y = np.array([r["good"] for r in rows])
     held = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 4 == 1 for r in rows])
     text, meta = (np.vstack([np.frombuffer(r["views"][v], np.float32) for r in rows]).astype(float) for v in ("text", "meta"))
     model = co_trained(text, meta, y, held)
-    return model and model | {"marked": marked}
+    return model and model | {"told": told}
 
 
 def rated(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
@@ -262,7 +273,7 @@ def rated(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
                 p = [np.full(len(texts), 0.5)] * 3
                 keep = np.ones(len(texts), bool)
             else:
-                p = scored(m, *_features(batch, texts, hasher, classes, m["marked"]))
+                p = scored(m, *_features(batch, texts, hasher, classes, m["told"]))
                 keep = p[2] >= m["cut"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, p), pa.array(keep)], ["doc_id", "text_prob", "meta_prob", "score", "keep"])
 

@@ -103,3 +103,40 @@ def test_repeated_labels_nulls_and_clashing_columns(spark):
     assert all(0 <= p <= 1 for r in plain for p in r[1:4])
     once = labels.where("not (doc_id = 7 and quality = 1)")
     assert sorted((tuple(r) for r in quality.rated(docs, once).collect()), key=repr) == plain
+
+
+def test_telling_ngrams_equal_a_brute_force(spark, documents, monkeypatch):
+    """The counted and chosen n-grams are those of a plain count of words and pairs, bucket by bucket; a telling pair of plain words is among them."""
+    monkeypatch.setattr(quality, "NGRAMS", 8)
+    rng = random.Random(4)
+    docs, known = [], []
+    for i in range(300):
+        w = [rng.choice(WORDS) for _ in range(30)]
+        good = rng.random() < 0.7
+        at = rng.randrange(len(w))
+        w[at:at] = ["green", "moon"] if not good else ["moon", "green"]
+        docs.append((i, " ".join(w)))
+        known.append((i, int(good)))
+    got = quality.telling_ngrams(documents(docs), spark.createDataFrame(known, "doc_id long, good int"))
+    hasher, seen = quality._plain_words(), {}
+    for (_, t), (_, good) in zip(docs, known, strict=True):
+        for b in set(quality._bucketed(hasher.of_texts([t.encode()])[0]).tolist()):
+            seen.setdefault(b, [0, 0])[good] += 1
+    bad, fine = sum(g == 0 for _, g in known), sum(g for _, g in known)
+    chi, lift = {}, {}
+    for b, (x, y) in seen.items():
+        if x + y >= 5:
+            share = (x + y) / len(docs)
+            c = (x - bad * share) ** 2 / max(1e-9, share * (1 - share) * bad * fine / len(docs))
+            if c < quality.LEAST_CHI:
+                continue
+            chi[b] = c
+            if x >= max(5, 0.005 * bad):
+                lift[b] = x / bad / ((y + 1) / fine)
+    best = sorted(chi, key=lambda b: (-round(chi[b], 9), b))[:4]
+    rest = sorted((b for b in lift if b not in best), key=lambda b: (-round(lift[b], 9), b))[:4]
+    assert got.tolist() == sorted(best + rest)
+    words, _ = hasher.of_texts([b"green moon"])
+    pair = quality._bucketed(words)[-1]
+    assert pair >= quality.BUCKETS
+    assert pair in got
