@@ -101,15 +101,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> dict:
-    """Newton's method on standardised features."""
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    z = np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
-    b = np.zeros(z.shape[1])
-    penalty = np.full(z.shape[1], ridge)
+    """Newton's method on standardised features, which are made again for a few thousand rows at a time: memory stays near that of x."""
+    mean, scale = x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-6
+    b = np.zeros(x.shape[1] + 1)
+    penalty = np.full(len(b), ridge)
     penalty[-1] = 1e-6
     for _ in range(30):
-        p = _sigmoid(z @ b)
-        step = np.linalg.solve((z * (weight * p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(penalty), z.T @ (weight * (y - p)) - penalty * b)
+        hessian, slope = np.diag(penalty), -penalty * b
+        for at in range(0, len(x), 4096):
+            some = slice(at, at + 4096)
+            z = np.hstack([np.clip((x[some] - mean) / scale, -8, 8), np.ones((len(x[some]), 1))])
+            p = _sigmoid(z @ b)
+            hessian += (z * (weight[some] * p * (1 - p) + 1e-9)[:, None]).T @ z
+            slope += z.T @ (weight[some] * (y[some] - p))
+        step = np.linalg.solve(hessian, slope)
         b += step
         if np.abs(step).max() < 1e-6:
             break
@@ -117,7 +122,8 @@ def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0)
 
 
 def log_odds(m: dict, x: np.ndarray) -> np.ndarray:
-    return np.clip((x - m["mean"]) / m["scale"], -8, 8) @ m["b"][:-1] + m["b"][-1]
+    parts = (x[at : at + 4096] for at in range(0, max(1, len(x)), 4096))
+    return np.concatenate([np.clip((part - m["mean"]) / m["scale"], -8, 8) @ m["b"][:-1] + m["b"][-1] for part in parts])
 
 
 def calibrated(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -254,7 +260,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
         return None
     y = np.array([r["good"] for r in rows])
     held = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 4 == 1 for r in rows])
-    text, meta = (np.vstack([np.frombuffer(r["views"][v], np.float32) for r in rows]).astype(float) for v in ("text", "meta"))
+    text, meta = (np.vstack([np.frombuffer(r["views"][v], np.float32) for r in rows]) for v in ("text", "meta"))
+    del rows
     model = co_trained(text, meta, y, held)
     return model and model | {"told": told}
 
