@@ -4,17 +4,19 @@ The text view sees what a document says: which of NGRAMS telling n-grams it has
 of its own; half are those that tell good from bad labelled documents best by chi-squared, half those rarest among good ones for their number among
 bad ones), shares of character classes, and repetition of words and shingles. The metadata view sees the source, the language code,
 the stated length and the shape of the page (lines and line lengths). Both are logistic regressions. Over ROUNDS rounds each
-view labels the pool documents that it is most confident about, and the other view learns from them; then each view is
+view labels the unlabelled documents that it is most confident about, and the other view learns from them; then each view is
 calibrated on labelled documents that no training saw, and the calibrated log-odds are added to score every document. A document is kept
 if its score reaches the cut that keeps KEEP_GOOD of the good calibration documents, and at most one half.
 
-Good means quality 1 and toxic 0. Fit: at most LABELLED labelled and POOL unlabelled documents, chosen by a hash of doc_id (documented
-bounds); only their feature rows, some three hundred numbers each, reach the driver: unlabelled documents beyond POOL do not change the model, and get scores from it. Scoring is one pass over all texts, whole,
-without a shuffle; the model is a few kB.
+Good means quality 1 and toxic 0. Fit: at most LABELLED labelled documents, chosen by a hash of doc_id (a documented bound); only their feature
+rows, some three hundred numbers each, reach the driver. All unlabelled documents take part: the texts are read once and leave about 100 bytes of features
+each in a table, and STEPS Newton steps a round take slopes and second derivatives summed by Spark over all confident rows of it. These rows weigh
+PSEUDO_WEIGHT each, but together at most POOL_SHARE times as much as the labelled ones, so that a corpus of any size leaves the labels their say. Scoring is a
+pass over the same table; the model is a few kB.
 
 Edge cases: null texts count as empty, null source and language as values of their own, a null length as the text's own. Without labels of both
-classes every score is 0.5 and all are kept. Repeated labels of a document count once (the worse one); repeated documents are scored
-each. An empty table gives an empty result.
+classes every score is 0.5 and all are kept. Repeated labels of a document count once (the worse one); repeated documents are scored, and unlabelled ones
+learned from, each; documents without an id are unlabelled. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,15 +25,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_BLOCK, Words, in_blocks, shingle_hashes, small_batches, table, written
+from .common import TEXT_BLOCK, Words, discard, in_blocks, shingle_hashes, small, small_batches, table, written
 
-LABELLED, POOL = 20_000, 20_000
-ROUNDS = 3
+LABELLED = 20_000
+ROUNDS, STEPS = 3, 2
 CONFIDENT = 0.95
-PSEUDO_WEIGHT = 0.5
+PSEUDO_WEIGHT, POOL_SHARE = 0.5, 4
 KEEP_GOOD = 0.995
 BUCKETS, NGRAMS = 1 << 17, 256
 #: The least chi-squared of an n-gram: about the largest that one of 10,000 n-grams without a bearing reaches.
@@ -100,25 +103,49 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> dict:
-    """Newton's method on standardised features, which are made again for a few thousand rows at a time: memory stays near that of x."""
-    mean, scale = x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-6
-    b = np.zeros(x.shape[1] + 1)
-    penalty = np.full(len(b), ridge)
+def _standard(m: dict, x: np.ndarray) -> np.ndarray:
+    return np.hstack([np.clip((x - m["mean"]) / m["scale"], -8, 8), np.ones((len(x), 1))])
+
+
+def slopes(m: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The log-likelihood's second derivatives (negative) at the model, and below them its slope; features are standardised a few thousand rows at a time."""
+    n = len(m["b"])
+    out = np.zeros((n + 1, n))
+    for at in range(0, len(x), 4096):
+        z = _standard(m, x[at : at + 4096])
+        p = _sigmoid(z @ m["b"])
+        out[:-1] += (z * (p * (1 - p) + 1e-9)[:, None]).T @ z
+        out[-1] += z.T @ (y[at : at + 4096] - p)
+    return out
+
+
+def stepped(m: dict, sums: np.ndarray, ridge: float = 1.0, most: float = 20.0) -> tuple[dict, float]:
+    """The model after a Newton step on the sums, no coefficient by more than `most`; and the step's size."""
+    penalty = np.full(len(m["b"]), ridge)
     penalty[-1] = 1e-6
+    step = np.clip(np.linalg.solve(sums[:-1] + np.diag(penalty), sums[-1] - penalty * m["b"]), -most, most)
+    return m | {"b": m["b"] + step}, float(np.abs(step).max())
+
+
+def fitted(x: np.ndarray, y: np.ndarray) -> dict:
+    """Newton's method on standardised features."""
+    m = {"mean": x.mean(0, dtype=float), "scale": x.std(0, dtype=float) + 1e-6, "b": np.zeros(x.shape[1] + 1)}
     for _ in range(30):
-        hessian, slope = np.diag(penalty), -penalty * b
-        for at in range(0, len(x), 4096):
-            some = slice(at, at + 4096)
-            z = np.hstack([np.clip((x[some] - mean) / scale, -8, 8), np.ones((len(x[some]), 1))])
-            p = _sigmoid(z @ b)
-            hessian += (z * (weight[some] * p * (1 - p) + 1e-9)[:, None]).T @ z
-            slope += z.T @ (weight[some] * (y[some] - p))
-        step = np.linalg.solve(hessian, slope)
-        b += step
-        if np.abs(step).max() < 1e-6:
+        m, size = stepped(m, slopes(m, x, y))
+        if size < 1e-6:
             break
-    return {"mean": mean, "scale": scale, "b": b}
+    return m
+
+
+def pool_slopes(given: dict, models: dict, text: np.ndarray, meta: np.ndarray) -> dict:
+    """For each view: slopes() of its model on the rows that the other view, as given, is sure about, and below them their number."""
+    views, out = {"text": text, "meta": meta}, {}
+    for v, other in (("text", "meta"), ("meta", "text")):
+        p = _sigmoid(log_odds(given[other], views[other]))
+        sure = (p >= CONFIDENT) | (p <= 1 - CONFIDENT)
+        sums = slopes(models[v], views[v][sure], (p[sure] > 0.5).astype(float))
+        out[v] = np.vstack([sums, np.full((1, sums.shape[1]), float(sure.sum()))])
+    return out
 
 
 def log_odds(m: dict, x: np.ndarray) -> np.ndarray:
@@ -141,26 +168,22 @@ def calibrated(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(b[0], 0.0)), float(b[1])
 
 
-def co_trained(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS) -> dict | None:
-    """y: 1 good, 0 bad, -1 unlabelled. held: rows for calibration only. None without both classes."""
+def co_trained(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, pooled=None) -> dict | None:
+    """y: 1 good, 0 bad, -1 unlabelled. held: rows for calibration only. None without both classes.
+
+    pooled: pool_slopes() of two dicts of models, summed over unlabelled rows kept elsewhere; by default over those given."""
     train, pool, check = (y >= 0) & ~held, y < 0, (y >= 0) & held
     if len(set(y[train])) < 2 or len(set(y[check])) < 2:
         return None
-    views, models = {"text": text, "meta": meta}, {}
-    given = {v: (np.where(train, y, 0.0).astype(float), np.where(train, 1.0, 0.0)) for v in views}
-    for turn in range(rounds + 1):
-        for v, x in views.items():
-            target, weight = given[v]
-            used = weight > 0
-            models[v] = fitted(x[used], target[used], weight[used])
-        if turn == rounds:
-            break
-        for v, other in (("text", "meta"), ("meta", "text")):
-            p = _sigmoid(log_odds(models[v], views[v]))
-            sure = pool & ((p >= CONFIDENT) | (p <= 1 - CONFIDENT))
-            target, weight = given[other]
-            target[pool], weight[pool] = 0.0, 0.0
-            target[sure], weight[sure] = (p[sure] > 0.5).astype(float), PSEUDO_WEIGHT
+    pooled = pooled or (lambda given, models: pool_slopes(given, models, text[pool], meta[pool]))
+    views, known = {"text": text, "meta": meta}, y[train].astype(float)
+    models = {v: fitted(x[train], known) for v, x in views.items()}
+    for _ in range(rounds):
+        given = models
+        for _ in range(STEPS):
+            sums = pooled(given, models)
+            share = {v: min(PSEUDO_WEIGHT, POOL_SHARE * len(known) / max(1.0, sums[v][-1, 0])) for v in views}
+            models = {v: stepped(models[v], slopes(models[v], x[train], known) + share[v] * sums[v][:-1])[0] for v, x in views.items()}
     out: dict = {"models": models, "calibration": {v: calibrated(log_odds(models[v], x[check]), y[check]) for v, x in views.items()}}
     prior = np.log((y[check] > 0).sum() / (y[check] == 0).sum())
     out["prior"] = float(prior)
@@ -231,60 +254,108 @@ def _features(batch: pa.RecordBatch, texts: list[bytes], hasher: Words, classes:
     return np.hstack([x, has]), meta
 
 
-def _fit_rows(docs: DataFrame, chosen: DataFrame, told: np.ndarray) -> DataFrame:
-    """doc_id, good, and both views' features (as bytes) of the chosen documents; one row for each doc_id."""
+def _packed(text: np.ndarray, meta: np.ndarray) -> list[pa.Array]:
+    """Rows of both views as two binary columns: numbers, and the bits of n-grams, sources and languages."""
+    plain, marks = _CLASSES + 6, SOURCES + LANGS
+    numbers = np.hstack([text[:, :plain], meta[:, marks:]]).astype(np.float32)
+    bits = np.packbits(np.hstack([meta[:, :marks], text[:, plain:]]) > 0, axis=1)
+    return [pa.array([r.tobytes() for r in part], pa.binary()) for part in (numbers, bits)]
+
+
+def _unpacked(numbers: list[bytes], bits: list[bytes], n_told: int) -> tuple[np.ndarray, np.ndarray]:
+    plain, marks = _CLASSES + 6, SOURCES + LANGS
+    n = np.frombuffer(b"".join(numbers), np.float32).reshape(len(numbers), -1)
+    b = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1)[:, : marks + n_told].astype(np.float32)
+    return np.hstack([n[:, :plain], b[:, marks:]]), np.hstack([b[:, :marks], n[:, plain:]])
+
+
+def _views(batch: pa.RecordBatch, n_told: int) -> tuple[np.ndarray, np.ndarray]:
+    return _unpacked(batch.column("numbers").to_pylist(), batch.column("bits").to_pylist(), n_told)
+
+
+def feature_rows(docs: DataFrame, told: np.ndarray) -> DataFrame:
+    """doc_id and both views' features, packed, of every row: one pass over the texts."""
 
     def features(batches):
         hasher, classes = _plain_words(), _byte_classes()
         for batch, texts in _batches(batches):
-            views = _features(batch, texts, hasher, classes, told)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), *(pa.array([r.astype(np.float32).tobytes() for r in v], pa.binary()) for v in views)], ["doc_id", "good", "text", "meta"])
-
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text", "source", "lang", "n_chars")  # at most LABELLED + POOL rows
-    rows = small_batches(rows).mapInArrow(features, "doc_id long, good int, text binary, meta binary")
-    return rows.groupBy("doc_id").agg(F.min("good").alias("good"), F.min(F.struct("text", "meta")).alias("views"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_packed(*_features(batch, texts, hasher, classes, told))], ["doc_id", "numbers", "bits"])
+
+    return small_batches(docs).mapInArrow(features, "doc_id long, numbers binary, bits binary")
+
+
+def summed_slopes(pool: DataFrame, n_told: int, given: dict, models: dict) -> dict:
+    """pool_slopes() over all rows of pool. A task sends one row for each matrix row, about 2 kB; these are added by matrix row, in the order of the tasks, and
+    the sums, some 330 rows, are collected."""
+    names = ("text", "meta")
+
+    def part(batches):
+        total = None
+        for batch in batches:
+            sums = pool_slopes(given, models, *_views(batch, n_told))
+            total = sums if total is None else {v: total[v] + sums[v] for v in names}
+        if total is not None:
+            task = TaskContext.get().partitionId()
+            rows = [(k, at, task, r.tobytes()) for k, v in enumerate(names) for at, r in enumerate(total[v])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["view", "at", "task", "sums"])
+
+    def added(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("task")
+        total = np.sum([np.frombuffer(r, float) for r in rows.column("sums").to_pylist()], axis=0)
+        return pa.table([rows.column("view")[:1], rows.column("at")[:1], pa.array([total.tobytes()], pa.binary())], ["view", "at", "sums"])
+
+    parts = pool.select("numbers", "bits").mapInArrow(part, "view int, at int, task int, sums binary")
+    sums = parts.groupBy("view", "at").applyInArrow(added, "view int, at int, sums binary").collect()
+    out = {v: np.zeros((len(models[v]["b"]) + 2, len(models[v]["b"]))) for v in names}
+    for r in sums:
+        out[names[r["view"]]][r["at"]] = np.frombuffer(r["sums"], float)
+    return out
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """The fitted model, from bounded samples. A quarter of the labelled documents, by a checksum of doc_id, is for calibration only."""
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict | None, DataFrame]:
+    """The fitted model, and the table of features. A quarter of the labelled documents, by a checksum of doc_id, is for calibration only."""
     order = F.xxhash64("doc_id")
     good = F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)).alias("good")
-    known = labels.where("doc_id is not null").groupBy("doc_id").agg(good).where("good is not null")
-    some = known.orderBy(order, "doc_id").limit(LABELLED).select("doc_id", F.col("good").cast("int").alias("good"))
-    pool = docs.select("doc_id").where("doc_id is not null").distinct().join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(POOL)
-    some, chosen = written(some, "labelled"), written(some.union(pool.select("doc_id", F.lit(-1))), "chosen")
+    known = written(labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(good).where("good is not null").select("doc_id", F.col("good").cast("int").alias("good")), "known")
+    some = written(known.orderBy(order, "doc_id").limit(LABELLED), "labelled")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 1
     told = telling_ngrams(docs, some.where(~held_out))
-    rows = sorted(_fit_rows(docs, chosen, told).toLocalIterator(), key=lambda r: r["doc_id"])
+    roles = known.join(F.broadcast(some.select("doc_id", F.lit(True).alias("picked"))), "doc_id", "left").select("doc_id", F.when(F.col("picked"), F.col("good")).otherwise(2).alias("good"))
+    features = written(feature_rows(docs, told).join(small(roles), "doc_id", "left").fillna(-1, "good"), "features")
+    fit = features.where("good in (0, 1)").groupBy("doc_id").agg(F.min("good").alias("good"), F.min(F.struct("numbers", "bits")).alias("views"))
+    rows = sorted(fit.toLocalIterator(), key=lambda r: r["doc_id"])  # at most LABELLED
+    discard(some)
+    discard(known)
     if not rows:
-        return None
+        return None, features
     y = np.array([r["good"] for r in rows])
     held = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 4 == 1 for r in rows])
-    text, meta = (np.vstack([np.frombuffer(r["views"][v], np.float32) for r in rows]) for v in ("text", "meta"))
+    text, meta = _unpacked([r["views"]["numbers"] for r in rows], [r["views"]["bits"] for r in rows], len(told))
     del rows
-    model = co_trained(text, meta, y, held)
-    return model and model | {"told": told}
+    pool = features.where("good = -1")
+    model = co_trained(text, meta, y, held, pooled=lambda given, models: summed_slopes(pool, len(told), given, models))
+    return model and model | {"told": told}, features
 
 
 def rated(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
     """doc_id, text_prob, meta_prob, score (chance of a good document), keep, of every row."""
     cols = {"id_col": "doc_id", "text_col": "text", "source_col": "source", "lang_col": "lang", "chars_col": "n_chars"} | names
     docs = _columns(docs, **cols)
-    model = learn(docs, labels)
+    model, features = learn(docs, labels)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches):
-        hasher, classes, m = _plain_words(), _byte_classes(), held.value
-        for batch, texts in _batches(batches):
+        m = held.value
+        for batch in batches:
             if m is None:
-                p = [np.full(len(texts), 0.5)] * 3
-                keep = np.ones(len(texts), bool)
+                p = [np.full(len(batch), 0.5)] * 3
+                keep = np.ones(len(batch), bool)
             else:
-                p = scored(m, *_features(batch, texts, hasher, classes, m["told"]))
+                p = scored(m, *_views(batch, len(m["told"])))
                 keep = p[2] >= m["cut"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, p), pa.array(keep)], ["doc_id", "text_prob", "meta_prob", "score", "keep"])
 
-    return small_batches(docs).mapInArrow(rate, "doc_id long, text_prob double, meta_prob double, score double, keep boolean")
+    return features.select("doc_id", "numbers", "bits").mapInArrow(rate, "doc_id long, text_prob double, meta_prob double, score double, keep boolean")
 
 
 def op9_quality(spark, sf_dir) -> DataFrame:

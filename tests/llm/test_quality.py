@@ -140,3 +140,39 @@ def test_telling_ngrams_equal_a_brute_force(spark, documents, monkeypatch):
     pair = quality._bucketed(words)[-1]
     assert pair >= quality.BUCKETS
     assert pair in got
+
+
+def test_all_unlabelled_rows_take_part(spark, documents, corpus, monkeypatch):
+    """The model from Spark's sums over the feature table is that of plain arrays of the same rows, whatever the partitions; every unlabelled row counts."""
+    docs, labels, _ = corpus
+    frame = documents([*docs, (None, docs[0][1]), (4, docs[4][1])]).repartition(7)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    cols = ("doc_id", "text", "source", "lang", "n_chars")
+    model, features = quality.learn(quality._columns(frame, *cols), known)
+    rows = features.collect()
+    assert sum(r.good == -1 for r in rows) == 452
+    assert len(rows) == 902
+    text, meta = quality._unpacked([r.numbers for r in rows], [r.bits for r in rows], len(model["told"]))
+    y = np.array([r.good for r in rows])
+    held = np.array([r.doc_id is not None and quality.zlib.crc32(str(r.doc_id).encode()) % 4 == 1 for r in rows])
+    plain = quality.co_trained(text, meta, y, held)
+    without = quality.co_trained(text[y >= 0], meta[y >= 0], y[y >= 0], held[y >= 0])
+    for v in ("text", "meta"):
+        np.testing.assert_allclose(model["models"][v]["b"], plain["models"][v]["b"], atol=1e-6)
+    gained = plain["models"]["meta"]["b"] - without["models"]["meta"]["b"]  # the text view is sure about many rows, the metadata view about none
+    assert np.abs(gained).max() > 1e-3
+
+    monkeypatch.setattr(quality, "LABELLED", 300)  # labelled documents beyond the bound are no unlabelled ones
+    _, features = quality.learn(quality._columns(frame, *cols), known)
+    assert {r.good: r["count"] for r in features.groupBy("good").count().collect() if r.good in (-1, 2)} == {-1: 452, 2: 150}
+
+
+def test_packed_features_come_back():
+    hasher, classes = quality._plain_words(), quality._byte_classes()
+    texts = [b"", b"one two two", "été ".encode() * 50]
+    told = np.sort(quality._bucketed(hasher.of_texts([texts[1]])[0]))
+    batch = quality.pa.table({"source": ["a", None, "b"], "lang": ["en", None, None], "n_chars": [0, None, 200]})
+    want = quality._features(batch, texts, hasher, classes, told)
+    got = quality._unpacked(*(c.to_pylist() for c in quality._packed(*want)), len(told))
+    for a, b in zip(got, want, strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-6)
