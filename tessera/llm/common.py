@@ -37,11 +37,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs no recomputation before it."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df as a Parquet table (with the writer's options) in the shared folder: its lineage ends there, and a lost executor costs no recomputation before it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
