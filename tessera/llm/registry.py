@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, lines, media, mixing, neardup, packing, quality, sharding, tokens, urls
+from . import decontamination, divergence, language, lines, media, mixing, neardup, packing, quality, sharding, tokens, urls
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_image_copies": media.op8_image_copies,
     "op9_quality": quality.op9_quality,
     "op10_language_id": language.op10_language_id,
+    "op11_source_divergence": divergence.op11_source_divergence,
     "op13_packed_sequences": packing.op13_packed_sequences,
 }
 
@@ -24,4 +25,5 @@ SQL = {
     "op4_source_mix": mixing.OP4_SQL,
     "op5_line_dedup": lines.OP5_SQL,
     "op6_decontaminate": decontamination.OP6_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
 }

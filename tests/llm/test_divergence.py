@@ -1,0 +1,105 @@
+"""The audit against plain counting over all terms, and its joint tables against pairs of counts."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tessera.llm import divergence
+
+
+def plain(rows, least, most=10):
+    groups, counts, docs = set(), defaultdict(Counter), defaultdict(Counter)
+    for _, text, lang, source in rows:
+        lang, source = lang or "", source or ""
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        words = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", low)
+        groups.add((lang, source))
+        counts[lang, source].update(words)
+        docs[lang].update(set(words))
+    out = []
+    for lang, source in groups:
+        kept = sorted(t for t, n in docs[lang].items() if n >= least)
+        v = len(kept)
+        total = lambda s: sum(counts[lang, s][t] for t in kept)  # noqa: E731, B023
+        share = lambda n, s: 1 + 1_000_000_000 * (n + 2) // (s + 2 * v)  # noqa: E731, B023
+        mine = {t: share(counts[lang, source][t], total(source)) for t in kept}
+        others = [s for x, s in groups if x == lang and s != source]
+        f = lambda p, q: (p - q) ** 2 // (p + q)
+        pair = [(sum(f(mine[t], share(counts[lang, s][t], total(s))) for t in kept), s) for s in others]
+        in_lang = {t: sum(counts[lang, s][t] for x, s in groups if x == lang) for t in kept}
+        all_lang = sum(in_lang.values())
+        term = [(f(mine[t], share(in_lang[t], all_lang)), t) for t in kept if counts[lang, source][t] and mine[t] > share(in_lang[t], all_lang)]
+        order = lambda x: (-x[0], x[1].encode())
+        out += [(lang, source, "pair", item, value, k + 1) for k, (value, item) in enumerate(sorted(pair, key=order))]
+        out += [(lang, source, "term", item, value, k + 1) for k, (value, item) in enumerate(sorted(term, key=order)[:most])]
+    return sorted(out)
+
+
+def corpus(n=400, seed=5):
+    rng = random.Random(seed)
+    words = ["Alpha", "beta", "ÉTÉ", "Straße", "x1y", "漢字", "don't", "tail", "a", "B"] + [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(9)]
+    rows = []
+    for k in range(n):
+        source = rng.choice(["s1", "s1", "s1", "s2", "s10", "Ä", None])
+        text = rng.choice([None, "", "12 34 !"]) if k % 17 == 0 else " ".join(rng.choices(words, weights=range(len(words), 0, -1), k=rng.randint(1, 40)))
+        rows.append((k % 50, text, rng.choice(["en", "en", "en", "de", None]), source))
+    return rows + rows[:30] + [(None, "only here", "xx", "s9"), (7, None, "yy", None), (8, "1", "yy", "t")]
+
+
+@pytest.mark.parametrize("least", [1, 10, 1000])
+def test_brute_force(spark, documents, least):
+    rows = corpus()
+    got = divergence.audit(documents(rows).withColumnRenamed("n_chars", "term").selectExpr("*", "1 as n", "'q' as g", "2 as rank"), least)
+    assert sorted(map(tuple, got.collect())) == plain(rows, least)
+
+
+def test_runs_of_sources_and_blocks(spark, documents, monkeypatch):
+    for name, value in (("GROUPS", 2), ("TERMS", 8), ("HELD", 50)):
+        monkeypatch.setattr(divergence, name, value)
+    rows = corpus(200, 9)
+    assert sorted(map(tuple, divergence.audit(documents(rows), 3).collect())) == plain(rows, 3)
+    kept = divergence.kept_counts(divergence.term_counts(documents(rows)), 3).cache()
+    groups = divergence.group_sums(documents(rows), kept).cache()
+    names = {(r.lang, r.g): r.source for r in groups.collect()}
+    have = defaultdict(Counter)
+    for r in kept.collect():
+        have[r.lang, r.source][r.term] = r.n
+    terms = defaultdict(set)
+    for (lang, _), c in have.items():
+        terms[lang] |= set(c)
+    want = Counter()
+    for lang, g in names:
+        for other, h in names:
+            if lang == other and g < h:
+                for t in terms[lang]:
+                    want[lang, g, h, have[lang, names[lang, g]][t], have[lang, names[lang, h]][t]] += 1
+    assert {tuple(r[:5]): r.n for r in divergence.joint_tables(kept, groups).collect()} == dict(want)
+
+
+def test_products_are_divided():
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 4000, (300, 12))
+    whole = Counter()
+    for g, h, a, b, n in divergence.joint_levels(counts, 12, True):
+        for x in zip(g.tolist(), h.tolist(), a.tolist(), b.tolist(), n.tolist(), strict=True):
+            whole[x[:4]] += x[4]
+    want = Counter()
+    for row in counts.tolist():
+        for g in range(12):
+            for h in range(g + 1, 12):
+                if row[g] or row[h]:
+                    want[g, h, row[g], row[h]] += 1
+    assert whole == want
+
+
+def test_large_counts_are_exact(spark):
+    big = [(10**12 + 7 * k, 4 * 10**12 + k, 30 + k) for k in range(50)]
+    got = spark.createDataFrame(big, "c long, n long, v long").select("c", "n", "v", divergence.share("c", "n").alias("p")).collect()
+    assert all(r.p == divergence._exact_share(r.c, r.n, r.v) == 1 + 10**9 * (r.c + 2) // (r.n + 2 * r.v) for r in got)
+
+
+def test_empty(spark, documents):
+    assert divergence.audit(documents([])).count() == 0
