@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, divergence, language, lines, media, mixing, neardup, packing, quality, sharding, tokens, urls
+from . import decontamination, divergence, language, lines, media, mixing, neardup, packing, prefixes, quality, sharding, tokens, urls
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_language_id": language.op10_language_id,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_prefix_trie": prefixes.op12_prefix_trie,
     "op13_packed_sequences": packing.op13_packed_sequences,
 }
 
@@ -26,4 +27,5 @@ SQL = {
     "op5_line_dedup": lines.OP5_SQL,
     "op6_decontaminate": decontamination.OP6_SQL,
     "op11_source_divergence": divergence.OP11_SQL,
+    "op12_prefix_trie": prefixes.OP12_SQL,
 }
