@@ -59,19 +59,20 @@ def test_brute_force(spark, documents, plain):
         held(pieces, docs, plain, size, 0.02)
 
 
-def test_slices_of_long_texts(plain, monkeypatch):
-    monkeypatch.setattr(packing, "TEXT_BLOCK", 50)
-    encoder = packing.Encoder(packing.vocabulary())
-    for t in TEXTS:
-        assert encoder.of([t or ""])[0] == np.array(plain(t)[:-1], "<u4").tobytes()
+def test_same_ids_as_the_vocabulary(plain, sf, monkeypatch):
+    import pyarrow.parquet as pq
 
-
-def test_memory_of_units_is_bounded(monkeypatch):
-    monkeypatch.setattr(packing.Encoder, "MOST", 20)
+    rng = random.Random(11)
+    ranges = [(9, 127), (1, 0x250), (0x2000, 0x2070), (0x400, 0x3000), (0x1F300, 0x1FA00)]
+    odd = ["".join(chr(rng.randint(*rng.choice(ranges[: 1 + k % 5])) - 1) for _ in range(80)) for k in range(400)]
+    texts = [t for t in pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist() if t] + [t or "" for t in TEXTS] + odd
     encoder = packing.Encoder(packing.vocabulary())
-    for i in range(50):
-        encoder.of([f"a{i} b{i} " + "y" * 100])
-        assert len(encoder.known) <= 20 and all(len(u) <= 48 for u in encoder.known)
+    for t in texts:
+        assert encoder.of(t) == np.array(plain(t)[:-1], "<u4").tobytes()
+    monkeypatch.setattr(packing, "TEXT_BLOCK", 50)
+    assert any(len(list(encoder.slices(t))) > 5 for t in texts)
+    for t in texts[-450:] + texts[:50]:
+        assert encoder.of(t) == np.array(plain(t)[:-1], "<u4").tobytes()
 
 
 def slots_cover(packs, counts, size):
