@@ -10,7 +10,7 @@ edited copies this is the common origin); the stars' edges are confirmed and joi
 is left: in every bucket that still holds several components, each member outside the bucket's largest one meets all members of other
 components, in blocks of BLOCK rows, on minima of one byte each. Pairs that are not more than five standard deviations under the
 threshold connect nodes to families; within a family all pairs of different components are compared on full sets, in blocks of
-at most SET_BLOCK shingles, as products of incidence matrices of what distinguishes the sets. Blocks of a single component, and blocks whose sizes are too far
+at most BLOCK rows and SET_BLOCK shingles, as products of incidence matrices of what distinguishes the sets. Blocks of a single component, and blocks whose sizes are too far
 apart for the threshold, never meet. No window, split or cap decides which pairs are compared.
 
 Scale: texts are read twice, the second time only for members of buckets, whose sets are kept; what is shuffled else are bucket keys (8 bytes a
@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from .common import TEXT_BLOCK, Words, discard, in_blocks, mixed, shingle_hashes, small, small_batches, table, written
 
 BANDS, ROWS = 32, 5
-#: Members of a bucket, and shingles of a family's sets, that one side of a block comparison holds at most (one set may be larger).
+#: Rows, and shingles of a family's sets, that one side of a block comparison holds at most (one set may be larger).
 BLOCK, SET_BLOCK = 4096, 1 << 20
+#: Rows of one side whose pairs are looked at together.
+STRIP = 256
 #: Columns of an incidence matrix at a time.
 SLAB = 2048
 _TRIES = 4096
@@ -233,13 +235,16 @@ def _spanning(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarr
 
 
 def _in_blocks(rows: DataFrame, group: str, size: str, most: int) -> DataFrame:
-    """rows with `block`: consecutive rows of a group, components together and by size, whose sizes add up to about `most`."""
+    """rows (narrow: the window sorts a group) with `block`: consecutive rows of a group, components together and by size: at most BLOCK rows, with sizes of about `most` in all."""
     upto = Window.partitionBy(group).orderBy("component", "n_shingles", "node").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("block", F.floor(F.coalesce(F.sum(size).over(upto), F.lit(0)) / most).cast("int"))
+    # A row costs its share of either bound, so a block of total cost 1 keeps both; costs are whole numbers, so that they add up exactly.
+    unit = BLOCK * most
+    cost = F.greatest(F.lit(unit // BLOCK), F.col(size).cast("long") * F.lit(unit // most))
+    return rows.withColumn("block", F.floor(F.coalesce(F.sum(cost).over(upto), F.lit(0)) / unit).cast("int"))
 
 
-def _met(rows: DataFrame, group: str, percent: int, payload: list[str]) -> DataFrame:
-    """Each row once for every pair of blocks (i, j), i <= j, of its group that has to be compared: (group, i, j, node, component, payload).
+def _met(rows: DataFrame, group: str, percent: int, payload: DataFrame) -> DataFrame:
+    """Each row once for every pair of blocks (i, j), i <= j, of its group that has to be compared: (group, i, j, block, node, component, and payload's columns, met by node).
 
     Two blocks need no comparison if both hold one and the same component, or if the larger sets of one are too small for the other."""
     blocks = rows.groupBy(group, "block").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n_shingles").alias("n0"), F.max("n_shingles").alias("n1"))
@@ -247,7 +252,29 @@ def _met(rows: DataFrame, group: str, percent: int, payload: list[str]) -> DataF
     pairs = side("i").join(side("j"), group).where("block_i <= block_j and not (c0_i = c1_i and c0_j = c1_j and c0_i = c0_j)")
     pairs = pairs.where(F.expr(f"100 * n1_i >= {percent} * n0_j and 100 * n1_j >= {percent} * n0_i")).select(group, F.col("block_i").alias("i"), F.col("block_j").alias("j"))
     each = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    return rows.select(group, "block", "node", "component", *payload).join(each, [group, "block"]).drop("block")
+    return rows.select(group, "block", "node", "component").join(each, [group, "block"]).join(payload, "node")
+
+
+def _block_of(t: pa.Table) -> np.ndarray:
+    """Which of its two blocks a row is of; without the column all are of one."""
+    return t["block"].to_numpy() if "block" in t.column_names else np.zeros(t.num_rows, np.int32)
+
+
+def _strips(names: np.ndarray, comp: np.ndarray, block: np.ndarray, near) -> pa.Table:
+    """Spanning edges of the pairs of different components that near(rows, others) marks: of the block's own pairs, or of two blocks' pairs. STRIP rows at a time."""
+    first = np.flatnonzero(block == block.min())
+    other = np.flatnonzero(block == block.max())
+    low, high = [np.zeros(0, names.dtype)], [np.zeros(0, names.dtype)]
+    for lo in range(0, len(first), STRIP):
+        rows = first[lo : lo + STRIP]
+        others = other[lo:] if len(first) == len(block) else other  # one block: each pair once
+        hit = near(rows, others) & (comp[rows][:, None] != comp[others][None])
+        i, j = np.nonzero(hit)
+        if len(i):
+            a, b = _spanning(names, rows[i], others[j])
+            low.append(a)
+            high.append(b)
+    return pa.table({"a": np.concatenate(low), "b": np.concatenate(high)})
 
 
 def _by_bytes(bins: int, percent: int):
@@ -255,17 +282,16 @@ def _by_bytes(bins: int, percent: int):
 
     def compare(t: pa.Table) -> pa.Table:
         node, comp, size = (t[c].to_numpy() for c in ("node", "component", "n_shingles"))
+        block = _block_of(t)
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(node), -1)
-        names, counts = np.unique(comp, return_counts=True)
-        rest = np.flatnonzero(comp != names[counts.argmax()])
-        a, b = [], []
-        for r in rest.tolist():
-            hit = np.flatnonzero((comp != comp[r]) & ((sig == sig[r]).sum(1) >= _agreeing(bins, percent, np.minimum(size, size[r]))))
-            a.append(np.full(len(hit), r))
-            b.append(hit)
-        i, j = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
-        low, high = _spanning(node, i, j)
-        return pa.table({"a": low, "b": high})
+
+        def near(rows, others):
+            theirs, same = sig[others], np.empty((len(rows), len(others)), bool)
+            for k, r in enumerate(rows.tolist()):
+                same[k] = (theirs == sig[r]).sum(1) >= _agreeing(bins, percent, np.minimum(size[others], size[r]))
+            return same
+
+        return _strips(node, comp, block, near)
 
     return compare
 
@@ -274,10 +300,11 @@ def _by_sets(percent: int):
     """From the rows of one pair of blocks of a family: spanning edges of the links between different components, on full sets.
 
     What most of the sets hold is left out: two sets differ in as many elements as their differences from that common part do. Intersections of the
-    differences are products of 0/1 matrices, a slab of columns at a time; what a single set holds adds nothing."""
+    differences are products of 0/1 matrices, a slab of columns at a time; what a single set holds adds nothing. The largest array is a block by a block in single precision."""
 
     def compare(t: pa.Table) -> pa.Table:
         node, comp = (t[c].to_numpy() for c in ("node", "component"))
+        block = _block_of(t)
         lists = t["shingles"].combine_chunks()
         if isinstance(lists, pa.ChunkedArray):
             lists = pa.concat_arrays(lists.chunks)
@@ -287,8 +314,13 @@ def _by_sets(percent: int):
         common = held * 2 > n
         full = int(common.sum())
         kept = np.bincount(row[common[at]], minlength=n)
-        differ = sizes - kept + full - kept  # elements that a set has beside the common part or lacks of it
-        shared = np.zeros((n, n), np.float32)
+        differ = (sizes - kept + full - kept).astype(np.int32)  # elements that a set has beside the common part or lacks of it
+        first, other = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        place_of = np.full(n, -1)
+        place_of[first] = np.arange(len(first))
+        place_to = np.full(n, -1)
+        place_to[other] = np.arange(len(other))
+        shared = np.zeros((len(first), len(other)), np.float32)
         columns = np.flatnonzero((held > 1) & (held < n))
         for lo in range(0, len(columns), SLAB):
             part = columns[lo : lo + SLAB]
@@ -299,13 +331,17 @@ def _by_sets(percent: int):
             m[row[mine], place[at[mine]]] = 1
             flip = common[part]
             m[:, flip] = 1 - m[:, flip]
-            shared += m @ m.T
-        apart = differ[:, None] + differ[None] - 2 * np.rint(shared).astype(np.int64)
-        total = sizes[:, None] + sizes[None]
-        link = (100 * (total - apart) >= percent * (total + apart)) & (comp[:, None] != comp[None])
-        i, j = np.nonzero(np.triu(link, 1))
-        low, high = _spanning(node, i, j)
-        return pa.table({"a": low, "b": high})
+            left, right = (m, m) if len(first) == n else (m[first], m[other])
+            for k in range(0, len(first), STRIP):
+                shared[k : k + STRIP] += left[k : k + STRIP] @ right.T
+        total_of = sizes.astype(np.int64)
+
+        def near(rows, others):
+            apart = differ[rows][:, None] + differ[others][None] - 2 * np.rint(shared[np.ix_(place_of[rows], place_to[others])]).astype(np.int32)
+            total = total_of[rows][:, None] + total_of[others][None]
+            return 100 * (total - apart) >= percent * (total + apart)
+
+        return _strips(node, comp, block, near)
 
     return compare
 
@@ -315,14 +351,14 @@ def _rest(buckets: DataFrame, members: DataFrame, sets: DataFrame, comp: DataFra
     of_node = members.select("node", "n_shingles", "sig").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = buckets.select("key", "node").join(of_node.select("node", "component"), "node")
     several = named.groupBy("key").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("key")
-    rows = named.drop("component").join(several, "key", "left_semi").join(of_node, "node").withColumn("one", F.lit(1))
+    rows = named.drop("component").join(several, "key", "left_semi").join(of_node.drop("sig"), "node").withColumn("one", F.lit(1))
     placed = written(_in_blocks(rows, "key", "one", BLOCK).drop("one"), "bucket-blocks")
-    close = _met(placed, "key", percent, ["n_shingles", "sig"]).groupBy("key", "i", "j").applyInArrow(_by_bytes(bins, percent), "a long, b long")
+    close = _met(placed, "key", percent, members.select("node", "n_shingles", "sig")).groupBy("key", "i", "j").applyInArrow(_by_bytes(bins, percent), "a long, b long")
     families = components(close)
     both = families.union(families.select(F.col("component").alias("node"), "component")).distinct().withColumnRenamed("component", "family")
-    own = both.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sets, "node").withColumn("n_shingles", F.size("shingles").cast("long"))
+    own = both.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).join(members.select("node", "n_shingles"), "node")
     own = written(_in_blocks(own, "family", "n_shingles", SET_BLOCK), "family-blocks")
-    links = written(_met(own, "family", percent, ["shingles"]).groupBy("family", "i", "j").applyInArrow(_by_sets(percent), "a long, b long"), "links")
+    links = written(_met(own, "family", percent, sets).groupBy("family", "i", "j").applyInArrow(_by_sets(percent), "a long, b long"), "links")
     for t in (placed, own):
         discard(t)
     return links

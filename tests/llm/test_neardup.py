@@ -202,3 +202,76 @@ def test_blocks_of_sets_equal_plain_sets():
         for a, b in links:
             top[a] = top[b] = min(top[a], top[b])
     assert {k // 7: v // 7 for k, v in label.items()} == top
+
+
+def _kernel_rows(n, blocks, words=20):
+    """Footers of 20 words with one varying word, as the block comparisons get them; every 50th is a copy of the one before but for its name."""
+    import random
+
+    import pyarrow as pa
+
+    from tessera.llm.common import Words
+
+    rng = random.Random(2)
+    base, maker = [f"w{k}" for k in range(words)], Words()
+    texts = []
+    for k in range(n):
+        t = list(base)
+        t[0 if k % 3 else rng.randrange(words)] = f"x{k}"
+        texts.append(texts[-1] if k % 50 == 49 else " ".join(t).encode())
+    sets = neardup._sets(texts, maker)
+    sig = neardup.signatures(sets, 160)
+    short = (neardup.mixed(sig) >> np.uint64(56)).astype(np.uint8)
+    block = np.array([k * blocks // n for k in range(n)], np.int32)
+    table = pa.table(
+        {
+            "node": np.arange(n), "component": np.arange(n), "block": block, "n_shingles": np.array([len(s) for s in sets]), "sig": [x.tobytes() for x in short],
+            "shingles": [s.view(np.int64) for s in sets],
+        }
+    )
+    return table, sets
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_block_comparisons_are_whole(blocks):
+    table, sets = _kernel_rows(700, blocks)
+    own = [set(s.tolist()) for s in sets]
+    block = table["block"].to_numpy()
+    want = {(i, j) for i in range(700) for j in range(i + 1, 700) if (blocks == 1 or block[i] != block[j]) and 100 * len(own[i] & own[j]) >= 85 * len(own[i] | own[j])}
+    got = neardup._by_sets(85)(table)
+    edges = set(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+
+    def classes(pairs):
+        label = list(range(700))
+
+        def top(x):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        for a, b in pairs:
+            label[max(top(a), top(b))] = min(top(a), top(b))
+        return [top(x) for x in range(700)]
+
+    assert want and classes(edges) == classes(want)
+    close = neardup._by_bytes(160, 85)(table)
+    assert close.num_rows <= 700 * 3
+
+
+def test_block_comparisons_have_bounded_memory():
+    """Two full blocks of short near misses, all of which pass the first comparison or none: no array is rows by rows of both blocks."""
+    import tracemalloc
+
+    table, _ = _kernel_rows(2 * neardup.BLOCK, 2)
+    for kernel in (neardup._by_sets(85), neardup._by_bytes(160, 40)):
+        tracemalloc.start()
+        kernel(table)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 400 << 20
+
+
+def test_blocks_hold_few_rows(spark):
+    rows = spark.range(10_000).selectExpr("id as node", "0L as family", "id % 7 as component", "if(id % 100 = 0, 300000L, 5L) as n_shingles")
+    sizes = neardup._in_blocks(rows, "family", "n_shingles", neardup.SET_BLOCK).groupBy("block").agg({"node": "count", "n_shingles": "sum"}).collect()
+    assert all(r["count(node)"] <= neardup.BLOCK + 1 and r["sum(n_shingles)"] <= neardup.SET_BLOCK + 300_000 for r in sizes)
