@@ -16,6 +16,14 @@ from . import mesh, transform
 PAIRS_UP_TO = 32
 
 
+def _systems(*tables: DataFrame) -> list[str]:
+    """["system_id"] if the tables have that column: systems are never summed into each other. Some with it and some without are an error."""
+    have = ["system_id" in t.columns for t in tables]
+    if any(have) and not all(have):
+        raise ValueError("system_id must be a column of all tables or of none")
+    return ["system_id"] if have[0] else []
+
+
 def _difference(n: int) -> list[Column]:
     return [F.pmod(F.col(f"b_{c}") - F.col(f"a_{c}"), F.lit(n)).cast("int").alias(c) for c in ("i", "j")]
 
@@ -42,29 +50,33 @@ def correlation(a: DataFrame, b: DataFrame, n: int, keys: tuple[str, ...] = ("la
 
 
 def autocorrelation_map(grid: DataFrame, n: int, low: float, high: float, layer: str = "layer", value: str = "v", route: str | None = None) -> DataFrame:
-    """Per layer: completed, correlated with itself, recentred, normalised to its maximum, cropped. (layer, i, j, raw, norm)."""
-    full = mesh.complete(grid, n, layer, value)
-    corr = correlation(full, full, n, (layer,), value, route)
-    norm = mesh.normalised(mesh.recentred(corr, n), layer, "v")
-    return mesh.cropped(norm, n, low, high).select(layer, "i", "j", F.col("v").alias("raw"), "norm")
+    """Per layer (of each system_id if there is one): completed, correlated with itself, recentred, normalised to its maximum, cropped. (layer, i, j, raw, norm)."""
+    keys = [*_systems(grid), layer]
+    full = mesh.complete(grid, n, keys, value)
+    corr = correlation(full, full, n, tuple(keys), value, route)
+    norm = mesh.normalised(mesh.recentred(corr, n), keys, "v")
+    return mesh.cropped(norm, n, low, high).select(*keys, "i", "j", F.col("v").alias("raw"), "norm")
 
 
 def joint_density(spectral: DataFrame, n: int, window: tuple[float, float] | None = None, basis: DataFrame | None = None, route: str | None = None) -> DataFrame:
-    """Joint density of states from A(k, E) = (layer, i, j, v): correlated, recentred, normalised, extended, placed."""
-    q = mesh.normalised(mesh.recentred(correlation(spectral, spectral, n, route=route), n), "layer", "v", "v").select("layer", "i", "j", "v")
+    """Joint density of states from A(k, E) = (layer, i, j, v), of each system_id if there is one: correlated, recentred, normalised, extended, placed."""
+    keys = [*_systems(spectral), "layer"]
+    q = mesh.normalised(mesh.recentred(correlation(spectral, spectral, n, tuple(keys), route=route), n), keys, "v", "v").select(*keys, "i", "j", "v")
     return mesh.placed(mesh.extended(q, n, *window) if window else q, n, basis)
 
 
 def scattering_map(green: DataFrame, v: DataFrame, n: int, keys: tuple[str, ...] = ("layer",), route: str | None = None) -> DataFrame:
-    """-1/pi Im sum over k of Tr[G(k) V G(k + q)]. green: (keys, i, j, a, b, re, im); v: (a, b, vre, vim).
+    """-1/pi Im sum over k of Tr[G(k) V G(k + q)], of each system_id if there is one. green: (keys, i, j, a, b, re, im); v: (a, b, vre, vim), or one for each system.
 
     G V is contracted before the shifted join, which then meets on both matrix numbers. By the dft route the products of transforms are summed over
     the matrix numbers before the one transform back."""
     route = route or ("pairs" if n <= PAIRS_UP_TO else "dft")
-    k = list(keys)
+    k = list(dict.fromkeys([*_systems(green), *keys]))
+    keys = tuple(k)
     re, im = complex_product((F.col("re"), F.col("im")), (F.col("vre"), F.col("vim")))
-    right = v.select(F.col("a").alias("b"), F.col("b").alias("c"), "vre", "vim")
-    gv = green.join(right, "b").groupBy(*k, "i", "j", "a", "c").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+    own = [c for c in ("system_id",) if c in v.columns and c in k]
+    right = v.select(*own, F.col("a").alias("b"), F.col("b").alias("c"), "vre", "vim")
+    gv = green.join(right, [*own, "b"]).groupBy(*k, "i", "j", "a", "c").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
     gq = green.select(*k, "i", "j", F.col("a").alias("c"), F.col("b").alias("a"), "re", "im")
     if route == "dft":
         pair = (*k, "a", "c")
@@ -79,33 +91,35 @@ def scattering_map(green: DataFrame, v: DataFrame, n: int, keys: tuple[str, ...]
 
 
 def pair_map(first: DataFrame, second: DataFrame, m_first: DataFrame, m_second: DataFrame, n: int, prefactor: float, route: str | None = None) -> DataFrame:
-    """Energy-integrated pair map: prefactor times the sum over layers, k, a, b of (M A)(k) (M' B)(k + q), both (layer, i, j, a, b, v).
+    """Energy-integrated pair map of each system_id (if there is one): prefactor times the sum over layers, k, a, b of (M A)(k) (M' B)(k + q), both (layer, i, j, a, b, v).
 
     first and second are the spectral matrices of the two energies of a layer; each is weighted by its (a, b, w) selection. By the dft route the products of
     transforms are summed over layers and matrix numbers before the one transform back."""
     route = route or ("pairs" if n <= PAIRS_UP_TO else "dft")
-    weigh = lambda x, m: x.join(m, ["a", "b"]).select("layer", "a", "b", "i", "j", (F.col("v") * F.col("w")).alias("v"))
-    right = weigh(second, m_second).select("layer", F.col("b").alias("a"), F.col("a").alias("b"), "i", "j", "v")
+    of = _systems(first, second)
+    weigh = lambda x, m: x.join(m, ["a", "b"]).select(*of, "layer", "a", "b", "i", "j", (F.col("v") * F.col("w")).alias("v"))
+    right = weigh(second, m_second).select(*of, "layer", F.col("b").alias("a"), F.col("a").alias("b"), "i", "j", "v")
     if route == "dft":
-        keys = ("layer", "a", "b")
+        keys = (*of, "layer", "a", "b")
         x, y = (transform.dft(t.select(*keys, "i", "j", F.col("v").alias("re"), F.lit(0.0).alias("im")), n, keys) for t in (weigh(first, m_first), right))
         re, im = complex_product((F.col("re"), -F.col("im")), (F.col("re2"), F.col("im2")))
-        total = x.join(y.withColumnsRenamed({"re": "re2", "im": "im2"}), [*keys, "i", "j"]).groupBy("i", "j").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
-        return transform.dft(total, n, (), inverse=True).select("i", "j", (F.col("re") * F.lit(prefactor)).alias("v"))
-    both = _sides(weigh(first, m_first), right, ["layer", "a", "b"], n)
-    return both.groupBy(*_difference(n)).agg((F.sum(F.col("a_v") * F.col("b_v")) * F.lit(prefactor)).alias("v"))
+        total = x.join(y.withColumnsRenamed({"re": "re2", "im": "im2"}), [*keys, "i", "j"]).groupBy(*of, "i", "j").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+        return transform.dft(total, n, tuple(of), inverse=True).select(*of, "i", "j", (F.col("re") * F.lit(prefactor)).alias("v"))
+    both = _sides(weigh(first, m_first), right, [*of, "layer", "a", "b"], n)
+    return both.groupBy(*of, *_difference(n)).agg((F.sum(F.col("a_v") * F.col("b_v")) * F.lit(prefactor)).alias("v"))
 
 
 def bare_response(eigen: DataFrame, n: int, mu: float, kt: float, eta: float, omega: float = 0.0) -> DataFrame:
     """chi0(q): mean over k, summed over band pairs, of (f_m(k) - f_n(k + q)) |<u_m(k)|u_n(k + q)>|^2 / (omega + e_m - e_n + i eta), with a minus sign.
 
-    eigen: (i, j, band, energy, u_re, u_im arrays over orbitals). Pairs of equal occupation add nothing and are dropped row by row."""
+    eigen: (i, j, band, energy, u_re, u_im arrays over orbitals), of each system_id if there is one. Pairs of equal occupation add nothing and are dropped row by row."""
+    of = _systems(eigen)
     f = eigen.withColumn("f", occupation(F.col("energy"), F.lit(mu), F.lit(kt)))
-    both = _sides(f, f, [], n).where("a_f <> b_f")
+    both = _sides(f, f, of, n).where("a_f <> b_f")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
     re = dot("a_u_re", "b_u_re") + dot("a_u_im", "b_u_im")
     im = dot("a_u_re", "b_u_im") - dot("a_u_im", "b_u_re")
     gap = F.lit(omega) + F.col("a_energy") - F.col("b_energy")
     weight = (F.col("a_f") - F.col("b_f")) * (re * re + im * im) / (gap * gap + eta * eta)
     cells = float(n * n)
-    return both.groupBy(*_difference(n)).agg((-F.sum(weight * gap) / cells).alias("re"), (F.sum(weight) * F.lit(eta) / cells).alias("im"))
+    return both.groupBy(*of, *_difference(n)).agg((-F.sum(weight * gap) / cells).alias("re"), (F.sum(weight) * F.lit(eta) / cells).alias("im"))

@@ -29,12 +29,17 @@ def energy_axes(limits: DataFrame, limit: str, step: float) -> DataFrame:
     return each.withColumn("energy", e).withColumn("shifted", F.col("energy") + top)
 
 
-def complete(grid: DataFrame, n: int, layer: str = "layer", value: str = "v", fill: float | None = 0.0) -> DataFrame:
-    """Every cell of every layer; cells without a value get `fill` (None: stay null)."""
-    layers = grid.select(layer).distinct()
+def _keys(layer: str | list[str]) -> list[str]:
+    return [layer] if isinstance(layer, str) else list(layer)
+
+
+def complete(grid: DataFrame, n: int, layer: str | list[str] = "layer", value: str = "v", fill: float | None = 0.0) -> DataFrame:
+    """Every cell of every layer (one column or several); cells without a value get `fill` (None: stay null)."""
+    keys = _keys(layer)
+    layers = grid.select(*keys).distinct()
     axis = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    cells = layers.withColumn("i", axis).repartition(layer, "i").withColumn("j", axis)  # tasks make a mesh row each
-    out = cells.join(grid.select(layer, "i", "j", value), [layer, "i", "j"], "left")
+    cells = layers.withColumn("i", axis).repartition(*keys, "i").withColumn("j", axis)  # tasks make a mesh row each
+    out = cells.join(grid.select(*keys, "i", "j", value), [*keys, "i", "j"], "left")
     return out if fill is None else out.withColumn(value, F.coalesce(value, F.lit(fill)))
 
 
@@ -49,10 +54,10 @@ def rolled(grid: DataFrame, n: int, di: int, dj: int) -> DataFrame:
     return grid.withColumns({"i": F.pmod(F.col("i") + di, F.lit(n)).cast("int"), "j": F.pmod(F.col("j") + dj, F.lit(n)).cast("int")})
 
 
-def normalised(grid: DataFrame, layer: str = "layer", value: str = "v", out: str = "norm") -> DataFrame:
+def normalised(grid: DataFrame, layer: str | list[str] = "layer", value: str = "v", out: str = "norm") -> DataFrame:
     """The value over its layer's largest, where that is positive. The maxima are grouped (combined before their shuffle) and joined."""
-    top = grid.groupBy(layer).agg(F.max(value).alias("_top"))
-    return grid.join(top, layer).withColumn(out, F.when(F.col("_top") > 0, F.col(value) / F.col("_top")).otherwise(F.col(value))).drop("_top")
+    top = grid.groupBy(*_keys(layer)).agg(F.max(value).alias("_top"))
+    return grid.join(top, _keys(layer)).withColumn(out, F.when(F.col("_top") > 0, F.col(value) / F.col("_top")).otherwise(F.col(value))).drop("_top")
 
 
 def index_bounds(low: float, high: float, n: int) -> tuple[int, int]:
@@ -115,6 +120,12 @@ def spanned(points: DataFrame, nk: int, ne: int, k: str = "k", e: str = "e") ->
     return cells.select("ik", "ie", (F.col("k0") + F.col("ik") * (F.col("k1") - F.col("k0")) / max(1, nk - 1)).alias("gk"), (F.col("e0") + F.col("ie") * (F.col("e1") - F.col("e0")) / max(1, ne - 1)).alias("ge"))
 
 
+def extents(rows: DataFrame, keys: list[str], value: str, distinct: str | None = None) -> DataFrame:
+    """Per key: the smallest and largest value (low, high), the rows (n) and, if asked, the different values of another column (`distinct`)."""
+    more = [F.count_distinct(distinct).alias("distinct")] if distinct else []
+    return rows.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("n"), *more)
+
+
 def best_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in an order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -11,6 +11,7 @@ from ..functions import scalar
 from ..operators import mesh
 from ..sources import calculation as C
 from ..sources import headers, instrument
+from ..plans.scratch import new_folder
 from ..sources import lines as L
 from . import bindings as B
 
@@ -121,6 +122,20 @@ def cube_voxels(spark, d):
     return C.cubes(_text(_orders(spark, d), "comment", "comment", "1 0.5 0 0", _line(F.size("it"), "1 0 0"), "3 0 1 0", "1 0 0 1", "6 6.0 0 0 0", values))[2]
 
 
+def split_cube_voxels(spark, d):
+    """One cube file for each line number, written as text and read back from its splits; no file is a row or a task of its own."""
+    li = B.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("layer"), F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("q"))
+    sizes = li.groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
+    head = F.array(*map(F.lit, ("comment", "comment", "0 0.5 0 0")), _line(F.col("n"), "1 0 0"), F.lit("1 0 1 0"), F.lit("1 0 0 1"))
+    zero = lambda c: F.lit(0).cast("long").alias(c)
+    first = sizes.select("layer", F.posexplode(head).alias("at", "value"), zero("o"), zero("p"), zero("s"), F.lit(0.0).alias("q"))
+    rows = first.unionByName(li.select("layer", F.lit(6).alias("at"), F.col("q").cast("string").alias("value"), "o", "p", "s", "q"))
+    folder = new_folder(spark, "cubes")
+    rows.repartition("layer").sortWithinPartitions("layer", "at", "o", "p", "s", "q").select("layer", "value").write.partitionBy("layer").text(folder)
+    voxels = C.cubes(L.file_lines(spark, folder, recursive=True))[2]
+    return voxels.select(F.regexp_extract("cube_id", r"/layer=(\d+)/", 1).cast("int").alias("layer"), "i", "j", "k", "value")
+
+
 def hopping_files(spark, d):
     orders = _orders(spark, d).select("file", F.transform("it", lambda x, i: F.struct(x["q"].alias("q"), x["p"].alias("p"), x["s"].alias("s"))).alias("it"))
     degens = F.concat_ws(" ", F.transform("it", lambda x: (x["q"] % 3 + 1).cast("string")))
@@ -219,7 +234,7 @@ def grid_spectra(spark, d):
 QUERIES = {
     "s08_fermi_levels": fermi_levels, "s09_unit_cells": unit_cells, "s10_reciprocal_vectors": reciprocal_vectors, "s07_lattice_vectors": lattice_vectors, "s11_species": species,
     "s13_final_positions": final_positions, "s14_listed_positions": listed_positions, "j06_j07_positions": positions, "s16_w01_band_points": band_points, "w02_band_ticks": band_ticks,
-    "s17_unfolding": unfolding, "s18_cube_voxels": cube_voxels, "s05_hopping_files": hopping_files, "s19_log_spreads": log_spreads, "s19_log_disentangle": log_disentangle, "s15_u01_dos_rows": dos_rows,
+    "s17_unfolding": unfolding, "s18_cube_voxels": cube_voxels, "s18_split_cube_voxels": split_cube_voxels, "s05_hopping_files": hopping_files, "s19_log_spreads": log_spreads, "s19_log_disentangle": log_disentangle, "s15_u01_dos_rows": dos_rows,
     "s02_point_spectra": point_spectra, "p14_image_metadata": image_metadata, "p14_grid_metadata": grid_metadata, "s04_tab_pairs": tab_pairs, "s01_scan_pixels": scan_pixels, "s03_grid_spectra": grid_spectra, "g08_flipped_scans": flipped_scans,
 }
 
@@ -242,6 +257,7 @@ SQL = {
 SELECT w.file, w.n - 1 AS kidx, {_D('w.q')} AS k1, CAST(band AS INTEGER) AS band, round(dist * {scalar.ANGSTROM_BOHR!r}::DOUBLE, 6) AS dist, round((CASE band WHEN 0 THEN w.p ELSE w.s END - f.q) * {_AU}, 6) AS energy FROM w JOIN f ON w.file = f.file, range(2) AS b(band)""",
     "w02_band_ticks": f"{_I} SELECT file, 0 AS ord, 'G' AS label, 0 AS kidx FROM c UNION ALL SELECT file, 1, 'X', items - 1 FROM c",
     "s17_unfolding": f"{_I} SELECT file, n - 1 AS row_id, round(q / {scalar.BOHR_ANGSTROM!r}::DOUBLE, 6) AS kpath, {_D('n')} AS energy, position, position % 2 AS atom, CASE position WHEN 1 THEN 'Fe' ELSE 'C' END AS element, CASE position WHEN 2 THEN '0px' ELSE '0s' END AS orbital, {_D('CASE position WHEN 0 THEN p WHEN 1 THEN s ELSE q END')} AS weight FROM i, (VALUES (0), (1), (2)) a(position)",
+    "s18_split_cube_voxels": "SELECT l_linenumber AS layer, CAST(row_number() OVER (PARTITION BY l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey, l_quantity) - 1 AS INTEGER) AS i, 0 AS j, 0 AS k, l_quantity AS value FROM lineitem",
     "s18_cube_voxels": f"{_I} SELECT file AS cube_id, n - 1 AS i, j, 0 AS k, {_D('CASE j WHEN 0 THEN p WHEN 1 THEN s ELSE q END')} AS value FROM i, (VALUES (0), (1), (2)) a(j)",
     "s05_hopping_files": f"{_I} SELECT file, n AS r1, q AS r2, 0 AS r3, 0 AS m, 0 AS n, {_D('p')} AS re, {_D('s')} AS im, {_D('q % 3 + 1')} AS ndegen FROM i",
     "s19_log_spreads": f"{_I} SELECT file, 0 AS cycle, 1 AS wf, CAST(99.5 AS DOUBLE) AS spread FROM c UNION ALL SELECT file, n, 1, {_D('q')} FROM i",

@@ -116,7 +116,28 @@ def bare_response_step(spark, d):
     return correlate.bare_response(hopping.orbitals(e, [1]), 8, 4.5, 0.0, 0.05).select("i", "j", F.round("re", 5).alias("re"), F.round("im", 5).alias("im"))
 
 
+def stored_response(spark, d):
+    """A response map saved with its metadata and read back with it; an earlier, larger save of the run does not show."""
+    path = scratch.new_folder(spark, "store")
+    e = B.bands(spark, d).withColumns({"u_re": F.array(F.lit(1.0)), "u_im": F.array(F.lit(0.0))})
+    chi = correlate.bare_response(e, 8, 4.5, 0.3, 0.05, 0.1).withColumn("layer", F.lit(0))
+    store.save(B.grid(spark, d, N).withColumns({"re": F.col("v"), "im": F.col("v")}).drop("v"), path, "chi", "susceptibility", N)
+    store.save(chi, path, "chi", "susceptibility", 8, [0.1], eta=0.05, extra={"omega_limit": "0.1", "resolution": "0.05"})
+    meta = store.runs(spark, path).where("run_id = 'chi'").select("run_id", "module_type", "eta", "nq", F.col("extra")["omega_limit"].alias("omega_limit"), "cells")
+    return store.load(spark, path, "chi").join(F.broadcast(meta), "run_id").select("run_id", "module_type", "eta", "nq", "omega_limit", "cells", "layer", "i", "j", F.round("re", 5).alias("re"), F.round("im", 5).alias("im"))  # one row
+
+
+def stored_bands(spark, d):
+    """A band surface, a layer for each band, with its provenance."""
+    path = scratch.new_folder(spark, "store")
+    surface = B.bands(spark, d).select(F.col("band").alias("layer"), "i", "j", "energy")
+    store.save(surface, path, "bands", "ek2d", 8, bands=[0, 1, 2], extra={"source": "customer"})
+    meta = store.runs(spark, path).where("run_id = 'bands'").select("run_id", "nq", F.size("bands").alias("bands"), F.array_join("layers", ",").alias("layers"), F.col("extra")["source"].alias("source"))
+    return store.load(spark, path, "bands", layers=[1, 2]).join(F.broadcast(meta), "run_id").select("run_id", "nq", "bands", "layers", "source", "layer", "i", "j", F.round("energy", 6).alias("energy"))  # one row
+
+
 QUERIES = {
+    "k02_stored_response": stored_response, "k03_stored_bands": stored_bands,
     "a06_autocorrelation_map": autocorrelation_map, "a06_joint_density": joint_density, "j04_correlation_by_dft": correlation_by_dft, "g01_g07_complete_mesh": complete_mesh,
     "g02_energy_axes": energy_axes, "g03_extended": extended, "g04_cropped": cropped, "g05_recentred": recentred, "g09_rolled_back": recentred_back, "g06_normalised": normalised,
     "g08_flipped": flipped, "g10_dft": fourier, "g10_fft_layers": fourier_layers, "p01_placed": placed, "g11_target_mesh": target_mesh, "k01_s20_stored_layers": stored_layers,
@@ -161,3 +182,7 @@ FROM m x JOIN m y ON x.layer = y.layer AND x.a = y.b AND x.b = y.a GROUP BY ALL"
     "a11_bare_response": _response("CASE WHEN (energy - 4.5) / 0.3 > 0 THEN exp(-(energy - 4.5) / 0.3) / (1 + exp(-(energy - 4.5) / 0.3)) ELSE 1 / (1 + exp((energy - 4.5) / 0.3)) END", "1.0", "0.1"),
     "a11_p23_bare_response_step": _response("CASE WHEN energy < 4.5 THEN 1.0 ELSE 0.0 END", "((0.8 * 0.8 + 0.5 * 0.5) * (0.8 * 0.8 + 0.5 * 0.5))", "0.0"),
 }
+SQL["k02_stored_response"] = f"""WITH q AS ({SQL['a11_bare_response']})
+SELECT 'chi' AS run_id, 'susceptibility' AS module_type, CAST(0.05 AS DOUBLE) AS eta, 8 AS nq, '0.1' AS omega_limit, (SELECT count(*) FROM q) AS cells, 0 AS layer, i, j, re, im FROM q"""
+SQL["k03_stored_bands"] = f"""WITH {B.BANDS_SQL}
+SELECT 'bands' AS run_id, 8 AS nq, 3 AS bands, '0,1,2' AS layers, 'customer' AS source, band AS layer, i, j, round(energy, 6) AS energy FROM e WHERE band IN (1, 2)"""

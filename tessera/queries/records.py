@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import mesh, voxel
+from ..operators import mesh, scan, voxel
 from ..sources import calculation as C
 from ..sources import headers
 from ..sources import lines as L
@@ -89,8 +89,7 @@ def path_length(spark, d):
 def tick_numbers(spark, d):
     """Running sum of segment sizes less one."""
     li = B.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("long").alias("n"))
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, 0)
-    return li.select("l_orderkey", "l_linenumber", (F.sum("n").over(w) - 1).alias("tick"))
+    return scan.running_sum(li, ["l_orderkey"], "l_linenumber", F.col("n"), "upto", size=4).select("l_orderkey", "l_linenumber", (F.col("upto") - 1).alias("tick"))
 
 
 def labelled_union(spark, d):
@@ -104,7 +103,7 @@ def labelled_union(spark, d):
 
 
 def extents(spark, d):
-    return B.table(spark, d, "events").groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+    return mesh.extents(B.table(spark, d, "events"), ["event_type"], "value", "user_id").withColumnRenamed("distinct", "users")
 
 
 def _voxels(spark, d):

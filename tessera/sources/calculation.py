@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ANGSTROM_BOHR, BOHR_ANGSTROM, HARTREE_EV
+from ..operators import scan
 from . import lines as L
 
 # Orbitals of a shell in the order of the weight columns.
@@ -46,8 +47,8 @@ def reciprocal_vectors(lines: DataFrame) -> DataFrame:
     `Reciprocal vector b1 (1/Ang): x y z` lines, or the three `b_1 x y z` lines below `Reciprocal-Space Vectors`."""
     number = r"[-+]?\d*\.?\d+(?:[eEdD][-+]?\d+)?"
     plain = F.regexp_extract("line", r"Reciprocal vector b([123])", 1)
-    w = Window.partitionBy("file").orderBy("ln")
-    near = lines.withColumn("below", F.greatest(*[F.coalesce(F.contains(F.lag("line", d).over(w), F.lit("Reciprocal-Space Vectors")), F.lit(False)) for d in (1, 2, 3)]))
+    heads = lines.where(F.contains(F.col("line"), F.lit("Reciprocal-Space Vectors"))).select("file", F.explode(F.array(*[F.col("ln") + d for d in (1, 2, 3)])).alias("ln")).distinct()
+    near = lines.join(heads.withColumn("below", F.lit(True)), ["file", "ln"], "left")
     under = F.when(F.col("below"), F.regexp_extract("line", r"^\s*b_([123])\s", 1))
     axis = F.coalesce(F.nullif(plain, F.lit("")), F.nullif(under, F.lit(""))).try_cast("int")
     tail = F.regexp_replace("line", r"^.*?b_?[123]\s*(\([^)]*\))?\s*:?", "")
@@ -65,7 +66,7 @@ def lattice_vectors(lines: DataFrame | None = None, given: DataFrame | None = No
     found = reciprocal_vectors(lines)
     axes = lines.select("file").distinct().join(found.groupBy("file").agg(F.count(F.lit(1)).alias("axes")), "file", "left")
     checked = axes.select("file", F.when(F.col("axes") == 3, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no three reciprocal vectors in "), "file")).cast("boolean")).alias("ok"))
-    return checked.where("ok").join(found, "file").select("file", "axis", "x", "y", "z")
+    return checked.where("ok").join(found, "file", "left").select("file", "axis", "x", "y", "z")  # left: the check is made even where nothing is found
 
 
 def species(lines: DataFrame) -> DataFrame:
@@ -163,27 +164,35 @@ def selected_weight(weights: DataFrame, element: str | None = None, atom: int |
 
 def band_path(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """band_point (file, kidx, k1, k2, k3, dist, band, energy in eV from the chemical potential) and band_tick (file, ord, label, kidx)."""
-    rows = lines.where(F.trim("line") != "").withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("ln"))).withColumn("t", L.tokens(F.col("line")))
+    rows = L.nth(lines.where(F.trim("line") != ""), "n").withColumn("t", L.tokens(F.col("line")))
     head = rows.where("n = 1").select("file", _tok(0).try_cast("int").alias("nband"), _num(2).alias("mu"))
     basis = rows.where("n = 2").select("file", *[(_num(3 * k + c) * ANGSTROM_BOHR).alias(f"b{k + 1}{x}") for k in range(3) for c, x in enumerate("xyz")])
     paths = rows.where("n = 3").select("file", _tok(0).try_cast("int").alias("paths"))
     body = rows.join(head, "file").join(paths, "file")
     segments = body.where("n > 3 and n <= 3 + paths").select("file", (F.col("n") - 3).alias("ord"), _tok(0).try_cast("int").alias("points"), _tok(7).alias("first_label"), _tok(8).alias("label"))
-    upto = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    ticks = segments.select("file", "ord", "label", (F.sum("points").over(upto) - 1).cast("int").alias("kidx")).union(segments.where("ord = 1").select("file", F.lit(0), "first_label", F.lit(0)))
+    both = F.col("label").isNotNull() & F.col("first_label").isNotNull()
+    segments = segments.withColumn("label", F.when(both, F.col("label")).otherwise(F.raise_error(F.concat(F.lit("a segment without two labels in "), "file")).cast("string")))
+    upto = scan.running_sum(segments, ["file"], "ord", F.col("points"), "upto")
+    ticks = upto.select("file", "ord", "label", (F.col("upto") - 1).cast("int").alias("kidx")).union(upto.where("ord = 1").select("file", F.lit(0), "first_label", F.lit(0)))
     data = body.where("n > 3 + paths")
     is_head = (F.size("t") == 4) & (_tok(0).try_cast("int") == F.col("nband"))
     recs = L.numbered(data, is_head, "kidx", order="n").withColumn("kidx", F.col("kidx") - 1)
     k = recs.where(is_head).select("file", "kidx", *[_num(i).alias(f"k{i}") for i in (1, 2, 3)]).join(basis, "file")
     k = k.withColumns({c: sum((F.col(f"k{i}") * F.col(f"b{i}{c}") for i in (2, 3)), F.col("k1") * F.col(f"b1{c}")) for c in "xyz"})
-    w = Window.partitionBy("file").orderBy("kidx")
-    step = F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) ** 2 for c in "yz"), (F.col("x") - F.lag("x").over(w)) ** 2))
-    k = k.withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn("dist", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0))).select("file", "kidx", "k1", "k2", "k3", "dist")
+    k = path_length(k).select("file", "kidx", "k1", "k2", "k3", "dist")
     values = recs.where(~is_head).groupBy("file", "kidx", "nband", "mu").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("c"))  # the lines of one k-point
     energies = values.select("file", "kidx", "mu", F.posexplode(F.slice(F.flatten(F.transform("c", lambda x: x["t"])), F.lit(1), F.col("nband"))).alias("band", "e"))
     return k.join(energies, ["file", "kidx"]).select("file", "kidx", "k1", "k2", "k3", "dist", "band", ((L.number(F.col("e")) - F.col("mu")) * HARTREE_EV).alias("energy")), ticks
 
 
+def path_length(points: DataFrame, key: str = "file", order: str = "kidx", size: int = scan.CHUNK) -> DataFrame:
+    """points (key, order 0, 1, ..., x, y, z) with dist: the length of the path up to each. A point meets the one before it by number."""
+    before = points.select(key, (F.col(order) + 1).alias(order), *[F.col(c).alias(f"_{c}") for c in "xyz"])
+    step = F.sqrt(sum(((F.col(c) - F.col(f"_{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("_x")) ** 2))
+    steps = points.join(before, [key, order], "left").withColumn("_step", F.coalesce(step, F.lit(0.0))).drop("_x", "_y", "_z")
+    return scan.running_sum(steps, [key], order, F.col("_step"), "dist", size).drop("_step")
+
+
 def dos_tree(spark: SparkSession, path: str) -> DataFrame:
     """The rows of all files of a tree (see dos_rows). Lines carry their own energies, so files are read line-parallel."""
     return dos_rows(spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")))
@@ -192,14 +201,16 @@ def dos_tree(spark: SparkSession, path: str) -> DataFrame:
 def dos_rows(lines: DataFrame) -> DataFrame:
     """(file, atom, orbital, e, dos, idos) of (file, line): total and per-atom densities; `total` or the suffix of the file's name is the orbital.
 
-    More than one total outside atom folders is an error."""
+    More than one total outside atom folders of one run, the folder that holds them, is an error; a tree may hold many runs."""
     atom = F.regexp_extract("file", r"/atom(\d+)/[^/]*$", 1).try_cast("int")
     other = F.col("file").rlike(r"/atom[^/]*/[^/]*$") & atom.isNull()
     suffix = F.regexp_extract("file", r"\.([spd]\d+)$", 1)
     rows = lines.where(~F.startswith(F.trim(F.col("line")), F.lit("#")) & (F.trim("line") != "")).withColumn("t", L.tokens(F.col("line")))
     out = rows.where(~other).select("file", atom.alias("atom"), F.coalesce(F.nullif(suffix, F.lit("")), F.lit("total")).alias("orbital"), _num(0).alias("e"), _num(1).alias("dos"), _num(2).alias("idos"))
-    totals = out.where("atom is null").agg(F.count_distinct("file").alias("totals"))
-    return out.join(F.broadcast(totals)).where(F.when(F.col("totals") <= 1, True).otherwise(F.raise_error("several totals").cast("boolean"))).drop("totals")  # one row
+    run = F.regexp_replace("file", r"(/atom[^/]*)?/[^/]*$", "")
+    totals = out.where("atom is null").groupBy(run.alias("_run")).agg(F.count_distinct("file").alias("_totals"))
+    checked = out.withColumn("_run", run).join(totals, "_run", "left")
+    return checked.where(F.when(F.coalesce("_totals", F.lit(0)) <= 1, True).otherwise(F.raise_error(F.concat(F.lit("several totals in "), "_run")).cast("boolean"))).drop("_run", "_totals")
 
 
 def hopping_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -207,13 +218,12 @@ def hopping_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     A first line that is no number is a comment. Degeneracies follow the header in order of the R blocks."""
     rows = lines.where(F.trim("line") != "").withColumn("t", L.tokens(F.col("line"))).withColumnRenamed("file", "system_id")
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("system_id").orderBy("ln")))
+    rows = L.nth(rows, "n", "system_id")
     first = rows.where("n = 1").select("system_id", F.when(_tok(0).try_cast("int").isNull() | (F.size("t") > 1), 1).otherwise(0).alias("skip"))
     rows = rows.join(first, "system_id").withColumn("n", F.col("n") - F.col("skip")).where("n >= 1")
     header = rows.where("n = 1").select("system_id", _tok(0).try_cast("int").alias("num_wann")).join(rows.where("n = 2").select("system_id", _tok(0).try_cast("int").alias("nrpts")), "system_id")
     body = rows.where("n > 2").join(header, "system_id")
-    upto = Window.partitionBy("system_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    body = body.withColumn("upto", F.sum(F.size("t")).over(upto))
+    body = scan.running_sum(body, ["system_id"], "n", F.size("t"), "upto")
     degens = body.where((F.col("upto") <= F.col("nrpts"))).select("system_id", F.posexplode("t").alias("p", "d"), (F.col("upto") - F.size("t")).alias("before")).select("system_id", (F.col("before") + F.col("p")).cast("int").alias("block"), L.number(F.col("d")).alias("ndegen"))
     data = body.where(F.col("upto") > F.col("nrpts"))
     good = data.where(F.size("t") >= 7).select("system_id", "n", "num_wann", *[_tok(i).try_cast("int").alias(c) for i, c in enumerate(("r1", "r2", "r3", "m", "k"))], _num(5).alias("re"), _num(6).alias("im"))
@@ -233,8 +243,7 @@ def cubes(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     body = rows.join(meta.select("cube_id", "natoms", "n1", "n2", "n3"), "cube_id")
     atoms = body.where("ln > 5 and ln <= 5 + natoms").select("cube_id", (F.col("ln") - 5).alias("ord"), _tok(0).try_cast("int").alias("number"), *[_num(i + 1).alias(c) for i, c in enumerate(("charge", "x", "y", "z"))])
     data = body.where("ln > 5 + natoms")
-    before = F.sum(F.size("t")).over(Window.partitionBy("cube_id").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)) - F.size("t")
-    flat = data.withColumn("before", before).select("cube_id", "n2", "n3", F.posexplode("t").alias("p", "v"), "before").withColumn("at", F.col("before") + F.col("p"))
+    flat = scan.running_sum(data, ["cube_id"], "ln", F.size("t"), "before", inclusive=False).select("cube_id", "n2", "n3", F.posexplode("t").alias("p", "v"), "before").withColumn("at", F.col("before") + F.col("p"))
     voxel = flat.select("cube_id", F.expr("cast(at div (n2 * n3) as int)").alias("i"), F.expr("cast((at div n3) % n2 as int)").alias("j"), F.expr("cast(at % n3 as int)").alias("k"), L.number(F.col("v")).alias("value"))
     return meta, atoms, voxel
 

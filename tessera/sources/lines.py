@@ -1,19 +1,42 @@
 """Text files as line tables (file, ln, line), and the moves that all text readers share.
 
-`text_lines` keeps a file's line numbers, and so makes a file one row until it is split; `loose_lines` reads lines of any file in parallel
-and is for bodies whose rows carry their own keys."""
+`file_lines` numbers the lines of files of any size from their splits; `text_lines` makes a file one row until it is cut and is for many
+files of a few MB each; `loose_lines` is for bodies whose rows carry their own keys. Carried values and counts inside a file are scans over chunks
+of lines (operators/scan.py): no task needs a whole file."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import scan
+from ..plans.scratch import new_folder
+
+#: Rows up to which the table of splits is broadcast; beyond that it is joined by shuffle.
+SPLITS = 1 << 19
+
 
 def text_lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     whole = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive).select(F.col("_metadata.file_path").alias("file"), "value")
     return split_lines(whole, "file", "value")
 
 
+def file_lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(file, ln, line) as text_lines gives it, but for the empty piece after a final line end, which is no line here.
+
+    A file is read split by split. A line's number is the number of lines in the splits before its own and of those before it there: a first pass counts the lines of each
+    split, a sum over a file's splits follows, and the second pass adds it. Row numbers within a task come from the scan itself, so nothing is sorted."""
+    rows = spark.read.option("lineSep", "\n").option("recursiveFileLookup", recursive).text(path)
+    at = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    folder = new_folder(spark, "splits")
+    at.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).write.parquet(folder)
+    splits = spark.read.parquet(folder)
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("file", "_block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_add"))
+    starts = F.broadcast(starts) if splits.count() <= SPLITS else starts
+    return at.join(starts, ["file", "_block"]).select("file", (F.col("_id") + F.col("_add")).alias("ln"), F.regexp_replace("value", "\r$", "").alias("line"))
+
+
 def split_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(file, ln, line) of a text column; ln from 0; a carriage return at the end of a line is dropped."""
     return texts.select(F.col(key).alias("file"), F.posexplode(F.split(text, "\n")).alias("ln", "line")).withColumn("line", F.regexp_replace("line", "\r$", ""))
@@ -58,20 +81,19 @@ def after_until(lines: DataFrame, anchor: Column, skip: int, stop: Column) -> Da
     return tail.join(first, "file", "left").where(F.col("_stop").isNull() | (F.col("ln") < F.col("_stop"))).drop("_from", "_stop")
 
 
-def carried(lines: DataFrame, value: Column, name: str, key: str = "file", order: str = "ln") -> DataFrame:
+def carried(lines: DataFrame, value: Column, name: str, key: str = "file", order: str = "ln", size: int = scan.CHUNK) -> DataFrame:
     """lines with the latest non-null value up to each line."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    return scan.running_last(lines, [key], order, value, name, size)
 
 
-def numbered(lines: DataFrame, is_start: Column, name: str = "record", key: str = "file", order: str = "ln") -> DataFrame:
+def numbered(lines: DataFrame, is_start: Column, name: str = "record", key: str = "file", order: str = "ln", size: int = scan.CHUNK) -> DataFrame:
     """lines with the number of starts up to each line: the record that it belongs to (0: before the first)."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn(name, F.sum(F.when(is_start, 1).otherwise(0)).over(w).cast("int"))
+    return scan.running_sum(lines, [key], order, F.when(is_start, 1).otherwise(0), name, size).withColumn(name, F.col(name).cast("int"))
 
 
-def nth(lines: DataFrame, name: str = "nth", key: str = "file") -> DataFrame:
-    return lines.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy("ln")))
+def nth(lines: DataFrame, name: str = "nth", key: str = "file", size: int = scan.CHUNK) -> DataFrame:
+    """lines with their number among the lines that are there."""
+    return numbered(lines, F.lit(True), name, key, size=size)
 
 
 def ranked_sources(files: DataFrame, preference: dict[str, int], system: Column, suffix: Column) -> DataFrame:
