@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.scalar import complex_product
 
@@ -44,13 +45,35 @@ def bloch_sum(hopping: DataFrame, nk: int, centred: bool = True) -> DataFrame:
     return w.select("system_id", "i", "j", "m", "n", "re", "im")
 
 
+#: Elements of the dense matrices that a task makes at once.
+ELEMENTS = 1 << 20
+
+
 def packed(matrices: DataFrame, size: int) -> DataFrame:
-    """(system_id, i, j, re, im): each matrix as two row-major arrays; missing elements are 0."""
-    cells = F.sort_array(F.collect_list(F.struct((F.col("m") * size + F.col("n")).alias("at"), "re", "im")))  # size * size elements
-    rows = matrices.groupBy("system_id", "i", "j").agg(cells.alias("c"))
-    at = F.map_from_arrays(F.transform("c", lambda x: x["at"].cast("int")), F.transform("c", lambda x: F.struct(x["re"], x["im"])))
-    dense = lambda part: F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda p: F.coalesce(F.element_at("at", p)[part], F.lit(0.0)))
-    return rows.withColumn("at", at).select("system_id", "i", "j", dense("re").alias("re"), dense("im").alias("im"))
+    """(system_id, i, j, re, im): each matrix as two row-major arrays; missing elements are 0, an element that comes twice is an error.
+
+    A matrix's elements are gathered as they come and scattered to their places in an Arrow batch: size * size steps a matrix."""
+    cells = F.collect_list(F.struct((F.col("m") * size + F.col("n")).cast("int").alias("at"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im")))  # size * size elements
+    rows = matrices.groupBy("system_id", "i", "j").agg(cells.alias("c")).select("system_id", "i", "j", "c.at", "c.re", "c.im")
+    out = StructType([*rows.schema.fields[:3], *(StructField(c, ArrayType(DoubleType())) for c in ("re", "im"))])
+
+    def scatter(batches):
+        most = max(1, ELEMENTS // (size * size))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, most):
+                batch = whole.slice(lo, most)
+                lists = batch.column("at")
+                place = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy()) * (size * size) + lists.flatten().to_numpy()
+                if len(np.unique(place)) < len(place):
+                    raise ValueError("an element of a matrix comes twice")
+                dense = []
+                for c in ("re", "im"):
+                    full = np.zeros(batch.num_rows * size * size)
+                    full[place] = batch.column(c).flatten().to_numpy()
+                    dense.append(_lists(full, size * size))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *dense], out.names)
+
+    return rows.mapInArrow(scatter, out)
 
 
 def _stack(batch: pa.RecordBatch, size: int) -> np.ndarray:

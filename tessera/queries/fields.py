@@ -22,6 +22,19 @@ def broadened_map(spark, d):
     return out.select("ik", "ie", F.round("a", 4).alias("a"))
 
 
+def tiled_map(spark, d):
+    """The exact sum, and whether the sum by tiles keeps its bound; narrow widths, so that most tiles are far."""
+    cells = spark.range(16 * 12).select(F.expr("cast(id div 12 as int)").alias("ik"), F.expr("cast(id % 12 as int)").alias("ie")).withColumns({"gk": F.col("ik") * 10.0, "ge": F.col("ie") * 9.0})
+    points = B.points(spark, d)
+    exact = broaden.broadened_map(points, cells, 0.5, 0.4)
+    tiled = broaden.tiled_map(points, cells, 0.5, 0.4, tol=1e-2).select("ik", "ie", F.col("a").alias("t"))
+    return exact.join(tiled, ["ik", "ie"]).select("ik", "ie", F.round("a", 6).alias("a"), (F.abs(F.col("t") - F.col("a")) <= 1e-2 * F.col("a")).alias("within"))
+
+
+def thermal_chunks(spark, d):
+    return broaden.thermal_chunks(B.spectra(spark, d), 0.02, 1e-12, chunk=16).select("spectrum", "p", F.round("v", 6).alias("v"))
+
+
 def thermal(spark, d):
     return broaden.thermal(B.spectra(spark, d), 0.02).select("spectrum", "p", F.round("v", 6).alias("v"))
 
@@ -96,7 +109,7 @@ def grid_dimensions(spark, d):
 
 
 QUERIES = {
-    "a03_p07_spectral_weight": spectral_weight, "a04_j08_broadened_map": broadened_map, "a12_thermal": thermal, "a12_thermal_near": thermal_near, "p12_conductance": conductance,
+    "a03_p07_spectral_weight": spectral_weight, "a04_j08_broadened_map": broadened_map, "a04_tiled_map": tiled_map, "a12_thermal_chunks": thermal_chunks, "a12_thermal": thermal, "a12_thermal_near": thermal_near, "p12_conductance": conductance,
     "a01_j03_bloch_sum": bloch_sum, "a01_hermitian_hopping": hermitian_hopping, "s06_hopping_check": hopping_check, "a02_eigen_energies": eigen_energies, "a07_a09_resolvent_spectrum": resolvent_spectrum,
     "p03_p13_catalogue": catalogue, "p04_p05_folded": folded, "p06_p08_occupations": occupations, "p15_grid_dimensions": grid_dimensions,
 }
@@ -116,6 +129,8 @@ _W = {"re": "(e * e - gamma * gamma - delta * delta)", "im": "(2 * e * gamma)"}
 SQL = {
     "a03_p07_spectral_weight": f"WITH {B.BANDS_SQL} SELECT CAST(k AS INTEGER) AS layer, CAST(3.0 + 1.5 * k AS DOUBLE) AS layer_value, i, j, round(sum(0.2 / pi() / ((3.0 + 1.5 * k - energy) * (3.0 + 1.5 * k - energy) + 0.04)), 6) AS v FROM e, range(3) AS u(k) GROUP BY ALL",
     "a04_j08_broadened_map": "SELECT CAST(a AS INTEGER) AS ik, CAST(b AS INTEGER) AS ie, round(sum(1 / (1 + ((a * 10.0 - user_id) / 15) * ((a * 10.0 - user_id) / 15) + ((b * 9.0 - value) / 8) * ((b * 9.0 - value) / 8))), 4) AS a FROM events, range(16) AS x(a), range(12) AS y(b) GROUP BY a, b",
+    "a04_tiled_map": "SELECT CAST(a AS INTEGER) AS ik, CAST(b AS INTEGER) AS ie, round(sum(1 / (1 + ((a * 10.0 - user_id) / 0.5) * ((a * 10.0 - user_id) / 0.5) + ((b * 9.0 - value) / 0.4) * ((b * 9.0 - value) / 0.4))), 6) AS a, true AS within FROM events, range(16) AS x(a), range(12) AS y(b) GROUP BY a, b",
+    "a12_thermal_chunks": _thermal(None),
     "a12_thermal": _thermal(None),
     "a12_thermal_near": _thermal(6),
     "p12_conductance": f"""WITH {B.SPECTRA_SQL}, q(delta, z, gamma) AS (VALUES (1.0, 0.0, 0.0), (0.8, 0.5, 0.02), (1.2, 2.0, 0.1)),

@@ -12,6 +12,8 @@ from . import bindings as B
 N = 16
 #: A mesh with cells that have no row.
 FINE = 128
+#: A mesh whose axes are long enough for transforms in four steps.
+STEPPED = 64
 WITH = "WITH " + B.grid_sql(N)
 FULL = f"{WITH}, {B.full_sql(N)}"
 
@@ -136,7 +138,19 @@ def stored_bands(spark, d):
     return store.load(spark, path, "bands", layers=[1, 2]).join(F.broadcast(meta), "run_id").select("run_id", "nq", "bands", "layers", "source", "layer", "i", "j", F.round("energy", 6).alias("energy"))  # one row
 
 
+def binned_response(spark, d):
+    e = B.bands(spark, d).withColumns({"u_re": F.array(F.lit(1.0)), "u_im": F.array(F.lit(0.0))})
+    return correlate.binned_response(e, 8, 4.5, 0.3, 0.05, 0.1, width=0.25).select("i", "j", F.round("re", 5).alias("re"), F.round("im", 5).alias("im"))
+
+
+def four_step_fourier(spark, d):
+    """A mesh whose axes go in four steps."""
+    g = B.grid(spark, d, STEPPED).select("layer", "i", "j", F.col("v").alias("re"), F.lit(0.0).alias("im"))
+    return transform.dft(g, STEPPED).select("layer", "i", "j", F.round("re", 3).alias("re"), F.round("im", 3).alias("im"))
+
+
 QUERIES = {
+    "a11_binned_response": binned_response, "g10_four_step_dft": four_step_fourier,
     "k02_stored_response": stored_response, "k03_stored_bands": stored_bands,
     "a06_autocorrelation_map": autocorrelation_map, "a06_joint_density": joint_density, "j04_correlation_by_dft": correlation_by_dft, "g01_g07_complete_mesh": complete_mesh,
     "g02_energy_axes": energy_axes, "g03_extended": extended, "g04_cropped": cropped, "g05_recentred": recentred, "g09_rolled_back": recentred_back, "g06_normalised": normalised,
@@ -186,3 +200,7 @@ SQL["k02_stored_response"] = f"""WITH q AS ({SQL['a11_bare_response']})
 SELECT 'chi' AS run_id, 'susceptibility' AS module_type, CAST(0.05 AS DOUBLE) AS eta, 8 AS nq, '0.1' AS omega_limit, (SELECT count(*) FROM q) AS cells, 0 AS layer, i, j, re, im FROM q"""
 SQL["k03_stored_bands"] = f"""WITH {B.BANDS_SQL}
 SELECT 'bands' AS run_id, 8 AS nq, 3 AS bands, '0,1,2' AS layers, 'customer' AS source, band AS layer, i, j, round(energy, 6) AS energy FROM e WHERE band IN (1, 2)"""
+SQL["a11_binned_response"] = SQL["a11_bare_response"].replace("WITH e AS (", "WITH e0 AS (", 1).replace(", o AS (", ", e AS (SELECT i, j, band, (floor(energy / 0.25) + 0.5) * 0.25 AS energy FROM e0), o AS (", 1)
+SQL["g10_four_step_dft"] = f"""WITH {B.grid_sql(STEPPED)}, x AS (SELECT layer, i, CAST(q AS INTEGER) AS q, sum(v * cos(2 * pi() * ((j * q) % {STEPPED}) / {STEPPED})) AS re, -sum(v * sin(2 * pi() * ((j * q) % {STEPPED}) / {STEPPED})) AS im FROM g, range({STEPPED}) AS b(q) GROUP BY ALL)
+SELECT layer, CAST(p AS INTEGER) AS i, q AS j, round(sum(re * cos(2 * pi() * ((i * p) % {STEPPED}) / {STEPPED}) + im * sin(2 * pi() * ((i * p) % {STEPPED}) / {STEPPED})), 3) + 0.0 AS re,
+  round(sum(im * cos(2 * pi() * ((i * p) % {STEPPED}) / {STEPPED}) - re * sin(2 * pi() * ((i * p) % {STEPPED}) / {STEPPED})), 3) + 0.0 AS im FROM x, range({STEPPED}) AS a(p) GROUP BY ALL"""
