@@ -105,14 +105,23 @@ def from_plane(rows: DataFrame) -> DataFrame:
 # --- plane reciprocal vectors: (system_id, b1x, b1y, b2x, b2y) ----------------------------------------------------
 
 
+def distinct_within(points: Column, tol: float) -> Column:
+    """An array of (n, x, y) without the points that are within tol (on both axes) of an earlier one: equality by distance, so no bin's border divides equal points."""
+    near = lambda p, q: (F.abs(p["x"] - q["x"]) <= tol) & (F.abs(p["y"] - q["y"]) <= tol)
+    return F.filter(points, lambda p: ~F.exists(points, lambda q: (q["n"] < p["n"]) & near(p, q)))
+
+
 def orbit(rows: DataFrame, tol: float = 1e-6, negatives: bool = True) -> DataFrame:
-    """The threefold orbit of b1, b2 (and of -b1, -b2) without repeats: (system_id, ord, x, y), clockwise."""
-    seeds = F.array(*[F.struct(F.lit(n).alias("seed"), (F.col(f"b{k}x") * s).alias("x"), (F.col(f"b{k}y") * s).alias("y")) for n, (k, s) in enumerate([(1, 1), (2, 1), (1, -1), (2, -1)][: 4 if negatives else 2])])
-    turns = F.array(*[F.struct(F.lit(t).alias("turn"), F.lit(math.cos(2 * math.pi * t / 3)).alias("c"), F.lit(math.sin(2 * math.pi * t / 3)).alias("s")) for t in range(3)])
-    each = rows.select("system_id", F.explode(seeds).alias("v")).withColumn("r", F.explode(turns))
-    each = each.select("system_id", (F.col("v.seed") * 3 + F.col("r.turn")).alias("n"), (F.col("v.x") * F.col("r.c") - F.col("v.y") * F.col("r.s")).alias("x"), (F.col("v.x") * F.col("r.s") + F.col("v.y") * F.col("r.c")).alias("y"))
-    first = each.groupBy("system_id", F.round(F.col("x") / tol).alias("kx"), F.round(F.col("y") / tol).alias("ky")).agg(F.min_by(F.struct("x", "y"), "n").alias("v"))
-    return clockwise(first.select("system_id", "v.x", "v.y"))
+    """The threefold orbit of b1, b2 (and of -b1, -b2) without repeats: (system_id, ord, x, y), clockwise. Its at most twelve vectors are compared within their row."""
+    seeds = [(1, 1), (2, 1), (1, -1), (2, -1)][: 4 if negatives else 2]
+    turned = []
+    for n, (k, sign) in enumerate(seeds):
+        for t in range(3):
+            c, s = math.cos(2 * math.pi * t / 3), math.sin(2 * math.pi * t / 3)
+            x, y = F.col(f"b{k}x") * sign, F.col(f"b{k}y") * sign
+            turned.append(F.struct(F.lit(3 * n + t).alias("n"), (x * c - y * s).alias("x"), (x * s + y * c).alias("y")))
+    each = rows.select("system_id", F.array(*turned).alias("all")).select("system_id", F.explode(distinct_within(F.col("all"), tol)).alias("v"))
+    return clockwise(each.select("system_id", "v.x", "v.y"))
 
 
 def clockwise(vectors: DataFrame, about_centre: bool = False) -> DataFrame:
@@ -162,6 +171,68 @@ def bragg_folded(rows: DataFrame, reach: int, digits: int = 6, ordered: bool = F
     return out.orderBy("system_id", "u", "v") if ordered else out
 
 
+def _nearest(x: Column) -> Column:
+    return F.floor(x + 0.5).cast("long")
+
+
+def reduced_basis(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """A shortest basis (ax, ay, bx, by) of an integer lattice of rank two, by Lagrange's steps: the shorter vector is taken from the longer as often as it fits.
+
+    The longer one shrinks by a third at least until none fits, so 64 steps are more than 64-bit numbers need."""
+    start = F.struct(*[c.cast("long").alias(n) for c, n in ((ax, "ax"), (ay, "ay"), (bx, "bx"), (by, "by"))])
+
+    def step(s, _):
+        swap = s["ax"] * s["ax"] + s["ay"] * s["ay"] > s["bx"] * s["bx"] + s["by"] * s["by"]
+        ax, ay = F.when(swap, s["bx"]).otherwise(s["ax"]), F.when(swap, s["by"]).otherwise(s["ay"])
+        bx, by = F.when(swap, s["ax"]).otherwise(s["bx"]), F.when(swap, s["ay"]).otherwise(s["by"])
+        times = _nearest((ax * bx + ay * by) / (ax * ax + ay * ay))
+        return F.struct(ax.alias("ax"), ay.alias("ay"), (bx - times * ax).alias("bx"), (by - times * ay).alias("by"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step)
+
+
+def folded_cosets(rows: DataFrame, digits: int = 6) -> DataFrame:
+    """bragg_folded() without a search range: (system_id, u, v, m, n), exactly |det| points for the integer matrix (m11, m12; m21, m22) with b1 = m11 s1 + m12 s2, b2 = m21 s1 + m22 s2.
+
+    rows: system_id and the vectors b1x.. and s1x..; a matrix that is not of whole numbers (within 1e-6), or without a determinant, is an error. Points that differ by a vector of the
+    lattice L of the matrix's rows fold into one. The Hermite normal form of L has the diagonal (g, |det| / g), g the common divisor of m11 and m21, so the cosets are 0 <= m < g, 0 <= n < |det| / g.
+    The smallest |m| + |n| of a coset is found from a shortest basis (r, t) of L: its vector has at most two steps of t beside the nearest, because it is no longer than t, and on each of these lines the sum of absolute values is
+    convex, so it is least next to a place where m or n changes sign. Ties go to the smallest m, then n."""
+    det_s = F.col("s1x") * F.col("s2y") - F.col("s1y") * F.col("s2x")
+    part = lambda k: ((F.col(f"b{k}x") * F.col("s2y") - F.col(f"b{k}y") * F.col("s2x")) / det_s, (F.col(f"b{k}y") * F.col("s1x") - F.col(f"b{k}x") * F.col("s1y")) / det_s)
+    real = dict(zip(("m11", "m12", "m21", "m22"), (*part(1), *part(2)), strict=True))
+    whole = F.greatest(*[F.abs(x - F.round(x)) for x in real.values()]) <= 1e-6
+    out = rows.withColumns({n: F.when(whole, _nearest(x)).otherwise(F.raise_error("the cells have no whole-number matrix").cast("long")) for n, x in real.items()})
+    det = F.col("m11") * F.col("m22") - F.col("m12") * F.col("m21")
+    out = out.select("system_id", "m11", "m12", "m21", "m22", F.when(det != 0, det).otherwise(F.raise_error("the cells' matrix has no determinant").cast("long")).alias("det"))
+    # Euclid's steps on (m11, m21); 94 are enough for 64-bit numbers
+    pair = F.aggregate(
+        F.sequence(F.lit(1), F.lit(94)), F.struct(F.abs("m11").alias("a"), F.abs("m21").alias("b")),
+        lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.pmod(s["a"], F.when(s["b"] == 0, F.lit(1)).otherwise(s["b"])).alias("b"))),
+    )
+    out = out.withColumn("g", pair["a"]).withColumn("r", reduced_basis(F.col("m11"), F.col("m12"), F.col("m21"), F.col("m22")))
+    axis = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    cosets = out.withColumn("m0", axis(F.col("g"))).withColumn("n0", axis(F.expr("abs(det) div g")))
+    rx, ry, tx, ty = (F.col(f"r.{c}") for c in ("ax", "ay", "bx", "by"))
+    near = _nearest((F.col("m0") * ry - F.col("n0") * rx) / (tx * ry - ty * rx).cast("double"))  # the coefficient along t
+    lines = cosets.withColumn("k", F.explode(F.array(*[near + d for d in range(-2, 3)])))
+    lines = lines.select("system_id", "m11", "m12", "m21", "m22", "det", "m0", "n0", rx.alias("rx"), ry.alias("ry"), (F.col("m0") - F.col("k") * tx).alias("lm"), (F.col("n0") - F.col("k") * ty).alias("ln"))
+    turns = lambda p, q: F.when(F.col(q) != 0, -F.col(p) / F.nullif(F.col(q), F.lit(0)))
+    at = [f(turns(p, q)).cast("long") + d for p, q in (("lm", "rx"), ("ln", "ry")) for f, d in ((F.floor, 0), (F.floor, 1))]
+    tried = lines.withColumn("t", F.explode(F.array_compact(F.array(*at))))
+    tried = tried.select("system_id", "m11", "m12", "m21", "m22", "det", "m0", "n0", (F.col("lm") + F.col("t") * F.col("rx")).alias("m"), (F.col("ln") + F.col("t") * F.col("ry")).alias("n"))
+    of = ["system_id", "m11", "m12", "m21", "m22", "det", "m0", "n0"]
+    best = tried.groupBy(*of).agg(F.min(F.struct((F.abs("m") + F.abs("n")).alias("size"), "m", "n")).alias("b")).select(*of, "b.m", "b.n")
+    size = F.abs("det")
+
+    def fold(top: Column) -> Column:
+        """top / det folded into [-0.5, 0.5), in whole numbers."""
+        part = F.pmod(top * F.signum("det").cast("long"), size)
+        return F.round(F.when(2 * part >= size, part - size).otherwise(part) / size, digits)
+
+    return best.select("system_id", fold(F.col("m") * F.col("m22") - F.col("n") * F.col("m21")).alias("u"), fold(F.col("n") * F.col("m11") - F.col("m") * F.col("m12")).alias("v"), "m", "n")
+
+
 def polygon_mask(points: DataFrame, corners: list[tuple[float, float]], eps: float = 1e-9, x: str = "x", y: str = "y") -> DataFrame:
     """points with `inside`: within a polygon (corners in order), its boundary included. Ray casting as an expression: one pass, no join."""
     px, py = F.col(x), F.col(y)

@@ -76,6 +76,12 @@ def bragg_folded(spark, d):
     return out.groupBy("system_id", (F.round("u", 5) + 0.0).alias("u"), (F.round("v", 5) + 0.0).alias("v")).agg(F.min(F.abs("m") + F.abs("n")).alias("size"))
 
 
+def folded_cosets(spark, d):
+    rows = _plane(spark, d).withColumns({"s1x": F.col("b1x") / 2, "s1y": F.col("b1y") / 2, "s2x": F.col("b2x") / 3, "s2y": F.col("b2y") / 3})
+    out = LA.folded_cosets(rows)
+    return out.select("system_id", (F.round("u", 5) + 0.0).alias("u"), (F.round("v", 5) + 0.0).alias("v"), (F.abs("m") + F.abs("n")).cast("int").alias("size"))
+
+
 def polygon_mask(spark, d):
     pts = B.table(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
     return LA.polygon_mask(pts, HEX).select("vec_id", "inside")
@@ -83,7 +89,7 @@ def polygon_mask(spark, d):
 
 QUERIES = {
     "p18_dual_basis": dual_basis, "p19_supercell": supercell, "p19_subcell": subcell, "p20_rotated": rotated, "p21_lattice_checks": lattice_checks, "p02_cartesian": cartesian, "p02_fractional": fractional,
-    "g12_o02_orbit": orbit, "g15_zone_corners": zone_corners, "g14_o01_bragg_circle": bragg_circle, "g13_w07_bragg_folded": bragg_folded, "g16_polygon_mask": polygon_mask,
+    "g12_o02_orbit": orbit, "g15_zone_corners": zone_corners, "g14_o01_bragg_circle": bragg_circle, "g13_w07_bragg_folded": bragg_folded, "g13_folded_cosets": folded_cosets, "g16_polygon_mask": polygon_mask,
 }
 
 _L = f"WITH {B.LATTICES_SQL}"
@@ -112,3 +118,4 @@ SQL = {
     "g16_polygon_mask": f"""WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), e(x0, y0, x1, y1) AS (VALUES {_EDGES})
 SELECT vec_id, count(*) FILTER (WHERE (y0 > y) <> (y1 > y) AND x < x0 + (y - y0) * (x1 - x0) / (y1 - y0)) % 2 = 1 AS inside FROM p, e GROUP BY vec_id""",
 }
+SQL["g13_folded_cosets"] = SQL["g13_w07_bragg_folded"]
