@@ -262,21 +262,18 @@ def _block_of(t: pa.Table) -> np.ndarray:
 
 def _strips(names: np.ndarray, comp: np.ndarray, block: np.ndarray, near) -> pa.Table:
     """Spanning edges of the pairs of different components that near(rows, others) marks: of the block's own pairs, or of two blocks' pairs. STRIP rows at a time."""
-    first, other = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-    kinds, counts = np.unique(comp, return_counts=True)
-    largest = comp == kinds[counts.argmax()]  # its members need not meet each other
-    work = [(first[~largest[first]], other)]
-    if len(first) < len(block):
-        work.append((first[largest[first]], other[~largest[other]]))
+    first = np.flatnonzero(block == block.min())
+    other = np.flatnonzero(block == block.max())
     low, high = [np.zeros(0, names.dtype)], [np.zeros(0, names.dtype)]
-    for left, right in work:
-        for lo in range(0, len(left), STRIP):
-            rows = left[lo : lo + STRIP]
-            i, j = np.nonzero(near(rows, right) & (comp[rows][:, None] != comp[right][None]))
-            if len(i):
-                a, b = _spanning(names, rows[i], right[j])
-                low.append(a)
-                high.append(b)
+    for lo in range(0, len(first), STRIP):
+        rows = first[lo : lo + STRIP]
+        others = other[lo:] if len(first) == len(block) else other  # one block: each pair once
+        hit = near(rows, others) & (comp[rows][:, None] != comp[others][None])
+        i, j = np.nonzero(hit)
+        if len(i):
+            a, b = _spanning(names, rows[i], others[j])
+            low.append(a)
+            high.append(b)
     return pa.table({"a": np.concatenate(low), "b": np.concatenate(high)})
 
 
