@@ -135,7 +135,7 @@ def stored_bands(spark, d):
     surface = B.bands(spark, d).select(F.col("band").alias("layer"), "i", "j", "energy")
     store.save(surface, path, "bands", "ek2d", 8, bands=[0, 1, 2], extra={"source": "customer"})
     meta = store.runs(spark, path).where("run_id = 'bands'").select("run_id", "nq", F.size("bands").alias("bands"), F.array_join("layers", ",").alias("layers"), F.col("extra")["source"].alias("source"))
-    return store.load(spark, path, "bands", layers=[1, 2]).join(F.broadcast(meta), "run_id").select("run_id", "nq", "bands", "layers", "source", "layer", "i", "j", F.round("energy", 6).alias("energy"))  # one row
+    return store.load(spark, path, "bands", layers=[1, 2]).join(F.broadcast(meta), "run_id").select("run_id", "nq", "bands", "layers", "source", "layer", "i", "j", F.round("energy", 9).alias("energy"))  # one row
 
 
 def binned_response(spark, d):
@@ -199,7 +199,7 @@ FROM m x JOIN m y ON x.layer = y.layer AND x.a = y.b AND x.b = y.a GROUP BY ALL"
 SQL["k02_stored_response"] = f"""WITH q AS ({SQL['a11_bare_response']})
 SELECT 'chi' AS run_id, 'susceptibility' AS module_type, CAST(0.05 AS DOUBLE) AS eta, 8 AS nq, '0.1' AS omega_limit, (SELECT count(*) FROM q) AS cells, 0 AS layer, i, j, re, im FROM q"""
 SQL["k03_stored_bands"] = f"""WITH {B.BANDS_SQL}
-SELECT 'bands' AS run_id, 8 AS nq, 3 AS bands, '0,1,2' AS layers, 'customer' AS source, band AS layer, i, j, round(energy, 6) AS energy FROM e WHERE band IN (1, 2)"""
+SELECT 'bands' AS run_id, 8 AS nq, 3 AS bands, '0,1,2' AS layers, 'customer' AS source, band AS layer, i, j, round(energy, 9) AS energy FROM e WHERE band IN (1, 2)"""
 SQL["a11_binned_response"] = SQL["a11_bare_response"].replace("WITH e AS (", "WITH e0 AS (", 1).replace(", o AS (", ", e AS (SELECT i, j, band, (floor(energy / 0.25) + 0.5) * 0.25 AS energy FROM e0), o AS (", 1)
 SQL["g10_four_step_dft"] = f"""WITH {B.grid_sql(STEPPED)}, x AS (SELECT layer, i, CAST(q AS INTEGER) AS q, sum(v * cos(2 * pi() * ((j * q) % {STEPPED}) / {STEPPED})) AS re, -sum(v * sin(2 * pi() * ((j * q) % {STEPPED}) / {STEPPED})) AS im FROM g, range({STEPPED}) AS b(q) GROUP BY ALL)
 SELECT layer, CAST(p AS INTEGER) AS i, q AS j, round(sum(re * cos(2 * pi() * ((i * p) % {STEPPED}) / {STEPPED}) + im * sin(2 * pi() * ((i * p) % {STEPPED}) / {STEPPED})), 3) + 0.0 AS re,
