@@ -122,13 +122,13 @@ def thermal_chunks(spectra: DataFrame, kt: float, tol: float = 1e-9, key: str =
     The kernel is cut where its tails weigh at most tol of its sum (thermal_reach, by each spectrum's mean step), so for even steps a value is off by at most tol times
     the spectrum's largest |v|, twice. A chunk is a group of chunk + 2 * reach points at most; each point is in its own chunk and in those whose halo holds it. Points with a null e or v add nothing."""
     spectra = spectra.withColumns({c: F.col(c).cast("double") for c in ("e", "v")})
-    ends = spectra.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("e").alias("_low"), F.max("e").alias("_high"))
+    ends = spectra.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("e").alias("_low"), F.max("e").alias("_high"), F.min("p").alias("_first"), F.max("p").alias("_last"))
     step = (F.col("_high") - F.col("_low")) / F.greatest(F.lit(1), F.col("_n") - 1)
     s = step / F.lit(kt)
     reach = F.greatest(F.lit(0), F.ceil(F.log(F.lit(8.0) / (F.lit(tol) * -F.expm1(-s))) / s) - 1)
-    ends = ends.select(key, step.alias("_step"), F.least(F.col("_n") - 1, F.when(s > 0, reach).otherwise(F.col("_n") - 1)).cast("long").alias("_reach"))
+    ends = ends.select(key, step.alias("_step"), F.least(F.col("_n") - 1, F.when(s > 0, reach).otherwise(F.col("_n") - 1)).cast("long").alias("_reach"), F.floor(F.col("_first") / chunk).alias("_first"), F.floor(F.col("_last") / chunk).alias("_last"))
     p = F.col("p").cast("long")
-    near = F.sequence(F.floor((p - F.col("_reach")) / chunk), F.floor((p + F.col("_reach")) / chunk))
+    near = F.sequence(F.greatest("_first", F.floor((p - F.col("_reach")) / chunk)), F.least("_last", F.floor((p + F.col("_reach")) / chunk)))
     each = spectra.select(key, p.alias("p"), "e", "v").join(ends, key).withColumn("_chunk", F.explode(near))
     names = StructType([each.schema[key], StructField("p", LongType()), StructField("e", DoubleType()), StructField("v", DoubleType())])
 

@@ -32,7 +32,7 @@ def tiled_map(spark, d):
 
 
 def thermal_chunks(spark, d):
-    return broaden.thermal_chunks(B.spectra(spark, d), 0.02, 1e-12, chunk=16).select("spectrum", "p", F.round("v", 6).alias("v"))
+    return broaden.thermal_chunks(B.spectra(spark, d), 0.02, 1e-12, chunk=32).select("spectrum", "p", F.round("v", 6).alias("v"))
 
 
 def thermal(spark, d):
