@@ -140,11 +140,14 @@ def thermal_chunks(spectra: DataFrame, kt: float, tol: float = 1e-9, key: str =
         bell = lambda d: 1 / (4 * kt) / np.cosh(np.clip(d / (2 * kt), -300, 300)) ** 2
         total = np.zeros(len(own))
         gap = np.isnan(e) | np.isnan(v)
-        for d in range(-reach, reach + 1):  # by difference of numbers: a missing point adds nothing
-            there = np.searchsorted(at, at[own] + d)
-            inside = np.minimum(there, len(at) - 1)
-            hit = (there < len(at)) & (at[inside] == at[own] + d) & ~gap[inside]
-            total += np.where(hit, np.nan_to_num(v[inside]) * bell(e[own] - np.nan_to_num(e[inside])), 0)
+        offsets = np.arange(-reach, reach + 1)
+        strip = max(1, (1 << 18) // len(offsets))
+        for lo in range(0, len(own), strip):  # by difference of numbers: a missing point adds nothing
+            rows = own[lo : lo + strip]
+            asked = at[rows][:, None] + offsets
+            there = np.minimum(np.searchsorted(at, asked), len(at) - 1)
+            hit = (at[there] == asked) & ~gap[there]
+            total[lo : lo + strip] = (np.where(hit, v[there], 0) * bell(np.where(hit, e[rows][:, None] - e[there], 0))).sum(1)
         norm = bell(np.arange(-reach, reach + 1) * step).sum()
         mine = t.take(pa.array(own))
         return pa.table({key: mine[key], "p": mine["p"], "e": mine["e"], "v": pa.array(total / norm)}).cast(names_arrow)
