@@ -240,9 +240,12 @@ def polygon_mask(points: DataFrame, corners: list[tuple[float, float]], eps: flo
     for (x0, y0), (x1, y1) in zip(corners, corners[1:] + corners[:1], strict=True):
         dx, dy = x1 - x0, y1 - y0
         length = math.hypot(dx, dy)
+        if not length:  # a repeated corner
+            on_edge = on_edge | (F.hypot(px - x0, py - y0) <= eps)
+            continue
         across = (px - x0) * dy - (py - y0) * dx
         along = (px - x0) * dx + (py - y0) * dy
-        on_edge = on_edge | ((F.abs(across) <= eps * max(length, 1e-300)) & (along >= -eps * length) & (along <= length * length + eps * length))
+        on_edge = on_edge | ((F.abs(across) <= eps * length) & (along >= -eps * length) & (along <= length * length + eps * length))
         if dy:
             hit = ((F.lit(y0) > py) != (F.lit(y1) > py)) & (px < x0 + (py - y0) * (dx / dy))
             crossings = crossings + F.when(hit, 1).otherwise(0)

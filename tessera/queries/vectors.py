@@ -7,8 +7,10 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import lattice as LA
+from ..operators import polygon as PG
 from . import bindings as B
 
+NOTCHED = [(0, 0.0, 0.0), (1, 8.0, 0.0), (2, 8.0, 8.0), (3, 4.0, 3.0), (4, 0.0, 8.0)]  # number, x, y
 HEX = [(0.2 * math.cos(math.pi * k / 3), 0.2 * math.sin(math.pi * k / 3)) for k in range(6)]
 
 
@@ -87,7 +89,19 @@ def polygon_mask(spark, d):
     return LA.polygon_mask(pts, HEX).select("vec_id", "inside")
 
 
+def polygon_table(spark, d):
+    """A notched polygon for each supplier, of five corners or (even keys) four, against a place for each customer; many places lie on edges and corners."""
+    p, s, c = B.table(spark, d, "supplier"), F.col("s_suppkey"), F.col("c_custkey")
+    shape = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for k, x, y in NOTCHED]), lambda v: (s % 2 == 1) | (v["k"] != 3))
+    corners = p.select(s, F.posexplode(shape).alias("n", "v")).select(
+        s.alias("polygon_id"), (F.col("n") + 1).alias("ord"), ((s * 613) % 1024 / 8 + (1 + s % 7) * F.col("v.dx")).alias("x"), ((s * 389) % 1024 / 8 + (1 + s % 7) * F.col("v.dy")).alias("y")
+    )
+    places = B.table(spark, d, "customer").select(c, ((c * 7919) % 1361 / 8).alias("x"), ((c * 104729) % 1367 / 8).alias("y"))
+    return PG.in_polygons(places, corners).select("c_custkey", "polygon_id")
+
+
 QUERIES = {
+    "g16_polygon_table": polygon_table,
     "p18_dual_basis": dual_basis, "p19_supercell": supercell, "p19_subcell": subcell, "p20_rotated": rotated, "p21_lattice_checks": lattice_checks, "p02_cartesian": cartesian, "p02_fractional": fractional,
     "g12_o02_orbit": orbit, "g15_zone_corners": zone_corners, "g14_o01_bragg_circle": bragg_circle, "g13_w07_bragg_folded": bragg_folded, "g13_folded_cosets": folded_cosets, "g16_polygon_mask": polygon_mask,
 }
@@ -118,4 +132,12 @@ SQL = {
     "g16_polygon_mask": f"""WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), e(x0, y0, x1, y1) AS (VALUES {_EDGES})
 SELECT vec_id, count(*) FILTER (WHERE (y0 > y) <> (y1 > y) AND x < x0 + (y - y0) * (x1 - x0) / (y1 - y0)) % 2 = 1 AS inside FROM p, e GROUP BY vec_id""",
 }
+SQL["g16_polygon_table"] = f"""WITH p AS (SELECT c_custkey, c_custkey * 7919 % 1361 / 8 AS x, c_custkey * 104729 % 1367 / 8 AS y FROM customer), o(k, dx, dy) AS (VALUES {", ".join(f"({k}, {x}::DOUBLE, {y}::DOUBLE)" for k, x, y in NOTCHED)}),
+v AS (SELECT s_suppkey AS id, k, s_suppkey * 613 % 1024 / 8 + (1 + s_suppkey % 7) * dx AS x, s_suppkey * 389 % 1024 / 8 + (1 + s_suppkey % 7) * dy AS y FROM supplier, o WHERE s_suppkey % 2 = 1 OR k <> 3),
+e AS (SELECT id, x AS x0, y AS y0, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x1, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y1 FROM v WINDOW w AS (PARTITION BY id ORDER BY k)),
+b AS (SELECT id, min(x0) AS xl, max(x0) AS xh, min(y0) AS yl, max(y0) AS yh FROM e GROUP BY id),
+n AS (SELECT c_custkey, x, y, id FROM p, b WHERE x >= xl AND x <= xh AND y >= yl AND y <= yh)
+SELECT c_custkey, id AS polygon_id FROM n JOIN e USING (id) GROUP BY ALL
+HAVING bool_or(abs((x - x0) * (y1 - y0) - (y - y0) * (x1 - x0)) <= 1e-9 AND (x - x0) * (x1 - x0) + (y - y0) * (y1 - y0) BETWEEN 0 AND (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))
+OR count(*) FILTER (WHERE (y0 > y) <> (y1 > y) AND x < x0 + (y - y0) * ((x1 - x0) / (y1 - y0))) % 2 = 1"""
 SQL["g13_folded_cosets"] = SQL["g13_w07_bragg_folded"]
