@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import mesh, scan, voxel
+from ..plans import scratch
 from ..sources import calculation as C
 from ..sources import headers
 from ..sources import lines as L
@@ -118,6 +119,17 @@ def voxel_difference(spark, d):
     return out.withColumn("value", F.col("value").cast("double"))
 
 
+def block_difference(spark, d):
+    """The same cubes as stored blocks in buckets, a table for each cube."""
+    v, sides = _voxels(spark, d), []
+    for cube in ("F", "O"):
+        folder = scratch.new_folder(spark, f"voxels-{cube}")
+        name = "voxels_" + folder.rsplit("-", 1)[1]
+        voxel.save_blocks(voxel.blocks(v.where(F.col("cube_id") == cube), side=4), name, folder, 16)
+        sides.append(spark.table(name))
+    return voxel.unblocked(voxel.block_difference(*sides), side=4).withColumn("value", F.col("value").cast("double"))
+
+
 def cube_compatible(spark, d):
     """Whether two cubes span the same grid; the axes follow from the cubes' extents."""
     o = B.table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("cube_id")).agg((F.max(F.col("o_custkey") % 8) + 1).cast("int").alias("n1"), (F.max(F.col("o_orderkey") % 8) + 1).cast("int").alias("n2"), F.count_distinct(F.col("o_orderdate").cast("date")).cast("int").alias("n3"))
@@ -157,7 +169,7 @@ def spins_by_number(spark, d):
 QUERIES = {
     "w04_s08_last_number": last_number, "w03_marked_block": marked_block, "w05_s19_carried_marker": carried_marker, "w08_s16_records": records, "o05_s09_first_lines": first_lines, "s13_stopped_lines": stopped_lines,
     "p16_header_modules": header_modules, "s04_nested_headers": nested_headers, "p17_embedded_tables": embedded_tables, "s21_preferred_source": preferred_source, "j07_w07_best_order": best_order, "w01_path_length": path_length,
-    "w02_tick_numbers": tick_numbers, "u01_labelled_union": labelled_union, "a13_extents": extents, "j01_voxel_difference": voxel_difference, "j02_cube_compatible": cube_compatible, "j05_orbital_columns": orbital_columns,
+    "w02_tick_numbers": tick_numbers, "u01_labelled_union": labelled_union, "a13_extents": extents, "j01_voxel_difference": voxel_difference, "j01_block_difference": block_difference, "j02_cube_compatible": cube_compatible, "j05_orbital_columns": orbital_columns,
     "s12_basis_counts": basis_counts, "p22_a05_selected_weights": selected_weights, "j06_spins_by_number": spins_by_number,
 }
 
@@ -190,3 +202,4 @@ SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY ord, shell, m, k
     "p22_a05_selected_weights": "SELECT l_orderkey AS row_id, CAST(l_orderkey % 100 AS DOUBLE) AS kpath, CAST(l_orderkey % 7 AS DOUBLE) AS energy, sum(l_quantity) AS w FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey UNION ALL SELECT -l_orderkey, CAST(l_orderkey % 100 AS DOUBLE), CAST(l_orderkey % 7 AS DOUBLE), sum(l_quantity) FROM lineitem WHERE l_linenumber = 2 GROUP BY l_orderkey",
     "j06_spins_by_number": "SELECT o_orderkey AS ord, o_totalprice, up FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS up FROM lineitem WHERE l_linenumber = 4 GROUP BY l_orderkey) ON o_orderkey = l_orderkey",
 }
+SQL["j01_block_difference"] = SQL["j01_voxel_difference"]
