@@ -30,8 +30,8 @@ def _entry(head: str, key: str) -> str:
     return m[1].strip() if m else ""
 
 
-def _image(data: bytes) -> tuple[list[str], int, int, np.ndarray, np.ndarray] | None:
-    """Channel names, columns, rows, values, presence (channel, direction, row, col)."""
+def image_head(data: bytes) -> tuple[list[str], int, int, int] | None:
+    """Channel names, columns, rows, and where the samples begin."""
     mark = data.find(b":SCANIT_END:")
     if mark < 0:
         return None
@@ -39,14 +39,21 @@ def _image(data: bytes) -> tuple[list[str], int, int, np.ndarray, np.ndarray] |
     pixels = _entry(head, "SCAN_PIXELS").split()
     if len(pixels) < 2:
         return None
-    nx, ny = int(pixels[0]), int(pixels[1])
     rows = [r.strip("\t").split("\t") for r in _entry(head, "DATA_INFO").splitlines() if r.strip()]
     at = rows[0].index("Name") if rows and "Name" in rows[0] else 1
-    names = [r[at] for r in rows[1:] if len(r) > at]
     body = mark
     for _ in range(3):  # the marker's own line and two more
         body = data.find(b"\n", body) + 1
-    values, there = _padded(data[body + 2 :], 2 * len(names) * nx * ny)
+    return [r[at] for r in rows[1:] if len(r) > at], int(pixels[0]), int(pixels[1]), body + 2
+
+
+def _image(data: bytes) -> tuple[list[str], int, int, np.ndarray, np.ndarray] | None:
+    """Channel names, columns, rows, values, presence (channel, direction, row, col)."""
+    head = image_head(data)
+    if head is None:
+        return None
+    names, nx, ny, body = head
+    values, there = _padded(data[body:], 2 * len(names) * nx * ny)
     shape = (len(names), 2, ny, nx)
     return names, nx, ny, values.reshape(shape), there.reshape(shape)
 
@@ -103,7 +110,8 @@ def point_spectra(lines: DataFrame) -> DataFrame:
     return cells.where("c.names is not null and trim(c.names) <> ''").select("file", "point", F.trim("c.names").alias("channel"), F.trim("c.f").try_cast("double").alias("value"))
 
 
-def _grid(data: bytes) -> tuple[dict, np.ndarray, np.ndarray] | None:
+def grid_head(data: bytes) -> tuple[dict, int] | None:
+    """The layout of a spectrum grid, and where the numbers begin."""
     mark = data.find(b":HEADER_END:")
     if mark < 0:
         return None
@@ -114,11 +122,18 @@ def _grid(data: bytes) -> tuple[dict, np.ndarray, np.ndarray] | None:
     names = [x for x in (get("Fixed parameters") + ";" + get("Experiment parameters")).split(";") if x]
     n_params = int(get("# Parameters (4 byte)") or len(names))
     channels = [x for x in get("Channels").split(";") if x]
-    points = int(get("Points") or 0)
-    body = data[data.find(b"\n", mark) + 1 :]
-    each = n_params + len(channels) * points
-    values, there = _padded(body, nx * ny * each)
-    return {"nx": nx, "ny": ny, "names": (names + [f"param_{i}" for i in range(len(names), n_params)])[:n_params], "channels": channels, "points": points}, values.reshape(nx * ny, each), there.reshape(nx * ny, each)
+    names = (names + [f"param_{i}" for i in range(len(names), n_params)])[:n_params]
+    return {"nx": nx, "ny": ny, "names": names, "channels": channels, "points": int(get("Points") or 0)}, data.find(b"\n", mark) + 1
+
+
+def _grid(data: bytes) -> tuple[dict, np.ndarray, np.ndarray] | None:
+    head = grid_head(data)
+    if head is None:
+        return None
+    m, body = head
+    each = len(m["names"]) + len(m["channels"]) * m["points"]
+    values, there = _padded(data[body:], m["nx"] * m["ny"] * each)
+    return m, values.reshape(m["nx"] * m["ny"], each), there.reshape(m["nx"] * m["ny"], each)
 
 
 def grid_spectra(spark: SparkSession, path: str) -> DataFrame:
