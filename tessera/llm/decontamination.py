@@ -9,15 +9,15 @@ block maxima, which no order of reading changes, are first taken for many passag
 A retrieved item is then
 verified on five-word shingles of the whole document: at least 0.8 of the item's, and at least half of those of its
 question and of its answer. Without a column for it, the last third of an item's words stands for its
-answer; with one, question and answer are indexed apart and may stand apart in a document. With short_parts, as the query and the pipeline have it, a part of fewer
-than five words is looked up as a run of its own length; without, only among runs of five, where a longer document never has it.
+answer; with one, question and answer are indexed apart and may stand apart in a document. A part of fewer than five words is
+looked up as a run of its own length.
 
 Scale: documents are read once, whole, without a shuffle. Document frequencies and the mean length are counted by Spark over the whole benchmark, so
 scores do not depend on slices. The index is built by Spark tasks in slices of about SLICE items or SLICE_BYTES bytes (a single larger item is a slice of its own size), each
 a bounded broadcast; a larger benchmark takes one Python stage for each slice, all in one pass over the documents.
 
 Edge cases: a null or empty text, and one without words, is clean. An item without words matches nothing; one with fewer than five words
-is a single shingle, its whole sequence (with short_parts anywhere in a document), and so is a document of fewer than five words. Repeated items each count. Repeated rows are judged each;
+is a single shingle, its whole sequence, anywhere in a document. Repeated items each count. Repeated rows are judged each;
 a null doc_id is a row like others. Empty tables: an empty benchmark leaves all clean. Very long texts are read whole.
 """
 
@@ -204,13 +204,13 @@ def _share(part: np.ndarray, of: np.ndarray) -> float:
     return float((of[at] == part).mean()) if len(part) else 1.0
 
 
-def leaks(index: dict, words: np.ndarray, bounds: np.ndarray, short_parts: bool = False) -> list[list[tuple[int, float]]]:
-    """Per document, (item_id, share) of the verified items. short_parts: parts of fewer than five words are runs of their own length."""
+def leaks(index: dict, words: np.ndarray, bounds: np.ndarray) -> list[list[tuple[int, float]]]:
+    """Per document, (item_id, share) of the verified items; parts of fewer than five words are runs of their own length."""
     out = []
     for d, items in enumerate(candidates(index, words, bounds)):
         mine = []
         if items:
-            lengths = set().union(*(index["runs"][i] for i in items)) if short_parts else {5}
+            lengths = set().union(*(index["runs"][i] for i in items))
             sh = np.unique(np.concatenate([shingle_hashes(words[bounds[d] : bounds[d + 1]], n) for n in sorted(lengths)]))
             for i in sorted(items):
                 share = _share(index["whole"][i], sh)
@@ -220,14 +220,14 @@ def leaks(index: dict, words: np.ndarray, bounds: np.ndarray, short_parts: bool
     return out
 
 
-def _pass(docs: DataFrame, index: dict, text_col: str, short_parts: bool) -> DataFrame:
+def _pass(docs: DataFrame, index: dict, text_col: str) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def make():
         hasher = _hasher()
 
         def compute(texts):
-            found = leaks(held.value, *hasher.of_texts(texts), short_parts)
+            found = leaks(held.value, *hasher.of_texts(texts))
             return [pa.array([sorted({i for i, _ in f}) for f in found], pa.list_(pa.int64())), pa.array([max((s for _, s in f), default=0.0) for f in found], pa.float64())]
 
         return compute
@@ -273,7 +273,7 @@ def indexes(items: DataFrame, slices: int) -> DataFrame:
     return out
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", answer_col: str | None = None, short_parts: bool = False) -> DataFrame:
+def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", answer_col: str | None = None) -> DataFrame:
     """docs with items (ids of the leaked items, ascending), overlap (the largest share of an item's shingles), n_items and contaminated."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), (F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")).alias("answer"))
     items = items.where("item_id is not null")
@@ -286,7 +286,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", answe
         index = pickle.loads(row["index"]) if row else build_index([])
         if k:
             out = out.withColumnsRenamed({"items": f"items_{k}", "overlap": f"overlap_{k}"})
-        out = _pass(out, index, text_col, short_parts)
+        out = _pass(out, index, text_col)
         if k:
             out = out.withColumn("items", F.array_sort(F.array_union("items", f"items_{k}"))).withColumn("overlap", F.greatest("overlap", f"overlap_{k}")).drop(f"items_{k}", f"overlap_{k}")
     discard(built)
@@ -294,7 +294,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", answe
 
 
 def op6_decontaminate(spark, sf_dir) -> DataFrame:
-    return matched(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), short_parts=True).select("doc_id", "items", "n_items", "contaminated")
+    return matched(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id", "items", "n_items", "contaminated")
 
 
 OP6_SQL = r"""

@@ -18,22 +18,8 @@ def words(text):
     return out + [w] * bool(w)
 
 
-def shingles(w):
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
 def brute_force(docs, items):
-    found = {}
-    for d, t in docs:
-        have, mine = shingles(words(t)), []
-        for i, text in items:
-            w = words(text)
-            cut = len(w) - len(w) // 3
-            share = lambda x: len(shingles(x) & have) / len(shingles(x)) if x else 1.0  # noqa: B023, E731
-            if w and share(w) >= 0.8 and share(w[:cut]) >= 0.5 and share(w[cut:]) >= 0.5:
-                mine.append(i)
-        found[d] = sorted(mine)
-    return found
+    return whole_brute_force(docs, [(i, t, None) for i, t in items])
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +56,15 @@ def test_brute_force(spark, documents, corpus):
     assert run(spark, documents, docs, items) == brute_force(docs, items)
 
 
+def test_short_items_and_parts_are_found(spark, documents, corpus):
+    """Those whose parts have one to four words, in longer documents."""
+    docs, items = corpus
+    found = run(spark, documents, docs, items)
+    assert found[302] == found[303] == [103]
+    few = [i for i, t in items if 5 <= len(words(t)) < 15]
+    assert any(set(few) & set(v) for v in found.values())
+
+
 def test_slices_of_a_large_benchmark(spark, documents, corpus, monkeypatch):
     docs, items = corpus
     monkeypatch.setattr(D, "SLICE", 20)
@@ -164,11 +159,11 @@ def runs(w, n):
 
 def whole_brute_force(docs, items):
     """items: (id, question, answer or None). A part of fewer than five words is a run of its own length."""
-    found = {}
+    found, items = {}, [(i, words(question), words(answer), answer) for i, question, answer in items]
     for d, t in docs:
         have, mine = words(t), []
-        for i, question, answer in items:
-            q, a = words(question), words(answer)
+        own = {n: runs(have, n) for n in range(1, 6)}
+        for i, q, a, answer in items:
             if not answer:
                 cut = len(q) - len(q) // 3
                 parts, whole = [q[:cut], q[cut:]], runs(q, min(5, len(q)))
@@ -176,11 +171,11 @@ def whole_brute_force(docs, items):
                 parts, whole = [q, a], runs(q, min(5, len(q))) | runs(a, min(5, len(a)))
             if not q:
                 continue
-            shares = [len(r & runs(have, min(5, len(p)))) / len(r) for p in parts if p for r in [runs(p, min(5, len(p)))]]
-            in_doc = sum(r in runs(have, len(r)) for r in whole) / len(whole)
+            shares = [len(r & own[min(5, len(p))]) / len(r) for p in parts if p for r in [runs(p, min(5, len(p)))]]
+            in_doc = sum(r in own[len(r)] for r in whole) / len(whole)
             if in_doc >= 0.8 and min(shares) >= 0.5:
                 mine.append(i)
-        found[d] = mine
+        found[d] = sorted(mine)
     return found
 
 
@@ -192,13 +187,13 @@ def test_items_of_few_words_and_short_answers(spark, documents, tmp_path):
     plain = [(n, t, None) for n, t in item.items()]
     want = whole_brute_force(docs, plain)
     assert [want[n] for n in item] == [[n] for n in item]
-    assert run(spark, documents, docs, [(i, t) for i, t, _ in plain], short_parts=True) == want
+    assert run(spark, documents, docs, [(i, t) for i, t, _ in plain]) == want
 
     asked = "what is the tall tower in that old town called by all"
     bench = [(1, asked, "needle"), (2, "who wrote it", "an old hand"), (3, asked, "spire")]
     docs = [(1, f"{asked} {filler(9)} needle {filler(9)}"), (2, f"{filler(9)} who wrote it? {filler(4)} An old hand. {filler(5)}"), (3, f"{asked} {filler(20)}")]
     frame = spark.createDataFrame(bench, "item_id long, text string, reply string")
-    got = {r["doc_id"]: r["items"] for r in D.matched(documents(docs), frame, answer_col="reply", short_parts=True).collect()}
+    got = {r["doc_id"]: r["items"] for r in D.matched(documents(docs), frame, answer_col="reply").collect()}
     assert got == whole_brute_force(docs, bench) == {1: [1], 2: [2], 3: []}
 
     import corpus_pipeline as P
