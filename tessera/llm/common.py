@@ -77,17 +77,46 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def with_columns(docs: DataFrame, text_col: str, ddl: str, make) -> DataFrame:
+def swept(held: list):
+    """The values of broadcasts, one after another. Of several, a worker lets go of each before it reads the next from its local file."""
+    for b in held:
+        yield b.value
+        if len(held) > 1 and getattr(b, "_path", None):
+            vars(b).pop("_value", None)
+
+
+def _units(batches, at: int, most: int):
+    """(batches, texts) of consecutive batches with about most bytes of text."""
+    held, texts, size = [], [], 0
+    for batch in batches:
+        mine = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+        held.append(batch)
+        texts += mine
+        size += sum(map(len, mine))
+        if size >= most:
+            yield held, texts
+            held, texts, size = [], [], 0
+    if held:
+        yield held, texts
+
+
+def with_columns(docs: DataFrame, text_col: str, ddl: str, make, unit: int | None = None) -> DataFrame:
     """docs with the columns of ddl, which make() computes from the text, batch by batch and without a shuffle.
 
-    make() returns a function from a list of byte strings (null as empty) to arrays. Columns of docs with the same names give way."""
+    make() returns a function from a list of byte strings (null as empty) to arrays. Columns of docs with the same names give way.
+    It is called on blocks of TEXT_BLOCK bytes, or on whole batches of unit bytes together where each call has work that does not depend on the texts."""
     new = StructType.fromDDL(ddl)
     docs = docs.drop(*new.names)
     at = docs.columns.index(text_col)
 
     def run(batches):
         compute = make()
-        for batch in batches:
+        for held, texts in _units(batches, at, unit) if unit else ():
+            columns, first = compute(texts), 0
+            for batch in held:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(c.slice(first, batch.num_rows) for c in columns)], [*batch.schema.names, *new.names])
+                first += batch.num_rows
+        for batch in batches:  # none are left after units
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
             for lo, hi in in_blocks([len(t) for t in texts], TEXT_BLOCK):
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *compute(texts[lo:hi])], [*batch.schema.names, *new.names])

@@ -14,7 +14,8 @@ looked up as a run of its own length.
 
 Scale: documents are read once, whole, without a shuffle. Document frequencies and the mean length are counted by Spark over the whole benchmark, so
 scores do not depend on slices. The index is built by Spark tasks in slices of about SLICE items or SLICE_BYTES bytes (a single larger item is a slice of its own size), each
-a bounded broadcast; a larger benchmark takes one Python stage for each slice, all in one pass over the documents.
+a bounded broadcast. All slices are read in one Python stage: it hashes about SWEEP bytes of texts once and takes the slices one after another, so that a worker
+holds one slice, and its executor's disk all of them.
 
 Edge cases: a null or empty text, and one without words, is clean. An item without words matches nothing; one with fewer than five words
 is a single shingle, its whole sequence, anywhere in a document. Repeated items each count. Repeated rows are judged each;
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, shingle_hashes, small, table, with_columns, written
+from .common import Words, discard, shingle_hashes, small, swept, table, with_columns, written
 
 PASSAGE = 128
 RETRIEVE = 0.5
@@ -41,6 +42,8 @@ K1, B = 1.2, 0.75
 #: Items in a block, or more where that would make over BLOCKS blocks.
 BLOCK, BLOCKS = 2, 128
 SLICE, SLICE_BYTES = 20_000, 8 << 20
+#: Bytes of text that meet all slices before the next texts are read, if there are several.
+SWEEP = 8 << 20
 _CHUNK = PASSAGE // 2
 
 
@@ -220,19 +223,26 @@ def leaks(index: dict, words: np.ndarray, bounds: np.ndarray) -> list[list[tuple
     return out
 
 
-def _pass(docs: DataFrame, index: dict, text_col: str) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(index)
+def _pass(docs: DataFrame, held: list, text_col: str) -> DataFrame:
+    """docs with items and overlap: one Python stage, which hashes a text once and reads the held indexes one after another."""
 
     def make():
         hasher = _hasher()
 
         def compute(texts):
-            found = leaks(held.value, *hasher.of_texts(texts))
-            return [pa.array([sorted({i for i, _ in f}) for f in found], pa.list_(pa.int64())), pa.array([max((s for _, s in f), default=0.0) for f in found], pa.float64())]
+            words, bounds = hasher.of_texts(texts)
+            items: list[set[int]] = [set() for _ in texts]
+            overlap = np.zeros(len(texts))
+            for index in swept(held):
+                for d, found in enumerate(leaks(index, words, bounds)):
+                    for item, share in found:
+                        items[d].add(item)
+                        overlap[d] = max(overlap[d], share)
+            return [pa.array([sorted(i) for i in items], pa.list_(pa.int64())), pa.array(overlap)]
 
         return compute
 
-    return with_columns(docs, text_col, "items array<long>, overlap double", make)
+    return with_columns(docs, text_col, "items array<long>, overlap double", make, unit=SWEEP if len(held) > 1 else None)
 
 
 def _terms(items: DataFrame) -> DataFrame:
@@ -280,15 +290,9 @@ def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", answe
     size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("answer"), F.lit(0))).alias("bytes")).first()
     slices = max(1, -(-size["n"] // SLICE), -(-(size["bytes"] or 0) // SLICE_BYTES))
     built = indexes(items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text", "answer"), F.lit(slices)).cast("int")), slices)
-    out = docs.drop("items", "overlap", "n_items", "contaminated")
-    for k in range(slices):  # one bounded slice of the index at a time passes through the driver
-        row = built.where(F.col("slice") == k).select("index").first()
-        index = pickle.loads(row["index"]) if row else build_index([])
-        if k:
-            out = out.withColumnsRenamed({"items": f"items_{k}", "overlap": f"overlap_{k}"})
-        out = _pass(out, index, text_col)
-        if k:
-            out = out.withColumn("items", F.array_sort(F.array_union("items", f"items_{k}"))).withColumn("overlap", F.greatest("overlap", f"overlap_{k}")).drop(f"items_{k}", f"overlap_{k}")
+    # One bounded slice of the index at a time passes through the driver into a broadcast of its own.
+    held = [docs.sparkSession.sparkContext.broadcast(pickle.loads(row["index"])) for row in built.select("index").toLocalIterator()]
+    out = _pass(docs.drop("items", "overlap", "n_items", "contaminated"), held, text_col)
     discard(built)
     return out.withColumn("n_items", F.size("items")).withColumn("contaminated", F.size("items") > 0)
 

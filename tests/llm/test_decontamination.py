@@ -71,6 +71,19 @@ def test_slices_of_a_large_benchmark(spark, documents, corpus, monkeypatch):
     assert run(spark, documents, docs[100:], items) == brute_force(docs[100:], items)
 
 
+def test_many_slices_are_one_stage(spark, documents, monkeypatch):
+    """A hundred slices in one Python node; a text hashed once; items of all slices found, also twice in one document."""
+    monkeypatch.setattr(D, "SLICE", 3)
+    monkeypatch.setattr(D, "SWEEP", 20_000)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(12))) for i in range(300)]
+    docs = [(d, f"before {items[d][1]} between {items[(d * 7) % 300][1]} after") for d in range(300)] + [(400, None), (401, "clean text of some words"), (402, items[5][1] + " x" * 50_000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = D.matched(documents(docs), bench)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r["doc_id"]: (r["items"], r["overlap"]) for r in out.collect()}
+    assert got == {**{d: (sorted({d, (d * 7) % 300}), 1.0) for d in range(300)}, 400: ([], 0.0), 401: ([], 0.0), 402: ([5], 1.0)}
+
+
 def test_bounds_hide_nothing(corpus):
     """Block bounds give the same items as scoring all postings."""
     import numpy as np
