@@ -28,7 +28,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, SIMILAR) the document with the smallest doc_id stays, once: of rows with equal id and text one stays.
 
     Rows of one id with different texts stay or go together: they go if no row of the id is the smallest of its group. Rows with a null id
-    are linked with nothing and stay. An empty table stays empty."""
+    are linked with nothing and stay, as do those with a null or empty text unless their id goes. Very long texts are compared whole. Of equal rows of an id
+    the one that comes first by n_chars, lang and source stays. An empty table stays empty."""
     docs = docs.select(COLUMNS)
     found = written(neardup.near_duplicates(docs, SIMILAR).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("doc_id is not null and (not kept or n > 1)"), "dedup")
     kept = docs.join(small(found.where("not kept").select("doc_id")), "doc_id", "left_anti")
@@ -36,13 +37,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if again.isEmpty():
         return kept.select(COLUMNS)
     again = small(again)
-    once = Window.partitionBy("doc_id", F.md5(F.coalesce("text", F.lit("")))).orderBy("n_chars", "lang", "source")  # rows of repeated ids only
-    rest = kept.join(again, "doc_id", "left_semi").withColumn("nth", F.row_number().over(once)).where("nth = 1")
+    same = F.md5(F.coalesce("text", F.lit("")))  # aggregated before the shuffle: copies of one id are no group of their own
+    rest = kept.join(again, "doc_id", "left_semi").groupBy("doc_id", same.alias("same")).agg(F.min(F.struct("n_chars", "lang", "source", "text")).alias("row")).select("doc_id", "row.*")
     return kept.join(again, "doc_id", "left_anti").select(COLUMNS).unionByName(rest.select(COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go. Repeated rows are judged each, null ids like others; an empty benchmark or table changes nothing."""
+    """Documents that hold a benchmark item go. Repeated rows are judged each, null ids like others; an empty benchmark or table changes nothing.
+
+    Null and empty texts stay; very long ones are read whole. Several items in one document are no tie: one is enough. Columns of docs beside those of documents are left out."""
     return decontamination.matched(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")).where("not contaminated").select(COLUMNS)
 
 
@@ -52,22 +55,43 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS, F.concat(row_key(F.col("doc_id"), F.col("text")), F.substring(F.md5(source), 1, 8)).alias("row_key"))
 
 
+def _ranges(rows: DataFrame, names: list[str], low: str, high: str) -> DataFrame:
+    """The different rows (row_key, names ...), each with its range of numbers [low, high) among those of its key, as wide as the row is frequent.
+
+    Two levels: numbers of rows by a hash of the row, and running sums within each, so that no key is a single group."""
+    counted = rows.groupBy("row_key", *names).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.pmod(F.xxhash64(*names), F.lit(256)))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    parts = counted.groupBy("row_key", "part").agg(F.sum("n").alias("m")).withColumn("start", F.coalesce(F.sum("m").over(before("row_key").orderBy("part")), F.lit(0))).drop("m")
+    at = F.col("start") + F.coalesce(F.sum("n").over(before("row_key", "part").orderBy(*names)), F.lit(0))
+    return counted.join(parts, ["row_key", "part"]).withColumn(low, at).withColumn(high, F.col(low) + F.col("n")).drop("start", "n", "part")
+
+
+#: Copies of a row that are made at once.
+_COPIES = 4096
+
+
 def _met(docs: DataFrame, decisions: DataFrame, names: list[str]) -> DataFrame:
     """docs (with row_key) with their rows of decisions (row_key, names ...): repeated rows get one each, by their number on both sides. The texts are shuffled once.
 
-    Only keys of repeated rows are numbered and sorted; all others join as they are."""
+    Only keys of repeated rows are numbered; all others join as they are. Rows of a key differ in n_chars and lang at most (and in a text that is null or empty):
+    ranges of such narrow rows meet ranges of decisions, and the text of a key, aggregated to one row, joins afterwards."""
     repeated = small(written(decisions.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_key"), "repeated"))
-    nth = lambda *order: F.row_number().over(Window.partitionBy("row_key").orderBy(*order)).alias("nth")
     out = docs.join(repeated, "row_key", "left_anti").join(decisions.select("row_key", *names), "row_key")
-    many = docs.join(repeated, "row_key", "left_semi").select("*", nth("n_chars", "lang"))
-    each = decisions.join(repeated, "row_key", "left_semi").select("row_key", *names, nth(*names))
-    return out.select(*COLUMNS, *names).unionByName(many.join(each, ["row_key", "nth"]).select(*COLUMNS, *names))
+    again = docs.join(repeated, "row_key", "left_semi").withColumn("blank", F.col("text").isNull())
+    texts = again.groupBy("row_key", "blank").agg(F.min(F.struct("doc_id", "text", "source")).alias("of"))
+    mine = _ranges(again, ["n_chars", "lang", "blank"], "low", "high")
+    each = _ranges(decisions.join(repeated, "row_key", "left_semi"), names, "first", "last")
+    many = each.join(mine, "row_key").withColumn("copies", F.least("high", "last") - F.greatest("low", "first")).where("copies > 0")
+    many = many.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / _COPIES)))).join(texts, ["row_key", "blank"])
+    many = many.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(_COPIES), F.col("copies") - F.col("block") * _COPIES))))
+    return out.select(*COLUMNS, *names).unionByName(many.select("of.doc_id", "of.text", "lang", "of.source", "n_chars", *names))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stays as often as the mix reads it: the words taken over its words, rounded. Documents without words go.
 
-    Repeated rows are rows of their source each; a null source is one of its own; rows without an id are ordered by text. Rows are met by id, text and source."""
+    Repeated rows are rows of their source each; a null source is one of its own; rows without an id are ordered by text. Rows are met by id, text and source.
+    Null and empty texts have no words and go; very long texts count whole. Ties between quotas go to the first source by code point. An empty table stays empty."""
     keyed = _named(docs)
     mixed = mixing.mix(keyed.select("row_key", "text", "source"), id_col="row_key")
     times = mixed.select(F.col("doc_id").alias("row_key"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("times"))
@@ -75,7 +99,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their size in bytes, shard and slot. Copies of a text share a shard unless they are larger than one; repeated rows get a slot each."""
+    """The documents with their size in bytes, shard and slot. Copies of a text share a shard unless they are larger than one; repeated rows get a slot each.
+
+    Null ids are rows like others; null and empty texts have the size of a record without text; a text larger than a shard stays whole. Slots are dealt by key, so
+    rows tied on id, text and source take neighbouring slots in any order. An empty table stays empty."""
     keyed = _named(docs)
     placed = sharding.sharded(keyed, key_col="row_key").select(F.col("key").alias("row_key"), "size", "shard", "slot")
     return _met(keyed, placed, ["shard", "slot", "size"])
