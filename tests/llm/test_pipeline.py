@@ -46,12 +46,60 @@ def test_contaminated_documents_go(spark, sf, stages):
     assert {r.doc_id for r in stages[3]["rows"]} == want
 
 
+def shares(size):
+    """Each source's target: all words by weights 1, 2, 3 in code point order (null last), at most three times a source's own, the excess shared again."""
+    names = sorted(size, key=lambda x: (x is None, x or ""))
+    weight = {x: (1, 2, 3)[k % 3] for k, x in enumerate(names)}
+    left, goal = sum(size.values()), {}
+    while True:
+        free = [x for x in names if x not in goal]
+        over = [x for x in free if left * weight[x] > 3 * size[x] * sum(weight[y] for y in free)]
+        if not over:
+            return {**goal, **{x: left * weight[x] / sum(weight[y] for y in free) for x in free}}
+        for x in over:
+            goal[x] = 3 * size[x]
+        left = sum(size.values()) - sum(goal.values())
+
+
 def test_mix_follows_weights(stages):
+    """Each source's words are near its own target: a document's share is rounded to whole times."""
     before, after = ({(r.doc_id): r for r in stages[k]["rows"]} for k in (3, 4))
     assert set(after) <= set(before)
     assert max(Counter(r.doc_id for r in stages[4]["rows"]).values()) <= 3
-    words = lambda rows: sum(len(r.text.split()) for r in rows)
-    assert abs(words(stages[4]["rows"]) - words(stages[3]["rows"])) < 0.15 * words(stages[3]["rows"])
+    size, got, longest = Counter(), Counter(), Counter()
+    for r in stages[3]["rows"]:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+        size[r.source] += n
+        longest[r.source] = max(longest[r.source], n)
+    for r in stages[4]["rows"]:
+        got[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    goal = shares(size)
+    assert max(goal[s] / size[s] for s in size) > 1.3 * min(goal[s] / size[s] for s in size)  # a mix without weights would fail below
+    for s in size:
+        assert abs(got[s] - goal[s]) <= 0.02 * goal[s] + longest[s], (s, got[s], goal[s])
+
+
+@pytest.mark.parametrize("stage", ["mix_sources", "shard"])
+def test_many_copies_without_an_id(spark, sf, stage):
+    """Ten thousand rows of one text and no id, under two languages, beside other rows: each has a decision of its own."""
+    text = "a text without an id that is repeated very often"
+    rows = [(None, text, "en" if k % 3 else "de", "a", len(text)) for k in range(10_000)] + [(k, f"w{k} " * 40, "en", "ab"[k % 2], 200) for k in range(300)]
+    rows += [(7_000, None, "en", "a", None), (7_000, "", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(P.STAGES)[stage](spark, docs, sf).collect()
+    count = Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in out)
+    if stage == "shard":
+        assert count == Counter(rows)
+        assert len({(r["shard"], r.slot) for r in out}) == len(out)
+    else:
+        keyed = P._named(docs)
+        mixed = P.mixing.mix(keyed.select("row_key", "text", "source"), id_col="row_key").where("size > 0").collect()
+        want = Counter()
+        for r in mixed:
+            want[r.doc_id] += int(r.taken / r["size"] + 0.5)
+        got = Counter(r.row_key for r in P._named(spark.createDataFrame(out, docs.schema)).collect())
+        assert got == +want
+        assert set(count) <= set(rows)
 
 
 def test_shards_hold_every_row_once(stages):
