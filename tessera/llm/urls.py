@@ -5,11 +5,16 @@ misses a bit is surely not listed and never reaches the join; the possible hits
 canonical URL, which removes false positives.
 
 Scale: the filter has at most MAX_BLOCKS blocks of 40 bytes, whatever the length of the list (a longer list only raises
-the share of false positives), so broadcasting it is bounded. Possible hits are joined by shuffle; the list has one row
+the share of false positives), so broadcasting it is bounded. Pages are read once, into a narrow table of parts and filter answers; possible hits
+from there are joined by shuffle; the list, a table too, has one row
 per canonical URL, and Spark's skew join splits a URL that a third of the pages share.
 
+The list is a parameter. The query lists the canonical URLs of pages whose html is noisy (`noisy_list`), so that the list does not follow from
+the URLs: other pages under the same canonical URL are blocked with them.
+
 Edge cases: a url that is null or has no `://` has an empty host and path, fits no rule, has no canonical form and is
-allowed. Repeated rows get a verdict each. An empty list blocks nothing; an empty table gives an empty result.
+allowed. Repeated rows get a verdict each. A null html has no marks. Rules of equal length that both fit: the later one of the list. Very long urls and html
+are read whole. An empty list blocks nothing; an empty table gives an empty result. Columns of pages with the names used here do not matter.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table
+from .common import lower_ascii, table, written
 
 MAX_BLOCKS = 1 << 19
 BITS_PER_URL = 16
@@ -28,6 +33,9 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 #: A host label with one of these words puts a page's URL on the list.
 LISTED_WORDS = ("pills", "casino", "spam")
 
+#: Signs in groups of three, as noise leaves them behind words, and how many of them make a page's html noisy.
+MARK, MARKS = r"%%%|###|\*\*\*|\$\$\$", 20
+
 # Fixed odd multipliers, one per word of a block; any odd values do.
 _ODD = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
 
@@ -79,14 +87,15 @@ def bloom_filter(listed: DataFrame, n_blocks: int, key: str = "canon") -> DataFr
 
 
 def block_listed(pages: DataFrame, listed: DataFrame, key: str = "canon") -> DataFrame:
-    """pages with `is_listed`. listed has the column canon, distinct and without nulls."""
+    """pages with `is_listed`. listed has the column canon, distinct and without nulls. Both are computed once, into tables that the result reads."""
+    listed = written(listed.select(key), "listed")
     n = listed.count()
     n_blocks = min(MAX_BLOCKS, max(1, -(-n * BITS_PER_URL // 256)))
     bloom = bloom_filter(listed, n_blocks, key)
     rows = pages.select(F.struct("*").alias("row"), F.col(key).alias("canon"))  # no column of pages can clash
     bits = with_bits(rows, "canon", n_blocks).join(F.broadcast(bloom), "block", "left")  # at most MAX_BLOCKS rows of 40 bytes
     possible = F.coalesce(F.expr(" and ".join(f"word{i} & bit{i} = bit{i}" for i in range(8))), F.lit(False))
-    bits = bits.select("row", "canon", (possible & F.col("canon").isNotNull()).alias("possible"))
+    bits = written(bits.select("row", "canon", (possible & F.col("canon").isNotNull()).alias("possible")), "url-bits")
     hits = bits.where("possible").join(listed.select(F.col(key).alias("canon"), F.lit(True).alias("hit")), "canon", "left")
     rest = bits.where("not possible").select("row", F.lit(False).alias("hit"))
     return hits.select("row", F.coalesce("hit", F.lit(False)).alias("hit")).unionByName(rest).select(*[F.col("row")[c].alias(c) for c in pages.columns if c != "is_listed"], F.col("hit").alias("is_listed"))
@@ -103,26 +112,33 @@ def judged(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "page
 
 
 def word_list(pages: DataFrame, words=LISTED_WORDS, url_col: str = "url") -> DataFrame:
-    """Canonical URLs of the pages whose host has one of the words: the list that the query uses."""
+    """Canonical URLs of the pages whose host has one of the words."""
     url = F.col(url_col)
     return pages.select(host_of(url).alias("host"), path_of(url).alias("path")).where(F.col("host").rlike("|".join(words))).select(canonical(F.col("host"), F.col("path")).alias("canon")).distinct()
 
 
+def noisy_list(pages: DataFrame, marks: int = MARKS, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Canonical URLs of the pages whose html has at least so many marks: the list that the query uses."""
+    url = F.col(url_col)
+    noisy = pages.where(F.regexp_count(F.col(html_col), F.lit(MARK)) >= marks)
+    return noisy.select(canonical(host_of(url), path_of(url)).alias("canon")).where("canon is not null").distinct()
+
+
 def op3_url_filter(spark, sf_dir) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judged(pages, word_list(pages))
+    pages = table(spark, sf_dir, "pages")
+    return judged(pages.select("page_id", "url"), noisy_list(pages))
 
 
 OP3_SQL = r"""
-WITH s AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS tail FROM pages),
+WITH s AS (SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '%%%|###|\*\*\*|\$\$\$')) AS marks, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS tail FROM pages),
 p AS (
-  SELECT page_id,
+  SELECT page_id, marks,
     translate(coalesce(regexp_extract(tail, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(tail, '^[^/?#]*([^?#]*)', 1), '') AS path FROM s),
 c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www\.|m\.|blog\.)', '') || regexp_replace(path, '(/|\.html)$', '') END AS canon FROM p),
-l AS (SELECT DISTINCT canon FROM c WHERE regexp_matches(host, 'pills|casino|spam')),
+l AS (SELECT DISTINCT canon FROM c WHERE marks >= 20 AND canon IS NOT NULL),
 r AS (
-  SELECT c.*, CASE
+  SELECT c.* EXCLUDE (marks), CASE
     WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
     WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
     WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'

@@ -58,3 +58,25 @@ def test_very_long_urls_and_hosts(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string")
     got = {r.page_id: (len(r.host), len(r.path), r.rule, r.verdict) for r in urls.judged(pages, urls.word_list(pages)).collect()}
     assert got == {1: (100_004, 2, "org/", "allow"), 2: (5, 400_004, "com/fr/", "allow"), 3: (0, 0, None, "allow"), 4: (0, 0, None, "allow")}
+
+
+def test_noisy_pages_list_their_url(spark, tmp_path):
+    """A page is blocked for another page's html under the same canonical URL; pages are read once."""
+    noise = "word%%% more### " * 10
+    rows = [
+        (1, "http://a.net/p?x=1", f"<p>{noise}</p>"), (2, "https://www.a.net/p.html#t", "<p>clean</p>"), (3, "http://a.net/q", noise[: len(noise) // 2]), (4, "http://b.net/fr/1", None),
+        (5, None, noise), (6, "http://c.org/x", noise), (7, "http://c.com/de/1", ""), (8, "http://A.net/p/", "###%%%"), (8, "http://A.net/p/", "###%%%"), (None, "http://d.net", "***$$$" * 50_000),
+    ]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as canon", "1 as block", "'y' as host")
+    frame.write.parquet(str(tmp_path / "pages.parquet"))
+    out = urls.op3_url_filter(spark, str(tmp_path))
+    assert not any("pages.parquet" in f for f in out.inputFiles())
+    got = sorted((r.page_id or 0, r.is_listed, r.verdict) for r in out.collect())
+    assert got == [(0, True, "block"), (1, True, "block"), (2, True, "block"), (3, False, "allow"), (4, False, "allow"), (5, False, "allow"), (6, True, "allow"), (7, False, "block"), (8, True, "block"), (8, True, "block")]
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    sql = con.execute(urls.OP3_SQL).fetchall()
+    names = [c[0] for c in con.description]
+    assert sorted(map(repr, sql)) == sorted(repr(tuple(r[n] for n in names)) for r in out.collect())
