@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import lines as L
 
 _CHUNK = 1 << 16
+_HEADS = 1024  # layouts that a task keeps
 
 
 def _padded(body: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -25,37 +26,52 @@ def _padded(body: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, there
 
 
+def _numbers(bodies: tuple[bytes, ...], sizes: list[int]) -> pa.Array:
+    """Big-endian floats as doubles: of each body its first numbers, as many as its size; null where it ends before."""
+    whole = [body if len(body) == 4 * n else body[: min(4 * n, len(body) // 4 * 4)].ljust(4 * n, b"\0") for body, n in zip(bodies, sizes, strict=True)]
+    piece, at = _within(sizes)
+    there = at < np.array([len(b) // 4 for b in bodies], np.int64)[piece]
+    return pa.array(np.frombuffer(b"".join(whole), ">f4").astype(float), mask=~there)
+
+
+def _within(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For pieces of these sizes, one after another: each row's piece, and its number in the piece."""
+    piece = np.repeat(np.arange(len(sizes)), sizes)
+    return piece, np.arange(len(piece)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def _entry(head: str, key: str) -> str:
     m = re.search(rf"^:{re.escape(key)}:\s*\n(.*?)(?=^:[^:\n]+:\s*$|\Z)", head, re.S | re.M)
     return m[1].strip() if m else ""
 
 
-def image_head(data: bytes) -> tuple[list[str], int, int, int] | None:
-    """Channel names, columns, rows, and where the samples begin."""
+def image_head(data: bytes, seen: dict | None = None) -> tuple[list[str], int, int, int] | None:
+    """Channel names, columns, rows, and where the samples begin. seen: the layouts of heads met before, as the images of a run share theirs."""
     mark = data.find(b":SCANIT_END:")
     if mark < 0:
         return None
-    head = data[:mark].decode("latin-1").replace("\r\n", "\n")
-    pixels = _entry(head, "SCAN_PIXELS").split()
-    if len(pixels) < 2:
+    stated, seen = data[:mark], {} if seen is None else seen
+    if stated not in seen:
+        if len(seen) >= _HEADS:
+            seen.clear()
+        seen[stated] = _image_layout(stated)
+    layout = seen[stated]
+    if layout is None:
         return None
-    rows = [r.strip("\t").split("\t") for r in _entry(head, "DATA_INFO").splitlines() if r.strip()]
-    at = rows[0].index("Name") if rows and "Name" in rows[0] else 1
     body = mark
     for _ in range(3):  # the marker's own line and two more
         body = data.find(b"\n", body) + 1
-    return [r[at] for r in rows[1:] if len(r) > at], int(pixels[0]), int(pixels[1]), body + 2
+    return *layout, body + 2
 
 
-def _image(data: bytes) -> tuple[list[str], int, int, np.ndarray, np.ndarray] | None:
-    """Channel names, columns, rows, values, presence (channel, direction, row, col)."""
-    head = image_head(data)
-    if head is None:
+def _image_layout(stated: bytes) -> tuple[list[str], int, int] | None:
+    head = stated.decode("latin-1").replace("\r\n", "\n")
+    pixels = _entry(head, "SCAN_PIXELS").split()
+    if len(pixels) < 2:
         return None
-    names, nx, ny, body = head
-    values, there = _padded(data[body:], 2 * len(names) * nx * ny)
-    shape = (len(names), 2, ny, nx)
-    return names, nx, ny, values.reshape(shape), there.reshape(shape)
+    rows = [r.strip("\t").split("\t") for r in _entry(head, "DATA_INFO").splitlines() if r.strip()]
+    at = rows[0].index("Name") if rows and "Name" in rows[0] else 1
+    return [r[at] for r in rows[1:] if len(r) > at], int(pixels[0]), int(pixels[1])
 
 
 def _binary(spark: SparkSession, path: str) -> DataFrame:
@@ -67,23 +83,41 @@ def scan_pixels(spark: SparkSession, path: str) -> DataFrame:
     return decoded_pixels(_binary(spark, path))
 
 
+def _pixel_rows(held: list[tuple]) -> pa.RecordBatch:
+    """The pixels of pieces of images, in one batch: small files share a batch, as a batch costs more than a small file's rows."""
+    files, names, nx, ny, lo, sizes, bodies = zip(*held, strict=True)
+    piece, at = _within(sizes)
+    at += np.array(lo)[piece]
+    nx, ny = np.array(nx)[piece], np.array(ny)[piece]
+    line, col = np.divmod(at, nx)
+    side, row = np.divmod(line, ny)
+    first = np.cumsum([0, *map(len, names[:-1])])  # of the names of all pieces
+    channel = pa.array([c for x in names for c in x], pa.string()).take(pa.array(first[piece] + side // 2))
+    columns = [pa.array(files, pa.string()).take(pa.array(piece)), channel, pa.array(["fwd", "bwd"]).take(pa.array(side % 2)), pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), _numbers(bodies, sizes)]
+    return pa.RecordBatch.from_arrays(columns, ["file", "channel", "direction", "row", "col", "value"])
+
+
 def decoded_pixels(files: DataFrame) -> DataFrame:
     """(file, channel, direction, row, col, value) of scan images (file, content), in stored order (see mesh.flipped for the turn of lines)."""
 
     def run(batches):
+        held, n, seen = [], 0, {}
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = _image(data)
-                if got is None:
+                head = image_head(data, seen)
+                if head is None:
                     continue
-                names, nx, ny, values, there = got
-                for c, name in enumerate(names):
-                    for d, direction in enumerate(("fwd", "bwd")):
-                        v, t = values[c, d].reshape(-1), there[c, d].reshape(-1)
-                        for lo in range(0, len(v), _CHUNK):
-                            at = np.arange(lo, min(lo + _CHUNK, len(v)))
-                            n = len(at)
-                            yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array([name] * n), pa.array([direction] * n), pa.array((at // nx).astype(np.int32)), pa.array((at % nx).astype(np.int32)), pa.array(v[at], mask=~t[at])], ["file", "channel", "direction", "row", "col", "value"])
+                names, nx, ny, body = head
+                total = 2 * len(names) * nx * ny
+                for lo in range(0, total, _CHUNK):
+                    size = min(_CHUNK, total - lo)
+                    held.append((file, names, nx, ny, lo, size, data[body + 4 * lo : body + 4 * (lo + size)]))
+                    n += size
+                    if n >= _CHUNK:
+                        yield _pixel_rows(held)
+                        held, n = [], 0
+        if held:
+            yield _pixel_rows(held)
 
     return files.select("file", "content").mapInArrow(run, "file string, channel string, direction string, row int, col int, value double")
 
@@ -126,49 +160,50 @@ def grid_head(data: bytes) -> tuple[dict, int] | None:
     return {"nx": nx, "ny": ny, "names": names, "channels": channels, "points": int(get("Points") or 0)}, data.find(b"\n", mark) + 1
 
 
-def _grid(data: bytes) -> tuple[dict, np.ndarray, np.ndarray] | None:
-    head = grid_head(data)
-    if head is None:
-        return None
-    m, body = head
-    each = len(m["names"]) + len(m["channels"]) * m["points"]
-    values, there = _padded(data[body:], m["nx"] * m["ny"] * each)
-    return m, values.reshape(m["nx"] * m["ny"], each), there.reshape(m["nx"] * m["ny"], each)
-
-
 def grid_spectra(spark: SparkSession, path: str) -> DataFrame:
     """The spectra of all grid files of a path (see decoded_grids)."""
     return decoded_grids(_binary(spark, path))
 
 
+def _spectrum_rows(held: list[tuple]) -> pa.RecordBatch:
+    """The spectra of pieces of grids, in one batch: of each pixel its parameters, a list of one number each, and then its channels, a list of `points` numbers each."""
+    files, nx, lo, pixels, params, channels, points, bodies = zip(*held, strict=True)
+    n_params, names = np.array([len(x) for x in params]), [(*x, *y) for x, y in zip(params, channels, strict=True)]
+    width = np.array([len(x) for x in names])
+    piece, at = _within(width * np.array(pixels))
+    pixel, nth = np.divmod(at, width[piece])
+    pixel += np.array(lo)[piece]
+    iy, ix = np.divmod(pixel, np.array(nx)[piece])
+    first = np.cumsum(width) - width
+    param = nth < n_params[piece]
+    numbers = _numbers(bodies, [n * (len(x) + len(y) * k) for n, x, y, k in zip(pixels, params, channels, points, strict=True)])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(param, 1, np.array(points)[piece]))]).astype(np.int32)), numbers)
+    called = pa.array([c for x in names for c in x], pa.string()).take(pa.array(first[piece] + nth))
+    columns = [pa.array(files, pa.string()).take(pa.array(piece)), *(pa.array(c.astype(np.int32)) for c in (pixel, ix, iy)), pa.array(["channel", "param"]).take(pa.array(param.astype(np.int8))), called, lists]
+    return pa.RecordBatch.from_arrays(columns, ["file", "pixel", "ix", "iy", "kind", "name", "values"])
+
+
 def decoded_grids(files: DataFrame) -> DataFrame:
     """(file, pixel, ix, iy, kind, name, values) of spectrum grids (file, content): `param` rows hold one number, `channel` rows a spectrum.
 
     Surplus data are left out, missing ones null."""
-    names = ["file", "pixel", "ix", "iy", "kind", "name", "values"]
-
-    def part(file: str, m: dict, pixels: np.ndarray, kind: str, called: list[str], values: np.ndarray, there: np.ndarray) -> pa.RecordBatch:
-        """Rows of the same kind; values: pixel x name x number."""
-        rows, width = len(pixels) * len(called), values.shape[2]
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).reshape(-1), mask=~np.ascontiguousarray(there).reshape(-1)))
-        each = np.repeat(pixels, len(called))
-        return pa.RecordBatch.from_arrays([pa.array([file] * rows, pa.string()), *(pa.array(c.astype(np.int32)) for c in (each, each % m["nx"], each // m["nx"])), pa.array([kind] * rows, pa.string()), pa.array(called * len(pixels), pa.string()), lists], names)
-
     def run(batches):
+        held, n = [], 0
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = _grid(data)
-                if got is None:
+                head = grid_head(data)
+                if head is None:
                     continue
-                m, values, there = got
-                p = len(m["names"])
-                for lo in range(0, len(values), 1024):
-                    pixels = np.arange(lo, min(lo + 1024, len(values)))
-                    v, t = values[pixels], there[pixels]
-                    if p:
-                        yield part(file, m, pixels, "param", m["names"], v[:, :p, None], t[:, :p, None])
-                    if m["channels"]:
-                        shape = (len(pixels), len(m["channels"]), m["points"])
-                        yield part(file, m, pixels, "channel", m["channels"], v[:, p:].reshape(shape), t[:, p:].reshape(shape))
+                m, body = head
+                each = len(m["names"]) + len(m["channels"]) * m["points"]
+                for lo in range(0, m["nx"] * m["ny"], 1024):
+                    pixels = min(1024, m["nx"] * m["ny"] - lo)
+                    held.append((file, m["nx"], lo, pixels, m["names"], m["channels"], m["points"], data[body + 4 * lo * each : body + 4 * (lo + pixels) * each]))
+                    n += pixels * (each + len(m["channels"]))
+                    if n >= _CHUNK:
+                        yield _spectrum_rows(held)
+                        held, n = [], 0
+        if held:
+            yield _spectrum_rows(held)
 
     return files.select("file", "content").mapInArrow(run, "file string, pixel int, ix int, iy int, kind string, name string, values array<double>")

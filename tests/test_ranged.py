@@ -1,6 +1,7 @@
 """Byte-range sources against the readers of whole files."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.sources import instrument, ranged
@@ -107,3 +108,35 @@ def test_a_channel_of_ten_reads_a_tenth(tmp_path, monkeypatch):
 def test_missing_path(spark, tmp_path):
     with pytest.raises(Exception, match="nowhere"):
         ranged.scan_pixels(spark, str(tmp_path / "nowhere")).collect()
+
+
+def test_small_files_share_a_batch(spark):
+    """300 small files give one batch of rows, and each file keeps its own shape, heads and gaps."""
+    from tessera.sources import instrument
+
+    class Files:  # stands for a DataFrame: what the decoder yields for one task
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+
+    image = lambda n, cut: (f":SCAN_PIXELS:\n {n} 1\n:DATA_INFO:\n\tChannel\tName\n\t14\tZ{n}\n:SCANIT_END:\n\n\n".encode() + b"\x1a\x04" + np.arange(2 * n).astype(">f4").tobytes())[: -cut or None]
+    grid = lambda n: f'Grid dim="{n} x 1"\r\nPoints={n}\r\nChannels=a;b\r\nFixed parameters=X\r\n:HEADER_END:\r\n'.encode() + np.arange(n * (1 + 2 * n) - 1).astype(">f4").tobytes()
+    sizes = [1 + k % 3 for k in range(300)]
+    for make, decode, kept in ((lambda n: image(n, 5), instrument.decoded_pixels, "value"), (grid, instrument.decoded_grids, "values")):
+        files = spark.createDataFrame([(str(k), bytearray(make(n))) for k, n in enumerate(sizes)], "file string, content binary").coalesce(1)
+        got = decode(files)
+        rows = got.collect()
+        batch = pa.RecordBatch.from_pydict({"file": [str(k) for k in range(300)], "content": [make(n) for n in sizes]})
+        (whole,) = decode(Files())(iter([batch]))
+        assert whole.num_rows == len(rows)
+        for k in (0, 1, 2, 299):
+            mine, n = [r for r in rows if r.file == str(k)], sizes[k]
+            if kept == "value":
+                assert [(r.channel, r.direction, r.row, r.col, r.value) for r in mine] == [(f"Z{n}", d, 0, c, None if a * n + c >= 2 * n - 2 else a * n + c) for a, d in enumerate(("fwd", "bwd")) for c in range(n)]
+            else:
+                flat = [None if x == n * (1 + 2 * n) - 1 else x for x in range(n * (1 + 2 * n))]
+                want = [(p, kind, name, flat[p * (1 + 2 * n) + a : p * (1 + 2 * n) + b]) for p in range(n) for kind, name, a, b in (("param", "X", 0, 1), ("channel", "a", 1, 1 + n), ("channel", "b", 1 + n, 1 + 2 * n))]
+                assert [(r.pixel, r.kind, r["name"], r["values"]) for r in mine] == want
