@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import new_folder
+
 _EDGE = ("x0", "y0", "x1", "y1")
 
 
@@ -22,6 +24,25 @@ def edges(corners: DataFrame) -> DataFrame:
     return at.join(ends, ["polygon_id", "ord"]).select("polygon_id", "corners", *_EDGE)
 
 
+def classes(sides: DataFrame) -> DataFrame:
+    """(polygon_id, class_id): polygons with the same edges share the smallest one's id, as they hold the same places. Two hashes propose, the edges themselves decide."""
+    each = sides.groupBy("polygon_id", *_EDGE).agg(F.count(F.lit(1)).alias("_c"))
+    prints = each.groupBy("polygon_id").agg(F.sum("_c").alias("_n"), *[F.bit_xor(F.xxhash64(F.lit(k), *_EDGE, "_c")).alias(f"_h{k}") for k in (0, 1)])
+    by = ["_n", "_h0", "_h1"]
+    proposed = prints.join(prints.groupBy(*by).agg(F.min("polygon_id").alias("class_id")), by).select("polygon_id", "class_id", "_n")
+    others = proposed.where("polygon_id <> class_id")
+    same = each.join(others, "polygon_id").join(each.withColumnRenamed("polygon_id", "class_id"), ["class_id", *_EDGE, "_c"])
+    sure = same.groupBy("polygon_id", "class_id", "_n").agg(F.sum("_c").alias("_m")).where("_m = _n").select("polygon_id", "class_id")
+    return prints.select("polygon_id").join(sure, "polygon_id", "left").select("polygon_id", F.coalesce("class_id", "polygon_id").alias("class_id"))
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """A table that several later steps read."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def _sized(sides: DataFrame, eps: float, fineness: int) -> DataFrame:
     """Edges with their polygon's cell `c`, a power of two `level`: 2^fineness + 2 sqrt(corners) cells or a little more along the longer side of its box, so that a row of
     cells meets some sqrt(corners) edges and the cover has some 4 corners + 4^(fineness + 1) cells at most. `pad`: what a border is widened by."""
@@ -70,18 +91,22 @@ def in_polygons(points: DataFrame, corners: DataFrame, eps: float = 1e-9, finene
 
     corners: (polygon_id, ord, x, y), ord 1, 2, ... along the polygon; a last corner that repeats the first does no harm, and places inside twice (a polygon that crosses itself) count as
     outside. Points meet cells by an equi-join on (level, ix, iy); a point in an inside cell needs no test, one in a border cell meets the edges of its row of cells only. Each different place is
-    tested once, and rows meet the places' results at the end. Points with a null or NaN coordinate, or beyond all polygons, give no row; repeated points give a row each; a column of
+    tested once against each different polygon (see classes), and rows and polygons of the same shape and place meet the results at the end. Points with a null or NaN coordinate, or beyond all polygons, give no row; repeated points give a row each; a column of
     points named polygon_id is an error. Only the levels in use pass the driver, which are exponents of doubles: about 2,100 numbers at most, mostly a few."""
     if "polygon_id" in points.columns:
         raise ValueError("points have a column polygon_id already")
-    sized = _sized(edges(corners), eps, fineness)
+    sides = _kept(edges(corners), "edges")
+    members = _kept(classes(sides), "classes")
+    first = members.where("polygon_id = class_id").select("polygon_id")
+    sized = _kept(_sized(sides.join(first, "polygon_id"), eps, fineness), "sized")
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as few edges and places make many cells and rows, and small inputs would be put together in one task
     levels = sorted(r.level for r in sized.select("level").distinct().collect())
     px, py = F.col("px"), F.col("py")
-    places = points.select(F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).where((F.abs(px) < float("inf")) & (F.abs(py) < float("inf"))).distinct()
+    places = points.select(F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).where((F.abs(px) < float("inf")) & (F.abs(py) < float("inf"))).repartition(tasks, "px", "py").distinct()
     grids = [F.struct(F.lit(k).alias("level"), F.lit(2.0**k).alias("c")) for k in levels]
     each = places.withColumn("l", F.explode(F.array(*grids) if grids else F.lit(None).cast("array<struct<level:int,c:double>>")))
     each = each.select("px", "py", F.col("l.level").alias("level"), F.floor(px / F.col("l.c")).alias("ix"), F.floor(py / F.col("l.c")).alias("iy"))
-    banded = bands(sized)
+    banded = bands(sized.repartition(tasks, "polygon_id"))
     met = each.join(cover(banded), ["level", "ix", "iy"])
     sure = met.where(~F.col("border")).select("px", "py", "polygon_id")
     tested = met.where("border").select("px", "py", "polygon_id", "iy").join(banded.select("polygon_id", "iy", *_EDGE), ["polygon_id", "iy"])
@@ -90,7 +115,8 @@ def in_polygons(points: DataFrame, corners: DataFrame, eps: float = 1e-9, finene
     across, along = (px - F.col("x0")) * dy - (py - F.col("y0")) * dx, (px - F.col("x0")) * dx + (py - F.col("y0")) * dy
     on_edge = F.when(length == 0, F.hypot(px - F.col("x0"), py - F.col("y0")) <= eps).otherwise((F.abs(across) <= eps * length) & (along >= -eps * length) & (along <= length * length + eps * length))
     hit = ((F.col("y0") > py) != (F.col("y1") > py)) & (px < F.col("x0") + (py - F.col("y0")) * (dx / F.nullif(dy, F.lit(0.0))))
-    judged = tested.groupBy("px", "py", "polygon_id").agg(F.max(on_edge).alias("_on"), F.sum(F.when(hit, 1).otherwise(0)).alias("_hits"))
+    judged = tested.groupBy("polygon_id", "iy", "px", "py").agg(F.max(on_edge).alias("_on"), F.sum(F.when(hit, 1).otherwise(0)).alias("_hits"))
     held = sure.unionByName(judged.where(F.col("_on") | (F.col("_hits") % 2 == 1)).select("px", "py", "polygon_id"))
-    rows = points.select(F.struct("*").alias("_row"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"))
-    return rows.join(held, ["px", "py"]).select("_row.*", "polygon_id")
+    rows = points.select(F.struct("*").alias("_row"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).repartition(tasks, "px", "py")
+    met = rows.join(held.withColumnRenamed("polygon_id", "class_id"), ["px", "py"]).select("_row", "class_id")
+    return met.join(members, "class_id").select("_row.*", "polygon_id")

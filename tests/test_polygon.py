@@ -91,3 +91,13 @@ def test_work_of_many_polygons(spark):
     fine = (F.col("x") - F.floor("x") <= 0.9 + 1e-9) & (F.col("y") - F.floor("y") <= 0.9 + 1e-9)
     edge = (F.col("x") - F.floor("x") == 0) | (F.col("y") - F.floor("y") == 0)
     assert got.where(~edge).count() == points.where(fine & ~edge).count()
+
+
+def test_equal_polygons_are_tested_once(spark):
+    """Polygons with the same edges are one class; all of its members are named, and one that differs in a corner is another class."""
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    shapes = {7: square, 3: square, 5: square[1:] + square[:1], 9: [*square[:3], (0.0, 3.0)], 11: square}
+    corners = spark.createDataFrame([(k, n, x, y) for k, v in shapes.items() for n, (x, y) in enumerate(v, 1)], "polygon_id long, ord int, x double, y double")
+    assert {(r.polygon_id, r.class_id) for r in polygon.classes(polygon.edges(corners)).collect()} == {(3, 3), (5, 3), (7, 3), (11, 3), (9, 9)}
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 1.0, 3.9), (3, 5.0, 1.0)], "n int, x double, y double")
+    assert sorted((r.n, r.polygon_id) for r in polygon.in_polygons(points, corners).collect()) == [(1, k) for k in (3, 5, 7, 9, 11)] + [(2, k) for k in (3, 5, 7, 11)]
