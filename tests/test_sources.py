@@ -332,3 +332,10 @@ def test_store_keeps_the_latest(spark, tmp_path):
     assert got.count() == 4
     assert store.runs(spark, path).first().eta == 2.0
     assert "PartitionFilters: [isnotnull(run_id" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_densities_of_a_run_do_not_meet_by_run(spark):
+    """One run's rows stay in the tasks that read them."""
+    rows = C.dos_rows(spark.range(0, 1000, 1, 8).selectExpr("concat('run/DOS/atom1/x.s', id % 9) file", "'1 2 3' line"))
+    assert rows.rdd.getNumPartitions() == 8
+    assert rows.count() == 1000
