@@ -21,20 +21,22 @@ def text_lines(spark: SparkSession, path: str, recursive: bool = False) -> DataF
     return split_lines(whole, "file", "value")
 
 
-def file_lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+def file_lines(spark: SparkSession, path: str, recursive: bool = False, parts: bool = False) -> DataFrame:
     """(file, ln, line) as text_lines gives it, but for the empty piece after a final line end, which is no line here.
 
     A file is read split by split. A line's number is the number of lines in the splits before its own and of those before it there: a first pass counts the lines of each
-    split, a sum over a file's splits follows, and the second pass adds it. Row numbers within a task come from the scan itself, so nothing is sorted."""
+    split, a sum over a file's splits follows, and the second pass adds it. Row numbers within a task come from the scan itself, so nothing is sorted.
+    parts: the files of a folder are one text in the order of their names, as Spark writes a large one, and `file` is the folder with its last slash."""
     rows = spark.read.option("lineSep", "\n").option("recursiveFileLookup", recursive).text(path)
-    at = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    part = F.col("_metadata.file_path")
+    at = rows.select((F.regexp_replace(part, "[^/]*$", "") if parts else part).alias("file"), part.alias("_part"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
     folder = new_folder(spark, "splits")
-    at.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).write.parquet(folder)
+    at.groupBy("file", "_part", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).write.parquet(folder)
     splits = spark.read.parquet(folder)
-    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.select("file", "_block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_add"))
+    earlier = Window.partitionBy("file").orderBy("_part", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("_part", "_block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_add"))
     starts = F.broadcast(starts) if splits.count() <= SPLITS else starts
-    return at.join(starts, ["file", "_block"]).select("file", (F.col("_id") + F.col("_add")).alias("ln"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return at.join(starts, ["_part", "_block"]).select("file", (F.col("_id") + F.col("_add")).alias("ln"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
 def split_lines(texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -339,3 +339,17 @@ def test_densities_of_a_run_do_not_meet_by_run(spark):
     rows = C.dos_rows(spark.range(0, 1000, 1, 8).selectExpr("concat('run/DOS/atom1/x.s', id % 9) file", "'1 2 3' line"))
     assert rows.rdd.getNumPartitions() == 8
     assert rows.count() == 1000
+
+
+def test_parts_of_a_folder_are_one_text(spark, tmp_path):
+    """Files of a folder in the order of their names, each with splits of its own."""
+    for text in ("a", "b"):
+        (tmp_path / text).mkdir()
+        for part in range(3):
+            (tmp_path / text / f"part-0000{part}.txt").write_text("".join(f"{text}{part * 10 + k}\n" for k in range(10)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16")
+    try:
+        got = L.file_lines(spark, str(tmp_path), recursive=True, parts=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.file[-2:], r.ln, r.line) for r in got) == [(f"{t}/", n, f"{t}{n}") for t in "ab" for n in range(30)]
