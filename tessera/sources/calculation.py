@@ -4,6 +4,8 @@ Each reader takes a line table (file, ln, line) and gives long tables; one job h
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +37,13 @@ def fermi_levels(lines: DataFrame) -> DataFrame:
     return L.last_value(lines.where(F.contains(F.col("line"), F.lit("Chemical Potential (Hartree)"))), L.number(raw) * HARTREE_EV, "fermi_ev")
 
 
-def unit_cells(lines: DataFrame) -> DataFrame:
+def _size(whole: bool) -> int | None:
+    return None if whole else scan.CHUNK
+
+
+def unit_cells(lines: DataFrame, whole: bool = False) -> DataFrame:
     """(file, axis, x, y, z): the first three rows of the unit-vector block."""
-    rows = L.nth(L.named_block(lines, "Atoms.UnitVectors"), "axis").where("axis <= 3").withColumn("t", L.tokens(F.col("line")))
+    rows = L.nth(L.named_block(lines, "Atoms.UnitVectors", whole), "axis", size=_size(whole)).where("axis <= 3").withColumn("t", L.tokens(F.col("line")))
     return rows.select("file", "axis", *[_num(i).alias(c) for i, c in enumerate("xyz")])
 
 
@@ -90,28 +96,32 @@ def species_mismatches(lines: DataFrame) -> DataFrame:
     return stated.join(found, "file", "left").withColumn("found", F.coalesce("found", F.lit(0))).where("stated <> found")
 
 
-def final_positions(lines: DataFrame) -> DataFrame:
+def final_positions(lines: DataFrame, whole: bool = False) -> DataFrame:
     """(file, ord, element, f1, f2, f3) of the final structure, fractional."""
     t = F.trim("line")
-    body = L.after_until(lines, F.contains(F.col("line"), F.lit("Fractional coordinates of the final structure")), 4, (t == "") | F.startswith(t, F.lit("*")) | ~t.rlike(r"^\d"))
-    rows = L.nth(body, "ord").withColumn("t", L.tokens(F.col("line")))
+    body = L.after_until(lines, F.contains(F.col("line"), F.lit("Fractional coordinates of the final structure")), 4, (t == "") | F.startswith(t, F.lit("*")) | ~t.rlike(r"^\d"), whole)
+    rows = L.nth(body, "ord", size=_size(whole)).withColumn("t", L.tokens(F.col("line")))
     return rows.select("file", "ord", _tok(1).alias("element"), *[_num(i + 2).alias(f"f{i + 1}") for i in range(3)])
 
 
-def listed_positions(lines: DataFrame) -> DataFrame:
+def listed_positions(lines: DataFrame, whole: bool = False) -> DataFrame:
     """(file, ord, element, c1, c2, c3, unit, up, down) of the species-and-coordinates block; unit FRAC unless stated."""
-    unit = L.last_value(lines, F.upper(F.nullif(F.regexp_extract("line", r"^\s*Atoms\.SpeciesAndCoordinates\.Unit\s+(\S+)", 1), F.lit(""))), "unit")
-    rows = L.named_block(lines.where(~F.contains(F.col("line"), F.lit("SpeciesAndCoordinates.Unit"))), "Atoms.SpeciesAndCoordinates").withColumn("t", L.tokens(F.col("line"))).where(F.size("t") >= 5)
-    out = rows.select("file", _tok(0).try_cast("int").alias("ord"), _tok(1).alias("element"), *[_num(i + 2).alias(f"c{i + 1}") for i in range(3)], _num(5).alias("up"), _num(6).alias("down"))
-    return out.join(unit, "file", "left").withColumn("unit", F.coalesce("unit", F.lit("FRAC")))
+    is_unit = F.contains(F.col("line"), F.lit("SpeciesAndCoordinates.Unit"))
+    unit = F.when(is_unit, F.upper(F.nullif(F.regexp_extract("line", r"^\s*Atoms\.SpeciesAndCoordinates\.Unit\s+(\S+)", 1), F.lit(""))))
+    stated = L.marked(lines.withColumn("_unit", unit), {"unit": F.max_by("_unit", F.when(F.col("_unit").isNotNull(), F.col("ln")))}, whole)
+    rows = L.named_block(stated.where(~is_unit), "Atoms.SpeciesAndCoordinates", whole).withColumn("t", L.tokens(F.col("line"))).where(F.size("t") >= 5)
+    out = rows.select("file", _tok(0).try_cast("int").alias("ord"), _tok(1).alias("element"), *[_num(i + 2).alias(f"c{i + 1}") for i in range(3)], _num(5).alias("up"), _num(6).alias("down"), F.coalesce("unit", F.lit("FRAC")).alias("unit"))
+    return out.select("file", "ord", "element", "c1", "c2", "c3", "unit", "up", "down")
 
 
-def positions(lines: DataFrame, cells: DataFrame, order: dict[str, int] | None = None) -> DataFrame:
+def positions(lines: DataFrame, cells: DataFrame, order: dict[str, int] | None = None, whole: bool = False) -> DataFrame:
     """(file, ord, element, f1, f2, f3, source, up, down): the final structure, else the listed one (Angstrom turned to fractions).
 
     Spins come from the list by number, wherever the place comes from. A file with neither is missing (see without_positions)."""
     from ..operators import lattice
 
+    if whole:
+        return _positions_of_whole(lines, cells)
     listed = listed_positions(lines)
     frac = listed.where("unit = 'FRAC'").select("file", "ord", "element", *[F.col(f"c{i}").alias(f"f{i}") for i in (1, 2, 3)])
     ang = listed.where("unit = 'ANG'").select(F.col("file").alias("system_id"), F.col("ord").alias("item"), *[F.col(f"c{i + 1}").alias(c) for i, c in enumerate("xyz")])
@@ -121,6 +131,23 @@ def positions(lines: DataFrame, cells: DataFrame, order: dict[str, int] | None =
     return ranked.join(best, ["file", "rank"]).drop("rank").join(listed.select("file", "ord", "up", "down"), ["file", "ord"], "left")
 
 
+def _positions_of_whole(lines: DataFrame, cells: DataFrame) -> DataFrame:
+    """positions() with the final and the listed rows of a file brought together once, instead of a join for each question asked of them."""
+    from ..operators import lattice
+
+    listed = listed_positions(lines, True).withColumnsRenamed({f"c{i}": f"f{i}" for i in (1, 2, 3)}).withColumns({"rank": F.lit(1), "source": F.lit("listed")})
+    final = final_positions(lines, True).withColumns({"rank": F.lit(0), "source": F.lit("final")})
+    both = final.unionByName(listed, allowMissingColumns=True).repartition("file")
+    spins = F.collect_list(F.when((F.col("rank") == 1) & F.col("ord").isNotNull(), F.struct("up", "down"))).over(Window.partitionBy("file", "ord"))
+    both = both.withColumn("_spin", spins).select("file", "ord", "element", "f1", "f2", "f3", "unit", "rank", "source", F.explode_outer("_spin").alias("_spin"))
+    basis = lattice.dual(lattice.wide(cells.withColumnRenamed("file", "system_id"))).withColumnRenamed("system_id", "file")
+    turn = lambda k: sum((F.col(f"f{i}") * F.col(f"b{k}{c}") for i, c in ((2, "y"), (3, "z"))), F.col("f1") * F.col(f"b{k}x")) / (2 * math.pi)
+    is_ang = F.col("unit") == "ANG"
+    placed = both.join(basis.withColumn("_cell", F.lit(True)), "file", "left").where("rank = 0 or unit = 'FRAC' or unit = 'ANG' and _cell and ord is not null")
+    placed = placed.select("file", "ord", "element", *[F.when(is_ang, turn(k)).otherwise(F.col(f"f{k}")).alias(f"f{k}") for k in (1, 2, 3)], "source", "rank", "_spin.up", "_spin.down")
+    return placed.withColumn("_best", F.min("rank").over(Window.partitionBy("file"))).where("rank = _best").drop("rank", "_best")
+
+
 def without_positions(lines: DataFrame, found: DataFrame) -> DataFrame:
     return lines.select("file").distinct().join(found.select("file").distinct(), "file", "left_anti")
 

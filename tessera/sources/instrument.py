@@ -83,9 +83,13 @@ def scan_pixels(spark: SparkSession, path: str) -> DataFrame:
     return decoded_pixels(_binary(spark, path))
 
 
-def _pixel_rows(held: list[tuple]) -> pa.RecordBatch:
+def _scanned_up(stated: bytes) -> bool:
+    return _entry(stated.decode("latin-1").replace("\r\n", "\n"), "SCAN_DIR") == "up"
+
+
+def _pixel_rows(held: list[tuple], sized: bool = False) -> pa.RecordBatch:
     """The pixels of pieces of images, in one batch: small files share a batch, as a batch costs more than a small file's rows."""
-    files, names, nx, ny, lo, sizes, bodies = zip(*held, strict=True)
+    files, names, nx, ny, up, lo, sizes, bodies = zip(*held, strict=True)
     piece, at = _within(sizes)
     at += np.array(lo)[piece]
     nx, ny = np.array(nx)[piece], np.array(ny)[piece]
@@ -94,32 +98,44 @@ def _pixel_rows(held: list[tuple]) -> pa.RecordBatch:
     first = np.cumsum([0, *map(len, names[:-1])])  # of the names of all pieces
     channel = pa.array([c for x in names for c in x], pa.string()).take(pa.array(first[piece] + side // 2))
     columns = [pa.array(files, pa.string()).take(pa.array(piece)), channel, pa.array(["fwd", "bwd"]).take(pa.array(side % 2)), pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), _numbers(bodies, sizes)]
-    return pa.RecordBatch.from_arrays(columns, ["file", "channel", "direction", "row", "col", "value"])
+    called = ["file", "channel", "direction", "row", "col", "value"]
+    if sized:
+        columns += [pa.array(nx.astype(np.int32)), pa.array(ny.astype(np.int32)), pa.array(np.array(up)[piece])]
+        called += ["nx", "ny", "up"]
+    return pa.RecordBatch.from_arrays(columns, called)
+
 
+def decoded_pixels(files: DataFrame, sized: bool = False) -> DataFrame:
+    """(file, channel, direction, row, col, value) of scan images (file, content), in stored order (see mesh.flipped for the turn of lines).
 
-def decoded_pixels(files: DataFrame) -> DataFrame:
-    """(file, channel, direction, row, col, value) of scan images (file, content), in stored order (see mesh.flipped for the turn of lines)."""
+    sized: with the columns and rows of each pixel's image and whether it was scanned upwards (nx, ny, up), as its head states them, so that pixels need not meet their headers."""
 
     def run(batches):
-        held, n, seen = [], 0, {}
+        held, n, seen, ways = [], 0, {}, {}
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 head = image_head(data, seen)
                 if head is None:
                     continue
                 names, nx, ny, body = head
+                stated = data[: data.find(b":SCANIT_END:")] if sized else b""
+                if stated not in ways:
+                    if len(ways) >= _HEADS:
+                        ways.clear()
+                    ways[stated] = _scanned_up(stated)
                 total = 2 * len(names) * nx * ny
                 for lo in range(0, total, _CHUNK):
                     size = min(_CHUNK, total - lo)
-                    held.append((file, names, nx, ny, lo, size, data[body + 4 * lo : body + 4 * (lo + size)]))
+                    held.append((file, names, nx, ny, ways[stated], lo, size, data[body + 4 * lo : body + 4 * (lo + size)]))
                     n += size
                     if n >= _CHUNK:
-                        yield _pixel_rows(held)
+                        yield _pixel_rows(held, sized)
                         held, n = [], 0
         if held:
-            yield _pixel_rows(held)
+            yield _pixel_rows(held, sized)
 
-    return files.select("file", "content").mapInArrow(run, "file string, channel string, direction string, row int, col int, value double")
+    schema = "file string, channel string, direction string, row int, col int, value double"
+    return files.select("file", "content").mapInArrow(run, schema + ", nx int, ny int, up boolean" if sized else schema)
 
 
 def image_header_lines(spark: SparkSession, path: str, end: bytes = b":SCANIT_END:") -> DataFrame:

@@ -2,7 +2,10 @@
 
 `file_lines` numbers the lines of files of any size from their splits; `text_lines` makes a file one row until it is cut and is for many
 files of a few MB each; `loose_lines` is for bodies whose rows carry their own keys. Carried values and counts inside a file are scans over chunks
-of lines (operators/scan.py): no task needs a whole file."""
+of lines (operators/scan.py): no task needs a whole file.
+
+Readers take whole=True for line tables of texts that were one row each (text_lines, split_lines): then marks and counts are windows by file, which share one sort, and the lines are
+read once. Without it they are grouped and joined, for files of any size, and the lines are read for each of these."""
 
 from __future__ import annotations
 
@@ -41,7 +44,8 @@ def file_lines(spark: SparkSession, path: str, recursive: bool = False, parts: b
 
 def split_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(file, ln, line) of a text column; ln from 0; a carriage return at the end of a line is dropped."""
-    return texts.select(F.col(key).alias("file"), F.posexplode(F.split(text, "\n")).alias("ln", "line")).withColumn("line", F.regexp_replace("line", "\r$", ""))
+    pieces = F.split(text, "\n")
+    return texts.select(F.col(key).alias("file"), F.posexplode(F.when(F.contains(F.col(text), F.lit("\r")), F.transform(pieces, lambda x: F.regexp_replace(x, "\r$", ""))).otherwise(pieces)).alias("ln", "line"))
 
 
 def loose_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +59,7 @@ def tokens(line: Column) -> Column:
 
 def number(text: Column) -> Column:
     """A lenient number: null for anything else. Fortran's D exponents count."""
-    return F.regexp_replace(text, "[dD]", "e").try_cast("double")
+    return F.translate(text, "dD", "ee").try_cast("double")
 
 
 def last_value(lines: DataFrame, value: Column, name: str) -> DataFrame:
@@ -63,37 +67,48 @@ def last_value(lines: DataFrame, value: Column, name: str) -> DataFrame:
     return lines.withColumn(name, value).where(F.col(name).isNotNull()).groupBy("file").agg(F.max_by(name, "ln").alias(name))
 
 
-def block(lines: DataFrame, start: Column, end: Column) -> DataFrame:
+def marked(lines: DataFrame, marks: dict[str, Column], whole: bool = False, key: str = "file", order: str = "ln") -> DataFrame:
+    """lines with aggregates over all lines of their file, by name."""
+    if whole:
+        of_file = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # ordered, to share the sort of scans
+        return lines.withColumns({name: value.over(of_file) for name, value in marks.items()})
+    return lines.join(lines.groupBy(key).agg(*[value.alias(name) for name, value in marks.items()]), key)
+
+
+def block(lines: DataFrame, start: Column, end: Column, whole: bool = False) -> DataFrame:
     """The lines between the last start and the last end marker of each file; comments (#) and blanks dropped."""
-    marks = lines.groupBy("file").agg(F.max(F.when(start, F.col("ln"))).alias("_s"), F.max(F.when(end, F.col("ln"))).alias("_e"))
-    inside = lines.join(marks, "file").where((F.col("ln") > F.col("_s")) & (F.col("ln") < F.col("_e"))).drop("_s", "_e")
+    marks = {"_s": F.max(F.when(start, F.col("ln"))), "_e": F.max(F.when(end, F.col("ln")))}
+    inside = marked(lines, marks, whole).where((F.col("ln") > F.col("_s")) & (F.col("ln") < F.col("_e"))).drop("_s", "_e")
     return inside.where((F.trim("line") != "") & ~F.startswith(F.trim(F.col("line")), F.lit("#")))
 
 
-def named_block(lines: DataFrame, name: str) -> DataFrame:
+def named_block(lines: DataFrame, name: str, whole: bool = False) -> DataFrame:
     """A block `<name ... name>`."""
-    return block(lines, F.startswith(F.trim(F.col("line")), F.lit(f"<{name}")), F.startswith(F.trim(F.col("line")), F.lit(f"{name}>")))
+    return block(lines, F.startswith(F.trim(F.col("line")), F.lit(f"<{name}")), F.startswith(F.trim(F.col("line")), F.lit(f"{name}>")), whole)
 
 
-def after_until(lines: DataFrame, anchor: Column, skip: int, stop: Column) -> DataFrame:
+def after_until(lines: DataFrame, anchor: Column, skip: int, stop: Column, whole: bool = False) -> DataFrame:
     """The lines from `skip` lines after the last anchor up to the first one for which stop holds."""
+    if whole:
+        tail = marked(lines, {"_at": F.max(F.when(anchor, F.col("ln")))}, whole).where(F.col("ln") >= F.col("_at") + skip)
+        return marked(tail, {"_stop": F.min(F.when(stop, F.col("ln")))}, whole).where(F.col("_stop").isNull() | (F.col("ln") < F.col("_stop"))).drop("_at", "_stop")
     at = lines.where(anchor).groupBy("file").agg((F.max("ln") + skip).alias("_from"))
     tail = lines.join(at, "file").where(F.col("ln") >= F.col("_from"))
     first = tail.where(stop).groupBy("file").agg(F.min("ln").alias("_stop"))
     return tail.join(first, "file", "left").where(F.col("_stop").isNull() | (F.col("ln") < F.col("_stop"))).drop("_from", "_stop")
 
 
-def carried(lines: DataFrame, value: Column, name: str, key: str = "file", order: str = "ln", size: int = scan.CHUNK) -> DataFrame:
+def carried(lines: DataFrame, value: Column, name: str, key: str = "file", order: str = "ln", size: int | None = scan.CHUNK) -> DataFrame:
     """lines with the latest non-null value up to each line."""
     return scan.running_last(lines, [key], order, value, name, size)
 
 
-def numbered(lines: DataFrame, is_start: Column, name: str = "record", key: str = "file", order: str = "ln", size: int = scan.CHUNK) -> DataFrame:
+def numbered(lines: DataFrame, is_start: Column, name: str = "record", key: str = "file", order: str = "ln", size: int | None = scan.CHUNK) -> DataFrame:
     """lines with the number of starts up to each line: the record that it belongs to (0: before the first)."""
     return scan.running_sum(lines, [key], order, F.when(is_start, 1).otherwise(0), name, size).withColumn(name, F.col(name).cast("int"))
 
 
-def nth(lines: DataFrame, name: str = "nth", key: str = "file", size: int = scan.CHUNK) -> DataFrame:
+def nth(lines: DataFrame, name: str = "nth", key: str = "file", size: int | None = scan.CHUNK) -> DataFrame:
     """lines with their number among the lines that are there."""
     return numbered(lines, F.lit(True), name, key, size=size)
 
