@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ANGSTROM_BOHR, BOHR_ANGSTROM, HARTREE_EV
@@ -47,14 +47,21 @@ def unit_cells(lines: DataFrame, whole: bool = False) -> DataFrame:
     return rows.select("file", "axis", *[_num(i).alias(c) for i, c in enumerate("xyz")])
 
 
-def reciprocal_vectors(lines: DataFrame) -> DataFrame:
+def reciprocal_vectors(lines: DataFrame, whole: bool = False) -> DataFrame:
     """(file, axis, x, y, z) from either log dialect; the last mention of an axis wins.
 
     `Reciprocal vector b1 (1/Ang): x y z` lines, or the three `b_1 x y z` lines below `Reciprocal-Space Vectors`."""
     number = r"[-+]?\d*\.?\d+(?:[eEdD][-+]?\d+)?"
-    plain = F.regexp_extract("line", r"Reciprocal vector b([123])", 1)
-    heads = lines.where(F.contains(F.col("line"), F.lit("Reciprocal-Space Vectors"))).select("file", F.explode(F.array(*[F.col("ln") + d for d in (1, 2, 3)])).alias("ln")).distinct()
-    near = lines.join(heads.withColumn("below", F.lit(True)), ["file", "ln"], "left")
+    has = lambda text: F.contains(F.col("line"), F.lit(text))
+    plain = F.when(has("Reciprocal vector b"), F.regexp_extract("line", r"Reciprocal vector b([123])", 1))
+    is_head = has("Reciprocal-Space Vectors")
+    some = lines.where(has("Reciprocal") | has("b_"))  # the only lines that matter, in either dialect
+    if whole:
+        before = Window.partitionBy("file").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
+        near = some.withColumn("below", F.col("ln") - F.last(F.when(is_head, F.col("ln")), ignorenulls=True).over(before) <= 3)
+    else:
+        heads = some.where(is_head).select("file", F.explode(F.array(*[F.col("ln") + d for d in (1, 2, 3)])).alias("ln")).distinct()
+        near = some.join(heads.withColumn("below", F.lit(True)), ["file", "ln"], "left")
     under = F.when(F.col("below"), F.regexp_extract("line", r"^\s*b_([123])\s", 1))
     axis = F.coalesce(F.nullif(plain, F.lit("")), F.nullif(under, F.lit(""))).try_cast("int")
     tail = F.regexp_replace("line", r"^.*?b_?[123]\s*(\([^)]*\))?\s*:?", "")
@@ -63,21 +70,22 @@ def reciprocal_vectors(lines: DataFrame) -> DataFrame:
     return last.select("file", "axis", *[L.number(F.get("v", F.lit(i))).alias(c) for i, c in enumerate("xyz")])
 
 
-def lattice_vectors(lines: DataFrame | None = None, given: DataFrame | None = None) -> DataFrame:
+def lattice_vectors(lines: DataFrame | None = None, given: DataFrame | None = None, whole: bool = False) -> DataFrame:
     """(file, axis, x, y, z): the given vectors, else those of the logs. Neither, or a log without all three, is an error."""
     if given is not None:
         return given
     if lines is None:
         raise ValueError("neither a log nor vectors are given")
-    found = reciprocal_vectors(lines)
-    axes = lines.select("file").distinct().join(found.groupBy("file").agg(F.count(F.lit(1)).alias("axes")), "file", "left")
-    checked = axes.select("file", F.when(F.col("axes") == 3, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no three reciprocal vectors in "), "file")).cast("boolean")).alias("ok"))
-    return checked.where("ok").join(found, "file", "left").select("file", "axis", "x", "y", "z")  # left: the check is made even where nothing is found
+    files = lines.where("ln = 0") if whole else lines  # a whole text has a first line
+    found = files.select("file").distinct().join(reciprocal_vectors(lines, whole), "file", "left")  # left: the check is made even where nothing is found
+    axes = found.withColumn("axes", F.count("axis").over(Window.partitionBy("file")))  # three rows at most
+    ok = F.when(F.col("axes") == 3, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no three reciprocal vectors in "), "file")).cast("boolean"))
+    return axes.where(ok).select("file", "axis", "x", "y", "z")
 
 
-def species(lines: DataFrame) -> DataFrame:
+def species(lines: DataFrame, whole: bool = False) -> DataFrame:
     """(file, ord, label, basis, potential, n_s, n_p, n_d) of the species block; labels that are no element are left out."""
-    rows = L.nth(L.named_block(lines, "Definition.of.Atomic.Species"), "ord").withColumn("t", L.tokens(F.col("line"))).where(F.size("t") >= 2)
+    rows = L.nth(L.named_block(lines, "Definition.of.Atomic.Species", whole).withColumn("t", L.tokens(F.col("line"))), "ord", size=_size(whole)).where(F.size("t") >= 2)
     out = rows.select("file", "ord", _tok(0).alias("label"), _tok(1).alias("basis"), _tok(2).alias("potential"))
     out = out.where(F.regexp_extract("label", r"^([A-Z][a-z]?)", 1).isin(ELEMENTS))
     return out.withColumns({f"n_{s}": shell_count(F.col("basis"), s) for s in "spd"})
@@ -100,7 +108,7 @@ def final_positions(lines: DataFrame, whole: bool = False) -> DataFrame:
     """(file, ord, element, f1, f2, f3) of the final structure, fractional."""
     t = F.trim("line")
     body = L.after_until(lines, F.contains(F.col("line"), F.lit("Fractional coordinates of the final structure")), 4, (t == "") | F.startswith(t, F.lit("*")) | ~t.rlike(r"^\d"), whole)
-    rows = L.nth(body, "ord", size=_size(whole)).withColumn("t", L.tokens(F.col("line")))
+    rows = L.nth(body.withColumn("t", L.tokens(F.col("line"))), "ord", size=_size(whole))
     return rows.select("file", "ord", _tok(1).alias("element"), *[_num(i + 2).alias(f"f{i + 1}") for i in range(3)])
 
 
@@ -173,10 +181,11 @@ def orbital_columns(atoms: DataFrame, shells: DataFrame) -> DataFrame:
 def unfolding(lines: DataFrame, columns: DataFrame) -> DataFrame:
     """(file, row_id, kpath, energy, position, atom, element, orbital, weight); kpath in inverse Angstrom. A row of another width is an error."""
     rows = lines.where(F.trim("line") != "").withColumn("t", L.tokens(F.col("line")))
-    want = columns.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    want = columns.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("position", "atom", "element", "orbital")).alias("c"))  # as many as a line has words
     rows = rows.join(want, "file").withColumn("t", F.when(F.size("t") == F.col("n") + 2, F.col("t")).otherwise(F.raise_error("unexpected number of columns").cast("array<string>")))
-    each = rows.select("file", F.col("ln").alias("row_id"), (_num(0) / BOHR_ANGSTROM).alias("kpath"), _num(1).alias("energy"), F.posexplode(F.slice("t", 3, 1 << 20)).alias("position", "w"))
-    return each.join(columns.select("file", "position", "atom", "element", "orbital"), ["file", "position"]).withColumn("weight", L.number(F.col("w"))).drop("w")
+    rows = rows.where(F.size("t") > 2)  # the width is asked for in any case, also where no weight is read
+    each = rows.select("file", F.col("ln").alias("row_id"), (_num(0) / BOHR_ANGSTROM).alias("kpath"), _num(1).alias("energy"), "t", "n", F.explode("c").alias("c")).where("c.position >= 0 and c.position < n")
+    return each.select("file", "row_id", "kpath", "energy", "c.position", "c.atom", "c.element", "c.orbital", L.number(F.get("t", F.col("c.position") + 2)).alias("weight"))
 
 
 def selected_weight(weights: DataFrame, element: str | None = None, atom: int | None = None) -> DataFrame:
@@ -189,29 +198,56 @@ def selected_weight(weights: DataFrame, element: str | None = None, atom: int |
     return rows.groupBy("file", "row_id", "kpath", "energy").agg(F.sum("weight").alias("w"))
 
 
-def band_path(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def band_path(lines: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """band_point (file, kidx, k1, k2, k3, dist, band, energy in eV from the chemical potential) and band_tick (file, ord, label, kidx)."""
-    rows = L.nth(lines.where(F.trim("line") != ""), "n").withColumn("t", L.tokens(F.col("line")))
-    head = rows.where("n = 1").select("file", _tok(0).try_cast("int").alias("nband"), _num(2).alias("mu"))
-    basis = rows.where("n = 2").select("file", *[(_num(3 * k + c) * ANGSTROM_BOHR).alias(f"b{k + 1}{x}") for k in range(3) for c, x in enumerate("xyz")])
-    paths = rows.where("n = 3").select("file", _tok(0).try_cast("int").alias("paths"))
-    body = rows.join(head, "file").join(paths, "file")
+    rows = L.nth(lines.where(F.trim("line") != "").withColumn("t", L.tokens(F.col("line"))), "n", size=_size(whole))
+    basis = [f"b{k}{x}" for k in (1, 2, 3) for x in "xyz"]
+    stated = {"nband": (1, _tok(0).try_cast("int")), "mu": (1, _num(2)), "paths": (3, _tok(0).try_cast("int"))} | {b: (2, _num(i) * ANGSTROM_BOHR) for i, b in enumerate(basis)}
+    if whole:
+        body = L.marked(rows, {c: F.max(F.when(F.col("n") == n, value)) for c, (n, value) in stated.items()}, whole)
+    else:
+        body = rows
+        for n in (1, 2, 3):
+            body = body.join(rows.where(F.col("n") == n).select("file", *[value.alias(c) for c, (at, value) in stated.items() if at == n]), "file")
     segments = body.where("n > 3 and n <= 3 + paths").select("file", (F.col("n") - 3).alias("ord"), _tok(0).try_cast("int").alias("points"), _tok(7).alias("first_label"), _tok(8).alias("label"))
     both = F.col("label").isNotNull() & F.col("first_label").isNotNull()
     segments = segments.withColumn("label", F.when(both, F.col("label")).otherwise(F.raise_error(F.concat(F.lit("a segment without two labels in "), "file")).cast("string")))
-    upto = scan.running_sum(segments, ["file"], "ord", F.col("points"), "upto")
-    ticks = upto.select("file", "ord", "label", (F.col("upto") - 1).cast("int").alias("kidx")).union(upto.where("ord = 1").select("file", F.lit(0), "first_label", F.lit(0)))
+    upto = scan.running_sum(segments, ["file"], "ord", F.col("points"), "upto", _size(whole))
+    tick = F.struct("ord", "label", (F.col("upto") - 1).cast("int").alias("kidx"))
+    first = F.struct(F.lit(0).alias("ord"), F.col("first_label").alias("label"), F.lit(0).alias("kidx"))
+    ticks = upto.select("file", F.explode(F.when(F.col("ord") == 1, F.array(first, tick)).otherwise(F.array(tick))).alias("k")).select("file", "k.*")
     data = body.where("n > 3 + paths")
     is_head = (F.size("t") == 4) & (_tok(0).try_cast("int") == F.col("nband"))
-    recs = L.numbered(data, is_head, "kidx", order="n").withColumn("kidx", F.col("kidx") - 1)
-    k = recs.where(is_head).select("file", "kidx", *[_num(i).alias(f"k{i}") for i in (1, 2, 3)]).join(basis, "file")
-    k = k.withColumns({c: sum((F.col(f"k{i}") * F.col(f"b{i}{c}") for i in (2, 3)), F.col("k1") * F.col(f"b1{c}")) for c in "xyz"})
+    recs = L.numbered(data, is_head, "kidx", order="ln" if whole else "n", size=_size(whole)).withColumn("kidx", F.col("kidx") - 1)
+    own = {f"k{i}": _num(i) for i in (1, 2, 3)}
+    place = {c: sum((F.col(f"k{i}") * F.col(f"b{i}{c}") for i in (2, 3)), F.col("k1") * F.col(f"b1{c}")) for c in "xyz"}
+    if whole:
+        return _points_of_whole(recs.withColumns(own).withColumns(place), is_head), ticks
+    k = recs.where(is_head).select("file", "kidx", *[value.alias(c) for c, value in own.items()], *basis)
+    k = k.withColumns(place)
     k = path_length(k).select("file", "kidx", "k1", "k2", "k3", "dist")
     values = recs.where(~is_head).groupBy("file", "kidx", "nband", "mu").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("c"))  # the lines of one k-point
     energies = values.select("file", "kidx", "mu", F.posexplode(F.slice(F.flatten(F.transform("c", lambda x: x["t"])), F.lit(1), F.col("nband"))).alias("band", "e"))
     return k.join(energies, ["file", "kidx"]).select("file", "kidx", "k1", "k2", "k3", "dist", "band", ((L.number(F.col("e")) - F.col("mu")) * HARTREE_EV).alias("energy")), ticks
 
 
+def _points_of_whole(recs: DataFrame, is_head: Column) -> DataFrame:
+    """The points of band_path() by windows in the order of a file's lines: the lines of values take over what their point's head line states.
+
+    recs: (file, ln, t, nband, mu, kidx, and for head lines k1, k2, k3, x, y, z)."""
+    upto = Window.partitionBy("file").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    is_value = ~is_head
+    rows = recs.withColumns({"_p": F.last(F.when(is_head, F.struct("x", "y", "z")), ignorenulls=True).over(before), "_w": F.sum(F.when(is_value, F.size("t"))).over(upto)})
+    step = F.sqrt(sum(((F.col(c) - F.col(f"_p.{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("_p.x")) ** 2))
+    rows = rows.withColumn("dist", F.sum(F.when(is_head, F.coalesce(step, F.lit(0.0)))).over(upto))
+    point = F.struct("k1", "k2", "k3", "dist", F.coalesce("_w", F.lit(0)).alias("w"))
+    rows = rows.withColumn("_k", F.last(F.when(is_head, point), ignorenulls=True).over(upto)).where(is_value & (F.col("kidx") >= 0))
+    each = rows.select("file", "kidx", "_k.k1", "_k.k2", "_k.k3", "_k.dist", "nband", "mu", F.posexplode("t").alias("p", "e"), (F.col("_w") - F.size("t") - F.col("_k.w")).alias("_before"))
+    each = each.withColumn("band", (F.col("_before") + F.col("p")).cast("int")).where("band < nband")
+    return each.select("file", "kidx", "k1", "k2", "k3", "dist", "band", ((L.number(F.col("e")) - F.col("mu")) * HARTREE_EV).alias("energy"))
+
+
 def path_length(points: DataFrame, key: str = "file", order: str = "kidx", size: int = scan.CHUNK) -> DataFrame:
     """points (key, order 0, 1, ..., x, y, z) with dist: the length of the path up to each. A point meets the one before it by number."""
     before = points.select(key, (F.col(order) + 1).alias(order), *[F.col(c).alias(f"_{c}") for c in "xyz"])
@@ -241,12 +277,14 @@ def dos_rows(lines: DataFrame) -> DataFrame:
     return checked.where(F.when(F.col("_bad").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("several totals in "), "_run")).cast("boolean"))).drop("_run", "_bad")
 
 
-def hopping_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def hopping_tables(lines: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """header (system_id, num_wann, nrpts), hopping (system_id, r1, r2, r3, m, n, re, im, ndegen), and the rows with too few tokens.
 
     A first line that is no number is a comment. Degeneracies follow the header in order of the R blocks."""
     rows = lines.where(F.trim("line") != "").withColumn("t", L.tokens(F.col("line"))).withColumnRenamed("file", "system_id")
-    rows = L.nth(rows, "n", "system_id")
+    rows = L.nth(rows, "n", "system_id", _size(whole))
+    if whole:
+        return _hopping_of_whole(rows)
     first = rows.where("n = 1").select("system_id", F.when(_tok(0).try_cast("int").isNull() | (F.size("t") > 1), 1).otherwise(0).alias("skip"))
     rows = rows.join(first, "system_id").withColumn("n", F.col("n") - F.col("skip")).where("n >= 1")
     header = rows.where("n = 1").select("system_id", _tok(0).try_cast("int").alias("num_wann")).join(rows.where("n = 2").select("system_id", _tok(0).try_cast("int").alias("nrpts")), "system_id")
@@ -261,36 +299,67 @@ def hopping_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return header, hopping, data.where(F.size("t") < 7).select("system_id", "ln", "line")
 
 
-def cubes(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _hopping_of_whole(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """hopping_tables() by windows over a file's lines: a block takes its degeneracy over by its number, among the rows of its own file.
+
+    rows: (system_id, ln, line, t, n)."""
+    of = lambda *keys: Window.partitionBy("system_id", *keys)
+    at = lambda n, value: F.max(F.when(F.col("n") == n, value))
+    rows = L.marked(rows, {"skip": at(1, F.when(_tok(0).try_cast("int").isNull() | (F.size("t") > 1), 1).otherwise(0))}, True, "system_id").withColumn("n", F.col("n") - F.col("skip")).where("n >= 1")
+    rows = L.marked(rows, {"num_wann": at(1, _tok(0).try_cast("int")), "nrpts": at(2, _tok(0).try_cast("int"))}, True, "system_id")
+    header = rows.where("n = 2").select("system_id", "num_wann", "nrpts")
+    body = scan.running_sum(rows.where("n > 2"), ["system_id"], "ln", F.size("t"), "upto", None)
+    is_row = F.col("upto") > F.col("nrpts")
+    before = F.col("upto") - F.size("t")
+    none = F.array(F.struct(F.lit(None).cast("int").alias("block"), F.lit(None).cast("double").alias("ndegen")))
+    degens = F.when(~is_row, F.transform("t", lambda d, p: F.struct((before + p).cast("int").alias("block"), L.number(d).alias("ndegen")))).otherwise(none)
+    known = body.where(~is_row | is_row & (F.size("t") >= 7)).withColumn("is_row", is_row)
+    numbers = [F.when(F.col("is_row"), _tok(i).try_cast("int")).alias(c) for i, c in enumerate(("r1", "r2", "r3", "m", "k"))]
+    known = known.select("system_id", "n", "is_row", *numbers, F.when(F.col("is_row"), _num(5)).alias("re"), F.when(F.col("is_row"), _num(6)).alias("im"), F.explode(degens).alias("d"))
+    known = known.where("not is_row or r1 is not null and r2 is not null and r3 is not null")
+    known = known.withColumn("at", F.min("n").over(of("is_row", "r1", "r2", "r3")))
+    known = known.withColumn("block", F.when(F.col("is_row"), F.dense_rank().over(of("is_row").orderBy("at")) - 1).otherwise(F.col("d.block")))
+    known = known.withColumn("ndegen", F.max("d.ndegen").over(of("block"))).where("is_row")
+    hopping = known.select("system_id", "r1", "r2", "r3", (F.col("m") - 1).alias("m"), (F.col("k") - 1).alias("n"), "re", "im", "ndegen")
+    return header, hopping, body.where(is_row & (F.size("t") < 7)).select("system_id", "ln", "line")
+
+
+def cubes(lines: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """cube_meta (cube_id, n1.., ox.., a1x..), cube_atom (cube_id, ord, number, charge, x, y, z), voxel (cube_id, i, j, k, value)."""
     rows = lines.where(F.trim("line") != "").withColumn("t", L.tokens(F.col("line"))).withColumnRenamed("file", "cube_id")
     head = rows.where("ln = 2").select("cube_id", _tok(0).try_cast("int").alias("natoms"), *[_num(i + 1).alias(f"o{c}") for i, c in enumerate("xyz")])
     meta = head
     for a in (1, 2, 3):
         meta = meta.join(rows.where(F.col("ln") == 2 + a).select("cube_id", _tok(0).try_cast("int").alias(f"n{a}"), *[_num(i + 1).alias(f"a{a}{c}") for i, c in enumerate("xyz")]), "cube_id")
-    body = rows.join(meta.select("cube_id", "natoms", "n1", "n2", "n3"), "cube_id")
+    if whole:
+        stated = {"natoms": 2, "n1": 3, "n2": 4, "n3": 5}
+        marks = {c: F.max(F.when(F.col("ln") == at, _tok(0).try_cast("int"))) for c, at in stated.items()} | {"_heads": F.count(F.when(F.col("ln").between(2, 5), 1))}
+        body = L.marked(rows, marks, whole, "cube_id").where("_heads = 4").drop("_heads")
+    else:
+        body = rows.join(meta.select("cube_id", "natoms", "n1", "n2", "n3"), "cube_id")
     atoms = body.where("ln > 5 and ln <= 5 + natoms").select("cube_id", (F.col("ln") - 5).alias("ord"), _tok(0).try_cast("int").alias("number"), *[_num(i + 1).alias(c) for i, c in enumerate(("charge", "x", "y", "z"))])
     data = body.where("ln > 5 + natoms")
-    flat = scan.running_sum(data, ["cube_id"], "ln", F.size("t"), "before", inclusive=False).select("cube_id", "n2", "n3", F.posexplode("t").alias("p", "v"), "before").withColumn("at", F.col("before") + F.col("p"))
+    flat = scan.running_sum(data, ["cube_id"], "ln", F.size("t"), "before", _size(whole), inclusive=False).select("cube_id", "n2", "n3", F.posexplode("t").alias("p", "v"), "before").withColumn("at", F.col("before") + F.col("p"))
     voxel = flat.select("cube_id", F.expr("cast(at div (n2 * n3) as int)").alias("i"), F.expr("cast((at div n3) % n2 as int)").alias("j"), F.expr("cast(at % n3 as int)").alias("k"), L.number(F.col("v")).alias("value"))
     return meta, atoms, voxel
 
 
-def convergence_logs(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def convergence_logs(lines: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """log_setting (file, section, tolerance), log_disentangle (file, iter, delta, time), log_spread (file, cycle, wf, spread), log_od (file, cycle, od).
 
     cycle 0 is the initial state. Incomplete last cycles are kept as they are."""
     marker = F.when(F.contains(F.col("line"), F.lit("DISENTANGLE")), "disentangle").when(F.contains(F.col("line"), F.lit("WANNIERISE")), "wannierise")
-    rows = L.carried(lines, marker, "section")
-    cycle = F.when(F.contains(F.col("line"), F.lit("Initial State")), 0).otherwise(F.regexp_extract("line", r"Cycle:\s*(\d+)", 1).try_cast("int"))
-    rows = L.carried(rows, cycle, "cycle")
+    has = lambda text: F.contains(F.col("line"), F.lit(text))
     tol = F.regexp_extract("line", r"Convergence tolerence\s*:?\s*(\S+)", 1)
-    settings = rows.withColumn("tolerance", L.number(tol)).where("tolerance is not null and section is not null").select("file", "section", "tolerance")
-    t = rows.withColumn("t", L.tokens(F.regexp_replace("line", r"<--.*$", "")))
-    dis = t.where(F.contains(F.col("line"), F.lit("<-- DIS")) & _tok(0).try_cast("int").isNotNull()).select("file", _tok(0).try_cast("int").alias("iter"), _num(3).alias("delta"), _num(4).alias("time"))
+    stated = L.carried(lines.where(marker.isNotNull() | has("Convergence tolerence")), marker, "section", size=_size(whole))  # a scan is of the lines that it concerns
+    cycle = F.when(has("Initial State"), 0).when(has("Cycle:"), F.regexp_extract("line", r"Cycle:\s*(\d+)", 1).try_cast("int"))
+    rows = L.carried(lines.where(has("Initial State") | has("Cycle:") | has("WF centre and spread") | has("DLTA")), cycle, "cycle", size=_size(whole))
+    settings = stated.withColumn("tolerance", L.number(tol)).where("tolerance is not null and section is not null").select("file", "section", "tolerance")
+    t = lines.where(has("<-- DIS")).withColumn("t", L.tokens(F.regexp_replace("line", r"<--.*$", "")))
+    dis = t.where(_tok(0).try_cast("int").isNotNull()).select("file", _tok(0).try_cast("int").alias("iter"), _num(3).alias("delta"), _num(4).alias("time"))
     spread = F.regexp_extract("line", r"WF centre and spread\s+(\d+)\s*\(.*\)\s*(\S+)", 2)
     wf = F.regexp_extract("line", r"WF centre and spread\s+(\d+)", 1).try_cast("int")
-    spreads = rows.withColumns({"wf": wf, "spread": L.number(spread)}).where("wf is not null and cycle is not null").select("file", "cycle", "wf", "spread")
+    spreads = rows.where(has("WF centre and spread")).withColumn("wf", wf).withColumn("spread", L.number(spread)).where("wf is not null and cycle is not null").select("file", "cycle", "wf", "spread")
     od = F.regexp_extract("line", r"O_D=\s*(\S+)", 1)
     ods = rows.where(F.contains(F.col("line"), F.lit("DLTA"))).withColumn("od", L.number(od)).where("od is not null").select("file", "cycle", "od")
     return settings, dis, spreads, ods

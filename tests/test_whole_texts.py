@@ -36,3 +36,13 @@ def test_pixels_are_turned_by_their_own_heads(spark, sf):
     meta = headers.image_metadata(headers.colon_blocks(lines_of(spark, [(f, h) for f, h, _ in made])))
     same(mesh.flipped(got, F.col("ny"), F.col("nx"), scan_up=F.col("up")).drop("nx", "ny", "up"), mesh.flipped_scans(instrument.decoded_pixels(files), meta))
     assert "Join" not in plan_of(QUERIES["g08_flipped_scans"](spark, sf))
+
+
+def test_positions_of_whole_texts(spark, sf):
+    block = "<Atoms.SpeciesAndCoordinates\n1 Fe 1 2 3 4 5\n2 C 2 3 4 5 6\n x Si 1 1 1 7 8\nAtoms.SpeciesAndCoordinates>\n"
+    final = "  Fractional coordinates of the final structure\n***\n\n\n 1 Co 0.5 0.25 0.75\n 2 C 0 0 0\n\n 3 Xx 1 1 1\n"
+    texts = [("frac", block), ("ang", "Atoms.SpeciesAndCoordinates.Unit Ang\n" + block), ("au", "Atoms.SpeciesAndCoordinates.Unit AU\n" + block), ("final", block + final), ("only", final), ("two", block + block + final + final), ("cut", final[:-20]), ("none", "a\n\nb")]
+    lines = lines_of(spark, texts)
+    cells = spark.createDataFrame([(f, a, 2.0 * (a == 1), 3.0 * (a == 2), 4.0 * (a == 3)) for f in ("ang", "frac") for a in (1, 2, 3)], "file string, axis int, x double, y double, z double")
+    same(C.positions(lines, cells, whole=True), C.positions(lines, cells))
+    assert plan_of(QUERIES["j06_j07_positions"](spark, sf)).count("Join") == 1  # the cells
