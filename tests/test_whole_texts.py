@@ -46,3 +46,13 @@ def test_positions_of_whole_texts(spark, sf):
     cells = spark.createDataFrame([(f, a, 2.0 * (a == 1), 3.0 * (a == 2), 4.0 * (a == 3)) for f in ("ang", "frac") for a in (1, 2, 3)], "file string, axis int, x double, y double, z double")
     same(C.positions(lines, cells, whole=True), C.positions(lines, cells))
     assert plan_of(QUERIES["j06_j07_positions"](spark, sf)).count("Join") == 1  # the cells
+
+
+LOG = " *--- DISENTANGLE ---*\n Convergence tolerence : 1.0E-10\n 1 2.0 2.0 0.5 0.1 <-- DIS\n x 2 <-- DIS\n *--- WANNIERISE ---*\n Convergence tolerence : 1.0E-8\n Initial State\n WF centre and spread 1 ( 0, 0, 0 ) 9.5\n O_D= 0.5 <-- DLTA\n Cycle: 1\n WF centre and spread 1 ( 0, 0, 0 ) 8.5\n O_D= 0.25 <-- DLTA\n Cycle: 2\n"
+
+
+def test_logs_of_whole_texts(spark, sf):
+    lines = lines_of(spark, [("a", LOG), ("b", LOG + LOG), ("c", LOG[60:]), ("d", "O_D= 1 <-- DLTA")])
+    for got, want in zip(C.convergence_logs(lines, whole=True), C.convergence_logs(lines), strict=True):
+        same(got, want)
+    assert "Join" not in plan_of(QUERIES["s19_log_spreads"](spark, sf))
