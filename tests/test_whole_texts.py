@@ -56,3 +56,15 @@ def test_logs_of_whole_texts(spark, sf):
     for got, want in zip(C.convergence_logs(lines, whole=True), C.convergence_logs(lines), strict=True):
         same(got, want)
     assert "Join" not in plan_of(QUERIES["s19_log_spreads"](spark, sf))
+
+
+def band_texts():
+    head = "2 0 0.25\n1.0 0 0 0 2.0 0 0.5 0 1.0\n2\n2 0 0 0 0.5 0 0 G X\n2 0.5 0 0 1 1 0 X M\n"
+    body = "2 0 0 0\n0.1 0.2\n2 0.5 0 0\n0.3\n0.4\n\n2 bad 1 0\n0.5 0.6 0.7\n2 1 1 0\n"
+    return [("a", head + body), ("b", head), ("c", head + "0.1 0.2\n" + body + body), ("d", "1 0 0\n")]
+
+
+def test_ticks_of_whole_texts(spark, sf):
+    lines = lines_of(spark, band_texts())
+    same(C.band_path(lines, whole=True)[1], C.band_path(lines)[1])
+    assert "Join" not in plan_of(QUERIES["w02_band_ticks"](spark, sf))
