@@ -68,3 +68,9 @@ def test_ticks_of_whole_texts(spark, sf):
     lines = lines_of(spark, band_texts())
     same(C.band_path(lines, whole=True)[1], C.band_path(lines)[1])
     assert "Join" not in plan_of(QUERIES["w02_band_ticks"](spark, sf))
+
+
+def test_band_points_of_whole_texts(spark, sf):
+    lines = lines_of(spark, band_texts())
+    same(C.band_path(lines, whole=True)[0], C.band_path(lines)[0])
+    assert "Join" not in plan_of(QUERIES["s16_w01_band_points"](spark, sf))
