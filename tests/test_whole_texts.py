@@ -74,3 +74,7 @@ def test_band_points_of_whole_texts(spark, sf):
     lines = lines_of(spark, band_texts())
     same(C.band_path(lines, whole=True)[0], C.band_path(lines)[0])
     assert "Join" not in plan_of(QUERIES["s16_w01_band_points"](spark, sf))
+
+
+def test_disentangle_without_scans_of_all_lines(spark, sf):
+    assert plan_of(QUERIES["s19_log_disentangle"](spark, sf)).count("Join") == 2  # settings and sums of a file, by the query itself
