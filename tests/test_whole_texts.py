@@ -78,3 +78,11 @@ def test_band_points_of_whole_texts(spark, sf):
 
 def test_disentangle_without_scans_of_all_lines(spark, sf):
     assert plan_of(QUERIES["s19_log_disentangle"](spark, sf)).count("Join") == 2  # settings and sums of a file, by the query itself
+
+
+def test_cubes_of_whole_texts(spark, sf):
+    cube = "c\nc\n1 0 0 0\n2 1 0 0\n2 0 1 0\n3 0 0 1\n6 6.0 0 0 0\n1 2 3 4 5\n6 7\n\n8 9 10 11 12\n"
+    lines = lines_of(spark, [("a", cube), ("b", cube.replace("2 0 1 0\n", "\n")), ("c", cube[:30])])
+    for got, want in zip(C.cubes(lines, whole=True), C.cubes(lines), strict=True):
+        same(got, want)
+    assert "Join" not in plan_of(QUERIES["s18_cube_voxels"](spark, sf))
