@@ -86,3 +86,10 @@ def test_cubes_of_whole_texts(spark, sf):
     for got, want in zip(C.cubes(lines, whole=True), C.cubes(lines), strict=True):
         same(got, want)
     assert "Join" not in plan_of(QUERIES["s18_cube_voxels"](spark, sf))
+
+
+def test_species_of_whole_texts(spark, sf):
+    block = "<Definition.of.Atomic.Species\n C C6.0-s2p1 C_PBE\n# x\n Qq Q1-s1 Q\n Fe1 Fe6.0 Fe_PBE\n one\nDefinition.of.Atomic.Species>\n"
+    lines = lines_of(spark, [("a", block), ("b", block + block), ("c", block[:40]), ("d", "x")])
+    same(C.species(lines, whole=True), C.species(lines))
+    assert "Join" not in plan_of(QUERIES["s11_species"](spark, sf))
