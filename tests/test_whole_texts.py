@@ -93,3 +93,9 @@ def test_species_of_whole_texts(spark, sf):
     lines = lines_of(spark, [("a", block), ("b", block + block), ("c", block[:40]), ("d", "x")])
     same(C.species(lines, whole=True), C.species(lines))
     assert "Join" not in plan_of(QUERIES["s11_species"](spark, sf))
+
+
+def test_colon_blocks_of_whole_texts(spark, sf):
+    lines = lines_of(spark, [("a", "x\n:A:\n1\n\n 2\n:B C:  \n::\n:D:\n:SCANIT_END:\n:E:\n5\n:SCANIT_END:"), ("b", ":A:\n1"), ("c", ":SCANIT_END:")])
+    same(headers.colon_blocks(lines, whole=True), headers.colon_blocks(lines))
+    assert "Join" not in plan_of(QUERIES["p14_image_metadata"](spark, sf))
