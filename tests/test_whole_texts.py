@@ -99,3 +99,15 @@ def test_colon_blocks_of_whole_texts(spark, sf):
     lines = lines_of(spark, [("a", "x\n:A:\n1\n\n 2\n:B C:  \n::\n:D:\n:SCANIT_END:\n:E:\n5\n:SCANIT_END:"), ("b", ":A:\n1"), ("c", ":SCANIT_END:")])
     same(headers.colon_blocks(lines, whole=True), headers.colon_blocks(lines))
     assert "Join" not in plan_of(QUERIES["p14_image_metadata"](spark, sf))
+
+
+def vector_texts():
+    new = "Reciprocal-Space Vectors (Ang^-1)\n b_1 1 2 3\n b_2 4 5 6\n b_3 7 8 9\n b_1 0 0 0\n"
+    old = "".join(f"Reciprocal vector b{a} (1/Ang): {a}.5 -1E-2 3D0\n" for a in (1, 2, 3))
+    return [("new", new), ("old", old), ("both", old + new), ("again", new + old + "Reciprocal vector b1 (1/Ang): 1\n"), ("heads", "Reciprocal-Space Vectors\nReciprocal-Space Vectors\n" + new), ("lone", new + "\n b_2 9 9 9\n")]
+
+
+def test_vectors_of_whole_texts(spark, sf):
+    lines = lines_of(spark, vector_texts())
+    same(C.reciprocal_vectors(lines, whole=True), C.reciprocal_vectors(lines))
+    assert "Join" not in plan_of(QUERIES["s10_reciprocal_vectors"](spark, sf))
