@@ -111,3 +111,12 @@ def test_vectors_of_whole_texts(spark, sf):
     lines = lines_of(spark, vector_texts())
     same(C.reciprocal_vectors(lines, whole=True), C.reciprocal_vectors(lines))
     assert "Join" not in plan_of(QUERIES["s10_reciprocal_vectors"](spark, sf))
+
+
+def test_lattice_vectors_are_looked_up_once(spark, sf):
+    lines = lines_of(spark, vector_texts())
+    for whole in (False, True):
+        same(C.lattice_vectors(lines, whole=whole), C.reciprocal_vectors(lines))
+        with pytest.raises(Exception, match="no three reciprocal vectors in bad"):
+            C.lattice_vectors(lines_of(spark, [*vector_texts(), ("bad", "x")]), whole=whole).collect()
+    assert plan_of(QUERIES["s07_lattice_vectors"](spark, sf)).count("Join") == 1  # the files, of which each is asked for
