@@ -120,3 +120,11 @@ def test_lattice_vectors_are_looked_up_once(spark, sf):
         with pytest.raises(Exception, match="no three reciprocal vectors in bad"):
             C.lattice_vectors(lines_of(spark, [*vector_texts(), ("bad", "x")]), whole=whole).collect()
     assert plan_of(QUERIES["s07_lattice_vectors"](spark, sf)).count("Join") == 1  # the files, of which each is asked for
+
+
+def test_hopping_of_whole_texts(spark, sf):
+    rows = "".join(f"{r} 0 0 {m} {n} {r + m / 8} {n / 4}\n" for r in (3, -1, 0, 7) for n in (1, 2) for m in (1, 2))
+    texts = [("a", "written\n2\n4\n1 2 3\n4\n" + rows), ("b", "2\n\n4\n1 2 3 4\n" + rows), ("short", "1 2\n2\n4\n1 2 3 4\n" + rows + "1 2 3\n" + "x 0 0 1 1 0 0\n"), ("few", "2\n5\n1 2 3 x 4\n" + rows), ("none", "2\n")]
+    for got, want in zip(C.hopping_tables(lines_of(spark, texts), whole=True), C.hopping_tables(lines_of(spark, texts)), strict=True):
+        same(got, want)
+    assert "Join" not in plan_of(QUERIES["s05_hopping_files"](spark, sf))
