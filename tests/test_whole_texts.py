@@ -128,3 +128,13 @@ def test_hopping_of_whole_texts(spark, sf):
     for got, want in zip(C.hopping_tables(lines_of(spark, texts), whole=True), C.hopping_tables(lines_of(spark, texts)), strict=True):
         same(got, want)
     assert "Join" not in plan_of(QUERIES["s05_hopping_files"](spark, sf))
+
+
+def test_weights_do_not_meet_columns_by_position(spark, sf):
+    columns = spark.createDataFrame([("a", 0, 0, "C", "0s"), ("a", 1, 1, "Fe", "0s"), ("b", 0, 0, "C", "0s")], "file string, position int, atom int, element string, orbital string")
+    lines = lines_of(spark, [("a", "1 2 3 4\n\n5 6 7 x\n"), ("b", "1 2 3"), ("without", "1 2 3")])
+    got = {(r.file, r.row_id, r.position): (r.element, r.weight) for r in C.unfolding(lines, columns).collect()}
+    assert got == {("a", 0, 0): ("C", 3.0), ("a", 0, 1): ("Fe", 4.0), ("a", 2, 0): ("C", 7.0), ("a", 2, 1): ("Fe", None), ("b", 0, 0): ("C", 3.0)}
+    with pytest.raises(Exception, match="unexpected number of columns"):
+        C.unfolding(lines_of(spark, [("a", "1 2 3")]), columns).collect()
+    assert plan_of(QUERIES["s17_unfolding"](spark, sf)).count("Join") == 1
