@@ -138,3 +138,10 @@ def test_weights_do_not_meet_columns_by_position(spark, sf):
     with pytest.raises(Exception, match="unexpected number of columns"):
         C.unfolding(lines_of(spark, [("a", "1 2 3")]), columns).collect()
     assert plan_of(QUERIES["s17_unfolding"](spark, sf)).count("Join") == 1
+
+
+def test_pairs_of_whole_texts(spark, sf):
+    lines = lines_of(spark, [("a", 'x\nA="1"\nmore\n\nB=2=3\n:HEADER_END:\nC=4\n'), ("b", "A=1"), ("c", "A\t1\t\nmore\n[DATA]\nB\t2\n")])
+    for read in (headers.equals_pairs, headers.tab_pairs):
+        same(read(lines, whole=True), read(lines))
+    assert "Join" not in plan_of(QUERIES["p14_grid_metadata"](spark, sf))
