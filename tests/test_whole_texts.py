@@ -145,3 +145,12 @@ def test_pairs_of_whole_texts(spark, sf):
     for read in (headers.equals_pairs, headers.tab_pairs):
         same(read(lines, whole=True), read(lines))
     assert "Join" not in plan_of(QUERIES["p14_grid_metadata"](spark, sf))
+
+
+def test_blocks_of_whole_texts(spark, sf):
+    final = "  Fractional coordinates of the final structure\n***\n\n\n 1 Co 0.5 0.25 0.75\n 2 C 0 0 0\n* 3 Xx 1 1 1\n"
+    units = "<Atoms.UnitVectors\n# a\n1 2 3\n\n4 5 6\n7 8 9\n1 1 1\nAtoms.UnitVectors>\n"
+    lines = lines_of(spark, [("a", final + units), ("b", units + final + final), ("c", units[:20]), ("d", "x")])
+    for read in (C.final_positions, C.unit_cells):
+        same(read(lines, whole=True), read(lines))
+    assert "Join" not in plan_of(QUERIES["s13_final_positions"](spark, sf))
