@@ -9,6 +9,9 @@ read once. Without it they are grouped and joined, for files of any size, and th
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,8 +56,10 @@ def loose_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tokens(line: Column) -> Column:
-    """The words of a line; an empty array for a blank one."""
-    return F.when(F.trim(line) == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(line), r"\s+"))
+    """The words of a line; an empty array for a blank one. Lines with single spaces only, most of them, are cut without a pattern."""
+    t = F.trim(line)
+    has = [F.contains(t, F.lit(c)) for c in ("  ", "\t", "\n", "\x0b", "\f", "\r")]
+    return F.when(t == "", F.array().cast("array<string>")).when(~reduce(or_, has), F.split(t, " ")).otherwise(F.split(t, r"\s+"))
 
 
 def number(text: Column) -> Column:

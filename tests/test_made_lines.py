@@ -26,3 +26,14 @@ def test_made_lines_are_those_of_a_text(spark):
 @pytest.mark.parametrize("name", ["s19_log_spreads", "w02_band_ticks", "s18_cube_voxels", "s17_unfolding"])
 def test_lines_are_not_glued_and_cut_again(spark, sf, name):
     assert not re.search("array_join|lambdafunction", plan_of(QUERIES[name](spark, sf)))
+
+
+def test_words_of_odd_lines(spark):
+    odd = ["", "  ", "a", " a b ", "a  b", "a\tb", "a \t b", "\ta b", "a\t", "a\x0bb\x0cc", "a\rb", "a\nb", "é ü x", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k int, line string").withColumn("t", L.tokens(F.col("line"))).orderBy("k").collect()
+    assert [r.t for r in rows] == [None if t is None else [] if not t.strip(" ") else re.split(r"[ \t\n\x0b\f\r]+", t.strip(" ")) for t in odd]
+
+
+def test_plain_lines_are_cut_without_a_pattern(spark):
+    plan = plan_of(spark.range(1).select(F.concat(F.lit("a "), F.col("id").cast("string")).alias("line")).select(L.tokens(F.col("line")).alias("t")))
+    assert ",  , -1)" in plan.replace("\\", "")  # a cut at one space
