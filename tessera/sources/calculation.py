@@ -350,16 +350,16 @@ def convergence_logs(lines: DataFrame, whole: bool = False) -> tuple[DataFrame,
     cycle 0 is the initial state. Incomplete last cycles are kept as they are."""
     marker = F.when(F.contains(F.col("line"), F.lit("DISENTANGLE")), "disentangle").when(F.contains(F.col("line"), F.lit("WANNIERISE")), "wannierise")
     has = lambda text: F.contains(F.col("line"), F.lit(text))
-    tol = F.regexp_extract("line", r"Convergence tolerence\s*:?\s*(\S+)", 1)
+    tol = F.nullif(F.regexp_extract("line", r"Convergence tolerence\s*:?\s*(\S+)", 1), F.lit(""))
     stated = L.carried(lines.where(marker.isNotNull() | has("Convergence tolerence")), marker, "section", size=_size(whole))  # a scan is of the lines that it concerns
     cycle = F.when(has("Initial State"), 0).when(has("Cycle:"), F.regexp_extract("line", r"Cycle:\s*(\d+)", 1).try_cast("int"))
     rows = L.carried(lines.where(has("Initial State") | has("Cycle:") | has("WF centre and spread") | has("DLTA")), cycle, "cycle", size=_size(whole))
-    settings = stated.withColumn("tolerance", L.number(tol)).where("tolerance is not null and section is not null").select("file", "section", "tolerance")
-    t = lines.where(has("<-- DIS")).withColumn("t", L.tokens(F.regexp_replace("line", r"<--.*$", "")))
-    dis = t.where(_tok(0).try_cast("int").isNotNull()).select("file", _tok(0).try_cast("int").alias("iter"), _num(3).alias("delta"), _num(4).alias("time"))
+    settings = L.once(stated, "tolerance", L.number(tol)).where("tolerance is not null and section is not null").select("file", "section", "tolerance")
+    t = L.once(L.once(lines.where(has("<-- DIS")), "line", F.substring_index("line", "<--", 1)), "t", L.tokens(F.col("line")))
+    dis = L.once(t, "iter", _tok(0).try_cast("int")).where("iter is not null").select("file", "iter", _num(3).alias("delta"), _num(4).alias("time"))
     spread = F.regexp_extract("line", r"WF centre and spread\s+(\d+)\s*\(.*\)\s*(\S+)", 2)
     wf = F.regexp_extract("line", r"WF centre and spread\s+(\d+)", 1).try_cast("int")
     spreads = rows.where(has("WF centre and spread")).withColumn("wf", wf).withColumn("spread", L.number(spread)).where("wf is not null and cycle is not null").select("file", "cycle", "wf", "spread")
     od = F.regexp_extract("line", r"O_D=\s*(\S+)", 1)
-    ods = rows.where(F.contains(F.col("line"), F.lit("DLTA"))).withColumn("od", L.number(od)).where("od is not null").select("file", "cycle", "od")
+    ods = L.once(rows.where(has("DLTA")), "od", L.number(od)).where("od is not null").select("file", "cycle", "od")
     return settings, dis, spreads, ods

@@ -62,6 +62,11 @@ def tokens(line: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).when(~reduce(or_, has), F.split(t, " ")).otherwise(F.split(t, r"\s+"))
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is worked out once for each: as a generated column it is not copied into the filters on it, as an expensive value of withColumn would be."""
+    return rows.select(*[c for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def number(text: Column) -> Column:
     """A lenient number: null for anything else. Fortran's D exponents count."""
     return F.translate(text, "dD", "ee").try_cast("double")

@@ -37,3 +37,9 @@ def test_words_of_odd_lines(spark):
 def test_plain_lines_are_cut_without_a_pattern(spark):
     plan = plan_of(spark.range(1).select(F.concat(F.lit("a "), F.col("id").cast("string")).alias("line")).select(L.tokens(F.col("line")).alias("t")))
     assert ",  , -1)" in plan.replace("\\", "")  # a cut at one space
+
+
+@pytest.mark.parametrize(("name", "text"), [("s19_log_disentangle", "regexp_extract(line")])
+def test_patterns_are_matched_once(spark, sf, name, text):
+    plan = plan_of(QUERIES[name](spark, sf))
+    assert plan.count(text) == {"s19_log_disentangle": 2}[name]  # tolerances and sums
