@@ -65,7 +65,7 @@ def reciprocal_vectors(lines: DataFrame, whole: bool = False) -> DataFrame:
     under = F.when(F.col("below"), F.regexp_extract("line", r"^\s*b_([123])\s", 1))
     axis = F.coalesce(F.nullif(plain, F.lit("")), F.nullif(under, F.lit(""))).try_cast("int")
     tail = F.regexp_replace("line", r"^.*?b_?[123]\s*(\([^)]*\))?\s*:?", "")
-    rows = near.withColumn("axis", axis).where("axis is not null").withColumn("v", F.regexp_extract_all(tail, F.lit(f"({number})"), F.lit(1))).where(F.size("v") >= 3)
+    rows = L.once(L.once(near, "axis", axis).where("axis is not null"), "v", F.regexp_extract_all(tail, F.lit(f"({number})"), F.lit(1))).where(F.size("v") >= 3)
     last = rows.groupBy("file", "axis").agg(F.max_by("v", "ln").alias("v"))
     return last.select("file", "axis", *[L.number(F.get("v", F.lit(i))).alias(c) for i, c in enumerate("xyz")])
 

@@ -39,7 +39,7 @@ def test_plain_lines_are_cut_without_a_pattern(spark):
     assert ",  , -1)" in plan.replace("\\", "")  # a cut at one space
 
 
-@pytest.mark.parametrize(("name", "text"), [("s19_log_disentangle", "regexp_extract(line")])
+@pytest.mark.parametrize(("name", "text"), [("s19_log_disentangle", "regexp_extract(line"), ("s07_lattice_vectors", "regexp_extract_all(")])
 def test_patterns_are_matched_once(spark, sf, name, text):
     plan = plan_of(QUERIES[name](spark, sf))
-    assert plan.count(text) == {"s19_log_disentangle": 2}[name]  # tolerances and sums
+    assert plan.count(text) == {"s19_log_disentangle": 2, "s07_lattice_vectors": 1}[name]  # tolerances and sums; vectors
