@@ -93,7 +93,7 @@ def species(lines: DataFrame, whole: bool = False) -> DataFrame:
 
 def shell_count(basis, shell: str):
     """Shells of a kind in a basis such as `C6.0-s3p2d1`: 0 if not named, null without a dash."""
-    found = F.regexp_extract(basis, rf"^[^-]*-.*?{shell}(\d+)", 1).try_cast("int")
+    found = F.nullif(F.regexp_extract(basis, rf"^[^-]*-.*?{shell}(\d+)", 1), F.lit("")).try_cast("int")  # a cast that fails costs more than all else here
     return F.when(F.contains(basis, F.lit("-")), F.coalesce(found, F.lit(0)))
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.queries import QUERIES, files
+from tessera.sources import calculation as C
 from tessera.sources import lines as L
 
 
@@ -43,3 +44,9 @@ def test_plain_lines_are_cut_without_a_pattern(spark):
 def test_patterns_are_matched_once(spark, sf, name, text):
     plan = plan_of(QUERIES[name](spark, sf))
     assert plan.count(text) == {"s19_log_disentangle": 2, "s07_lattice_vectors": 1}[name]  # tolerances and sums; vectors
+
+
+def test_missing_shells_are_not_cast(spark):
+    assert "null else try_cast(regexp_extract" in plan_of(spark.createDataFrame([("Fe6.0-s3p2",)], "basis string").select(C.shell_count(F.col("basis"), "d")))
+    rows = spark.createDataFrame([("Fe6.0-s3p2",), ("Fe6.0",)], "basis string").select(*[C.shell_count(F.col("basis"), s) for s in "spd"]).collect()
+    assert list(map(tuple, rows)) == [(3, 2, 0), (None, None, None)]
