@@ -218,32 +218,35 @@ def band_path(lines: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFra
     ticks = upto.select("file", F.explode(F.when(F.col("ord") == 1, F.array(first, tick)).otherwise(F.array(tick))).alias("k")).select("file", "k.*")
     data = body.where("n > 3 + paths")
     is_head = (F.size("t") == 4) & (_tok(0).try_cast("int") == F.col("nband"))
-    recs = L.numbered(data, is_head, "kidx", order="ln" if whole else "n", size=_size(whole)).withColumn("kidx", F.col("kidx") - 1)
     own = {f"k{i}": _num(i) for i in (1, 2, 3)}
     place = {c: sum((F.col(f"k{i}") * F.col(f"b{i}{c}") for i in (2, 3)), F.col("k1") * F.col(f"b1{c}")) for c in "xyz"}
     if whole:
-        return _points_of_whole(recs.withColumns(own).withColumns(place), is_head), ticks
-    k = recs.where(is_head).select("file", "kidx", *[value.alias(c) for c, value in own.items()], *basis)
-    k = k.withColumns(place)
+        return _points_of_whole(data.withColumns(own).withColumns(place), is_head), ticks
+    recs = L.numbered(data, is_head, "kidx", order="n").withColumn("kidx", F.col("kidx") - 1)
+    k = recs.where(is_head).select("file", "kidx", *[value.alias(c) for c, value in own.items()], *basis).withColumns(place)
     k = path_length(k).select("file", "kidx", "k1", "k2", "k3", "dist")
     values = recs.where(~is_head).groupBy("file", "kidx", "nband", "mu").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("c"))  # the lines of one k-point
     energies = values.select("file", "kidx", "mu", F.posexplode(F.slice(F.flatten(F.transform("c", lambda x: x["t"])), F.lit(1), F.col("nband"))).alias("band", "e"))
     return k.join(energies, ["file", "kidx"]).select("file", "kidx", "k1", "k2", "k3", "dist", "band", ((L.number(F.col("e")) - F.col("mu")) * HARTREE_EV).alias("energy")), ticks
 
 
-def _points_of_whole(recs: DataFrame, is_head: Column) -> DataFrame:
+def _points_of_whole(rows: DataFrame, is_head: Column) -> DataFrame:
     """The points of band_path() by windows in the order of a file's lines: the lines of values take over what their point's head line states.
 
-    recs: (file, ln, t, nband, mu, kidx, and for head lines k1, k2, k3, x, y, z)."""
+    Two rounds of windows: the second asks for sums of the first. rows: (file, ln, t, nband, mu, k1, k2, k3, x, y, z), where only head lines have points."""
     upto = Window.partitionBy("file").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
     before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_h", F.coalesce(is_head, F.lit(False)))
     is_value = ~is_head
-    rows = recs.withColumns({"_p": F.last(F.when(is_head, F.struct("x", "y", "z")), ignorenulls=True).over(before), "_w": F.sum(F.when(is_value, F.size("t"))).over(upto)})
+    rows = rows.withColumns({
+        "kidx": F.sum(F.when(F.col("_h"), 1).otherwise(0)).over(upto), "_p": F.last(F.when(F.col("_h"), F.struct("x", "y", "z")), ignorenulls=True).over(before),
+        "_w": F.sum(F.when(is_value, F.size("t"))).over(upto),
+    })
     step = F.sqrt(sum(((F.col(c) - F.col(f"_p.{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("_p.x")) ** 2))
-    rows = rows.withColumn("dist", F.sum(F.when(is_head, F.coalesce(step, F.lit(0.0)))).over(upto))
-    point = F.struct("k1", "k2", "k3", "dist", F.coalesce("_w", F.lit(0)).alias("w"))
-    rows = rows.withColumn("_k", F.last(F.when(is_head, point), ignorenulls=True).over(upto)).where(is_value & (F.col("kidx") >= 0))
-    each = rows.select("file", "kidx", "_k.k1", "_k.k2", "_k.k3", "_k.dist", "nband", "mu", F.posexplode("t").alias("p", "e"), (F.col("_w") - F.size("t") - F.col("_k.w")).alias("_before"))
+    point = F.struct("k1", "k2", "k3", F.coalesce("_w", F.lit(0)).alias("w"))
+    rows = rows.withColumns({"dist": F.sum(F.when(F.col("_h"), F.coalesce(step, F.lit(0.0)))).over(upto), "_k": F.last(F.when(F.col("_h"), point), ignorenulls=True).over(upto)})  # the length is that of the point up to the next one
+    rows = rows.withColumn("kidx", (F.col("kidx") - 1).cast("int")).where(is_value & (F.col("kidx") >= 0))
+    each = rows.select("file", "kidx", "_k.k1", "_k.k2", "_k.k3", "dist", "nband", "mu", F.posexplode("t").alias("p", "e"), (F.col("_w") - F.size("t") - F.col("_k.w")).alias("_before"))
     each = each.withColumn("band", (F.col("_before") + F.col("p")).cast("int")).where("band < nband")
     return each.select("file", "kidx", "k1", "k2", "k3", "dist", "band", ((L.number(F.col("e")) - F.col("mu")) * HARTREE_EV).alias("energy"))
 

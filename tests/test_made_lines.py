@@ -50,3 +50,7 @@ def test_missing_shells_are_not_cast(spark):
     assert "null else try_cast(regexp_extract" in plan_of(spark.createDataFrame([("Fe6.0-s3p2",)], "basis string").select(C.shell_count(F.col("basis"), "d")))
     rows = spark.createDataFrame([("Fe6.0-s3p2",), ("Fe6.0",)], "basis string").select(*[C.shell_count(F.col("basis"), s) for s in "spd"]).collect()
     assert list(map(tuple, rows)) == [(3, 2, 0), (None, None, None)]
+
+
+def test_band_points_take_four_rounds_of_windows(spark, sf):
+    assert plan_of(QUERIES["s16_w01_band_points"](spark, sf)).count("Window [") == 4
