@@ -6,49 +6,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import grid_dimension
-from ..operators import scan
 from . import lines as L
 
 
 def _joined(rows: DataFrame, sep: str = "\n") -> DataFrame:
     """(file, key, value): the pieces of each key in line order, as one value."""
     parts = F.sort_array(F.collect_list(F.struct("ln", "piece")))  # the lines of one header entry
-    return rows.groupBy("file", "key").agg(parts.alias("p")).select("file", "key", F.array_join(F.transform("p", lambda x: x["piece"]), sep).alias("value"))
+    return rows.groupBy("file", "key").agg(parts.alias("p")).select("file", "key", F.array_join("p.piece", sep).alias("value"))
 
 
-def _until(lines: DataFrame, end: str, whole: bool) -> DataFrame:
-    """The lines before the first end marker of each file, all where there is none. whole: see lines.marked."""
-    if whole:
-        head = L.marked(lines, {"_end": F.min(F.when(F.trim("line") == end, F.col("ln")))}, whole)
-    else:
-        stop = lines.where(F.trim("line") == end).groupBy("file").agg(F.min("ln").alias("_end"))
-        head = lines.join(stop, "file", "left")
-    return head.where(F.col("_end").isNull() | (F.col("ln") < F.col("_end"))).drop("_end")
+def _keyed(lines: DataFrame, own: Column, end: str, whole: bool) -> DataFrame:
+    """The lines before the first end marker of each file (all where there is none) with the latest key, from the lines that name one; those above it are left out. whole: see lines.marked."""
+    if whole:  # keys are carried downwards, so the lines that the end marker cuts off change none above it: both in one round of windows
+        of_file = Window.partitionBy("file").orderBy("ln").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        head = lines.withColumns({"_end": F.min(F.when(F.trim("line") == end, F.col("ln"))).over(of_file), "key": F.last(own, ignorenulls=True).over(of_file.rowsBetween(Window.unboundedPreceding, 0))})
+        return head.where((F.col("_end").isNull() | (F.col("ln") < F.col("_end"))) & F.col("key").isNotNull()).drop("_end")
+    stop = lines.where(F.trim("line") == end).groupBy("file").agg(F.min("ln").alias("_end"))
+    head = lines.join(stop, "file", "left").where(F.col("_end").isNull() | (F.col("ln") < F.col("_end"))).drop("_end")
+    return L.carried(head, own, "key").where("key is not null")
 
 
 def colon_blocks(lines: DataFrame, end: str = ":SCANIT_END:", whole: bool = False) -> DataFrame:
     """`:KEY:` on a line of its own, its content on the lines below, up to the end marker."""
-    head = _until(lines, end, whole)
     own = F.when(F.startswith(F.col("line"), F.lit(":")), F.regexp_extract("line", r"^:([^:].*):\s*$", 1))
     key = F.coalesce("_key", F.lit(""))
-    keyed = L.carried(head.withColumn("_key", own), F.when(key != "", key), "key", size=None if whole else scan.CHUNK).where("key is not null")
+    keyed = _keyed(lines.withColumn("_key", own), F.when(key != "", key), end, whole)
     return _joined(keyed.withColumn("piece", F.when(key == "", F.trim("line"))).withColumn("piece", F.coalesce("piece", F.lit(""))).where((F.col("piece") != "") | (key != ""))).withColumn("value", F.ltrim(F.regexp_replace("value", "^\n", "")))
 
 
 def tab_pairs(lines: DataFrame, end: str = "[DATA]", whole: bool = False) -> DataFrame:
     """`key<TAB>value<TAB>` lines; a line without a tab continues the value above it."""
-    head = _until(lines, end, whole).where("line <> ''")
     fields = F.split("line", "\t")
     is_key = F.size(fields) > 1
-    keyed = L.carried(head, F.when(is_key, fields[0]), "key", size=None if whole else scan.CHUNK).where("key is not null")
+    keyed = _keyed(lines.where("line <> ''"), F.when(is_key, fields[0]), end, whole)
     return _joined(keyed.withColumn("piece", F.when(is_key, fields[1]).otherwise(F.col("line"))))
 
 
 def equals_pairs(lines: DataFrame, end: str = ":HEADER_END:", whole: bool = False) -> DataFrame:
     """`key=value` lines, quotation marks around the value dropped; a line without `=` continues the value above it."""
-    head = _until(lines, end, whole).where("line <> ''")
     key = F.col("_key")
-    keyed = L.carried(head.withColumn("_key", F.regexp_extract("line", r"^([^=]+)=", 1)), F.when(key != "", key), "key", size=None if whole else scan.CHUNK).where("key is not null")
+    keyed = _keyed(lines.where("line <> ''").withColumn("_key", F.regexp_extract("line", r"^([^=]+)=", 1)), F.when(key != "", key), end, whole)
     piece = F.when(key != "", F.regexp_replace(F.regexp_replace("line", r"^[^=]+=", ""), '^"|"$', "")).otherwise(F.col("line"))
     return _joined(keyed.withColumn("piece", piece))
 

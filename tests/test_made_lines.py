@@ -54,3 +54,9 @@ def test_missing_shells_are_not_cast(spark):
 
 def test_band_points_take_four_rounds_of_windows(spark, sf):
     assert plan_of(QUERIES["s16_w01_band_points"](spark, sf)).count("Window [") == 4
+
+
+@pytest.mark.parametrize("name", ["p14_image_metadata", "p14_grid_metadata", "s04_tab_pairs"])
+def test_ends_and_keys_are_one_round_of_windows(spark, sf, name):
+    plan = plan_of(QUERIES[name](spark, sf))
+    assert plan.count("Window [") == 1 and "transform(" not in plan
