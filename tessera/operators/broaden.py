@@ -9,7 +9,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -92,13 +92,14 @@ def tiled_map(points: DataFrame, cells: DataFrame, wk: float, we: float, weight:
 def thermal(spectra: DataFrame, kt: float, reach: int | None = None, key: str = "spectrum") -> DataFrame:
     """A spectrum (spectrum, p, e, v) broadened by -df/dE of the energy differences, zero outside, over the kernel's full sum.
 
-    The kernel depends on the difference of two points of one spectrum; reach limits it to neighbours at most that many points away."""
-    left, right = spectra.select(key, F.col("p").alias("p0"), F.col("e").alias("e0")), spectra.select(key, "p", "e", "v")
+    The kernel depends on the difference of two points of one spectrum; reach limits it to neighbours at most that many points away, which are met without a row for each pair in a shuffle."""
     x = (F.col("e0") - F.col("e")) / F.lit(2 * kt)
     bell = F.lit(1 / (4 * kt)) / (F.cosh(x) * F.cosh(x))
-    near = left if reach is None else left.withColumn("p", F.explode(F.sequence(F.col("p0") - reach, F.col("p0") + reach)))
-    both = near.join(right, [key] if reach is None else [key, "p"])
-    sums = both.withColumn("g", bell).groupBy(key, "p0", "e0").agg(F.sum(F.col("v") * F.col("g")).alias("s"))
+    if reach is None:
+        both, of = spectra.select(key, F.col("p").alias("p0"), F.col("e").alias("e0")).join(spectra.select(key, "p", "e", "v"), key), [key]
+    else:
+        both, of = _neighbours(spectra, reach, key), [key, "_chunk"]
+    sums = both.withColumn("g", bell).groupBy(*of, "p0", "e0").agg(F.sum(F.col("v") * F.col("g")).alias("s"))
     ends = spectra.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("e").alias("low"), F.max("e").alias("high"))
     step = (F.col("high") - F.col("low")) / F.greatest(F.lit(1), F.col("n") - 1)
     far = reach if reach is not None else None
@@ -108,6 +109,19 @@ def thermal(spectra: DataFrame, kt: float, reach: int | None = None, key: str =
     return sums.join(norm, key).select(key, F.col("p0").alias("p"), F.col("e0").alias("e"), (F.col("s") / F.col("norm")).alias("v"))
 
 
+def _neighbours(spectra: DataFrame, reach: int, key: str, chunk: int = 1 << 12) -> DataFrame:
+    """(key, _chunk, p0, e0, e, v): each point with those of its spectrum at most reach numbers away, missing ones left out.
+
+    A point is shuffled once, and again for each other chunk of `chunk` numbers whose halo holds it; its neighbours come from a window of numbers in its own chunk."""
+    size = max(chunk, 4 * reach)
+    at = lambda c: F.floor(c / F.lit(size))
+    p = F.col("p")
+    spread = spectra.where(p.isNotNull()).select(key, "p", "e", "v", F.explode(F.sequence(at(p - reach), at(p + reach))).alias("_chunk"))
+    near = F.collect_list(F.struct("e", "v")).over(Window.partitionBy(key, "_chunk").orderBy("p").rangeBetween(-reach, reach))  # of one chunk and its halo
+    own = spread.withColumn("_near", near).where(at(p) == F.col("_chunk"))
+    return own.select(key, "_chunk", p.alias("p0"), F.col("e").alias("e0"), F.explode("_near").alias("_n")).select(key, "_chunk", "p0", "e0", "_n.e", "_n.v")
+
+
 def thermal_reach(step: float, kt: float, tol: float) -> int:
     """Points beyond which the kernel's tails weigh at most tol of its sum, for a spectrum with this step.
 
