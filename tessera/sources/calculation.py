@@ -179,11 +179,15 @@ def orbital_columns(atoms: DataFrame, shells: DataFrame) -> DataFrame:
 
 
 def unfolding(lines: DataFrame, columns: DataFrame) -> DataFrame:
-    """(file, row_id, kpath, energy, position, atom, element, orbital, weight); kpath in inverse Angstrom. A row of another width is an error."""
-    rows = lines.where(F.trim("line") != "").withColumn("t", L.tokens(F.col("line")))
-    want = columns.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("position", "atom", "element", "orbital")).alias("c"))  # as many as a line has words
-    rows = rows.join(want, "file").withColumn("t", F.when(F.size("t") == F.col("n") + 2, F.col("t")).otherwise(F.raise_error("unexpected number of columns").cast("array<string>")))
-    rows = rows.where(F.size("t") > 2)  # the width is asked for in any case, also where no weight is read
+    """(file, row_id, kpath, energy, position, atom, element, orbital, weight); kpath in inverse Angstrom. A row of another width is an error.
+
+    columns: (file, position, atom, element, orbital), or without file for columns that all files have: these are one row, sent to the lines where they are, so that no line is sorted or sent."""
+    keys = [c for c in columns.columns if c == "file"]
+    want = columns.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("position", "atom", "element", "orbital")).alias("c"))  # as many as a line has words
+    rows = lines.where(F.trim("line") != "").select("file", "ln", "line")
+    rows = rows.join(want, keys) if keys else rows.crossJoin(F.broadcast(want))
+    rows = L.once(rows, "t", L.tokens(F.col("line"))).drop("line")  # words after the meeting, as a sort for it would hold them
+    rows = rows.where(F.when(F.size("t") == F.col("n") + 2, F.size("t") > 2).otherwise(F.raise_error("unexpected number of columns").cast("boolean")))
     each = rows.select("file", F.col("ln").alias("row_id"), (_num(0) / BOHR_ANGSTROM).alias("kpath"), _num(1).alias("energy"), "t", "n", F.explode("c").alias("c")).where("c.position >= 0 and c.position < n")
     return each.select("file", "row_id", "kpath", "energy", "c.position", "c.atom", "c.element", "c.orbital", L.number(F.get("t", F.col("c.position") + 2)).alias("weight"))
 

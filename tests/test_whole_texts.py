@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import mesh
-from tessera.queries import QUERIES
+from tessera.queries import QUERIES, SQL
 from tessera.sources import calculation as C
 from tessera.sources import headers, instrument
 from tessera.sources import lines as L
@@ -140,6 +140,35 @@ def test_weights_do_not_meet_columns_by_position(spark, sf):
     assert plan_of(QUERIES["s17_unfolding"](spark, sf)).count("Join") == 1
 
 
+def test_columns_of_all_files_are_sent_to_the_lines(spark, sf):
+    shared = spark.createDataFrame([(0, 0, "C", "0s"), (1, 1, "Fe", "0s")], "position int, atom int, element string, orbital string")
+    lines = lines_of(spark, [("a", "1 2 3 4\n\n5 6 7 x\n"), ("b", "1  2\t3 4D1"), (None, "1 2 3 4")])
+    got = C.unfolding(lines, shared)
+    same(got.where("file is not null"), C.unfolding(lines, shared.crossJoin(lines.select("file").distinct())))
+    assert {(r.row_id, r.position, r.weight) for r in got.where("file is null").collect()} == {(0, 0, 3.0), (0, 1, 4.0)}
+    with pytest.raises(Exception, match="unexpected number of columns"):
+        C.unfolding(lines_of(spark, [("a", "1 2 3 4\n1 2 3")]), shared).collect()
+    plan = QUERIES["s17_unfolding"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "SortMergeJoin" not in plan and plan.count("hashpartitioning") == 1
+
+
+def test_lines_meet_their_columns_before_they_are_cut(spark):
+    columns = spark.createDataFrame([("a", 0, 0, "C", "0s")], "file string, position int, atom int, element string, orbital string")
+    plan = plan_of(C.unfolding(lines_of(spark, [("a", "1 2 3")]), columns))
+    assert plan.index(",  , -1)") < plan.index("Join")  # words are made above the meeting, not sorted for it
+
+
+def test_weights_of_orders_without_a_key(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(1, 1, 10, 3, 5.0), (1, 2, 20, 4, 6.0), (None, 1, 30, 5, 7.0), (None, 2, 40, 6, 8.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = con.execute(f"SELECT file, row_id, position, weight FROM ({SQL['s17_unfolding']})").fetchall()
+    got = QUERIES["s17_unfolding"](spark, str(tmp_path)).select("file", "row_id", "position", "weight").collect()
+    assert len(want) == 12 and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_pairs_of_whole_texts(spark, sf):
     lines = lines_of(spark, [("a", 'x\nA="1"\nmore\n\nB=2=3\n:HEADER_END:\nC=4\n'), ("b", "A=1"), ("c", "A\t1\t\nmore\n[DATA]\nB\t2\n")])
     for read in (headers.equals_pairs, headers.tab_pairs):
