@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import new_folder
 
 _EDGE = ("x0", "y0", "x1", "y1")
+_NEAR = 16  # edges of a row of cells that its border cells carry themselves; more of them stay rows of a table
+_FEW = 2  # of a border cell's edges, tested without a function of lists
+_CROWD = 4096  # points in a cell; those of fuller cells are dealt out over copies of it
+_MEMBERS = 1024  # polygons of a class in one list, about
 
 
 def edges(corners: DataFrame) -> DataFrame:
@@ -86,13 +93,73 @@ def cover(banded: DataFrame) -> DataFrame:
     return border.unionByName(inside).groupBy("polygon_id", "level", "ix", "iy").agg(F.max("border").alias("border"))
 
 
+def _lists(members: DataFrame) -> DataFrame:
+    """(class_id, ids): the polygons of each class in lists; a large class has several, so that none is held whole."""
+    parts = members.groupBy("class_id").agg(F.ceil(F.count(F.lit(1)) / _MEMBERS).alias("_parts"))
+    dealt = members.join(parts, "class_id").withColumn("_part", F.pmod(F.xxhash64("polygon_id"), "_parts"))
+    return dealt.groupBy("class_id", "_part").agg(F.sort_array(F.collect_list("polygon_id")).alias("ids")).select("class_id", "ids")
+
+
+def _measured(banded: DataFrame) -> DataFrame:
+    """Edges with what the test of a place needs."""
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return banded.select("polygon_id", "iy", "c", "pad", F.struct(*_EDGE, dx.alias("dx"), dy.alias("dy"), F.hypot(dx, dy).alias("length"), (dx / F.nullif(dy, F.lit(0.0))).alias("slope")).alias("edge"))
+
+
+def _on_edge(e: Column, px: Column, py: Column, eps: float) -> Column:
+    length = e["length"]
+    across, along = (px - e["x0"]) * e["dy"] - (py - e["y0"]) * e["dx"], (px - e["x0"]) * e["dx"] + (py - e["y0"]) * e["dy"]
+    return F.when(length == 0, F.hypot(px - e["x0"], py - e["y0"]) <= eps).otherwise((F.abs(across) <= eps * length) & (along >= -eps * length) & (along <= length * length + eps * length))
+
+
+def _hit(e: Column, px: Column, py: Column) -> Column:
+    return ((e["y0"] > py) != (e["y1"] > py)) & (px < e["x0"] + (py - e["y0"]) * e["slope"])
+
+
+def _narrowed(cells: DataFrame) -> DataFrame:
+    """Border cells with the edges `near` of their row: those on the left, which no ray to the right meets, are left out, and those on the right that cross the whole row, which all
+    rays meet, are counted in `odd`."""
+    low, high = (lambda k: F.col(k) * F.col("c") - F.col("pad")), (lambda k: (F.col(k) + 1) * F.col("c") + F.col("pad"))
+    across = lambda e: (F.least(e["x0"], e["x1"]) > high("ix")) & (F.least(e["y0"], e["y1"]) <= low("iy")) & (F.greatest(e["y0"], e["y1"]) >= high("iy"))
+    odd = F.size(F.filter("near", across)) % 2
+    return cells.withColumns({"odd": odd, "near": F.filter("near", lambda e: (F.greatest(e["x0"], e["x1"]) >= low("ix")) & ~across(e))}).drop("c", "pad")
+
+
+def _inside(px: Column, py: Column, eps: float) -> Column:
+    """Of a place in a border cell with near and odd; the first edges of a list without a function of lists, which takes some ten times as long."""
+    few = [F.get("near", F.lit(k)) for k in range(_FEW)]
+    on = [F.coalesce(_on_edge(e, px, py, eps), F.lit(False)) for e in few]
+    hits = [F.when(_hit(e, px, py), 1).otherwise(0) for e in few]
+    quick = reduce(or_, on) | ((F.col("odd") + sum(hits[1:], hits[0])) % 2 == 1)
+    rest = F.exists("near", lambda e: _on_edge(e, px, py, eps)) | ((F.col("odd") + F.size(F.filter("near", lambda e: _hit(e, px, py)))) % 2 == 1)
+    return F.when(F.size("near") <= _FEW, quick).otherwise(rest)
+
+
+def _on_grids(points: DataFrame, levels: list[int]) -> DataFrame:
+    """Points (px, py, ...) with their cell of each level."""
+    grids = [F.struct(F.lit(k).alias("level"), F.lit(2.0**k).alias("c")) for k in levels]
+    each = points.withColumn("_l", F.explode(F.array(*grids) if grids else F.lit(None).cast("array<struct<level:int,c:double>>")))
+    return each.select(*points.columns, F.col("_l.level").alias("level"), F.floor(F.col("px") / F.col("_l.c")).alias("ix"), F.floor(F.col("py") / F.col("_l.c")).alias("iy"))
+
+
+def _held_by_rows(places: DataFrame, cells: DataFrame, edges_of_rows: DataFrame, levels: list[int], eps: float) -> DataFrame:
+    """(px, py, polygon_id): different places in border cells whose row meets many edges, each tested against these edges as rows of a table."""
+    px, py, edge = F.col("px"), F.col("py"), F.col("edge")
+    met = _on_grids(places.distinct(), levels).join(cells, ["level", "ix", "iy"]).select("px", "py", "polygon_id", "iy").join(edges_of_rows, ["polygon_id", "iy"])
+    judged = met.groupBy("polygon_id", "iy", "px", "py").agg(F.max(_on_edge(edge, px, py, eps)).alias("_on"), F.sum(F.when(_hit(edge, px, py), 1).otherwise(0)).alias("_hits"))
+    return judged.where(F.col("_on") | (F.col("_hits") % 2 == 1)).select("px", "py", "polygon_id")
+
+
 def in_polygons(points: DataFrame, corners: DataFrame, eps: float = 1e-9, fineness: int = 3, x: str = "x", y: str = "y") -> DataFrame:
     """The rows of points with `polygon_id`: one for each polygon that holds the row's place, its boundary (within eps) included, as lattice.polygon_mask says for one polygon.
 
     corners: (polygon_id, ord, x, y), ord 1, 2, ... along the polygon; a last corner that repeats the first does no harm, and places inside twice (a polygon that crosses itself) count as
-    outside. Points meet cells by an equi-join on (level, ix, iy); a point in an inside cell needs no test, one in a border cell meets the edges of its row of cells only. Each different place is
-    tested once against each different polygon (see classes), and rows and polygons of the same shape and place meet the results at the end. Points with a null or NaN coordinate, or beyond all polygons, give no row; repeated points give a row each; a column of
-    points named polygon_id is an error. Only the levels in use pass the driver, which are exponents of doubles: about 2,100 numbers at most, mostly a few."""
+    outside. Points with a null or NaN coordinate, or beyond all polygons, give no row; repeated points give a row each; a column of points named polygon_id is an error.
+
+    Rows of points meet cells by an equi-join on (level, ix, iy). A cell carries its different polygon's members (see classes) and, on the border, the edges of its row of cells; so a row is
+    tested where it meets the cell and gives its results there: what is shuffled grows with points and polygons, not with the results. Rows of a full cell are dealt out over copies of the cell.
+    Only where a row of cells meets more than some edges, different places meet them by a second join, and rows meet the places. Results of a cell stand together, for each row the members of
+    a polygon, which files compress well. Only the levels in use pass the driver, which are exponents of doubles: about 2,100 numbers at most, mostly a few."""
     if "polygon_id" in points.columns:
         raise ValueError("points have a column polygon_id already")
     sides = _kept(edges(corners), "edges")
@@ -101,22 +168,30 @@ def in_polygons(points: DataFrame, corners: DataFrame, eps: float = 1e-9, finene
     sized = _kept(_sized(sides.join(first, "polygon_id"), eps, fineness), "sized")
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as few edges and places make many cells and rows, and small inputs would be put together in one task
     levels = sorted(r.level for r in sized.select("level").distinct().collect())
-    px, py = F.col("px"), F.col("py")
-    places = points.select(F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).where((F.abs(px) < float("inf")) & (F.abs(py) < float("inf"))).repartition(tasks, "px", "py").distinct()
-    grids = [F.struct(F.lit(k).alias("level"), F.lit(2.0**k).alias("c")) for k in levels]
-    each = places.withColumn("l", F.explode(F.array(*grids) if grids else F.lit(None).cast("array<struct<level:int,c:double>>")))
-    each = each.select("px", "py", F.col("l.level").alias("level"), F.floor(px / F.col("l.c")).alias("ix"), F.floor(py / F.col("l.c")).alias("iy"))
+    lists = _kept(_lists(members), "members")
+    px, py, key = F.col("px"), F.col("py"), ["level", "ix", "iy"]
+    spread = ["px", "py"] if any(t in kind for _, kind in points.dtypes for t in ("map<", "variant")) else ["_row"]  # such columns have no hash
+    rows = points.select(F.struct("*").alias("_row"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).where((F.abs(px) < float("inf")) & (F.abs(py) < float("inf"))).withColumn("_hash", F.xxhash64(*spread))
     banded = bands(sized.repartition(tasks, "polygon_id"))
-    met = each.join(cover(banded), ["level", "ix", "iy"])
-    sure = met.where(~F.col("border")).select("px", "py", "polygon_id")
-    tested = met.where("border").select("px", "py", "polygon_id", "iy").join(banded.select("polygon_id", "iy", *_EDGE), ["polygon_id", "iy"])
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    length = F.hypot(dx, dy)
-    across, along = (px - F.col("x0")) * dy - (py - F.col("y0")) * dx, (px - F.col("x0")) * dx + (py - F.col("y0")) * dy
-    on_edge = F.when(length == 0, F.hypot(px - F.col("x0"), py - F.col("y0")) <= eps).otherwise((F.abs(across) <= eps * length) & (along >= -eps * length) & (along <= length * length + eps * length))
-    hit = ((F.col("y0") > py) != (F.col("y1") > py)) & (px < F.col("x0") + (py - F.col("y0")) * (dx / F.nullif(dy, F.lit(0.0))))
-    judged = tested.groupBy("polygon_id", "iy", "px", "py").agg(F.max(on_edge).alias("_on"), F.sum(F.when(hit, 1).otherwise(0)).alias("_hits"))
-    held = sure.unionByName(judged.where(F.col("_on") | (F.col("_hits") % 2 == 1)).select("px", "py", "polygon_id"))
-    rows = points.select(F.struct("*").alias("_row"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).repartition(tasks, "px", "py")
-    met = rows.join(held.withColumnRenamed("polygon_id", "class_id"), ["px", "py"]).select("_row", "class_id")
-    return met.join(members, "class_id").select("_row.*", "polygon_id")
+    cells, measured = cover(banded), _measured(banded)
+    crowded = _kept(banded.groupBy("polygon_id", "iy").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > _NEAR).select("polygon_id", "iy"), "crowded")
+    full = _kept(_on_grids(rows.select("px", "py"), levels).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > _CROWD).select(*key, F.ceil(F.col("_n") / _CROWD).alias("_parts")), "full")
+    many = not crowded.isEmpty()
+    carried = measured.join(crowded, ["polygon_id", "iy"], "left_anti") if many else measured
+    near = carried.groupBy("polygon_id", "iy").agg(F.collect_list("edge").alias("near"), F.first("c").alias("c"), F.first("pad").alias("pad")).withColumn("border", F.lit(True))
+    own = _narrowed(cells.join(near, ["polygon_id", "iy", "border"], "left").where("near is not null or not border"))
+    own = own.join(lists.withColumnRenamed("class_id", "polygon_id"), "polygon_id").select(*key, "near", "odd", "ids")
+    each = _on_grids(rows, levels)
+    if not full.isEmpty():
+        own = own.join(full, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1)))
+        each = each.join(full, key, "left").withColumn("_part", F.pmod("_hash", F.coalesce("_parts", F.lit(1))))
+        key = [*key, "_part"]
+    each = each.select("_row", "px", "py", *key)
+    met = own.repartition(tasks, *key).join(each.repartition(tasks, *key), key)
+    out = met.where(F.col("near").isNull() | _inside(px, py, eps)).select("_row.*", F.explode("ids").alias("polygon_id"))
+    if many:
+        heavy = cells.where("border").join(crowded, ["polygon_id", "iy"])
+        held = _held_by_rows(rows.select("px", "py").repartition(tasks, "px", "py"), heavy, measured.join(crowded, ["polygon_id", "iy"]), levels, eps)
+        found = rows.select("_row", "px", "py").repartition(tasks, "px", "py").join(held.withColumnRenamed("polygon_id", "class_id"), ["px", "py"]).select("_row", "class_id")
+        out = out.union(found.join(lists, "class_id").select("_row.*", F.explode("ids").alias("polygon_id")))
+    return out

@@ -101,3 +101,47 @@ def test_equal_polygons_are_tested_once(spark):
     assert {(r.polygon_id, r.class_id) for r in polygon.classes(polygon.edges(corners)).collect()} == {(3, 3), (5, 3), (7, 3), (11, 3), (9, 9)}
     points = spark.createDataFrame([(1, 1.0, 1.0), (2, 1.0, 3.9), (3, 5.0, 1.0)], "n int, x double, y double")
     assert sorted((r.n, r.polygon_id) for r in polygon.in_polygons(points, corners).collect()) == [(1, k) for k in (3, 5, 7, 9, 11)] + [(2, k) for k in (3, 5, 7, 11)]
+
+
+def shuffled(spark, job):
+    """Rows that a job's stages write for others."""
+    sc = spark.sparkContext
+    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(k) for k in range(found.size()))}
+    read = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    found = read()
+    old = stages()
+    result = job()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = read()
+    return result, sum(n for k, n in stages().items() if k not in old)
+
+
+def test_results_are_not_shuffled(spark):
+    """Each of 5,000 points lies in each of 200 different squares; what is shuffled are points, edges and cells."""
+    points = spark.range(5_000).select("id", (F.col("id") % 71 / 71).alias("x"), (F.floor(F.col("id") / 71) / 71).alias("y"))
+    ring = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(x).alias("x"), F.lit(y).alias("y")) for n, (x, y) in enumerate([(-1.0, -1.0), (2.0, -1.0), (2.0, 2.0), (-1.0, 2.0)], 1)])
+    corners = spark.range(200).select("id", F.explode(ring).alias("v")).select(F.col("id").alias("polygon_id"), F.col("v.n").alias("ord"), (F.col("v.x") * (1 + F.col("id") / 1000)).alias("x"), F.col("v.y").alias("y"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, moved = shuffled(spark, lambda: polygon.in_polygons(points, corners).count())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert rows == 1_000_000
+    assert moved < 500_000
+
+
+@pytest.mark.parametrize("near", [0, 2, 1_000])
+def test_all_ways_of_a_place_to_its_polygons(spark, monkeypatch, near):
+    """Edges carried by cells, few or many, or as rows; full cells in several parts; classes in several lists."""
+    for name, value in (("_NEAR", near), ("_FEW", 1), ("_CROWD", 3), ("_MEMBERS", 2)):
+        monkeypatch.setattr(polygon, name, value)
+    rng = np.random.default_rng(11)
+    star = [(4 * r * math.cos(t), 4 * r * math.sin(t)) for t, r in zip(rng.uniform(0, 2 * np.pi, 24), rng.uniform(0.2, 1, 24), strict=True)]
+    teeth = [p for k in range(20) for p in ((k / 4 - 2.5, -3.0), (k / 4 - 2.4, 3.0))]
+    square = [(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0)]
+    polygons = {1: star, 2: teeth, **dict.fromkeys(range(3, 12), square), 12: [(-4.0, 0.0), (4.0, 0.0), (0.0, 2.0)], 13: [(0.5, 0.5)], 14: [(-1.0, 0.25), (1.0, 0.25)]}
+    points = [tuple(p) for p in rng.uniform(-4, 4, (300, 2))] + [c for ring in polygons.values() for c in ring] + [(0.5, 0.5)] * 20 + [(0.3, 0.25), (1.0, 0.1)]
+    df, corners = tables(spark, points, polygons)
+    got = sorted((r.item, r.polygon_id) for r in polygon.in_polygons(df.withColumn("more", F.create_map(F.lit("a"), "item")) if near == 2 else df, corners).collect())
+    assert got == sorted((n, k) for n, (x, y) in enumerate(points) for k, ring in polygons.items() if holds(ring, float(x), float(y)))
