@@ -187,7 +187,8 @@ def in_polygons(points: DataFrame, corners: DataFrame, eps: float = 1e-9, finene
         each = each.join(full, key, "left").withColumn("_part", F.pmod("_hash", F.coalesce("_parts", F.lit(1))))
         key = [*key, "_part"]
     each = each.select("_row", "px", "py", *key)
-    met = own.repartition(tasks, *key).join(each.repartition(tasks, *key), key)
+    own, each = (df.withColumn("level", -F.col("level")).repartition(tasks, *key) for df in (own, each))  # large cells come first, as most results are theirs and a file's dictionary has room for the first polygons only
+    met = own.join(each, key)
     out = met.where(F.col("near").isNull() | _inside(px, py, eps)).select("_row.*", F.explode("ids").alias("polygon_id"))
     if many:
         heavy = cells.where("border").join(crowded, ["polygon_id", "iy"])
